@@ -7,6 +7,8 @@ from importlib import import_module
 #: query name: module of its operator
 MODULES = {
     "op2_mixing": "mixing",
+    "op3_segment_topk": "segment_topk",
+    "op5_secrets": "secrets",
     "op10_sharding": "sharding",
 }
 
