@@ -9,6 +9,7 @@ MODULES = {
     "op2_mixing": "mixing",
     "op3_segment_topk": "segment_topk",
     "op5_secrets": "secrets",
+    "op6_neardup": "neardup",
     "op7_packing": "packing",
     "op9_token_files": "token_files",
     "op10_sharding": "sharding",
