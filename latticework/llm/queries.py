@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op2_mixing": "mixing",
     "op3_segment_topk": "segment_topk",
+    "op4_language": "language",
     "op5_secrets": "secrets",
     "op6_neardup": "neardup",
     "op7_packing": "packing",
