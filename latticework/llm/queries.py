@@ -12,6 +12,7 @@ MODULES = {
     "op5_secrets": "secrets",
     "op6_neardup": "neardup",
     "op7_packing": "packing",
+    "op8_main_text": "html_text",
     "op9_token_files": "token_files",
     "op10_sharding": "sharding",
 }
