@@ -26,7 +26,7 @@ BLOCK = 128
 PERCENTILE = 95
 END_ID = 2
 #: Bytes of text that a file gets, about.
-FILE_BYTES = 12_000_000
+FILE_BYTES = 8_000_000
 
 
 def pack_words(values: np.ndarray, width: int) -> np.ndarray:

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import os
+from array import array
 from functools import cache
 
-#: Parts kept by a Python worker. A full cache takes no more parts, since those seen first are the common ones; after as
-#: many misses again, say in other languages, it starts anew.
-MOST_PARTS = 700_000
+#: Parts kept by a Python worker. A full cache takes no more parts, since those seen first are the common ones; after
+#: four times as many misses, say in other languages, it starts anew.
+MOST_PARTS = 500_000
 
 
 class Encoder:
     """Encodes whole texts to ids as little-endian unsigned 32-bit integers.
 
-    A text is cut before each single space that follows a character and precedes one. Neither vocabulary has a token or a
-    rule that reaches across such a place, so the parts' ids, joined, are the text's ids. Texts with other runs of spaces,
-    where that does not hold, are given to the library whole.
+    A text is cut before each single space or line end that stands between two other characters. Neither vocabulary has a
+    token or a rule that reaches across such a place, so the parts' ids, joined, are the text's ids. Texts with longer runs
+    of white space, where that does not hold, are given to the library whole; a vocabulary that drops white space (``loose``)
+    needs no such care.
     """
 
     def __init__(self, path: str):
@@ -24,40 +26,43 @@ class Encoder:
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
-        self.parts: dict[str, bytes | None] = {}
+        joined, apart = self.ids(["a \n b"])[0], self.ids(["a", "b"])
+        self.loose = joined == b"".join(apart)
+        #: ids by part; False for a part of white space alone, which may belong to a longer run
+        self.parts: dict[str, bytes | bool] = {"": b""} if self.loose else {}
         self.missed = 0
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        cut = text.split(" ")
-        if "" in cut:
+        cut = text.replace("\n", " " if self.loose else " \n").split(" ")
+        if not self.loose and "" in cut:
             return self.ids([text])[0]
-        first, rest = cut[0], cut[1:]
+        first = cut[0]
+        cut[0] = "" if self.loose else " "
         known = self.parts
-        try:
-            return b"".join([self.ids([first])[0], *map(known.__getitem__, rest)])
-        except (KeyError, TypeError):
-            pass
-        new = [p for p in dict.fromkeys(rest) if p not in known]
-        # a part that is only white space may belong to a longer run
-        fresh = {p: None if p.isspace() else x for p, x in zip(new, self.ids([" " + p for p in new]))}
-        found = [fresh[p] if p in fresh else known[p] for p in rest]
-        if len(known) + len(fresh) <= MOST_PARTS:
-            known.update(fresh)
-        else:
-            self.missed += len(fresh)
-            if self.missed > MOST_PARTS:
-                known.clear()
-                self.missed = 0
-        if None in found:
+        found = list(map(known.get, cut))
+        found[0] = b""
+        gaps = [i for i, x in enumerate(found) if x is None] if None in found else []
+        new = list({cut[i] for i in gaps})
+        start, *ids = self.ids([first, *(p if p[0] == "\n" else " " + p for p in new)])
+        found[0] = start
+        if new:
+            fresh = {p: False if not self.loose and p.isspace() else x for p, x in zip(new, ids)}
+            for i in gaps:
+                found[i] = fresh[cut[i]]
+            if len(known) + len(fresh) <= MOST_PARTS:
+                known.update(fresh)
+            else:
+                self.missed += len(fresh)
+                if self.missed > 4 * MOST_PARTS:
+                    self.parts, self.missed = {"": b""} if self.loose else {}, 0
+        if False in found:
             return self.ids([text])[0]
-        return b"".join([self.ids([first])[0], *found])
+        return b"".join(found)
 
 
 @cache
