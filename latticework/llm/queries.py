@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name: module of its operator
 MODULES = {
+    "op1_ann": "ann",
     "op2_mixing": "mixing",
     "op3_segment_topk": "segment_topk",
     "op4_language": "language",
