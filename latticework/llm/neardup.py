@@ -203,15 +203,87 @@ def sketched(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 
 #: Rounds in which each text of a bucket is compared with one leader, before all pairs that are left.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Buckets of at most so many texts make rows of their pairs; larger ones are compared block by block inside tasks.
+FEW = 16
+#: Texts, and bytes of text, of a block.
+BLOCK_TEXTS = 1024
+BLOCK_BYTES = 8_000_000
+#: Shingles of a slice of the blocks' incidence matrices.
+SLICE = 4096
+
+
+def shared_counts(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, texts) sizes of multiset intersections, and the multisets' sizes, by products of slices of incidence matrices.
+
+    A shingle that occurs n times counts as n shingles, (shingle, 1) to (shingle, n). Shingles of a single text are left out.
+    """
+    n = len(texts)
+    row, shingle, count = shingles(texts, words)
+    sizes = np.bincount(row, count, n)
+    item = np.repeat(np.arange(len(row)), count)
+    nth = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+    key = mixed(shingle[item] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, column, often = np.unique(key, return_inverse=True, return_counts=True)
+    keep = often[column] > 1
+    new = np.cumsum(often > 1) - 1
+    column, owner = new[column[keep]], row[item[keep]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((n, n), np.float32)
+    last = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, last, SLICE):
+        a, b = np.searchsorted(column, (at, at + SLICE))
+        part = np.zeros((n, SLICE), np.float32)
+        part[owner[a:b], column[a:b] - at] = 1
+        out += part @ part.T
+    return out, sizes
+
+
+def spanning(ids: np.ndarray, roots: np.ndarray, texts: pa.Array, words: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between similar texts of different classes, just enough to connect the classes that any such links connect."""
+    shared, sizes = shared_counts(texts, words)
+    _, at = np.unique(roots, return_inverse=True)
+    union = np.maximum(sizes[:, None] + sizes[None, :] - shared, 1)
+    near = (shared / union >= similarity - 1e-6) & (at[:, None] < at[None, :])
+    lead = list(range(int(at.max(initial=-1)) + 1))
+
+    def top(x: int) -> int:
+        while lead[x] != x:
+            lead[x] = lead[lead[x]]
+            x = lead[x]
+        return x
+
+    out = []
+    for i, j in zip(*(v.tolist() for v in np.nonzero(near))):
+        a, b = top(int(at[i])), top(int(at[j]))
+        if a != b:
+            lead[max(a, b)] = min(a, b)
+            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return out
+
+
+def block_links(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) in large buckets, from (bucket, id, root): a task compares two blocks of a bucket, whose sizes are bounded."""
+    sized = members.join(texts.select("id", common.utf8_size("text").alias("bytes")), "id")
+    plan = sized.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = members.join(plan, "bucket").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("bucket", "id", "root", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).join(texts, "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        found = spanning(table.column("id").to_numpy(), table.column("root").to_numpy(), table.column("text").combine_chunks(), words, similarity)
+        return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+    return rows.groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
 
 def linked(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between texts that share a bucket, and (id, root) of the texts that have links.
 
     ``members``: (bucket, id). In a bucket each text is compared with a leader, another one each round, as long as the two are in
-    different classes. What then shares a bucket and is still in different classes is compared in full, but for pairs that were.
-    So the links connect all that similar pairs in common buckets connect, and a bucket of n near copies needs n pairs.
+    different classes. What then shares a bucket and is still in different classes is compared in full, but for pairs that were:
+    in small buckets as rows, in large ones block by block, where a task returns only links that connect classes.
+    So the links connect all that similar pairs in common buckets connect, and no group makes rows for all its pairs.
     """
     spark = members.sparkSession
     links = spark.createDataFrame([], "a long, b long")
@@ -220,19 +292,21 @@ def linked(members: DataFrame, texts: DataFrame, words: int, similarity: float)
     for turn in range(STAR_ROUNDS + 1):
         now = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
         order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        leads = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(order.alias("o"), "id", "root")).alias("lead")).filter("lo <> hi")
+        leads = now.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(order.alias("o"), "id", "root")).alias("lead")).filter("lo <> hi")
+        found = None
         if turn < STAR_ROUNDS:
             met = now.join(leads, "bucket").filter("root <> lead.root").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
         else:
-            still = now.join(leads.select("bucket"), "bucket")
-            other = still.select("bucket", F.col("id").alias("b"), F.col("root").alias("root_b"))
-            met = still.join(other, "bucket").filter("id < b AND root <> root_b").select(F.col("id").alias("a"), "b")
+            still = common.written(now.join(leads.select("bucket", "n"), "bucket"), "open")
+            few, many = still.filter(F.col("n") <= FEW), still.filter(F.col("n") > FEW)
+            other = few.select("bucket", F.col("id").alias("b"), F.col("root").alias("root_b"))
+            met = few.join(other, "bucket").filter("id < b AND root <> root_b").select(F.col("id").alias("a"), "b")
+            found = common.written(block_links(many.select("bucket", "id", "root"), texts, words, similarity), "links-large")
         pairs = written_pairs(met.distinct().join(done, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
         checked = common.written(verified(pairs, texts, words, similarity), "pairs-checked")
         done = done.unionByName(checked.select("a", "b"))
         links = links.unionByName(checked.filter("similar").select("a", "b"))
+        links = links.unionByName(found) if found is not None else links
         roots = components(links)
     return links, roots
 
