@@ -87,6 +87,17 @@ def utf8_size(text: str | Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Spark hand texts to Python in batches of at most ``rows``, unless the session's own setting is lower.
+
+    The default of 10,000 rows puts no useful bound on the memory that long texts take outside of the heap.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def text_batches(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``: bounds what a Python worker holds decoded at once."""
     for batch in batches:

@@ -204,6 +204,7 @@ def read_files(spark, folder: str, manifest: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, path: str | None = None, folder: str | None = None) -> DataFrame:
     """Writes ``docs`` to token files and returns what the files hold; see ``write_files`` for nulls and ties. Empty tables give no file."""
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     folder = folder or common.new_path(spark, "token-files")
     manifest = write_files(docs, folder, path or tokens.path_of("word_bpe_49k.json"))
     return read_files(spark, folder, manifest)

@@ -31,6 +31,7 @@ class Encoder:
         #: ids by part; False for a part of white space alone, which may belong to a longer run
         self.parts: dict[str, bytes | bool] = {"": b""} if self.loose else {}
         self.missed = 0
+        self.marks = dict(zip(".,", self.ids([".", ","])))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
@@ -38,32 +39,54 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.loose and (text.isascii() or is_latin(text)):
+            text = text.lower()  # as the library would; for other letters the library's own tables decide
         cut = text.replace("\n", " " if self.loose else " \n").split(" ")
         if not self.loose and "" in cut:
             return self.ids([text])[0]
         first = cut[0]
         cut[0] = "" if self.loose else " "
-        known = self.parts
-        found = list(map(known.get, cut))
+        found = list(map(self.parts.get, cut))
         found[0] = b""
         gaps = [i for i, x in enumerate(found) if x is None] if None in found else []
-        new = list({cut[i] for i in gaps})
-        start, *ids = self.ids([first, *(p if p[0] == "\n" else " " + p for p in new)])
+        start, fresh = self.fill(first, {cut[i] for i in gaps})
         found[0] = start
-        if new:
-            fresh = {p: False if not self.loose and p.isspace() else x for p, x in zip(new, ids)}
-            for i in gaps:
-                found[i] = fresh[cut[i]]
-            if len(known) + len(fresh) <= MOST_PARTS:
-                known.update(fresh)
-            else:
-                self.missed += len(fresh)
-                if self.missed > 4 * MOST_PARTS:
-                    self.parts, self.missed = {"": b""} if self.loose else {}, 0
+        for i in gaps:
+            found[i] = fresh[cut[i]]
         if False in found:
             return self.ids([text])[0]
         return b"".join(found)
 
+    def fill(self, first: str, new: set[str]) -> tuple[bytes, dict[str, bytes | bool]]:
+        """ids of a text's first part, and of the parts that are not known, which are then kept while there is room.
+
+        A full stop or comma behind a letter is a token of its own, so such a part is its word's ids and the mark's.
+        """
+        known, cut = self.parts, {}
+        for p in new:
+            if p[-1] in ".," and p[-2:-1].isalpha():
+                cut[p] = p[:-1]
+        need = list({p for p in (cut.get(p, p) for p in new) if p not in known})
+        start, *ids = self.ids([first, *(p if p[0] == "\n" else " " + p for p in need)])
+        fresh: dict[str, bytes | bool] = {p: False if not self.loose and p.isspace() else x for p, x in zip(need, ids)}
+        for p, word in cut.items():
+            fresh[p] = (fresh[word] if word in fresh else known[word]) + self.marks[p[-1]]
+        if len(known) + len(fresh) <= MOST_PARTS:
+            known.update(fresh)
+        else:
+            self.missed += len(need)
+            if self.missed > 4 * MOST_PARTS:
+                self.parts, self.missed = {"": b""} if self.loose else {}, 0
+        return start, fresh
+
+
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
 
 @cache
 def encoder(path: str) -> Encoder:
