@@ -56,12 +56,17 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training(docs: DataFrame, languages: list[str], sample: int) -> list[Row]:
-    """A bounded sample of labelled rows: ``sample`` documents a language, cut to TRAIN_CHARS characters."""
-    labelled = docs.filter(F.col("text").isNotNull() & F.col("lang").isin(languages))
+    """A bounded sample of labelled rows: ``sample`` documents a language, cut to TRAIN_CHARS characters.
+
+    The hashes alone are ranked first; then the texts of the least ones are fetched, so tasks send no text in vain.
+    """
+    hashed = docs.filter(F.col("text").isNotNull() & F.col("lang").isin(languages)).withColumn("h", F.xxhash64("doc_id"))
     picked = []
     for lang in languages:
-        mine = labelled.filter(F.col("lang") == lang).select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("text"))
-        picked += mine.orderBy("h", "text").limit(sample).collect()
+        mine = hashed.filter(F.col("lang") == lang)
+        least = [r["h"] for r in mine.select("h").orderBy("h").limit(sample).collect()]
+        if least:
+            picked += mine.filter(F.col("h") <= least[-1]).select("lang", "h", F.substring("text", 1, TRAIN_CHARS).alias("text")).orderBy("h", "text").limit(sample).collect()
     return picked
 
 
