@@ -61,16 +61,15 @@ def radius_count(points: DataFrame, centres: DataFrame, grid: Grid, radius: Colu
 def nearest_in_spheres(points: DataFrame, centres: DataFrame, grid: Grid, k: int, id_col: str, first: Column) -> DataFrame:
     """(qid, id, dist, r): all points in the final sphere of each centre, which holds k points or reaches across the domain.
 
-    Spheres start with ``first`` and those with fewer than k points double; finished centres leave the loop. Reached in
-    at most about log2(diagonal / first) rounds, so tables of fewer than k points end too.
+    Spheres start with ``first`` and those with fewer than k points double; finished centres leave the loop. A sphere stops at
+    the farthest corner of the domain, so tables of fewer than k points end too.
     """
     spec = grid.spec
-    diagonal = sum((h - l) ** 2 for l, h in zip(spec.low, spec.high)) ** 0.5
     celled = with_cell(points, grid) if "cell" not in points.columns else points
     open_, done = saved(centres.withColumn("__r", F.greatest(first.cast("double"), F.lit(1e-9))), "centres"), None
     far = F.sqrt(sum(((F.greatest(F.abs(F.col(f"c{i}") - spec.low[i]), F.abs(F.col(f"c{i}") - spec.high[i]))) ** 2 for i in range(spec.dims)), F.lit(0.0)))
     open_ = open_.withColumn("__far", far * 1.000001 + 1e-9)
-    for _ in range(200):
+    while True:
         found = saved(radius_rows(celled, open_, grid, F.col("__r"), [id_col]), "spheres")
         counts = found.groupBy("qid").agg(F.count("*").alias("__n"))
         state = open_.join(counts, "qid", "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
@@ -78,7 +77,7 @@ def nearest_in_spheres(points: DataFrame, centres: DataFrame, grid: Grid, k: int
         part = found.join(enough, "qid").select("qid", id_col, "dist", "r")
         done = part if done is None else done.unionByName(part)
         open_ = saved(state.filter((F.col("__n") < k) & (F.col("__r") < F.col("__far"))).withColumn("__r", F.least(F.col("__r") * 2, F.col("__far"))).drop("__n"), "centres")
-        if open_.isEmpty() or not diagonal and _ > 2:
+        if open_.isEmpty():
             break
     return done
 
