@@ -317,7 +317,7 @@ def labelled_page(rng: random.Random) -> str:
         )
 
     foot = rng.choice(["<footer>{}</footer>", '<div class="footer">{}</div>', '<div id="footer">{}</div>']).format(leaf("span", "&copy; " + prose(2), "rest"))
-    parts = [rest() for _ in range(rng.randint(1, 4))] + [story()] + ([comments()] if rng.random() < 0.4 else []) + [rest() for _ in range(rng.randint(0, 2))] + [foot]
+    parts = [rest() for _ in range(rng.randint(0, 4))] + [story()] + ([comments()] if rng.random() < 0.4 else []) + [rest() for _ in range(rng.randint(0, 2))] + [foot]
     return f"<html><head><title>{sentence(1, 6)}</title></head><body>{''.join(parts)}</body></html>"
 
 
