@@ -25,8 +25,8 @@ MAGIC = b"LWT1"
 BLOCK = 128
 PERCENTILE = 95
 END_ID = 2
-#: Bytes of text that a file gets, about.
-FILE_BYTES = 8_000_000
+#: Bytes of text that a file gets, at least and at most; in between, the texts make about ``FILES`` files.
+FILE_BYTES, MOST_FILE_BYTES, FILES = 8_000_000, 96_000_000, 4096
 
 
 def pack_words(values: np.ndarray, width: int) -> np.ndarray:
@@ -111,9 +111,10 @@ def decode_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 def edges(docs: DataFrame, file_bytes: int) -> list[int]:
-    """doc_ids that cut the ascending ids into files of about ``file_bytes`` of text."""
+    """doc_ids that cut the ascending ids into files of about ``file_bytes`` of text, or more if there is much."""
     found = docs.agg(F.sum(common.utf8_size("text")).alias("bytes")).first()
-    files = max(1, -(-(found["bytes"] or 0) // file_bytes))
+    total = found["bytes"] or 0
+    files = max(1, -(-total // max(file_bytes, min(MOST_FILE_BYTES, total // FILES))))
     if files == 1:
         return []
     cuts = docs.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 100 * files).alias("cuts")).first()["cuts"]
@@ -124,7 +125,7 @@ def write_files(docs: DataFrame, folder: str, path: str, file_bytes: int = FILE_
     """Writes ``docs`` (doc_id, text) to ``folder``, a file for each range of doc_ids; returns (file, docs, ids).
 
     Texts are encoded where they lie and only compressed ids move: to the task of their file, sorted by doc_id, then
-    length and checksum. A file is written under a name of its task attempt and then renamed, so a task that runs again or
+    length and content. A file is written under a name of its task attempt and then renamed, so a task that runs again or
     twice leaves the same file. Documents of a null doc_id come first. Null texts hold the end id alone. Repeated rows are each written.
     """
     cuts = np.array(edges(docs, file_bytes), np.int64)
@@ -138,7 +139,7 @@ def write_files(docs: DataFrame, folder: str, path: str, file_bytes: int = FILE_
             data = [enc.encode(t) + end for t in batch.column("text").to_pylist()]
             file = np.searchsorted(cuts, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right")
             small = [x if (x := np.frombuffer(d, "<u4")).max() > 65535 else x.astype("<u2") for d in data]
-            yield pa.RecordBatch.from_arrays([pa.array(file, pa.int32()), ids, pa.array([len(d) // 4 for d in data], pa.int64()), pa.array([zlib.crc32(d) for d in data], pa.int64()), pa.array([z.compress(x.tobytes()) for x in small], pa.binary())], ["file", "doc_id", "n", "crc", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(file, pa.int32()), ids, pa.array([len(d) // 4 for d in data], pa.int64()), pa.array([z.compress(x) for x in small], pa.binary())], ["file", "doc_id", "n", "data"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -175,8 +176,8 @@ def write_files(docs: DataFrame, folder: str, path: str, file_bytes: int = FILE_
     spark = docs.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    encoded = docs.select("doc_id", "text").mapInArrow(encode, "file int, doc_id long, n long, crc long, data binary")
-    dealt = encoded.repartition(max(1, min(len(cuts) + 1, 4000)), "file").sortWithinPartitions("file", "doc_id", "n", "crc")
+    encoded = docs.select("doc_id", "text").mapInArrow(encode, "file int, doc_id long, n long, data binary")
+    dealt = encoded.repartition(max(1, min(len(cuts) + 1, 50_000)), "file").sortWithinPartitions("file", "doc_id", "n", "data")
     return common.written(dealt.mapInArrow(write, "file int, docs long, ids long"), "token-manifest")
 
 

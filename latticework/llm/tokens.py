@@ -8,7 +8,7 @@ from functools import cache
 
 #: Parts kept by a Python worker. A full cache takes no more parts, since those seen first are the common ones; after
 #: four times as many misses, say in other languages, it starts anew.
-MOST_PARTS = 500_000
+MOST_PARTS = 600_000
 
 
 class Encoder:
@@ -44,15 +44,20 @@ class Encoder:
         cut = text.replace("\n", " " if self.loose else " \n").split(" ")
         if not self.loose and "" in cut:
             return self.ids([text])[0]
-        first = cut[0]
-        cut[0] = "" if self.loose else " "
+        # no space stands before the first part, so it is another key, unless spaces do not matter
+        first = "" if self.loose else cut[0]
+        if not self.loose:
+            cut[0] = " " + first
         found = list(map(self.parts.get, cut))
-        found[0] = b""
+        if not self.loose:
+            found[0] = b""
         gaps = [i for i, x in enumerate(found) if x is None] if None in found else []
-        start, fresh = self.fill(first, {cut[i] for i in gaps})
-        found[0] = start
-        for i in gaps:
-            found[i] = fresh[cut[i]]
+        if gaps or first:
+            start, fresh = self.fill(first, {cut[i] for i in gaps})
+            if first:
+                found[0] = start
+            for i in gaps:
+                found[i] = fresh[cut[i]]
         if False in found:
             return self.ids([text])[0]
         return b"".join(found)
