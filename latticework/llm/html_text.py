@@ -348,6 +348,7 @@ def extract(pages: DataFrame, own: Field | None = None) -> DataFrame:
     Null and empty html give an empty text, as do pages without a block of text. Whole pages are read, and nothing found is dropped
     or cut. Repeated rows get equal results. Columns named text or n_chars are replaced.
     """
+    common.bounded_batches(pages.sparkSession)
     weights = own or field()
     base = pages.select(*[c for c in pages.columns if c.lower() not in ("text", "n_chars")])
     at = base.columns.index("html")

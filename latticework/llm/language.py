@@ -165,6 +165,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     Null texts and texts without a letter are ``und`` with score 0 and an empty mixture, as is everything if no language was learnt.
     Every whole text is read; only the text counts. Repeated rows get equal results. Columns of these names are replaced.
     """
+    common.bounded_batches(docs.sparkSession)
     base = docs.drop("lang_pred", "score", "mixture")
     at, names = base.columns.index("text"), base.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)

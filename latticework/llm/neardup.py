@@ -317,6 +317,7 @@ def written_pairs(pairs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, words: int, similarity: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, key, row) and, for each key, (key, text_id, class_id, n_links, class_row)."""
+    common.bounded_batches(docs.sparkSession)
     rows_in = common.written(sketched(docs, words, bands, rows).withColumn("row", F.monotonically_increasing_id()), "sketches")
     heads = common.written(
         rows_in.groupBy("key")

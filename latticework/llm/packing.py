@@ -79,6 +79,7 @@ def placement(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each row's ids with the end id, longer ones cut so that only the first piece is short."""
+    common.bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

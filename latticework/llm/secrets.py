@@ -350,6 +350,7 @@ def scan(docs: DataFrame) -> DataFrame:
             found = [[{"kind": k, "start": a, "end": e} for k, a, e in find(t)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "found"])
 
+    common.bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, found array<struct<kind:string,start:bigint,end:bigint>>")
 
@@ -372,6 +373,7 @@ def digests(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each secret's place in the text replaced by ``mark``; overlapping spans become one. Null texts stay null."""
+    common.bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def clean(text: str | None) -> str | None:
