@@ -51,16 +51,17 @@ class Encoder:
         found = list(map(self.parts.get, cut))
         if not self.loose:
             found[0] = b""
-        gaps = [i for i, x in enumerate(found) if x is None] if None in found else []
+        gaps = [i for i, x in enumerate(found) if x is None]
         if gaps or first:
             start, fresh = self.fill(first, {cut[i] for i in gaps})
             if first:
                 found[0] = start
             for i in gaps:
                 found[i] = fresh[cut[i]]
-        if False in found:
+        try:
+            return b"".join(found)
+        except TypeError:  # a part of white space alone
             return self.ids([text])[0]
-        return b"".join(found)
 
     def fill(self, first: str, new: set[str]) -> tuple[bytes, dict[str, bytes | bool]]:
         """ids of a text's first part, and of the parts that are not known, which are then kept while there is room.
