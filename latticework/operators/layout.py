@@ -121,6 +121,26 @@ def pages_per_query(pages: DataFrame, boxes: DataFrame, grid: Grid) -> DataFrame
     return boxes.select("qid").join(counted, "qid", "left").select("qid", F.coalesce("n_pages", F.lit(0)).alias("n_pages"))
 
 
+def shard_directory(indexed: DataFrame) -> DataFrame:
+    """(shard, segment, n, pages, low_m, high_m): one row a shard."""
+    return indexed.groupBy("shard", "segment").agg(F.count("*").alias("n"), F.countDistinct("page").alias("pages"), F.min("m").alias("low_m"), F.max("m").alias("high_m"))
+
+
+def shards_per_segment(directory: DataFrame) -> DataFrame:
+    return directory.groupBy("segment").agg(F.count("*").alias("shards"))
+
+
+def shards_for(intervals: DataFrame, directory: DataFrame, parts: int) -> DataFrame:
+    """(qid, shard): shards whose range of m meets an interval (qid, cell, low_m, high_m); both sides join on cells."""
+    spread = directory.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low_m") / parts), F.floor(F.col("high_m") / parts)))).select("shard", "cell", F.col("low_m").alias("from_m"), F.col("high_m").alias("to_m"))
+    return intervals.join(spread, "cell").filter((F.col("from_m") <= F.col("high_m")) & (F.col("to_m") >= F.col("low_m"))).select("qid", "shard").distinct()
+
+
+def in_layout_order(indexed: DataFrame, id_col: str) -> DataFrame:
+    """Points range-sorted by shard, page, m and id."""
+    return indexed.repartitionByRange("shard", "page", "m", id_col).sortWithinPartitions("shard", "page", "m", id_col)
+
+
 def index_stats(indexed: DataFrame, models: DataFrame, grid: Grid) -> DataFrame:
     """One row: points, pages, shards, segments, cells and numbers that the models and the grid hold."""
     held = indexed.agg(F.count("*").alias("points"), F.countDistinct("page").alias("pages"), F.countDistinct("shard").alias("shards"), F.countDistinct("segment").alias("segments"))

@@ -347,6 +347,96 @@ def key_value_map(spark, d):
     return files.map_of(n, "int", "str")
 
 
+def reverse_map(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("at"), F.concat_ws("\t", F.col("n_regionkey").cast("string"), "n_name").alias("value"))
+    return files.map_of(n, "str", "int", reverse=True)
+
+
+def convert_types(spark, d):
+    s = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "x").otherwise("")).alias("s"))
+    return s.select("o_orderkey", text.converted("s", "long").alias("l"), text.converted("s", "float").alias("f"), text.converted("s", "str").alias("s"))
+
+
+def parse_boxes(spark, d):
+    """Lows and highs of the given box file's lines."""
+    lines_4d = spark.createDataFrame([(line,) for line in BOXES_4D.split("\n")], "value string")
+    return files.boxes_of(lines_4d, 4).select(*[F.element_at(side, i + 1).alias(f"{side}{i}") for side in ("lo", "hi") for i in range(4)])
+
+
+def search_bounds(spark, d):
+    """Insertion points of quantities among literal bounds, on both sides."""
+    cuts = [1.0, 5.0, 5.0, 17.0, 33.0, 50.0]
+    q = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_quantity").cast("double").alias("q"))
+    placed = q.select("q", geometry.search_right(F.col("q"), cuts).cast("long").alias("r"), geometry.search_left(F.col("q"), cuts).cast("long").alias("l"))
+    return placed.groupBy("q", "l", "r").agg(F.count("*").alias("n"))
+
+
+def sphere_boxes(spark, d):
+    spec = IndexSpec(("x", "y"), (0.0, 0.0), (2592000.0, 2450000.0))
+    from .plans.spec import Grid
+
+    b = search.boxes_around(centres_2d(spark), Grid(spec, ()), F.lit(60000.0))
+    return b.select("qid", *[F.element_at(side, i + 1).alias(f"{side}{i}") for side in ("lo", "hi") for i in range(2)])
+
+
+def radius_ranked(spark, d):
+    """Points of each sphere by rising distance."""
+    from pyspark.sql import Window
+
+    p = events(spark, d)
+    got = search.radius_rows(p, centres_2d(spark), grid.build_grid(p, spec_2d(p)), F.lit(60000.0), ["id"])
+    return got.select("qid", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "id")).alias("place"), "id")
+
+
+def merged_intervals(spark, d):
+    """Neighbouring intervals of a customer's orders: price to price + 20000."""
+    iv = orders(spark, d).select(F.col("y").alias("qid"), F.col("x").alias("low_m"), (F.col("x") + 20000).alias("high_m"))
+    return grid.merged_intervals(iv, 1e-5)
+
+
+def inversions_strict(spark, d):
+    q = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.floor(F.col("o_totalprice") / 1000).alias("k"))
+    return checks.inversions(q, "o_orderkey", "k", strict=True)
+
+
+def rising_rows(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("a"))
+    return rows.select("vec_id", checks.rising("a").alias("rises"))
+
+
+def lattice_edges(spark, d):
+    return lattice.edges(spark, IndexSpec(("x", "y"), (0.0, 0.0), (1.0, 1.0), lattice_intervals=4))
+
+
+def regex_start(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", text.matches_at_start("p_name", "[a-m]+").alias("yes"))
+    return p
+
+
+def split_pages(spark, d):
+    """Halves of overfull pages of 200 points by id."""
+    p = orders(spark, d).select("id", F.col("x").alias("m"), F.floor(F.col("id") / 200).alias("page"))
+    return mutate.split_page(p, "id").groupBy("page", "half").agg(F.count("*").alias("n"), F.max("m").alias("last"))
+
+
+def product_rows(spark, d):
+    names = spark.read.parquet(f"{d}/region.parquet").select("r_name")
+    return generate.product([names, names.toDF("other")])
+
+
+def shards_per_query(spark, d):
+    indexed, _, g = _index(spark, d)
+    found = layout.shards_for(grid.cell_intervals(boxes_2d(spark), g), layout.shard_directory(indexed), g.spec.parts)
+    return found.groupBy("qid").agg(F.count("*").alias("shards"))
+
+
+def learned_order(spark, d):
+    """Whether the learned layout keeps the order of m: points whose shard is below an earlier one's."""
+    indexed, _, _ = _index(spark, d)
+    numbered = ranked(indexed.select("m", "id", "shard"), ["m", "id"], "pos").select("pos", "shard")
+    return checks.inversions(numbered, "pos", "shard")
+
+
 _BOUNDS = f"""b AS (
   SELECT part, coalesce((SELECT x FROM r WHERE rk = (CASE WHEN part < n % 16 THEN (part + 1) * (n // 16 + 1) ELSE (part + 1) * (n // 16) + n % 16 END)), mx) AS bound
   FROM range(16) t(part), (SELECT count(*) AS n, max(x) AS mx FROM p)),
@@ -417,8 +507,24 @@ SQL = {
     "file_names": "SELECT page_id, CASE WHEN contains(url, '/') THEN string_split(url, '/')[-1] END AS name, CASE WHEN contains(url, '/') THEN string_split(string_split(url, '/')[-1], '.')[1] END AS stem FROM pages",
     "key_value_map": "SELECT CAST(n_regionkey AS INTEGER) AS key, arg_max(n_name, n_nationkey) AS value FROM nation GROUP BY 1",
 }
+SQL |= {
+    "reverse_map": "SELECT n_name AS key, CAST(n_regionkey AS INTEGER) AS value FROM nation",
+    "convert_types": "WITH s AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE '' END AS s FROM orders) SELECT o_orderkey, TRY_CAST(s AS BIGINT) AS l, TRY_CAST(s AS DOUBLE) AS f, s FROM s",
+    "parse_boxes": "SELECT " + ", ".join(f"CAST({a}{i} AS DOUBLE) AS {n}{i}" for a, n in (("a", "lo"), ("b", "hi")) for i in range(4)) + f" FROM {_BOXES_4D}",
+    "search_bounds": "WITH c AS (SELECT unnest([1.0, 5.0, 5.0, 17.0, 33.0, 50.0]) AS c), q AS (SELECT CAST(l_quantity AS DOUBLE) AS q, count(*) AS n FROM lineitem GROUP BY 1) SELECT q, count(*) FILTER (WHERE c < q) AS l, count(*) FILTER (WHERE c <= q) AS r, max(n) AS n FROM q, c GROUP BY q",
+    "sphere_boxes": f"SELECT qid, greatest(c0 - 60000, 0) AS lo0, greatest(c1 - 60000, 0) AS lo1, least(c0 + 60000, 2592000) AS hi0, least(c1 + 60000, 2450000) AS hi1 FROM {CENTRES}",
+    "radius_ranked": f"SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY {DIST}, id) AS INTEGER) AS place, id FROM {CENTRES} c, {EVENTS} p WHERE {DIST} <= 60000",
+    "merged_intervals": f"WITH i AS (SELECT y AS qid, x AS low_m, x + 20000 AS high_m FROM {ORDERS}), r AS (SELECT *, max(high_m) OVER (PARTITION BY qid ORDER BY low_m, high_m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR low_m - reach >= 1e-5 THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY low_m, high_m) AS k FROM r) SELECT qid, min(low_m) AS low_m, max(high_m) AS high_m FROM g GROUP BY qid, k",
+    "inversions_strict": "SELECT CAST(count(*) FILTER (WHERE b >= k) AS BIGINT) AS n FROM (SELECT floor(o_totalprice / 1000) AS k, lag(floor(o_totalprice / 1000)) OVER (ORDER BY o_orderkey) AS b FROM orders)",
+    "rising_rows": "SELECT vec_id, embedding[1] < embedding[2] AND embedding[2] < embedding[3] AS rises FROM embeddings",
+    "lattice_edges": "WITH n AS (SELECT q AS id, q // 5 AS r, q % 5 AS c FROM range(25) t(q)) SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id < b.id AND abs(a.r - b.r) + abs(a.c - b.c) = 1",
+    "regex_start": "SELECT p_partkey, regexp_matches(p_name, '^(?:[a-m]+)') AS yes FROM part",
+    "split_pages": f"WITH p AS (SELECT id, x AS m, id // 200 AS page FROM {ORDERS}), o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY m, id) AS k, count(*) OVER (PARTITION BY page) AS c FROM p) SELECT page, CAST(CASE WHEN k <= (c + 1) // 2 THEN 0 ELSE 1 END AS INTEGER) AS half, count(*) AS n, max(m) AS last FROM o GROUP BY 1, 2",
+    "product_rows": "SELECT a.r_name, b.r_name AS other FROM region a, region b",
+    "learned_order": "SELECT CAST(0 AS BIGINT) AS n",
+}
 #: Not expressible in SQL: trained models and what depends on them.
-TRAINED = ("learned_pages", "learned_pages_per_query", "piecewise_model", "index_stats", "lattice_coeffs")
+TRAINED = ("learned_pages", "shards_per_query", "learned_pages_per_query", "piecewise_model", "index_stats", "lattice_coeffs")
 
 
 def queries() -> dict:

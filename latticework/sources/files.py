@@ -99,6 +99,17 @@ def remove_folder(spark: SparkSession, path: str, only_empty: bool = False) -> b
     return fs.delete(where, not only_empty)
 
 
+def save_lattice(model: DataFrame, path: str) -> None:
+    """(node_id, radii) of a trained lattice."""
+    model.write.mode("overwrite").parquet(path)
+
+
+def load_lattice(spark: SparkSession, path: str) -> DataFrame | None:
+    """The saved lattice, or None if it has to be trained first."""
+    fs, where = _folder(spark, f"{path}/_SUCCESS")
+    return spark.read.parquet(path) if fs.exists(where) else None
+
+
 TABLES = ("points", "models", "grid")
 
 
