@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Training documents a language, at most: those of least hash of doc_id. Languages beyond ``LANGUAGES`` by frequency have no model.
+#: Training documents a language, about: those of small hash of doc_id. Languages beyond ``LANGUAGES`` by frequency have no model.
 SAMPLE = 400
 LANGUAGES = 64
 #: Characters of a training document that are read, at most; predictions read whole texts.
-TRAIN_CHARS = 20_000
+TRAIN_CHARS = 8_000
 BUCKETS = 1 << 16
 ROUNDS = 12
 #: Added to every n-gram's count.
@@ -55,19 +55,16 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([mix(one), mix(two), mix(three)]), starts
 
 
-def training(docs: DataFrame, languages: list[str], sample: int) -> list[Row]:
-    """A bounded sample of labelled rows: ``sample`` documents a language, cut to TRAIN_CHARS characters.
+def training(docs: DataFrame, counts: dict[str, int], sample: int) -> list[Row]:
+    """A bounded sample of labelled rows in one scan: about ``sample`` documents a language, cut to TRAIN_CHARS characters.
 
-    The hashes alone are ranked first; then the texts of the least ones are fetched, so tasks send no text in vain.
+    A document is in the sample if the hash of its id, as a fraction, is below its language's share, so reruns agree. Ids that
+    repeat beyond measure can't break the bound: no more than twice the sample is fetched.
     """
-    hashed = docs.filter(F.col("text").isNotNull() & F.col("lang").isin(languages)).withColumn("h", F.xxhash64("doc_id"))
-    picked = []
-    for lang in languages:
-        mine = hashed.filter(F.col("lang") == lang)
-        least = [r["h"] for r in mine.select("h").orderBy("h").limit(sample).collect()]
-        if least:
-            picked += mine.filter(F.col("h") <= least[-1]).select("lang", "h", F.substring("text", 1, TRAIN_CHARS).alias("text")).orderBy("h", "text").limit(sample).collect()
-    return picked
+    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, sample / n))])
+    hashed = docs.filter(F.col("text").isNotNull() & F.col("lang").isin(list(counts))).withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53))
+    mine = hashed.filter(F.col("h") < share[F.col("lang")]).select("lang", "h", F.substring("text", 1, TRAIN_CHARS).alias("text"))
+    return mine.limit(2 * sample * len(counts)).collect()
 
 
 class Model:
@@ -155,8 +152,9 @@ def fold(column: str = "doc_id"):
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from documents (doc_id, text, lang) outside of fold 0 whose language is known."""
     known = docs.filter((fold() != 0) & F.col("lang").isNotNull())
-    languages = sorted(r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect())
-    return Model.fit(training(known, languages, sample), languages)
+    rows = known.filter(F.col("text").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
+    counts = {r["lang"]: r["n"] for r in sorted(rows)}
+    return Model.fit(training(known, counts, sample) if counts else [], list(counts))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
