@@ -8,7 +8,7 @@ from functools import cache
 
 #: Parts kept by a Python worker. A full cache takes no more parts, since those seen first are the common ones; after
 #: four times as many misses, say in other languages, it starts anew.
-MOST_PARTS = 600_000
+MOST_PARTS = 800_000
 
 
 class Encoder:
