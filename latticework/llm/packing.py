@@ -108,7 +108,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows: its ranks come from two-level running counts, never from one task.
     """
     spark = cut.sparkSession
-    bits = 9
+    bits = common.bucket_bits(cut.count())
     dealt = cut.withColumn("__h", F.xxhash64("doc_id", "piece", "start", "ids_crc32")).withColumn("__b", F.shiftright("__h", 64 - bits)).withColumn("__one", F.lit(1))
     totals = dealt.groupBy("length", "__b").agg(F.count("*").alias("total"))
     counts = {r["length"]: r["n"] for r in totals.groupBy("length").agg(F.sum("total").alias("n")).collect()}
