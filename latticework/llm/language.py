@@ -13,16 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Training documents a language, about: those of small hash of doc_id. Languages beyond ``LANGUAGES`` by frequency have no model.
+#: Training documents a language, about: those of small hash of doc_id, whole. Languages beyond ``LANGUAGES`` by frequency have no model.
 SAMPLE = 400
 LANGUAGES = 64
-#: Characters of a training document that are read, at most; predictions read whole texts.
-TRAIN_CHARS = 8_000
 BUCKETS = 1 << 16
 ROUNDS = 12
 #: Added to every n-gram's count.
@@ -55,16 +53,39 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([mix(one), mix(two), mix(three)]), starts
 
 
-def training(docs: DataFrame, counts: dict[str, int], sample: int) -> list[Row]:
-    """A bounded sample of labelled rows in one scan: about ``sample`` documents a language, cut to TRAIN_CHARS characters.
+def training(docs: DataFrame, counts: dict[str, int], sample: int) -> DataFrame:
+    """(lang, text) of a sample of labelled rows, about ``sample`` documents a language.
 
-    A document is in the sample if the hash of its id, as a fraction, is below its language's share, so reruns agree. Ids that
-    repeat beyond measure can't break the bound: no more than twice the sample is fetched.
+    A document is in the sample if the hash of its id, as a fraction, is below its language's share, so reruns agree.
     """
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, sample / n))])
-    hashed = docs.filter(F.col("text").isNotNull() & F.col("lang").isin(list(counts))).withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53))
-    mine = hashed.filter(F.col("h") < share[F.col("lang")]).select("lang", "h", F.substring("text", 1, TRAIN_CHARS).alias("text"))
-    return mine.limit(2 * sample * len(counts)).collect()
+    hashed = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    return docs.filter(F.col("text").isNotNull() & F.col("lang").isin(list(counts))).filter(hashed < share[F.col("lang")]).select("lang", "text")
+
+
+def gram_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
+    """Counts (3, buckets, languages) of the n-grams of whole texts, from (lang, text).
+
+    Executors count; what the driver gets is at most a row for each cell of the result, however long the texts are.
+    """
+    shape = (3, BUCKETS, len(languages))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(shape, np.int64)
+        for batch in common.text_batches(batches):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+                found, _ = grams(text.as_py())
+                for order in range(3):
+                    own[order, :, languages.index(lang)] += np.bincount(found[order], minlength=BUCKETS)
+        cells = np.flatnonzero(own)
+        for at in range(0, len(cells), 65_536):
+            part = cells[at : at + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(own.reshape(-1)[part])], ["cell", "n"])
+
+    summed = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).select(F.col("cell").cast("int").alias("cell"), "n").toArrow()
+    out = np.zeros(shape)
+    out.reshape(-1)[summed.column("cell").to_numpy()] = summed.column("n").to_numpy()
+    return out
 
 
 class Model:
@@ -74,12 +95,7 @@ class Model:
         self.languages, self.tables = languages, tables
 
     @classmethod
-    def fit(cls, rows: list, languages: list[str]) -> Model:
-        counts = np.full((3, BUCKETS, len(languages)), 0.0)
-        for r in rows:
-            found, _ = grams(r["text"])
-            for order in range(3):
-                counts[order, :, languages.index(r["lang"])] += np.bincount(found[order], minlength=BUCKETS)
+    def of_counts(cls, counts: np.ndarray, languages: list[str]) -> Model:
         used = np.maximum(1, (counts.sum(axis=2, keepdims=True) > 0).sum(axis=1, keepdims=True))
         logs = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTHING * used)
         return cls(languages, logs.astype(np.float32))
@@ -151,10 +167,12 @@ def fold(column: str = "doc_id"):
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from documents (doc_id, text, lang) outside of fold 0 whose language is known."""
+    common.bounded_batches(docs.sparkSession)
     known = docs.filter((fold() != 0) & F.col("lang").isNotNull())
     rows = known.filter(F.col("text").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
     counts = {r["lang"]: r["n"] for r in sorted(rows)}
-    return Model.fit(training(known, counts, sample) if counts else [], list(counts))
+    shape = (3, BUCKETS, len(counts))
+    return Model.of_counts(gram_counts(training(known, counts, sample), list(counts)) if counts else np.zeros(shape), list(counts))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
