@@ -264,7 +264,7 @@ def index_stats(spark, d):
 
 def insert_bag(spark, d):
     p = orders(spark, d).withColumn("x", F.floor(F.col("x") / 1000))
-    return mutate.insert_bag(p.filter("id % 2 = 0"), p.filter("id % 3 = 0")).groupBy("x").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    return mutate.insert_bag(p, p).groupBy("x").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 def delete_bag(spark, d):
@@ -320,7 +320,7 @@ def order_inversions(spark, d):
 
 
 def dominance_violations(spark, d):
-    return checks.dominance_violations(orders(spark, d).filter("id % 100 < 10"), "id", "x", "y")
+    return checks.dominance_violations(orders(spark, d), "id", "x", "y")
 
 
 def punct_tokens(spark, d):
@@ -489,7 +489,7 @@ SQL = {
         SELECT segment, n, CAST(coalesce(sum(n) OVER (ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "first" FROM h""",
     "page_occupancy": f"WITH {_CELLS}, {_PAGES} SELECT page, count(*) AS n FROM k GROUP BY page",
     "pages_per_query": f"WITH {_CELLS}, {_PAGES}, {_INTERVALS}, d AS (SELECT page, min(m) AS a, max(m) AS z FROM k GROUP BY page) SELECT b.qid, count(DISTINCT d.page) AS n_pages FROM {BOXES_2D} b LEFT JOIN i ON i.qid = b.qid LEFT JOIN d ON d.a <= i.high_m AND d.z >= i.low_m GROUP BY b.qid",
-    "insert_bag": f"SELECT CAST(floor(x / 1000) AS BIGINT) AS x, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT * FROM {ORDERS} WHERE id % 2 = 0 UNION ALL SELECT * FROM {ORDERS} WHERE id % 3 = 0) GROUP BY 1",
+    "insert_bag": f"SELECT CAST(floor(x / 1000) AS BIGINT) AS x, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT * FROM {ORDERS} UNION ALL SELECT * FROM {ORDERS}) GROUP BY 1",
     "delete_bag": f"WITH p AS (SELECT CAST(floor(x / 100) AS BIGINT) AS x, CAST(floor(z / 5000) AS BIGINT) AS z, y FROM {LINES}) SELECT x, z, count(*) AS n FROM (SELECT x, z FROM p EXCEPT ALL SELECT x, z FROM p WHERE y % 3 = 0) GROUP BY x, z",
     "delete_rows": f"WITH p AS (SELECT id, CAST(floor(x / 20000) AS BIGINT) AS x, CAST(floor(y / 100) AS BIGINT) AS y FROM {ORDERS}), g AS (SELECT x, y, count(*) AS n FROM p WHERE id % 5 = 0 GROUP BY x, y), o AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY id) AS k FROM p) SELECT id, o.x, o.y FROM o LEFT JOIN g USING (x, y) WHERE n IS NULL OR k > n",
     "delete_missing": f"SELECT x, y FROM {ORDERS}",
@@ -500,7 +500,7 @@ SQL = {
     "lattice_weights": "SELECT event_id AS id, 1.0::DOUBLE AS total, CAST(4 AS BIGINT) AS corners FROM events",
     "lattice_laplacian": "WITH n AS (SELECT q AS id, q // 5 AS r, q % 5 AS c FROM range(25) t(q)), e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON abs(a.r - b.r) + abs(a.c - b.c) = 1), t AS (SELECT count(*) AS k FROM e) SELECT a, b, round(-2.0::DOUBLE / k, 9) AS val FROM e, t UNION ALL SELECT a, a, round(count(*) * 2.0::DOUBLE / max(k), 9) FROM e, t GROUP BY a",
     "order_inversions": f"SELECT CAST(count(*) FILTER (WHERE b > x) AS BIGINT) AS n FROM (SELECT x, lag(x) OVER (ORDER BY id) AS b FROM {ORDERS})",
-    "dominance_violations": f"WITH p AS (SELECT * FROM {ORDERS} WHERE id % 100 < 10) SELECT count(*) AS n FROM p WHERE EXISTS (SELECT 1 FROM p o WHERE o.id < p.id AND o.x > p.x AND o.y > p.y)",
+    "dominance_violations": f"WITH p AS (SELECT * FROM {ORDERS}) SELECT count(*) AS n FROM p WHERE EXISTS (SELECT 1 FROM p o WHERE o.id < p.id AND o.x > p.x AND o.y > p.y)",
     "punct_tokens": r"WITH w AS (SELECT unnest(string_split(text, ' ')) AS w FROM documents) SELECT w, count(*) AS n FROM w WHERE regexp_full_match(w, '[!-/:-@\[-`{-~…]+') GROUP BY w",
     "strip_pound": "SELECT n_nationkey, n_name AS one, '#' || n_name AS two FROM nation",
     "join_list": "SELECT n_nationkey, n_name || '-' || CAST(n_regionkey AS VARCHAR) AS joined, CAST(NULL AS VARCHAR) AS none FROM nation",
