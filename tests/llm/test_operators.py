@@ -205,6 +205,21 @@ def test_language_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in told)
 
 
+def test_language_learns_from_whole_texts(spark):
+    rows = [("a", "uno dos " * 5000 + "tres"), ("b", "one two"), ("b", "three, 4 four")]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    got = language.gram_counts(docs, ["a", "b"])
+    want = np.zeros_like(got)
+    for lang, text in rows:
+        for order, found in enumerate(language.grams(text)[0]):
+            np.add.at(want[order, :, "ab".index(lang)], found, 1)
+    assert (got == want).all() and got.sum() > 3 * 30_000
+    # every labelled document is in a sample that is large enough
+    many = spark.range(50).selectExpr("id AS doc_id", "'x' AS lang", "concat('word', id) AS text")
+    assert language.training(many, {"x": 50}, 50).count() == 50
+    assert 0 < language.training(many, {"x": 50}, 10).count() < 30
+
+
 def test_language_mixture(spark):
     docs = table(spark, "documents").filter("n_chars > 400")
     model = language.fit(docs)
