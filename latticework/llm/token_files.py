@@ -171,7 +171,10 @@ def write_files(docs: DataFrame, folder: str, path: str, file_bytes: int = FILE_
             draft = f"{base}/_{now:08d}.{TaskContext.get().taskAttemptId()}"
             with store.open_output_stream(draft) as out:
                 out.write(data)
-            store.move(draft, name)
+            if store.get_file_info(name).type == fs.FileType.NotFound:
+                store.move(draft, name)
+            else:  # an earlier attempt's file, which is whole and the same; some stores don't move onto a file
+                store.delete_file(draft)
             return pa.RecordBatch.from_pydict({"file": pa.array([now], pa.int32()), "docs": pa.array([len(own)], pa.int64()), "ids": pa.array([int(lengths.sum())], pa.int64())})
 
         for batch in batches:
