@@ -87,6 +87,23 @@ def utf8_size(text: str | Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+#: What a Python worker keeps for its next tasks: at most one large object, by its key.
+_held: dict = {}
+
+
+def held(key, make):
+    """The object of this key, made by ``make`` unless it is the last one that this worker was asked for; others are let go."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Frees what an earlier stage's tasks have left in this worker: workers serve all stages, one after the other."""
+    _held.clear()
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lets Spark hand texts to Python in batches of at most ``rows``, unless the session's own setting is lower.
 

@@ -71,6 +71,7 @@ def gram_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
     shape = (3, BUCKETS, len(languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         own = np.zeros(shape, np.int64)
         for batch in common.text_batches(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
@@ -187,6 +188,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         own = shared.value
         for batch in common.text_batches(batches):
             found = [own.infer(t)[0] for t in batch.column(at).to_pylist()]

@@ -151,6 +151,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     """(a, b, similar) for pairs (a, b) of ids. Each side's text joins once; hot ids are split by AQE's skew join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in common.text_batches(batches, 128):
             near = overlap(batch.column("left"), batch.column("right"), words) >= similarity - 1e-12
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near)], ["a", "b", "similar"])
@@ -190,6 +191,7 @@ def sketched(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """doc_id, key, buckets (a hash for each band; null without words) of each row: one pass over the texts, which do not move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in common.text_batches(batches, 256):
             row, shingle, weight = shingles(batch.column("text"), words)
             sig = signatures(row, shingle, weight, batch.num_rows, bands * rows)
@@ -255,11 +257,12 @@ def spanning(ids: np.ndarray, roots: np.ndarray, texts: pa.Array, words: int, si
         return x
 
     out = []
-    for i, j in zip(*(v.tolist() for v in np.nonzero(near))):
-        a, b = top(int(at[i])), top(int(at[j]))
-        if a != b:
-            lead[max(a, b)] = min(a, b)
-            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    for i, row in enumerate(near):
+        for j in np.flatnonzero(row).tolist():
+            a, b = top(int(at[i])), top(int(at[j]))
+            if a != b:
+                lead[max(a, b)] = min(a, b)
+                out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
     return out
 
 

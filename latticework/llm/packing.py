@@ -19,6 +19,8 @@ from . import common, tokens
 
 CAPACITY = 1024
 END_ID = 2
+#: Parts of texts whose ids a Python worker keeps.
+KEPT_PARTS = 400_000
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -83,7 +85,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = tokens.encoder(path), END_ID.to_bytes(4, "little")
+        enc, end = tokens.encoder(path, KEPT_PARTS), END_ID.to_bytes(4, "little")
         for batch in common.text_batches(batches, 1024):
             ids, rows = batch.column("doc_id"), []
             for i, text in enumerate(batch.column("text").to_pylist()):

@@ -387,6 +387,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         return "".join(out) + text[behind:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in common.text_batches(batches):
             new = pa.array([clean(t) for t in batch.column(at).to_pylist()], batch.column(at).type)
             yield batch.set_column(at, batch.schema.names[at], new)

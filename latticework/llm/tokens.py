@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 from array import array
-from functools import cache
+
+from . import common
 
 #: Parts kept by a Python worker. A full cache takes no more parts, since those seen first are the common ones; after
 #: four times as many misses, say in other languages, it starts anew.
@@ -20,7 +21,7 @@ class Encoder:
     needs no such care.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -30,7 +31,7 @@ class Encoder:
         self.loose = joined == b"".join(apart)
         #: ids by part; False for a part of white space alone, which may belong to a longer run
         self.parts: dict[str, bytes | bool] = {"": b""} if self.loose else {}
-        self.missed = 0
+        self.missed, self.most = 0, most
         self.marks = dict(zip(".,", self.ids([".", ","])))
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -77,11 +78,11 @@ class Encoder:
         fresh: dict[str, bytes | bool] = {p: False if not self.loose and p.isspace() else x for p, x in zip(need, ids)}
         for p, word in cut.items():
             fresh[p] = (fresh[word] if word in fresh else known[word]) + self.marks[p[-1]]
-        if len(known) + len(fresh) <= MOST_PARTS:
+        if len(known) + len(fresh) <= self.most:
             known.update(fresh)
         else:
             self.missed += len(need)
-            if self.missed > 4 * MOST_PARTS:
+            if self.missed > 4 * self.most:
                 self.parts, self.missed = {"": b""} if self.loose else {}, 0
         return start, fresh
 
@@ -94,9 +95,9 @@ def is_latin(text: str) -> bool:
     return True
 
 
-@cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, most: int = MOST_PARTS) -> Encoder:
+    """This worker's encoder, kept until a stage of another kind runs in it."""
+    return common.held((path, most), lambda: Encoder(path, most))
 
 
 def path_of(name: str) -> str:
