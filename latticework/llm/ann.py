@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing, for the largest inner product.
 
-A vector x becomes (x, sqrt(M^2 - |x|^2)) with M the largest norm, and a query (q * M / |q|, 0), so that the nearest one has the
-largest inner product. A table's hash is a row of functions floor((a . x + b) / w) with a drawn from the normal
-distribution, which is 2-stable: a neighbour at distance R lies R * N(0, 1) away along each a. So the probability that
-a neighbour is in a cell is known for each function; buckets are visited in descending order of the cells' product until the
-probabilities visited sum to ``success``. The tables' candidates are scored exactly, merged and ranked.
+Rows are dealt into bands by norm, each within a factor of two, so that a few long vectors do not set the scale of the others.
+With M the largest norm of a band, its row x becomes (x, sqrt(M^2 - |x|^2)) and a query (q * M / |q|, 0), so that the nearest
+one has the largest inner product. A table's hash is a row of functions floor((a . x + b) / w) with a drawn from the normal
+distribution, which is 2-stable: where a . q = u, a row at the angle t from q has a . x = u cos(t) + M sin(t) N(0, 1). So the
+probability that a neighbour is in a cell is known for each function. Of the buckets that hold rows, the likeliest are visited
+until they have the part ``success`` of the probability of all, however far from the query they lie. Bands whose norms are too
+small for any of the k largest products are left out. The tables' candidates are scored exactly, merged and ranked.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tables, width of a cell in deviations of the projections, and the probability that one table's probes aim at.
+#: Tables, width of a cell in deviations of the projections, and the part of the probability that one table's probes aim at.
 TABLES = 2
 WIDTH = 3.0
 SUCCESS = 0.72
@@ -26,26 +27,97 @@ SUCCESS = 0.72
 SAMPLE = 2048
 #: Rows of a bucket that one task scores; larger buckets are split, and their queries go to each part.
 PART = 8192
-REACH = 3
+#: Bands of fewer rows are one bucket.
+WHOLE = 1600
+#: The cosine of the angle to a neighbour counts as this at most.
+NEAREST = 0.9
 SEED = 11
 
 
-class Index:
-    """Hash functions, fitted to a sample: ``a`` (tables, functions, dim + 1), ``b``, ``w``, and the neighbour distance ``r``."""
+class Band:
+    """Hash functions of the rows of a band: ``a`` (tables, functions, dim + 1), ``b`` and ``w``; none if the band is one bucket.
+
+    ``cells`` lists each table's buckets that hold rows, by ``keys``, their hashes in ascending order; ``parts`` what each is cut into.
+    """
 
-    def __init__(self, n: int, dim: int, norm: float, sample: list, k: int, tables: int, width: float, success: float, seed: int):
-        self.dim, self.norm, self.success = dim, norm, success
-        functions = min(24, max(4, round(math.log2(max(n, 2) / 1600))))
+    def __init__(self, n: int, norm: float, sample: np.ndarray, tables: int, width: float, seed: list[int]):
+        self.norm, dim = norm, sample.shape[1]
+        hashed = n >= WHOLE and 1e-150 < norm < 1e150
+        functions = min(12, max(4, round(math.log2(n / 1600)))) if hashed else 0
         rng = np.random.default_rng(seed)
-        self.a = rng.normal(size=(tables, functions, dim + 1))
-        x = self.padded(sample)
-        rows, queries = self.lifted(x), self.as_queries(x)
-        self.w = width * max(1e-12, float((rows @ self.a.reshape(-1, dim + 1).T).std(axis=0).mean()) if len(x) else 1.0)
-        self.b = rng.uniform(0, self.w, size=(tables, functions))
-        pairs = np.sqrt(np.maximum(0.0, (queries**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2 * queries @ rows.T))
-        pairs = pairs[~np.eye(len(x), dtype=bool)]
-        share = min(1.0, max(k / max(n, 1), 50 / max(len(pairs), 1)))
-        self.r = max(1e-9, float(np.quantile(pairs, share)) if len(pairs) else 1.0)
+        self.a = rng.normal(size=(tables if hashed else 1, functions, dim + 1))
+        wide = float((self.lifted(sample) @ self.a.reshape(-1, dim + 1).T).std(axis=0).mean()) if hashed and len(sample) > 30 else norm
+        self.w = width * max(1e-12 * norm, wide)
+        self.b = rng.uniform(0, self.w, size=self.a.shape[:2]) if hashed else np.zeros((1, 0))
+        self.keys, self.cells, self.parts = [], [], []
+
+    def lifted(self, x: np.ndarray) -> np.ndarray:
+        return np.hstack([x, np.sqrt(np.maximum(0.0, self.norm**2 - (x**2).sum(axis=1)))[:, None]])
+
+    def cells_of(self, x: np.ndarray, table: int) -> np.ndarray:
+        if not self.a.shape[1]:
+            return np.zeros((len(x), 0), np.int64)
+        return np.floor((self.lifted(x) @ self.a[table].T + self.b[table]) / self.w).astype(np.int64)
+
+    def fill(self, found: list) -> None:
+        """Takes the buckets that hold rows, (table, cells, parts)."""
+        for t in range(len(self.a)):
+            own = sorted((tuple(c), p) for table, c, p in found if table == t)
+            cells = np.array([c for c, _ in own], np.int64).reshape(len(own), self.a.shape[1])
+            keys = bucket_of(cells)
+            order = np.argsort(keys, kind="stable")
+            self.keys.append(keys[order])
+            self.cells.append(cells[order])
+            self.parts.append(np.array([p for _, p in own], np.int64)[order])
+
+    def buckets(self, x: np.ndarray, table: int) -> np.ndarray:
+        """Each row's place in ``cells``; a row whose cells round differently from when they were listed goes to the nearest."""
+        own, keys = self.cells_of(x, table), self.keys[table]
+        wanted = bucket_of(own)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        for i in np.flatnonzero(keys[at] != wanted):
+            at[i] = np.abs(self.cells[table] - own[i]).sum(axis=1).argmin()
+        return at
+
+    def probes(self, units: np.ndarray, cosines: np.ndarray, table: int, success: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, bucket) of the probes of queries of norm 1 whose neighbours lie at angles of these cosines."""
+        cells = self.cells[table]
+        if not cells.shape[1]:
+            return np.arange(len(units)), np.zeros(len(units), np.int64)
+        middle = (self.norm * (units @ self.a[table, :, :-1].T) * cosines[:, None] + self.b[table]) / self.w
+        spread = self.norm * np.sqrt(1 - cosines**2) / self.w
+        queries, buckets = [], []
+        step = max(1, 2_000_000 // len(cells))
+        for at in range(0, len(units), step):
+            p = np.ones((len(units[at : at + step]), len(cells)))
+            for j, column in enumerate(cells.T):
+                places, which = np.unique(column, return_inverse=True)
+                low = (places - middle[at : at + step, j, None]) / spread[at : at + step, None]
+                high = (places + 1 - middle[at : at + step, j, None]) / spread[at : at + step, None]
+                p *= np.maximum(erf(high) - erf(low), 1e-12)[:, which]
+            order = np.argsort(-p, axis=1, kind="stable")
+            mass = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
+            q, rank = np.nonzero(np.hstack([np.zeros((len(p), 1)), mass[:, :-1]]) < success * mass[:, -1:])
+            queries.append(q + at)
+            buckets.append(order[q, rank])
+        return np.concatenate(queries), np.concatenate(buckets)
+
+
+def erf(x: np.ndarray) -> np.ndarray:
+    return np.frompyfunc(math.erf, 1, 1)(x / math.sqrt(2)).astype(float)
+
+
+class Index:
+    """The bands, and a sample of the table (``ids``, ``x``) that tells how near a query's neighbours are."""
+
+    def __init__(self, dim: int, sample: list, k: int, bands: list, tables: int, width: float, success: float, seed: int):
+        self.dim, self.k, self.success = dim, k, success
+        own = {i: (v, band) for i, v, band in reversed(sample)}
+        self.ids, self.x = np.array(list(own), np.int64), self.padded([v for v, _ in own.values()])
+        at = np.array([band for _, band in own.values()], np.int64)
+        self.bands = {band: Band(n, norm, self.x[at == band], tables, width, [seed, band & 0xFFFF]) for band, n, norm in bands}
+        self.n = sum(n for _, n, _ in bands)
+        self.common = self.pooled()
 
     def padded(self, vectors: list) -> np.ndarray:
         out = np.zeros((len(vectors), self.dim))
@@ -53,71 +125,89 @@ class Index:
             row[: len(x)] = x
         return out
 
-    def lifted(self, x: np.ndarray) -> np.ndarray:
-        return np.hstack([x, np.sqrt(np.maximum(0.0, self.norm**2 - (x**2).sum(axis=1)))[:, None]])
+    def pooled(self) -> float:
+        """A neighbour's component along a query, over all pairs of the sample."""
+        pairs = (units(self.x) @ self.x.T)[~np.eye(len(self.x), dtype=bool)]
+        share = min(1.0, max(self.k / max(self.n, 1), 50 / max(len(pairs), 1)))
+        return float(np.quantile(pairs, 1 - share)) if len(pairs) else 0.0
+
+    def reach(self, u: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For queries of norm 1: the component along them of a neighbour, and one that k other ids surely have."""
+        own = u @ self.x.T
+        own[ids[:, None] == self.ids[None, :]] = -np.inf
+        sure = np.partition(own, own.shape[1] - self.k, axis=1)[:, own.shape[1] - self.k] if self.k <= own.shape[1] else np.full(len(u), -np.inf)
+        return np.full(len(u), self.common), sure
 
-    def as_queries(self, x: np.ndarray) -> np.ndarray:
-        scale = self.norm / np.maximum(np.sqrt((x**2).sum(axis=1)), 1e-300)
-        return np.hstack([x * scale[:, None], np.zeros((len(x), 1))])
-
-    def places(self, x: np.ndarray, table: int) -> np.ndarray:
-        return (x @ self.a[table].T + self.b[table]) / self.w
-
-    def probes(self, place: np.ndarray) -> np.ndarray:
-        """Cells (probes, functions) in descending order of success probability, by best-first search over the functions' cells."""
-        near, chance = [], []
-        for z in place.tolist():
-            cells = np.arange(math.floor(z) - REACH, math.floor(z) + REACH + 2)
-            edges = np.array([math.erf((c - z) * self.w / self.r / math.sqrt(2)) for c in cells]) / 2
-            p = np.maximum(np.diff(edges), 1e-12)
-            order = np.argsort(-p, kind="stable")
-            near.append(cells[:-1][order])
-            chance.append(p[order])
-        k, first = len(near), (0,) * len(near)
-        heap, mass, out = [(-float(np.prod([p[0] for p in chance])), first, 0)], 0.0, []
-        while heap and mass < self.success:
-            minus, at, last = heapq.heappop(heap)
-            mass -= minus
-            out.append([near[j][i] for j, i in enumerate(at)])
-            for j in range(last, k):  # a function before ``last`` does not move again, so each set comes once
-                if at[j] + 1 < len(chance[j]):
-                    heapq.heappush(heap, (minus * chance[j][at[j] + 1] / chance[j][at[j]], (*at[:j], at[j] + 1, *at[j + 1 :]), j))
-        return np.array(out, dtype=np.int64)
+
+def units(x: np.ndarray) -> np.ndarray:
+    top = np.maximum(np.abs(x).max(axis=1, keepdims=True, initial=0.0), 1e-300)
+    return x / top / np.sqrt(((x / top) ** 2).sum(axis=1, keepdims=True))
 
 
 def bucket_of(cells: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each row of cells."""
     out = np.zeros(len(cells), np.uint64)
     for c in cells.astype(np.int64).T:
-        out = (out ^ c.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ np.ascontiguousarray(c).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         out = out ^ (out >> np.uint64(29))
     return out.view(np.int64)
 
 
-KEYED = "table int, bucket long, vec_id long, vector binary"
+KEYED = "band int, table int, bucket int, part int, vec_id long, vector binary"
+
+
+def banded(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(band, ids, vectors) of at most 1024 rows."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
+            x, ids, bands = index.padded(batch.column("embedding").to_pylist()), batch.column("vec_id").to_numpy(), batch.column("band").to_numpy()
+            for band in np.unique(bands):
+                yield int(band), ids[bands == band], x[bands == band]
+
+
+def held(index: Index):
+    """Rows to (band, table, cells, n): the buckets that hold rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for band, _, x in banded(index, batches):
+            for t in range(len(index.bands[band].a)):
+                cells = index.bands[band].cells_of(x, t)
+                found, n = np.unique(cells, axis=0, return_counts=True) if cells.shape[1] else (cells[:1], np.array([len(x)]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), band, np.int32)), pa.array(np.full(len(n), t, np.int32)), pa.array(found.tolist(), pa.list_(pa.int64())), pa.array(n, pa.int64())], ["band", "table", "cells", "n"])
+
+    return run
 
 
 def keyed(index: Index, queries: bool):
-    """Rows to (table, bucket, vec_id, vector): a row of the index's tables, or a row for each probe of a query."""
-    schema = ["table", "bucket", "vec_id", "vector"]
+    """Rows to KEYED: a row of the index's tables, or a row for each part of each probe of a query."""
+    names = ["band", "table", "bucket", "part", "vec_id", "vector"]
+
+    def record(band, t, bucket, part, ids, raw, rows):
+        at = pa.array(rows)
+        for a in range(0, len(rows), 65_536):
+            cut = slice(a, a + 65_536)
+            same = [pa.array(np.full(len(rows[cut]), v, np.int32)) for v in (band, t)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(bucket[cut].astype(np.int32)), pa.array(part[cut].astype(np.int32)), pa.array(ids[rows[cut]]), raw.take(at[cut])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                x = index.padded(batch.column("embedding").to_pylist())
-                ids = batch.column("vec_id").to_numpy()
-                raw = pa.array([v.tobytes() for v in x], pa.binary())
-                spaced = index.as_queries(x) if queries else index.lifted(x)
-                for t in range(len(index.a)):
-                    places = index.places(spaced, t)
-                    if queries:
-                        found = [index.probes(p) for p in places]
-                        rows = np.repeat(np.arange(len(x)), [len(f) for f in found])
-                        cells = np.concatenate(found)
-                    else:
-                        rows, cells = np.arange(len(x)), np.floor(places).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(bucket_of(cells)), pa.array(ids[rows]), raw.take(pa.array(rows))], schema)
+        for own, ids, x in banded(index, batches):
+            raw = pa.array([v.tobytes() for v in x], pa.binary())
+            if not queries:
+                for t in range(len(index.bands[own].a)):
+                    bucket = index.bands[own].buckets(x, t)
+                    part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % index.bands[own].parts[t][bucket]
+                    yield from record(own, t, bucket, part, ids, raw, np.arange(len(x)))
+                continue
+            u = units(x)
+            near, sure = index.reach(u, ids)
+            for number, band in index.bands.items():
+                some = np.flatnonzero(band.norm * (1 + 1e-9) >= sure)
+                for t in range(len(band.a)) if len(some) else ():
+                    q, bucket = band.probes(u[some], np.clip(near[some] / max(band.norm, 1e-300), -NEAREST, NEAREST), t, index.success)
+                    parts = band.parts[t][bucket]
+                    part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                    yield from record(number, t, np.repeat(bucket, parts), part, ids, raw, np.repeat(some[q], parts))
 
     return run
 
@@ -158,15 +248,16 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = T
         .filter(~bad & F.exists(x, lambda v: v != 0))
     )
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
-    seen = good.agg(F.count("*").alias("n"), F.max(F.size(x)).alias("dim"), F.max(norm).alias("norm")).first()
-    picked = [r["embedding"] for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]
-    index = Index(seen["n"], seen["dim"] or 1, seen["norm"] or 1.0, picked, k, tables, width, success, seed)
+    good = good.withColumn("band", F.coalesce(F.floor(F.log2(norm)), F.lit(-1100)).cast("int"))
+    seen = good.groupBy("band").agg(F.count("*").alias("n"), F.max(F.size(x)).alias("dim"), F.max(norm).alias("norm")).orderBy("band").collect()
+    picked = [(r["vec_id"], r["embedding"], r["band"]) for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]
+    index = Index(max((r["dim"] for r in seen), default=1), picked, k, [(r["band"], r["n"], r["norm"]) for r in seen], tables, width, success, seed)
+    # buckets that hold rows, with the parts they are cut into
+    found = good.mapInArrow(held(index), "band int, table int, cells array<long>, n long").groupBy("band", "table", "cells").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts")).collect()
+    for number, band in index.bands.items():
+        band.fill([(r["table"], r["cells"], r["parts"]) for r in found if r["band"] == number])
     rows = good.mapInArrow(keyed(index, False), KEYED)
     probes = good.filter(F.col("vec_id") % every == 0).mapInArrow(keyed(index, True), KEYED)
-    # buckets that exist, with the parts they are cut into
-    sizes = rows.groupBy("table", "bucket").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    rows = rows.join(sizes, ["table", "bucket"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
-    probes = probes.join(sizes, ["table", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def score(queries: pa.Table, members: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -176,7 +267,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = T
         found = best(matrix(queries), queries.column("vec_id").to_numpy(), matrix(members), members.column("vec_id").to_numpy(), k)
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=names)
 
-    keys = ["table", "bucket", "part"]
+    keys = ["band", "table", "bucket", "part"]
     scored = probes.groupBy(keys).cogroup(rows.groupBy(keys)).applyInArrow(score, "query_id long, vec_id long, score double")
     merged = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -195,6 +195,38 @@ def test_neighbours_small_tables(spark):
     assert [(r["vec_id"], r["score"]) for r in ann.neighbours(few).collect()] in ([(1, 1.0)], [])
 
 
+def recall(spark, x, queries, **options):
+    """Part of the 20 best inner products of these rows that the search finds."""
+    got = ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS).repartition(3), every=1 + len(x) // 100, **options)
+    found = defaultdict(set)
+    for r in got.collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = []
+    for q in queries(range(0, len(x), 1 + len(x) // 100)):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits.append(len(found[q] & set(np.lexsort((np.arange(len(x)), -scores))[:20].tolist())) / 20)
+    return float(np.mean(hits))
+
+
+def unit_rows(n, dim=64, seed=3):
+    x = np.random.default_rng(seed).normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("longest", [1, 5, 20, 1e6])
+def test_neighbours_of_unequal_norms(spark, longest):
+    x = unit_rows(8000)
+    x[17] *= longest
+    assert recall(spark, x, list) >= 0.88
+
+
+def test_neighbours_of_norms_over_many_scales(spark):
+    x = unit_rows(8000)
+    x *= 10 ** np.random.default_rng(4).uniform(-3, 3, size=(len(x), 1))
+    assert recall(spark, x, list) >= 0.88
+
+
 # language
 
 
