@@ -117,7 +117,6 @@ class Index:
         at = np.array([band for _, band in own.values()], np.int64)
         self.bands = {band: Band(n, norm, self.x[at == band], tables, width, [seed, band & 0xFFFF]) for band, n, norm in bands}
         self.n = sum(n for _, n, _ in bands)
-        self.common = self.pooled()
 
     def padded(self, vectors: list) -> np.ndarray:
         out = np.zeros((len(vectors), self.dim))
@@ -125,18 +124,20 @@ class Index:
             row[: len(x)] = x
         return out
 
-    def pooled(self) -> float:
-        """A neighbour's component along a query, over all pairs of the sample."""
-        pairs = (units(self.x) @ self.x.T)[~np.eye(len(self.x), dtype=bool)]
-        share = min(1.0, max(self.k / max(self.n, 1), 50 / max(len(pairs), 1)))
-        return float(np.quantile(pairs, 1 - share)) if len(pairs) else 0.0
-
     def reach(self, u: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For queries of norm 1: the component along them of a neighbour, and one that k other ids surely have."""
+        """For queries of norm 1: the component along them of a neighbour, and one that k other ids surely have.
+
+        The first is read off each query's own products with the sample, so that no other rows decide how near its neighbours
+        lie. Its rank is above the expected one of the k-th neighbour, by two deviations: the search rather goes too far.
+        """
         own = u @ self.x.T
         own[ids[:, None] == self.ids[None, :]] = -np.inf
-        sure = np.partition(own, own.shape[1] - self.k, axis=1)[:, own.shape[1] - self.k] if self.k <= own.shape[1] else np.full(len(u), -np.inf)
-        return np.full(len(u), self.common), sure
+        order = -np.sort(-own, axis=1)
+        expected = self.k * len(self.ids) / max(self.n, 1)
+        rank = math.ceil(expected + 2 * math.sqrt(expected))
+        pick = lambda r: order[:, r] if r < order.shape[1] else np.full(len(u), -np.inf)
+        near = pick(rank)
+        return np.where(np.isfinite(near), near, 0.0), pick(self.k - 1)
 
 
 def units(x: np.ndarray) -> np.ndarray:

@@ -227,6 +227,16 @@ def test_neighbours_of_norms_over_many_scales(spark):
     assert recall(spark, x, list) >= 0.88
 
 
+@pytest.mark.parametrize("share", [0.06, 0.33])
+def test_neighbours_beside_near_copies(spark, share):
+    x = unit_rows(8000)
+    group = range(4000, 4000 + int(share * len(x)))
+    x[group] = x[1] + 0.003 * np.random.default_rng(5).normal(size=(len(group), 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert recall(spark, x, lambda qs: [q for q in qs if q not in group]) >= 0.88
+    assert recall(spark, x, lambda qs: [q for q in qs if q in group]) >= 0.88
+
+
 # language
 
 
