@@ -214,16 +214,28 @@ def keyed(index: Index, queries: bool):
 
 
 def best(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's k largest inner products with ``rows``, ties to smaller ids, its own id left out."""
+    """(query_id, vec_id, score) of each query's k ids of largest inner product with ``rows``, ties to smaller ids, its own id left out.
+
+    An id's rows count once, with the largest product.
+    """
     out = ([], [], [])
+    order = np.argsort(ids, kind="stable")
+    rows, ids = rows[order], ids[order]
+    starts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
     for a in range(0, len(queries), 256):
         rough = queries[a : a + 256] @ rows.T
         rough[q_ids[a : a + 256, None] == ids[None, :]] = -np.inf
-        take = min(k, len(ids))
-        floor = np.partition(rough, len(ids) - take, axis=1)[:, len(ids) - take]
+        tops = np.maximum.reduceat(rough, starts, axis=1) if len(starts) < len(ids) else rough
+        take = min(k, len(starts))
+        floor = np.partition(tops, len(starts) - take, axis=1)[:, len(starts) - take]
         slack = 1e-9 * (1 + np.abs(rough[np.isfinite(rough)]).max(initial=0))
         q, x = np.nonzero((rough >= floor[:, None] - slack) & np.isfinite(rough))
         score = np.einsum("ij,ij->i", queries[a + q], rows[x])
+        if len(starts) < len(ids):
+            order = np.lexsort((-score, ids[x], q))
+            q, x, score = q[order], x[order], score[order]
+            once = (np.diff(q, prepend=-1) != 0) | (np.diff(ids[x], prepend=0) != 0)
+            q, x, score = q[once], x[once], score[once]
         order = np.lexsort((ids[x], -score, q))
         q, x, score = q[order], x[order], score[order]
         first = np.searchsorted(q, np.arange(len(rough)))
@@ -236,8 +248,8 @@ def best(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarr
 def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES, width: float = WIDTH, success: float = SUCCESS, sample: int = SAMPLE, part: int = PART, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score: up to k neighbours of largest inner product for each row whose vec_id divides by ``every``.
 
-    All rows are indexed and are candidates, but for rows of the query's own id. The functions are fitted to the ``sample`` rows of
-    least hash of vec_id. Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids.
+    All rows are indexed and are candidates, but for rows of the query's own id. The functions are fitted to the ``sample`` distinct
+    rows of least hash. Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids.
     Shorter vectors count as padded with zeros. Ties go to the smaller vec_id; repeated rows of an id count once. An empty
     table gives an empty result, and a query with fewer candidates found gets fewer rows.
     """
@@ -247,11 +259,12 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = T
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding"))
         .filter(F.col("vec_id").isNotNull() & x.isNotNull())
         .filter(~bad & F.exists(x, lambda v: v != 0))
+        .distinct()
     )
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
     good = good.withColumn("band", F.coalesce(F.floor(F.log2(norm)), F.lit(-1100)).cast("int"))
     seen = good.groupBy("band").agg(F.count("*").alias("n"), F.max(F.size(x)).alias("dim"), F.max(norm).alias("norm")).orderBy("band").collect()
-    picked = [(r["vec_id"], r["embedding"], r["band"]) for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]
+    picked = [(r["vec_id"], r["embedding"], r["band"]) for r in good.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(sample).collect()]
     index = Index(max((r["dim"] for r in seen), default=1), picked, k, [(r["band"], r["n"], r["norm"]) for r in seen], tables, width, success, seed)
     # buckets that hold rows, with the parts they are cut into
     found = good.mapInArrow(held(index), "band int, table int, cells array<long>, n long").groupBy("band", "table", "cells").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts")).collect()

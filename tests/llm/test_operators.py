@@ -237,6 +237,18 @@ def test_neighbours_beside_near_copies(spark, share):
     assert recall(spark, x, lambda qs: [q for q in qs if q in group]) >= 0.88
 
 
+def test_neighbours_count_an_id_once(spark):
+    x = np.random.default_rng(6).normal(size=(1000, 8))
+    first = [float(v) for v in x[0]]
+    # ids 5 and 7 have 60 rows near the first query, equal ones and all different ones
+    rows = [(i, [float(v) for v in a]) for i, a in enumerate(x)] + [(5, [9 * v for v in first])] * 60 + [(7, [(8 + j / 100) * v for v in first]) for j in range(60)]
+    got = {r["rank"]: r["vec_id"] for r in ann.neighbours(spark.createDataFrame(rows, VECTORS), every=1000).collect()}
+    scores = x @ x[0]
+    scores[[5, 7]] = scores.max() * 20, scores.max() * 19
+    scores[0] = -np.inf
+    assert [got.get(r) for r in range(1, 21)] == np.lexsort((np.arange(1000), -scores))[:20].tolist()
+
+
 # language
 
 
