@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Training documents a language, about: those of small hash of doc_id, whole. Languages beyond ``LANGUAGES`` by frequency have no model.
+#: Training documents a language, about: those of small hash of doc_id, whole. Every language has a model.
 SAMPLE = 400
-LANGUAGES = 64
+#: The tables of more languages than this hold only the n-grams that a language has.
+DENSE = 64
 BUCKETS = 1 << 16
 ROUNDS = 12
 #: Added to every n-gram's count.
@@ -58,43 +59,64 @@ def training(docs: DataFrame, counts: dict[str, int], sample: int) -> DataFrame:
 
     A document is in the sample if the hash of its id, as a fraction, is below its language's share, so reruns agree.
     """
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, sample / n))])
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, sample / n)) for lang, n in counts.items()], "lang string, __share double")
     hashed = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
-    return docs.filter(F.col("text").isNotNull() & F.col("lang").isin(list(counts))).filter(hashed < share[F.col("lang")]).select("lang", "text")
+    kept = docs.filter(F.col("text").isNotNull()).select("lang", "text", hashed.alias("__hashed")).join(F.broadcast(shares), "lang")
+    return kept.filter(F.col("__hashed") < F.col("__share")).select("lang", "text")
 
 
-def gram_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
-    """Counts (3, buckets, languages) of the n-grams of whole texts, from (lang, text).
+def gram_cells(rows: DataFrame, languages: list[str]) -> pa.Table:
+    """(cell, lang, n): how often each language has each n-gram in whole texts, from (lang, text); cell is order * BUCKETS + bucket.
 
-    Executors count; what the driver gets is at most a row for each cell of the result, however long the texts are.
+    Executors count and keep no table of all languages; what the driver gets is at most a row for each pair of n-gram and language.
     """
-    shape = (3, BUCKETS, len(languages))
+    number = {lang: i for i, lang in enumerate(languages)}
+
+    def counted(keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found, n = np.unique(np.concatenate(keys), return_counts=True)
+        for at in range(0, len(found), 65_536):
+            part = found[at : at + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array((part % (3 * BUCKETS)).astype(np.int32)), pa.array((part // (3 * BUCKETS)).astype(np.int32)), pa.array(n[at : at + 65_536], pa.int64())], ["cell", "lang", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.release()
-        own = np.zeros(shape, np.int64)
+        keys, size = [], 0
         for batch in common.text_batches(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                 found, _ = grams(text.as_py())
-                for order in range(3):
-                    own[order, :, languages.index(lang)] += np.bincount(found[order], minlength=BUCKETS)
-        cells = np.flatnonzero(own)
-        for at in range(0, len(cells), 65_536):
-            part = cells[at : at + 65_536]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(own.reshape(-1)[part])], ["cell", "n"])
-
-    summed = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).select(F.col("cell").cast("int").alias("cell"), "n").toArrow()
-    out = np.zeros(shape)
-    out.reshape(-1)[summed.column("cell").to_numpy()] = summed.column("n").to_numpy()
+                keys.append((found + np.arange(3)[:, None] * BUCKETS + number[lang] * 3 * BUCKETS).ravel())
+                size += found.size
+                if size > 4_000_000:
+                    yield from counted(keys)
+                    keys, size = [], 0
+        if keys:
+            yield from counted(keys)
+
+    return rows.mapInArrow(run, "cell int, lang int, n long").groupBy("cell", "lang").agg(F.sum("n").alias("n")).toArrow()
+
+
+def dense(cells: pa.Table, languages: list[str]) -> np.ndarray:
+    """Counts (3, buckets, languages)."""
+    out = np.zeros((3, BUCKETS, len(languages)))
+    out.reshape(-1)[cells.column("cell").to_numpy().astype(np.int64) * len(languages) + cells.column("lang").to_numpy()] = cells.column("n").to_numpy()
     return out
 
 
+def gram_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
+    """Counts (3, buckets, languages) of the n-grams of whole texts, from (lang, text)."""
+    return dense(gram_cells(rows, languages), languages)
+
+
 class Model:
     """Log probabilities (buckets, languages) of each order's n-grams, summed over orders when words are scored."""
 
     def __init__(self, languages: list[str], tables: np.ndarray):
         self.languages, self.tables = languages, tables
 
+    @classmethod
+    def of_cells(cls, cells: pa.Table, languages: list[str]) -> Model:
+        return cls.of_counts(dense(cells, languages), languages) if len(languages) <= DENSE else SparseModel(languages, cells)
+
     @classmethod
     def of_counts(cls, counts: np.ndarray, languages: list[str]) -> Model:
         used = np.maximum(1, (counts.sum(axis=2, keepdims=True) > 0).sum(axis=1, keepdims=True))
@@ -118,14 +140,52 @@ class Model:
         return {self.languages[i]: p for i, p in chosen}, likelihood / len(scores)
 
 
+class SparseModel(Model):
+    """The same for many languages: what an n-gram that a language lacks gets (``base``), and what each one that it has gets beyond it."""
+
+    def __init__(self, languages: list[str], cells: pa.Table):
+        self.languages = languages
+        cell, lang, n = (cells.column(c).to_numpy() for c in ("cell", "lang", "n"))
+        order = np.lexsort((lang, cell))
+        cell, lang, n = cell[order], lang[order], n[order]
+        self.first = np.searchsorted(cell, np.arange(3 * BUCKETS + 1))
+        self.lang, self.gain = lang.astype(np.int32), np.log((n + SMOOTHING) / SMOOTHING).astype(np.float32)
+        self.base = np.zeros(len(languages))
+        for o in range(3):
+            own = slice(self.first[o * BUCKETS], self.first[(o + 1) * BUCKETS])
+            used = max(1, len(np.unique(cell[own])))
+            totals = np.bincount(lang[own], weights=n[own], minlength=len(languages))
+            self.base += np.log(SMOOTHING) - np.log(totals + SMOOTHING * used)
+
+    def words(self, text: str) -> np.ndarray:
+        found, starts = grams(text)
+        k = len(self.languages)
+        out = np.empty((len(starts), k), np.float32)
+        ends = np.append(starts[1:], found.shape[1])
+        step = max(1, 200_000 // k)
+        for a in range(0, len(starts), step):
+            low, high = starts[a : a + step], ends[a : a + step]
+            cells = (found[:, low[0] : high[-1]] + np.arange(3)[:, None] * BUCKETS).ravel()
+            word = np.tile(np.repeat(np.arange(len(low)), high - low), 3)
+            n = self.first[cells + 1] - self.first[cells]
+            at = np.arange(n.sum()) + np.repeat(self.first[cells] - (np.cumsum(n) - n), n)
+            gains = np.bincount(np.repeat(word, n) * k + self.lang[at], weights=self.gain[at], minlength=len(low) * k)
+            out[a : a + step] = (gains.reshape(-1, k) + (high - low)[:, None] * self.base) * (EVIDENCE / 3)
+        return out
+
+
 def em(scores: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Proportions of the mixture and its log likelihood, from word scores (words, languages)."""
     top = scores.max(axis=1, keepdims=True)
     near = np.exp(scores - top)
     share = np.full(scores.shape[1], 1.0 / scores.shape[1])
+    step = max(1, 4_000_000 // scores.shape[1])
     for _ in range(rounds):
-        joint = near * share
-        new = (joint / joint.sum(axis=1, keepdims=True)).mean(axis=0)
+        new = np.zeros(len(share))
+        for a in range(0, len(near), step):
+            joint = near[a : a + step] * share
+            new += (joint / joint.sum(axis=1, keepdims=True)).sum(axis=0)
+        new /= len(near)
         done = np.abs(new - share).max() < 1e-4
         share = new
         if done:
@@ -167,13 +227,14 @@ def fold(column: str = "doc_id"):
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from documents (doc_id, text, lang) outside of fold 0 whose language is known."""
+    """A model of every language that documents (doc_id, text, lang) outside of fold 0 have."""
     common.bounded_batches(docs.sparkSession)
     known = docs.filter((fold() != 0) & F.col("lang").isNotNull())
-    rows = known.filter(F.col("text").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
+    rows = known.filter(F.col("text").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()
     counts = {r["lang"]: r["n"] for r in sorted(rows)}
-    shape = (3, BUCKETS, len(counts))
-    return Model.of_counts(gram_counts(training(known, counts, sample), list(counts)) if counts else np.zeros(shape), list(counts))
+    if not counts:
+        return Model([], np.zeros((3, BUCKETS, 0), np.float32))
+    return Model.of_cells(gram_cells(training(known, counts, sample), list(counts)), list(counts))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

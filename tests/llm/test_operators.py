@@ -274,6 +274,22 @@ def test_language_learns_from_whole_texts(spark):
     assert 0 < language.training(many, {"x": 50}, 10).count() < 30
 
 
+def test_language_learns_every_language(spark):
+    rng = random.Random(7)
+    names = [f"l{i:02}" for i in range(90)]
+    words = {n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))) for _ in range(40)] for n in names}
+    rows = [(n, " ".join(rng.choices(words[n], k=60))) for i, n in enumerate(names) for _ in range(20 if i < 64 else 10)]
+    docs = spark.createDataFrame([(i, text, n) for i, (n, text) in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    model = language.fit(docs)
+    assert model.languages == names
+    told = language.predict(docs, model).filter(language.fold() == 0).collect()
+    assert len(told) > 200 and all(r["lang"] == r["lang_pred"] for r in told)
+    plain = language.Model.of_counts(language.gram_counts(docs.filter(language.fold() != 0), names), names)
+    text = "  ".join(t for _, t in rows[::20]) + " xyzzy"
+    assert np.allclose(model.words(text), plain.words(text), atol=1e-4)
+    assert model.infer("12") == ({}, 0.0)
+
+
 def test_language_mixture(spark):
     docs = table(spark, "documents").filter("n_chars > 400")
     model = language.fit(docs)
