@@ -24,13 +24,17 @@ from . import common
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret. ``keep``: an exact check of a matched text; what it refuses is dropped after it has consumed its place."""
+    """A kind of secret. ``keep``: an exact check of a matched text; what it refuses is dropped after it has consumed its place.
+
+    ``tail``: what a match goes on with, if it is there; only the rule's own automaton reads it.
+    """
 
     kind: str
     pattern: str
     ignore_case: bool = False
     keep: str = ""
     counted: bool = False
+    tail: str = ""
 
 
 #: The base kinds, in the order in which they are listed.
@@ -40,9 +44,16 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}", counted=True),
 )
+_GAP = r"""([\x09\x0a\x0d\x20>"]|\\[nr])"""
+_LINE = r"[A-Za-z0-9+/]{16,}={0,2}"
+#: A key up to its END line, which two dashes cannot come before; without one, headers and base64 lines, the last of any length.
+_KEY = (
+    r"""((-?[\x09\x0a\x0d\x20A-Za-z0-9+/=:,\\"'>])*-----END ([A-Z]+ )*PRIVATE KEY-----"""
+    rf"|{_GAP}*([A-Za-z]+-[A-Za-z]+:[\x20-\x5b\x5d-\x7e]*{_GAP}+)*{_LINE}({_GAP}+{_LINE})*({_GAP}+[A-Za-z0-9+/]+=?=?)?)?"
+)
 #: Kinds that the method adds.
 ADDED = (
-    Rule("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", tail=_KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
@@ -252,7 +263,8 @@ def compiled(rules: tuple[Rule, ...]) -> tuple[Dfa, tuple[Dfa, ...]]:
         first.append(nfa.state())
         ends[build(nfa, tree, first[-1], True, rules[i].counted)] = i
     own = []
-    for tree in trees:
+    for r in rules:
+        tree = Pattern(r.pattern + r.tail, r.ignore_case).parse()
         one = Nfa()
         begin = one.state()
         end = build(one, tree, begin, False)
