@@ -155,13 +155,18 @@ def knn_exact(spark, d):
     return _neighbours(spark, d).select("qid", "rank", "id", F.round("dist", 4).alias("dist"))
 
 
-def lattice_model(spark, p, g, k: int = 5):
-    """Trains on the distances of lattice nodes and sampled points to their neighbours; returns (weights, node radii)."""
-    spec = g.spec
-    seeds = generate.uniform_points(spark, 300, 2, 0.0, 1.0, seed=5)
-    train = seeds.select(F.col("id").alias("qid"), *[(F.col(f"x{i}") * (spec.high[i] - spec.low[i]) + spec.low[i]).alias(f"c{i}") for i in range(2)])
-    train = saved(train, "lattice-points")
-    near = search.knn(p, train, g, k, "id", F.lit(search.density_radius(g, p.count(), k)))
+def lattice_sample(spark, spec):
+    """(qid, c0, c1): 40 points a lattice node, spread evenly over the domain."""
+    seeds = generate.uniform_points(spark, 40 * (spec.lattice_intervals + 1) ** spec.dims, spec.dims, 0.0, 1.0, seed=5)
+    return seeds.select(F.col("id").alias("qid"), *[(F.col(f"x{i}") * (spec.high[i] - spec.low[i]) + spec.low[i]).alias(f"c{i}") for i in range(spec.dims)])
+
+
+def lattice_model(spark, p, g, k: int = 10):
+    """Trains on the distances of sampled points to their first k neighbours, fewer if there are fewer points; returns (node_id, radii)."""
+    spec, rows = g.spec, p.count()
+    k = max(1, min(k, rows))
+    train = saved(lattice_sample(spark, spec), "lattice-points")
+    near = search.knn(p, train, g, k, "id", F.lit(search.density_radius(g, rows, k)))
     radii = search.knn_radii(near, k).filter("radii IS NOT NULL")
     weights = lattice.corner_weights(train.select("qid", F.col("c0").alias("x"), F.col("c1").alias("y")), spec, "qid")
     return lattice.solve(spark, spec, saved(weights, "lattice-weights"), saved(radii, "lattice-radii"), "qid")

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from latticework import queries
 from latticework.functions import text
 from latticework.operators import checks, grid, lattice, layout, model, mutate, search
 from latticework.operators.ranks import saved
@@ -160,6 +161,15 @@ def test_lattice(spark):
     assert lattice.conjugate_gradients(row, col, a[row, col], np.ones((3, 1)))[:, 0] == pytest.approx([1 / 2, 1 / 3, 1 / 4])
 
 
+def test_lattice_is_trained_on_40_points_a_node(spark, monkeypatch):
+    seen = []
+    knn = search.knn
+    monkeypatch.setattr(search, "knn", lambda p, c, *a: seen.append((c.count(), a[1])) or knn(p, c, *a))
+    nodes = queries.lattice_coeffs(spark, "/root/testdata/sf0.001").collect()
+    assert seen == [(40 * 81, 10)]
+    assert len(nodes) == 81 and all(len(r["radii"]) == 10 for r in nodes)
+
+
 def test_checks(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([1.0, 3.0, 2.0, 2.0, 5.0])], "pos long, v double")
     assert checks.inversions(df, "pos", "v").first()["n"] == 1 and checks.inversions(df, "pos", "v", True).first()["n"] == 2
