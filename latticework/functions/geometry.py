@@ -18,6 +18,12 @@ def distance(coords: Sequence[str], centre: Sequence[Column | float]) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [(F.col(c) - x) * (F.col(c) - x) for c, x in zip(coords, centre)]))
 
 
+def finite(column: str) -> Column:
+    """A coordinate as a double; null if it is null, NaN or infinite."""
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
 def relu(x: Column) -> Column:
     return F.greatest(F.lit(0.0), x)
 
@@ -32,14 +38,33 @@ def box_around(centre: Column, radius: Column, low: float, high: float) -> tuple
     return F.greatest(centre - radius, F.lit(low)), F.least(centre + radius, F.lit(high))
 
 
-def search_right(x: Column, bounds: Sequence[float]) -> Column:
-    """Number of sorted literal ``bounds`` that are <= x, as a balanced tree of comparisons that stays in generated code."""
-    return _tree(x, list(bounds), 0, lambda a, b: a < b)
+def literals(values: Sequence[float]) -> Column:
+    """An array of literal doubles, made by one call of the parser however many there are."""
+    return F.expr("array(" + ", ".join(_literal(v) for v in values) + ")")
+
+
+def _literal(value: float) -> str:
+    return f"double('{float(value)!r}')"
+
+
+def search_right(x: Column | str, bounds: Sequence[float]) -> Column:
+    """Number of sorted literal ``bounds`` that are <= x, as a balanced tree of comparisons that stays in generated code.
 
+    ``x`` is a column, or SQL text of one, which is quicker to plan.
+    """
+    return F.expr(_sql(x, list(bounds), 0, "<")) if isinstance(x, str) else _tree(x, list(bounds), 0, lambda a, b: a < b)
 
-def search_left(x: Column, bounds: Sequence[float]) -> Column:
+
+def search_left(x: Column | str, bounds: Sequence[float]) -> Column:
     """Number of sorted literal ``bounds`` that are < x."""
-    return _tree(x, list(bounds), 0, lambda a, b: a <= b)
+    return F.expr(_sql(x, list(bounds), 0, "<=")) if isinstance(x, str) else _tree(x, list(bounds), 0, lambda a, b: a <= b)
+
+
+def _sql(x: str, bounds: list, at: int, below: str) -> str:
+    if not bounds:
+        return str(at)
+    m = len(bounds) // 2
+    return f"CASE WHEN {x} {below} {_literal(bounds[m])} THEN {_sql(x, bounds[:m], at, below)} ELSE {_sql(x, bounds[m + 1 :], at + m + 1, below)} END"
 
 
 def _tree(x: Column, bounds: list, at: int, below) -> Column:

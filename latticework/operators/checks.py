@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import finite
 from .ranks import ranked
 
 
 def scaled(points: DataFrame, coords: list[str], low: float, high: float) -> DataFrame:
-    """Each coordinate rescaled so that its minimum is ``low`` and its maximum ``high``; constant ones become ``low``."""
-    ends = points.agg(*[f(F.col(c).cast("double")).alias(f"__{n}{i}") for i, c in enumerate(coords) for n, f in (("lo", F.min), ("hi", F.max))])
+    """Each coordinate rescaled so that its least finite value is ``low`` and its greatest ``high``; constant ones become ``low``.
+
+    Nulls stay null, NaN and infinite values stay what they are. An empty table stays empty.
+    """
+    ends = points.agg(*[f(finite(c)).alias(f"__{n}{i}") for i, c in enumerate(coords) for n, f in (("lo", F.min), ("hi", F.max))])
     df = points.join(F.broadcast(ends))  # one row
     for i, c in enumerate(coords):
         share = (F.col(c).cast("double") - F.col(f"__lo{i}")) / F.nullif(F.col(f"__hi{i}") - F.col(f"__lo{i}"), F.lit(0.0))
-        df = df.withColumn(c, F.when(F.col(c).isNotNull(), F.lit(low) + F.coalesce(share, F.lit(0.0)) * (high - low)))
+        odd = F.when(F.col(c).isNotNull(), F.col(c).cast("double"))
+        df = df.withColumn(c, F.when(finite(c).isNotNull(), F.lit(low) + F.coalesce(share, F.lit(0.0)) * (high - low)).otherwise(odd))
     return df.drop(*ends.columns)
 
 
 def without_repeats(points: DataFrame, coords: list[str]) -> DataFrame:
+    """One row for each combination of coordinates. Nulls are equal to each other, and so are NaNs; which row stays is not defined."""
     return points.dropDuplicates(coords)
 
 

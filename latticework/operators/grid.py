@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import search_right
+from ..functions.geometry import finite, literals, search_right
 from ..plans.spec import Grid, IndexSpec
 from .ranks import ranked
 
@@ -18,8 +18,8 @@ TREE_BOUNDS = 64
 
 
 def spec_for(points: DataFrame, coords: tuple[str, ...], **sizes) -> IndexSpec:
-    """A spec whose domain is the data's own; (0, 0) for an empty table."""
-    row = points.agg(*[f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(coords) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    """A spec whose domain is that of the data's finite coordinates; (0, 0) where there are none."""
+    row = points.agg(*[f(finite(c)).alias(f"{n}{i}") for i, c in enumerate(coords) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     return IndexSpec(tuple(coords), tuple(float(row[f"lo{i}"] or 0) for i in range(len(coords))), tuple(float(row[f"hi{i}"] or 0) for i in range(len(coords))), **sizes)
 
 
@@ -32,10 +32,10 @@ def cut_ranks(n: int, parts: int) -> list[int]:
 def part_bounds(points: DataFrame, spec: IndexSpec, dim: int, parent: Column) -> np.ndarray:
     """Bounds (parents, parts) of one dimension below each parent cell: values at exact ranks; the last is the domain's maximum.
 
-    Parents without rows get the domain's maximum for all bounds. Only the bounds reach the driver.
+    Null, NaN and infinite coordinates have no rank. Parents without rows get the domain's maximum for all bounds. Only the bounds reach the driver.
     """
     spark, x = points.sparkSession, spec.coords[dim]
-    slim = points.select(parent.cast("long").alias("parent"), F.col(x).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    slim = points.select(parent.cast("long").alias("parent"), finite(x).alias("x")).filter(F.col("x").isNotNull())
     out = np.full((spec.parts**dim, spec.parts), spec.high[dim])
     counts = {r["parent"]: r["n"] for r in slim.groupBy("parent").agg(F.count("*").alias("n")).collect()}
     wanted, start = [], 0
@@ -44,7 +44,9 @@ def part_bounds(points: DataFrame, spec: IndexSpec, dim: int, parent: Column) ->
         start += counts[p]
     if wanted:
         cuts = spark.createDataFrame(wanted, "parent long, part int, rank long")
-        for r in ranked(slim, ["parent", "x"]).join(F.broadcast(cuts.select("part", "rank", F.col("parent").alias("own"))), "rank").select("own", "part", "x").collect():
+        # a frequent value may hold a third of the rows: the row's number parts its ties, whose order does not matter
+        numbered = slim.withColumn("tie", F.monotonically_increasing_id())
+        for r in ranked(numbered, ["parent", "x", "tie"]).join(F.broadcast(cuts.select("part", "rank", F.col("parent").alias("own"))), "rank").select("own", "part", "x").collect():
             out[r["own"], r["part"]] = r["x"]
     return np.maximum.accumulate(out, axis=1)
 
@@ -66,26 +68,27 @@ def _placer(grid: Grid, dim: int):
     return place
 
 
-def part_of(grid: Grid, dim: int, parent: Column, x: Column) -> Column:
-    """The part of x in ``dim`` below ``parent``."""
+def part_of(grid: Grid, dim: int, parent: Column, x: str) -> Column:
+    """The part of the double column ``x`` in ``dim`` below ``parent``."""
     bounds = grid.bounds[dim]
     if len(bounds) == 1 and bounds.shape[1] - 1 <= TREE_BOUNDS:
-        return search_right(x, bounds[0][:-1]).cast("long")
-    return _placer(grid, dim)(parent.cast("long"), x)
+        return search_right(f"`{x}`", bounds[0][:-1]).cast("long")
+    return _placer(grid, dim)(parent.cast("long"), F.col(x))
 
 
 def with_cell(points: DataFrame, grid: Grid, out: str = "cell", coords: tuple[str, ...] | None = None) -> DataFrame:
-    """Adds the row-major cell number over the dimensions that ``grid`` splits. Rows with a null coordinate get a null or outermost cell."""
+    """Adds the row-major cell number over the dimensions that ``grid`` splits. Rows with a null, NaN or infinite coordinate get an outermost cell."""
     df = points.withColumn(out, F.lit(0).cast("long"))
     for dim, name in zip(range(len(grid.bounds)), coords or grid.spec.coords):
-        df = df.withColumn("__part", part_of(grid, dim, F.col(out), F.col(name).cast("double"))).withColumn(out, F.col(out) * grid.spec.parts + F.col("__part")).drop("__part")
+        df = df.withColumn("__x", F.col(name).cast("double"))
+        df = df.withColumn("__part", part_of(grid, dim, F.col(out), "__x")).withColumn(out, F.col(out) * grid.spec.parts + F.col("__part")).drop("__part", "__x")
     return df
 
 
 def fraction(grid: Grid, dim: int, cell: Column, x: Column) -> Column:
     """Where x lies in its cell along ``dim``, from 0 to 1; 0 in a cell without extent. ``cell``: over all split dimensions."""
     lower, upper = grid.edges(dim)
-    flat = lambda a: F.array(*[F.lit(float(v)) for v in a.reshape(-1)])
+    flat = lambda a: literals(a.reshape(-1))
     prefix = F.floor(cell / grid.spec.parts ** (len(grid.bounds) - 1 - dim)).cast("int")
     if lower.size <= 4 * TREE_BOUNDS:
         lo, hi = F.element_at(flat(lower), prefix + 1), F.element_at(flat(upper), prefix + 1)
@@ -137,8 +140,8 @@ def cell_borders(spark, grid: Grid) -> DataFrame:
     return spark.createDataFrame(rows, "cell long, lo array<double>, hi array<double>, volume double")
 
 
-def cell_intervals(boxes: DataFrame, grid: Grid) -> DataFrame:
-    """(qid, cell, low_m, high_m, lo, hi) for each cell that a box (qid, lo, hi) meets: its points' m lie in [low_m, high_m].
+def cell_intervals(boxes: DataFrame, grid: Grid, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(qid, cell, low_m, high_m, lo, hi, extra...) for each cell that a box (qid, lo, hi) meets: its points' m lie in [low_m, high_m].
 
     The lower fraction counts in the first part along a dimension only (0 in later ones), the upper one in the last (1 in
     earlier ones). Boxes with hi < lo or outside of the domain give no cell.
@@ -146,15 +149,16 @@ def cell_intervals(boxes: DataFrame, grid: Grid) -> DataFrame:
     spec = grid.spec
     lo, hi = (lambda i: F.element_at("lo", i + 1)), (lambda i: F.element_at("hi", i + 1))
     fits = reduce(lambda a, b: a & b, [(lo(i) <= hi(i)) & (hi(i) >= spec.low[i]) & (lo(i) <= spec.high[i]) for i in range(spec.dims)])
-    df = boxes.select("qid", "lo", "hi").filter(fits).withColumn("cell", F.lit(0).cast("long"))
+    df = boxes.select("qid", "lo", "hi", *extra).filter(fits).withColumn("cell", F.lit(0).cast("long"))
+    df = df.withColumns({f"__{n}{i}": f(i).cast("double") for n, f in (("lo", lo), ("hi", hi)) for i in range(spec.dims - 1)})
     for i in range(spec.dims - 1):
-        df = df.withColumn("__a", part_of(grid, i, F.col("cell"), lo(i))).withColumn("__b", part_of(grid, i, F.col("cell"), hi(i)))
-        df = df.withColumn("__p", F.explode(F.sequence("__a", "__b"))).withColumn("cell", F.col("cell") * spec.parts + F.col("__p"))
-        df = df.withColumn(f"__first{i}", F.col("__p") == F.col("__a")).withColumn(f"__last{i}", F.col("__p") == F.col("__b")).drop("__a", "__b", "__p")
+        df = df.withColumns({"__a": part_of(grid, i, F.col("cell"), f"__lo{i}"), "__b": part_of(grid, i, F.col("cell"), f"__hi{i}")})
+        df = df.withColumn("__p", F.explode(F.sequence("__a", "__b")))
+        df = df.withColumns({"cell": F.col("cell") * spec.parts + F.col("__p"), f"__first{i}": F.col("__p") == F.col("__a"), f"__last{i}": F.col("__p") == F.col("__b")}).drop("__a", "__b", "__p")
     low = reduce(lambda a, b: a * b, [F.when(F.col(f"__first{i}"), fraction(grid, i, F.col("cell"), lo(i))).otherwise(0.0) for i in range(spec.dims - 1)], F.lit(1.0)) if spec.dims > 1 else F.lit(0.0)
     high = reduce(lambda a, b: a * b, [F.when(F.col(f"__last{i}"), fraction(grid, i, F.col("cell"), hi(i))).otherwise(1.0) for i in range(spec.dims - 1)], F.lit(1.0)) if spec.dims > 1 else F.lit(0.0)
     base, last = F.col("cell") * spec.parts, spec.dims - 1
-    return df.select("qid", "cell", (low * spec.eta + level(spec, lo(last)) + base).alias("low_m"), (high * spec.eta + level(spec, hi(last)) + base).alias("high_m"), "lo", "hi")
+    return df.select("qid", "cell", (low * spec.eta + level(spec, lo(last)) + base).alias("low_m"), (high * spec.eta + level(spec, hi(last)) + base).alias("high_m"), "lo", "hi", *extra)
 
 
 def merged_intervals(intervals: DataFrame, gap: float = 1e-5) -> DataFrame:

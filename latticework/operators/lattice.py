@@ -8,8 +8,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.spec import IndexSpec
+from ..plans.spec import Grid, IndexSpec
+from ..sources import generate
+from . import search
+from .ranks import saved
 
+#: Points that a lattice is trained on and tested with, for each of its nodes, and neighbours whose distances it learns.
+TRAIN, TEST, NEIGHBOURS = 40, 10, 10
 #: Weight of smoothness against the training points.
 ALPHA = 1.0
 #: Systems of more nodes than this are solved by conjugate gradients.
@@ -114,3 +119,53 @@ def first_radius(radii: Column, k: int, spec: IndexSpec) -> Column:
     """The estimate for rank k, clipped to a small part of the domain below and to all of it above."""
     widest = max(h - l for l, h in zip(spec.low, spec.high)) or 1.0
     return F.greatest(F.lit(widest * 1e-4), F.least(F.lit(widest), F.element_at(radii, k)))
+
+
+def sampled(spark, spec: IndexSpec, per_node: int, seed: int) -> DataFrame:
+    """(qid, c0 ..): ``per_node`` points a lattice node, uniform in the domain."""
+    points = generate.uniform_points(spark, per_node * (spec.lattice_intervals + 1) ** spec.dims, spec.dims, 0.0, 1.0, seed=seed, digits=15)
+    return points.select(F.col("id").alias("qid"), *[(F.col(f"x{i}") * (spec.high[i] - spec.low[i]) + spec.low[i]).alias(f"c{i}") for i in range(spec.dims)])
+
+
+def labelled(points, centres: DataFrame, grid: Grid, k: int, id_col: str, rows: int) -> DataFrame:
+    """(qid, radii): exact distances of centres to their first k points, fewer if there are fewer points."""
+    k = max(1, min(k, rows))
+    near = search.knn(points, centres, grid, k, id_col, F.lit(search.density_radius(grid, rows, k)))
+    return search.knn_radii(near, k).filter("radii IS NOT NULL")
+
+
+def as_points(centres: DataFrame, spec: IndexSpec) -> DataFrame:
+    return centres.select("qid", *[F.col(f"c{i}").alias(c) for i, c in enumerate(spec.coords)])
+
+
+def train(points, grid: Grid, id_col: str, k: int = NEIGHBOURS, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(node_id, radii): the lattice's coefficients, from ``tables`` (training_points, training_radii) or from a sample of the domain.
+
+    ``points`` is a table or an index.
+    """
+    spec = grid.spec
+    if tables is None:
+        spark, rows = (points.points if isinstance(points, search.Index) else points).sparkSession, _rows(points)
+        sample = saved(sampled(spark, spec, TRAIN, 5), "lattice-points")
+        tables = {"training_points": sample, "training_radii": saved(labelled(points, sample, grid, k, id_col, rows), "lattice-radii")}
+    spark = tables["training_radii"].sparkSession
+    weights = corner_weights(as_points(tables["training_points"], spec), spec, "qid")
+    return solve(spark, spec, saved(weights, "lattice-weights"), tables["training_radii"], "qid")
+
+
+def _rows(points) -> int:
+    return (points.pages.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) if isinstance(points, search.Index) else points.count()
+
+
+def prepared(points, grid: Grid, id_col: str, k: int = NEIGHBOURS) -> dict[str, DataFrame]:
+    """The tables that a lattice is trained and tested on: nodes, training and testing points, and the exact radii of each."""
+    spec = grid.spec
+    spark, rows = (points.points if isinstance(points, search.Index) else points).sparkSession, _rows(points)
+    at = saved(nodes(spark, spec), "lattice-nodes")
+    out = {"nodes": at, "training_points": saved(sampled(spark, spec, TRAIN, 5), "lattice-points"), "testing_points": saved(sampled(spark, spec, TEST, 50), "lattice-points")}
+    centres = {
+        "node_radii": at.select(F.col("node_id").alias("qid"), *[F.element_at("coords", i + 1).alias(f"c{i}") for i in range(spec.dims)]),
+        "training_radii": out["training_points"],
+        "testing_radii": out["testing_points"],
+    }
+    return out | {name: saved(labelled(points, c, grid, k, id_col, rows), "lattice-radii") for name, c in centres.items()}

@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import search_right
 from ..plans.spec import Grid, IndexSpec
-from .grid import cell_intervals, with_mapping
-from .model import predict, train_segment
+from .grid import TREE_BOUNDS, cell_intervals, with_mapping
+from .model import train_segment
 from .ranks import ranked
 
 MODEL = "segment long, min_m double, n long, alphas array<double>, betas array<double>, loss double"
@@ -30,14 +31,17 @@ def segment_bounds(mapped: DataFrame, spec: IndexSpec, id_col: str) -> list[floa
     return sorted({at[c] for c in cuts if at[c] > at[c - 1]})
 
 
-def with_segment(mapped: DataFrame, bounds: list[float]) -> DataFrame:
+def with_segment(mapped: DataFrame, bounds: list[float], m: str = "m", out: str = "segment") -> DataFrame:
+    """Adds the segment of ``m``, the number of bounds at or below it: comparisons in generated code, or a vectorised search of many bounds."""
+    if len(bounds) <= TREE_BOUNDS:
+        return mapped.withColumn(out, search_right(f"`{m}`", bounds).cast("long"))
     edges = np.array(bounds)
 
     @F.pandas_udf("long")
-    def segment_of(m: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, m.to_numpy(np.float64), side="right"))
+    def segment_of(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, x.to_numpy(np.float64), side="right"))
 
-    return mapped.withColumn("segment", segment_of("m") if bounds else F.lit(0).cast("long"))
+    return mapped.withColumn(out, segment_of(m))
 
 
 def segment_sizes(segmented: DataFrame) -> DataFrame:
@@ -47,7 +51,7 @@ def segment_sizes(segmented: DataFrame) -> DataFrame:
 
 
 def train_models(segmented: DataFrame, spec: IndexSpec) -> DataFrame:
-    """A position model for each segment. A segment holds a share of the rows set by the spec, one task each."""
+    """A position model for each segment; a segment is one group in a task, of a size that ``IndexSpec.sized`` bounds."""
     knots = spec.knots
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -58,33 +62,62 @@ def train_models(segmented: DataFrame, spec: IndexSpec) -> DataFrame:
     return segmented.select("segment", "m").groupBy("segment").applyInPandas(fit, MODEL)
 
 
-def predicted_position(m: Column) -> Column:
+def predicted_position(m: Column, prefix: str = "") -> Column:
     """Rank of m in its segment by the joined columns min_m, n, alphas and betas: one expression for layout and look-up."""
-    shift = m - F.col("min_m")
-    terms = F.zip_with("alphas", "betas", lambda a, b: a * F.greatest(F.lit(0.0), shift - b))
-    return F.greatest(F.lit(0.0), F.least(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.col("n").cast("double")))
+    shift = m - F.col(f"{prefix}min_m")
+    terms = F.zip_with(f"{prefix}alphas", f"{prefix}betas", lambda a, b: a * F.greatest(F.lit(0.0), shift - b))
+    return F.greatest(F.lit(0.0), F.least(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.col(f"{prefix}n").cast("double")))
 
 
-def with_shard(segmented: DataFrame, models: DataFrame, spec: IndexSpec, id_col: str) -> DataFrame:
-    """Adds shard (dense over all segments) and page (dense), and drops nothing.
+def merged_tails(counts: DataFrame, size: int) -> DataFrame:
+    """(segment, raw, own, c) from (segment, raw, c): from the end of a segment, shards merge until the last one holds more than ``size``.
 
-    A raw shard is the predicted rank by the page size. From the end of a segment, shards merge until the last one holds more than a
-    page, so no shard of a segment stays too small. Pages cut a shard's sequence by (m, id) every ``page_size`` points.
+    ``own`` is the merged shard's number. A segment with no more than ``size`` rows becomes one shard. No row is dropped.
     """
-    size = spec.page_size
-    raw = segmented.join(F.broadcast(models.select("segment", "min_m", "n", "alphas", "betas")), "segment").withColumn("raw", F.floor(predicted_position(F.col("m")) / size)).drop("min_m", "n", "alphas", "betas")
-    counts = raw.groupBy("segment", "raw").agg(F.count("*").alias("c"))
     back = Window.partitionBy("segment").orderBy(F.col("raw").desc())
     tail = counts.withColumn("tail", F.sum("c").over(back))
     # the last kept shard of a segment is the highest one whose tail count exceeds a page, or the first
     last = tail.groupBy("segment").agg(F.coalesce(F.max(F.when(F.col("tail") > size, F.col("raw"))), F.min("raw")).alias("last"))
-    named = tail.join(last, "segment").select("segment", "raw", F.least("raw", "last").alias("own"), "c")
-    shards = named.groupBy("segment", "own").agg(F.sum("c").alias("count"))
-    order = Window.orderBy("segment", "own")  # one row a shard
-    pages = F.ceil(F.col("count") / size)
-    table = shards.withColumn("shard", F.row_number().over(order) - 1).withColumn("first_page", F.coalesce(F.sum(pages).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = raw.join(named.select("segment", "raw", "own"), ["segment", "raw"]).join(table, ["segment", "own"])
-    inside = Window.partitionBy("shard").orderBy("m", id_col)
+    return tail.join(last, "segment").select("segment", "raw", F.least("raw", "last").alias("own"), "c")
+
+
+def numbered_shards(named: DataFrame, size: int) -> DataFrame:
+    """(segment, own, count, shard, first_page): shards and pages numbered over all segments.
+
+    They are numbered within a segment first; only the segments' totals, one row each, go through a window over everything.
+    """
+    shards = named.groupBy("segment", "own").agg(F.sum("c").alias("count")).withColumn("__pages", F.ceil(F.col("count") / size))
+    inside = Window.partitionBy("segment").orderBy("own")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    local = shards.withColumn("__shard", F.row_number().over(inside) - 1).withColumn("__page", F.coalesce(F.sum("__pages").over(before), F.lit(0)))
+    earlier = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    totals = shards.groupBy("segment").agg(F.count("*").alias("__s"), F.sum("__pages").alias("__p"))
+    starts = totals.select("segment", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__s"), F.coalesce(F.sum("__p").over(earlier), F.lit(0)).alias("__p"))
+    return local.join(starts, "segment").select("segment", "own", "count", (F.col("__s") + F.col("__shard")).alias("shard"), (F.col("__p") + F.col("__page")).alias("first_page"))
+
+
+def model_rises(alphas: str, betas: str) -> Column:
+    """Whether a model's knots rise strictly and no slope, a sum of the first alphas, is negative but for rounding."""
+    places = F.sequence(F.lit(2), F.greatest(F.size(betas), F.lit(2)))
+    knots = F.forall(places, lambda i: (i > F.size(betas)) | (F.get(betas, i - 1) > F.get(betas, i - 2)))
+    scale = F.aggregate(alphas, F.lit(0.0), lambda s, a: F.greatest(s, F.abs(a)))
+    sums = F.aggregate(alphas, F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("low")), lambda s, a: F.struct((s["sum"] + a).alias("sum"), F.least(s["low"], s["sum"] + a).alias("low")))
+    return knots & (sums["low"] >= scale * -1e-9)
+
+
+def with_shard(segmented: DataFrame, models: DataFrame, spec: IndexSpec, id_col: str) -> DataFrame:
+    """Adds shard (dense over all segments) and page (dense), and drops nothing.
+
+    A raw shard is the predicted rank by the page size; see ``merged_tails``. Pages cut a shard's sequence by (m, id) every
+    ``page_size`` points. The window that does so sees a segment, whose rows the spec bounds (``IndexSpec.sized``), so a run of
+    equal m is as long as a segment at most.
+    """
+    size = spec.page_size
+    raw = segmented.join(models.select("segment", "min_m", "n", "alphas", "betas"), "segment").withColumn("raw", F.floor(predicted_position(F.col("m")) / size)).drop("min_m", "n", "alphas", "betas")
+    named = merged_tails(raw.groupBy("segment", "raw").agg(F.count("*").alias("c")), size)
+    table = named.select("segment", "raw", "own").join(numbered_shards(named, size), ["segment", "own"])
+    placed = raw.join(table, ["segment", "raw"])
+    inside = Window.partitionBy("segment", "shard").orderBy("m", id_col)
     return placed.withColumn("page", F.col("first_page") + F.floor((F.row_number().over(inside) - 1) / size)).drop("raw", "own", "count", "first_page")
 
 
@@ -96,13 +129,19 @@ def build_index(points: DataFrame, grid: Grid, id_col: str) -> tuple[DataFrame,
     return with_shard(segmented, models, grid.spec, id_col), models
 
 
+def segment_pages(segmented: DataFrame, spec: IndexSpec, id_col: str) -> DataFrame:
+    """Adds page, numbered in each segment, by exact rank of (m, id) in the segment: what a model without error would give."""
+    inside = Window.partitionBy("segment").orderBy("m", id_col)
+    return segmented.withColumn("page", F.floor((F.row_number().over(inside) - 1) / spec.page_size))
+
+
 def rank_pages(mapped: DataFrame, spec: IndexSpec, id_col: str) -> DataFrame:
     """Adds page by exact rank of (m, id): the layout of an ideal model."""
     return ranked(mapped, ["m", id_col]).withColumn("page", F.floor(F.col("rank") / spec.page_size))
 
 
 def page_table(paged: DataFrame) -> DataFrame:
-    """(page, n, low_m, high_m, next_low): the directory; ``next_low`` is the split before the following page."""
+    """(page, n, low_m, high_m): the directory."""
     return paged.groupBy("page").agg(F.count("*").alias("n"), F.min("m").alias("low_m"), F.max("m").alias("high_m"))
 
 
@@ -127,6 +166,7 @@ def shard_directory(indexed: DataFrame) -> DataFrame:
 
 
 def shards_per_segment(directory: DataFrame) -> DataFrame:
+    """(segment, shards) from (segment, shard)."""
     return directory.groupBy("segment").agg(F.count("*").alias("shards"))
 
 
@@ -146,8 +186,3 @@ def index_stats(indexed: DataFrame, models: DataFrame, grid: Grid) -> DataFrame:
     held = indexed.agg(F.count("*").alias("points"), F.countDistinct("page").alias("pages"), F.countDistinct("shard").alias("shards"), F.countDistinct("segment").alias("segments"))
     params = models.agg(F.coalesce(F.sum(F.size("alphas") + F.size("betas") + 1), F.lit(0)).alias("model_numbers"))
     return held.join(F.broadcast(params)).withColumn("cells", F.lit(grid.spec.cells)).withColumn("grid_numbers", F.lit(int(sum(b.size for b in grid.bounds))))
-
-
-def rank_in_segment(model_row, m: np.ndarray) -> np.ndarray:
-    """The prediction in NumPy, for checks on a collected model."""
-    return predict(np.asarray(model_row["alphas"]), np.asarray(model_row["betas"]), m - model_row["min_m"], model_row["n"])

@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 MOST_STEPS = 200
-#: Step lengths that a search along a direction tries, from long to short.
+#: Step lengths that a search along a direction tries, from long to short, and the part of the loss that a step has to gain.
 STEPS = tuple(2.0**-i for i in range(10))
+GAIN = 1e-4
 
 
 def hinges(m: np.ndarray, betas: np.ndarray) -> np.ndarray:
@@ -14,7 +15,11 @@ def hinges(m: np.ndarray, betas: np.ndarray) -> np.ndarray:
 
 
 def predict(alphas: np.ndarray, betas: np.ndarray, m: np.ndarray, n: float) -> np.ndarray:
-    return np.clip(hinges(m, betas) @ alphas, 0.0, n)
+    """Ranks, in 0 .. n; a slope a piece, so the work grows with the rows and not with rows times knots."""
+    slopes = np.cumsum(alphas)
+    starts = np.append(0.0, np.cumsum(slopes[:-1] * np.diff(betas)))
+    piece = np.clip(np.searchsorted(betas, m, side="right") - 1, 0, len(betas) - 1)
+    return np.clip(np.where(m > betas[0], starts[piece] + slopes[piece] * (m - betas[piece]), 0.0), 0.0, n)
 
 
 def loss(alphas: np.ndarray, betas: np.ndarray, m: np.ndarray) -> float:
@@ -22,8 +27,9 @@ def loss(alphas: np.ndarray, betas: np.ndarray, m: np.ndarray) -> float:
 
 
 def valid(alphas: np.ndarray, betas: np.ndarray) -> bool:
-    """Knots rise strictly and no slope is negative, so predictions never fall."""
-    return bool((np.diff(betas) > 0).all() and (np.cumsum(alphas) >= 0).all())
+    """Knots rise strictly and no slope is negative (but for rounding), so predictions never fall."""
+    slopes = np.cumsum(alphas)
+    return bool((np.diff(betas) > 0).all() and (slopes >= -1e-12 * np.abs(alphas).max(initial=0.0)).all())
 
 
 def interpolation(m: np.ndarray, betas: np.ndarray) -> np.ndarray:
@@ -34,13 +40,69 @@ def interpolation(m: np.ndarray, betas: np.ndarray) -> np.ndarray:
     return np.diff(np.append(0.0, slopes))
 
 
-def least_squares(m: np.ndarray, betas: np.ndarray) -> np.ndarray:
-    return np.linalg.lstsq(hinges(m, betas), np.arange(len(m), dtype=float), rcond=None)[0]
+class Sums:
+    """Running sums over sorted mappings, which start at 0: all that fitting needs, whatever the number of rows.
 
+    A model is described by its values at the knots and at the last mapping. Squared errors are then a quadratic form in the
+    values whose matrix is tridiagonal and comes from six sums a piece.
+    """
 
-def monotone(alphas: np.ndarray) -> np.ndarray:
-    """The same slopes with negative ones raised to zero."""
-    return np.diff(np.append(0.0, np.maximum(np.cumsum(alphas), 0.0)))
+    def __init__(self, m: np.ndarray):
+        self.m, r = m, np.arange(len(m), dtype=float)
+        self.run = np.zeros((6, len(m) + 1))
+        np.cumsum([np.ones(len(m)), m, m * m, r, r * m, r * r], axis=1, out=self.run[:, 1:])
+
+    def pieces(self, betas: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Counts, sums of t and of t^2, of the rank and of rank times t, by piece; t runs from 0 to 1 along a piece."""
+        nodes = np.append(betas, self.m[-1])
+        cut = np.append(np.searchsorted(self.m, betas, side="left"), len(self.m))
+        n, x, xx, r, rx, _ = np.diff(self.run[:, cut], axis=1)
+        low, width = nodes[:-1], np.diff(nodes)
+        t = np.clip((x - low * n) / width, 0, n)
+        tt = np.clip((xx - 2 * low * x + low * low * n) / width**2, 0, t)
+        return n, t, tt, r, (rx - low * r) / width
+
+    def system(self, pieces: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        n, t, tt, r, rt = pieces
+        k = len(n)
+        a, b, i = np.zeros((k + 1, k + 1)), np.zeros(k + 1), np.arange(k)
+        a[i, i] += n - 2 * t + tt
+        a[i + 1, i + 1] += tt
+        a[i, i + 1] += t - tt
+        a[i + 1, i] += t - tt
+        b[:-1] += r - rt
+        b[1:] += rt
+        return a, b
+
+    def solve(self, betas: np.ndarray) -> tuple[float, np.ndarray]:
+        """(squared error, values at the nodes) of the best rising model with these knots: least squares, then values in order."""
+        a, b = self.system(self.pieces(betas))
+        ridge = 1e-9 * np.trace(a) / len(a)
+        values = np.zeros(len(b))
+        values[1:] = np.linalg.solve(a[1:, 1:] + ridge * np.eye(len(b) - 1), b[1:])
+        values = np.sort(np.clip(values, 0.0, None))
+        values[0] = 0.0
+        return self.error(a, b, values), values
+
+    def error(self, a: np.ndarray, b: np.ndarray, values: np.ndarray) -> float:
+        return float(values @ a @ values - 2 * values @ b + self.run[5, -1])
+
+    def interpolated(self, betas: np.ndarray) -> tuple[float, np.ndarray]:
+        values = np.append(np.searchsorted(self.m, betas, side="left"), len(self.m) - 1).astype(float)
+        return self.error(*self.system(self.pieces(betas)), values), values
+
+    def slopes_at(self, betas: np.ndarray, values: np.ndarray, alphas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient of half the squared error by the knots, and its Gauss-Newton curvature."""
+        n, t, _, r, _ = self.pieces(betas)
+        error = values[:-1] * (n - t) + values[1:] * t - r
+        behind, above = np.cumsum(error[::-1])[::-1], np.cumsum(n[::-1])[::-1]
+        later = np.maximum.outer(np.arange(len(betas)), np.arange(len(betas)))
+        return -alphas * behind, alphas[:, None] * alphas[None, :] * above[later]
+
+
+def alphas_of(betas: np.ndarray, values: np.ndarray, last: float) -> np.ndarray:
+    slopes = np.diff(values) / np.diff(np.append(betas, last))
+    return np.diff(np.append(0.0, slopes))
 
 
 def train_segment(sorted_m: np.ndarray, knots: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -48,38 +110,36 @@ def train_segment(sorted_m: np.ndarray, knots: int) -> tuple[np.ndarray, np.ndar
 
     Knots start at equal counts and move by Gauss-Newton steps on the squared error, or downhill if that gains nothing,
     as long as a tried step length lowers the loss. Segments of equal or few mappings get one flat or straight piece.
+    Rows are passed over once, for running sums; a step costs what its knots cost.
     """
     m = np.asarray(sorted_m, float) - sorted_m[0]
     betas = np.unique(m[np.linspace(0, len(m) - 1, min(knots, len(m)), endpoint=False).astype(int)])
     if m[-1] <= 0:
         return np.zeros(1), np.zeros(1), loss(np.zeros(1), np.zeros(1), m)
-    target = np.arange(len(m), dtype=float)
-
-    def solved(b: np.ndarray) -> tuple[float, np.ndarray]:
-        tried = [monotone(least_squares(m, b)), interpolation(m, b)]
-        return min(((loss(a, b, m), a) for a in tried if valid(a, b)), key=lambda x: x[0], default=(np.inf, tried[1]))
-
-    best, alphas = solved(betas)
+    sums, last = Sums(m), m[-1]
+    gap = last * 1e-9
+    betas = betas[np.append(True, np.diff(betas) > gap)]
+    betas = betas[(betas < last - gap) | (betas == 0)]
+    (best, values), line = sums.solve(betas), sums.interpolated(betas)
+    if line[0] < best:
+        best, values = line
+    first = (betas, alphas_of(betas, values, last))
     for _ in range(MOST_STEPS):
-        slope = -alphas[None, :] * (m[:, None] > betas[None, :])
-        error = hinges(m, betas) @ alphas - target
-        gradient = slope.T @ error
-        curve = slope.T @ slope
-        ways = [-gradient * (np.diff(betas).min(initial=m[-1]) / max(np.abs(gradient).max(), 1e-300))]
-        if np.linalg.cond(curve) < 1 / np.finfo(float).eps:
-            ways.insert(0, -np.linalg.solve(curve, gradient))
-        gain = False
-        for way in ways:
-            for step in STEPS:
-                moved = betas + step * way
-                moved[0] = 0.0
-                if (np.diff(moved) > 0).all() and moved[-1] < m[-1]:
-                    value, a = solved(moved)
-                    if value < best * (1 - 1e-6):
-                        best, alphas, betas, gain = value, a, moved, True
-                        break
-            if gain:
-                break
-        if not gain:
+        gradient, curve = sums.slopes_at(betas, values, alphas_of(betas, values, last))
+        ways = [-gradient * (np.diff(betas).min(initial=last) / max(np.abs(gradient).max(), 1e-300))]
+        inner = curve[1:, 1:]
+        if len(inner) and np.isfinite(inner).all() and np.linalg.cond(inner) < 1 / np.finfo(float).eps:
+            ways.insert(0, np.append(0.0, -np.linalg.solve(inner, gradient[1:])))
+        tried = ((betas + step * way) for way in ways for step in STEPS)
+        for moved in tried:
+            moved[0] = 0.0
+            if (np.diff(moved) > gap).all() and moved[-1] < last - gap:
+                value, v = sums.solve(moved)
+                if value < best * (1 - GAIN):
+                    best, values, betas = value, v, moved
+                    break
+        else:
             break
-    return alphas, betas, best
+    made = [(loss(a, b, m), a, b) for b, a in ((betas, alphas_of(betas, values, last)), first, (betas, interpolation(m, betas))) if valid(a, b)]
+    value, alphas, betas = min(made, key=lambda x: x[0])
+    return alphas, betas, value

@@ -9,19 +9,20 @@ from ..plans.spec import IndexSpec
 
 
 def insert_bag(points: DataFrame, new: DataFrame) -> DataFrame:
-    """All rows of both; equal rows stay apart."""
+    """All rows of both; equal rows stay apart, nulls and NaNs are kept."""
     return points.unionByName(new)
 
 
 def delete_bag(points: DataFrame, gone: DataFrame, coords: list[str]) -> DataFrame:
-    """Coordinates of ``points`` less one copy for each row of ``gone``; rows that are not there are ignored."""
+    """Coordinates of ``points`` less one copy for each row of ``gone``; rows that are not there are ignored. Nulls equal nulls, NaNs equal NaNs."""
     return points.select(*coords).exceptAll(gone.select(*coords))
 
 
 def delete_rows(points: DataFrame, gone: DataFrame, coords: list[str], id_col: str) -> DataFrame:
     """Whole rows less one for each row of ``gone`` of equal coordinates, the smallest ids first.
 
-    Copies are numbered on the points' side only and compared with the count of deletions, so a hot coordinate makes no pairs.
+    Copies are numbered on the points' side only and compared with the count of deletions, so a hot coordinate makes no pairs. Only rows
+    of coordinates that are to go are numbered.
     """
     number = Window.partitionBy(*coords).orderBy(id_col)
     wanted = gone.groupBy(*coords).agg(F.count("*").alias("__gone"))
@@ -53,3 +54,42 @@ def split_page(page: DataFrame, id_col: str) -> DataFrame:
 def misplaced(points: DataFrame, pages: DataFrame) -> DataFrame:
     """Points whose m is outside of their page's range: empty after a right insert."""
     return points.join(pages, "page").filter((F.col("m") < F.col("low_m")) | (F.col("m") > F.col("high_m"))).select(*points.columns)
+
+
+def placed(pages: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` (segment, m, ...) with page: the last page of its segment whose first mapping does not exceed m, or the segment's first.
+
+    ``pages``: (segment, page, low_m). Pages and new points of a segment form one sequence; a point of a segment without pages gets page 0.
+    """
+    order = Window.partitionBy("segment").orderBy("m", F.col("__page").isNull(), "__page")
+    marks = pages.select("segment", F.col("low_m").alias("m"), F.col("page").alias("__page"))
+    both = new.unionByName(marks, allowMissingColumns=True)
+    at = both.withColumn("page", F.coalesce(F.last("__page", True).over(order), F.min("__page").over(Window.partitionBy("segment")), F.lit(0)))
+    return at.filter(F.col("__page").isNull()).select(*new.columns, "page")
+
+
+def inserted(paged: DataFrame, new: DataFrame, spec: IndexSpec, id_col: str) -> DataFrame:
+    """Points of ``paged`` (segment, page, m, ...) and ``new`` (segment, m, ...), with piece.
+
+    New points go to the page that their mapping belongs to. A page of n points above the page size splits by (m, id) into
+    ceil(n / page_size) even pieces, in one step for any number of new points; others are piece 0. Equal rows stay apart.
+    """
+    keys = ["segment", "page"]
+    low = paged.groupBy(keys).agg(F.min("m").alias("low_m"))
+    both = paged.unionByName(placed(low, new))
+    n = F.count("*").over(Window.partitionBy(keys))
+    nth = F.row_number().over(Window.partitionBy(keys).orderBy("m", id_col)) - 1
+    cut = both.withColumn("__n", n).withColumn("__nth", nth)
+    return cut.withColumn("piece", F.expr(f"CAST((__nth * ceil(__n / {spec.page_size})) div __n AS INT)")).drop("__n", "__nth")
+
+
+def merged(paged: DataFrame, spec: IndexSpec) -> DataFrame:
+    """``paged`` (segment, page, ...) after deletions, with merged: the page that it is part of now.
+
+    The pages left in a segment are paired in order; a pair whose points fit one page becomes the left one. Emptied pages are gone.
+    """
+    counts = paged.groupBy("segment", "page").agg(F.count("*").alias("n"))
+    pair = F.floor((F.row_number().over(Window.partitionBy("segment").orderBy("page")) - 1) / 2)
+    both = Window.partitionBy("segment", "pair")
+    joined = counts.withColumn("pair", pair).withColumn("merged", F.when(F.sum("n").over(both) <= spec.page_size, F.min("page").over(both)).otherwise(F.col("page")))
+    return paged.join(joined.select("segment", "page", "merged"), ["segment", "page"])

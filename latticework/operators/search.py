@@ -1,4 +1,4 @@
-"""Range, radius and nearest-neighbour queries: equi-joins on grid cells with exact residual filters."""
+"""Range, radius and nearest-neighbour queries: equi-joins on grid cells, or on an index's pages, with exact residual filters."""
 
 from __future__ import annotations
 
@@ -7,26 +7,31 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import distance, in_box
 from ..plans.spec import Grid
+from . import index as indexes
 from .grid import cell_intervals, with_cell
+from .index import Index
 from .ranks import saved
 
 
-def range_rows(points: DataFrame, boxes: DataFrame, grid: Grid, keep: list[str]) -> DataFrame:
-    """(qid, keep...) for each point in each closed box; points may carry their ``cell`` already.
+def range_rows(points: DataFrame | Index, boxes: DataFrame, grid: Grid, keep: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
+    """(qid, keep..., extra...) for each point in each closed box; ``extra`` are columns of ``boxes``.
 
-    The join on cell is an equi-join: Spark broadcasts the boxes' cells if they are small and shuffles both sides by
-    cell otherwise; AQE splits crowded cells.
+    Points may be an index, whose pages are then looked up, or a table, which may carry its ``cell`` already. The join on
+    cell is an equi-join: Spark broadcasts the boxes' cells if they are small and shuffles both sides by cell otherwise; AQE
+    splits crowded cells. Boxes with nulls find nothing, nor are points with a null coordinate in any box.
     """
+    if isinstance(points, Index):
+        return indexes.range_rows(points, boxes, keep, extra)
     coords = grid.spec.coords
     celled = points if "cell" in points.columns else with_cell(points, grid)
-    hits = cell_intervals(boxes, grid).select("qid", "cell", "lo", "hi")
+    hits = cell_intervals(boxes, grid, extra).select("qid", "cell", "lo", "hi", *extra)
     n = len(coords)
     inside = in_box(coords, [F.element_at("lo", i + 1) for i in range(n)], [F.element_at("hi", i + 1) for i in range(n)])
     slim = celled.select(*dict.fromkeys([*keep, *coords, "cell"]))
-    return slim.join(hits, "cell").filter(inside).select("qid", *keep)
+    return slim.join(hits, "cell").filter(inside).select("qid", *keep, *extra)
 
 
-def range_count(points: DataFrame, boxes: DataFrame, grid: Grid) -> DataFrame:
+def range_count(points: DataFrame | Index, boxes: DataFrame, grid: Grid) -> DataFrame:
     """(qid, n) with 0 for boxes without points."""
     hits = range_rows(points, boxes, grid, [grid.spec.coords[0]]).groupBy("qid").agg(F.count("*").alias("n"))
     return boxes.select("qid").join(hits, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("n"))
@@ -44,48 +49,67 @@ def boxes_around(centres: DataFrame, grid: Grid, radius: Column) -> DataFrame:
     return centres.select("qid", lo.alias("lo"), hi.alias("hi"), F.array(*c).alias("centre"), radius.cast("double").alias("r"))
 
 
-def radius_rows(points: DataFrame, centres: DataFrame, grid: Grid, radius: Column, keep: list[str]) -> DataFrame:
-    """(qid, keep..., dist) of the points at most ``radius`` away, by closed L2 distance."""
+def radius_rows(points: DataFrame | Index, centres: DataFrame, grid: Grid, radius: Column, keep: list[str]) -> DataFrame:
+    """(qid, keep..., dist) of the points at most ``radius`` away, by closed L2 distance; none for centres with a null coordinate."""
     spec = grid.spec
-    spheres = boxes_around(centres, grid, radius)
-    found = range_rows(points, spheres, grid, list(dict.fromkeys([*keep, *spec.coords])))
-    near = found.join(spheres.select("qid", "centre", "r"), "qid").withColumn("dist", distance(spec.coords, [F.element_at("centre", i + 1) for i in range(spec.dims)]))
+    found = range_rows(points, boxes_around(centres, grid, radius), grid, list(dict.fromkeys([*keep, *spec.coords])), ("centre", "r"))
+    near = found.withColumn("dist", distance(spec.coords, [F.element_at("centre", i + 1) for i in range(spec.dims)]))
     return near.filter(F.col("dist") <= F.col("r")).select("qid", *keep, "dist")
 
 
-def radius_count(points: DataFrame, centres: DataFrame, grid: Grid, radius: Column) -> DataFrame:
+def radius_count(points: DataFrame | Index, centres: DataFrame, grid: Grid, radius: Column) -> DataFrame:
+    """(qid, n) with 0 for spheres without points."""
     hits = radius_rows(points, centres, grid, radius, [grid.spec.coords[0]]).groupBy("qid").agg(F.count("*").alias("n"))
     return centres.select("qid").join(hits, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def nearest_in_spheres(points: DataFrame, centres: DataFrame, grid: Grid, k: int, id_col: str, first: Column) -> DataFrame:
-    """(qid, id, dist, r): all points in the final sphere of each centre, which holds k points or reaches across the domain.
+def _nearest(near: DataFrame, k: int, id_col: str) -> DataFrame:
+    order = Window.partitionBy("qid").orderBy("dist", id_col)
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _widened(points: DataFrame | Index, centres: DataFrame, grid: Grid, k: int, id_col: str, first: Column, empty: int = 2) -> DataFrame:
+    """(qid, r, near): the final radius of each centre, and its k nearest points as an array of (rank, id, dist).
 
-    Spheres start with ``first`` and those with fewer than k points double; finished centres leave the loop. A sphere stops at
-    the farthest corner of the domain, so tables of fewer than k points end too.
+    Spheres start with ``first`` and those with fewer than k points double, or grow ``empty`` times if they hold none; finished centres leave the loop. A sphere stops at
+    the farthest corner of the domain, so tables of fewer than k points end too. A round keeps k points a centre at most.
     """
-    spec = grid.spec
-    celled = with_cell(points, grid) if "cell" not in points.columns else points
-    open_, done = saved(centres.withColumn("__r", F.greatest(first.cast("double"), F.lit(1e-9))), "centres"), None
-    far = F.sqrt(sum(((F.greatest(F.abs(F.col(f"c{i}") - spec.low[i]), F.abs(F.col(f"c{i}") - spec.high[i]))) ** 2 for i in range(spec.dims)), F.lit(0.0)))
-    open_ = open_.withColumn("__far", far * 1.000001 + 1e-9)
+    spec, coords = grid.spec, [f"c{i}" for i in range(grid.spec.dims)]
+    slim = points
+    if not isinstance(points, Index):
+        slim = points if "cell" in points.columns else saved(with_cell(points.select(id_col, *spec.coords), grid), "celled")
+    far = F.sqrt(sum(((F.greatest(F.abs(F.col(c) - spec.low[i]), F.abs(F.col(c) - spec.high[i]))) ** 2 for i, c in enumerate(coords)), F.lit(0.0)))
+    open_ = centres.select("qid", *coords, F.greatest(first.cast("double"), F.lit(1e-9)).alias("__r"), (far * 1.000001 + 1e-9).alias("__far"))
+    open_, done = saved(open_.filter(F.col("__far").isNotNull()), "centres"), None
     while True:
-        found = saved(radius_rows(celled, open_, grid, F.col("__r"), [id_col]), "spheres")
-        counts = found.groupBy("qid").agg(F.count("*").alias("__n"))
-        state = open_.join(counts, "qid", "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
-        enough = state.filter((F.col("__n") >= k) | (F.col("__r") >= F.col("__far"))).select("qid", F.col("__r").alias("r"))
-        part = found.join(enough, "qid").select("qid", id_col, "dist", "r")
+        near = _nearest(radius_rows(slim, open_, grid, F.col("__r"), [id_col]), k, id_col)
+        lists = near.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", id_col, "dist"))).alias("near"))
+        state = saved(open_.join(lists, "qid", "left").withColumn("__n", F.greatest(F.size("near"), F.lit(0))), "spheres")
+        ends = (F.col("__n") >= k) | (F.col("__r") >= F.col("__far"))
+        part = state.filter(ends).select("qid", F.col("__r").alias("r"), "near")
         done = part if done is None else done.unionByName(part)
-        open_ = saved(state.filter((F.col("__n") < k) & (F.col("__r") < F.col("__far"))).withColumn("__r", F.least(F.col("__r") * 2, F.col("__far"))).drop("__n"), "centres")
+        open_ = state.filter(~ends).withColumn("__r", F.least(F.col("__r") * F.when(F.col("__n") == 0, empty).otherwise(2), F.col("__far"))).drop("near", "__n")
         if open_.isEmpty():
-            break
-    return done
+            return done
 
 
-def knn(points: DataFrame, centres: DataFrame, grid: Grid, k: int, id_col: str, first: Column) -> DataFrame:
-    """(qid, rank, id, dist): the k nearest points, fewer if there are fewer; equal distances go to the smaller id."""
-    order = Window.partitionBy("qid").orderBy("dist", id_col)
-    return nearest_in_spheres(points, centres, grid, k, id_col, first).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", id_col, "dist")
+def nearest_in_spheres(points: DataFrame | Index, centres: DataFrame, grid: Grid, k: int, id_col: str, first: Column) -> DataFrame:
+    """(qid, id, dist, r): all points in the final sphere of each centre, which holds k points or reaches across the domain.
+
+    Centres with a null coordinate have no sphere.
+    """
+    ends = _widened(points, centres, grid, k, id_col, first).select("qid", "r")
+    wide = centres.join(ends, "qid")
+    return radius_rows(points, wide, grid, F.col("r"), [id_col]).join(ends, "qid").select("qid", id_col, "dist", "r")
+
+
+def knn(points: DataFrame | Index, centres: DataFrame, grid: Grid, k: int, id_col: str, first: Column) -> DataFrame:
+    """(qid, rank, id, dist): the k nearest points, fewer if there are fewer; equal distances go to the smaller id.
+
+    Centres with a null coordinate have no neighbour, and points with one are nobody's.
+    """
+    found = _widened(points, centres, grid, k, id_col, first, 4)
+    return found.select("qid", F.explode("near").alias("__p")).select("qid", "__p.rank", f"__p.{id_col}", "__p.dist")
 
 
 def density_radius(grid: Grid, rows: int, k: int) -> float:
@@ -101,3 +125,9 @@ def knn_radii(neighbours: DataFrame, k: int) -> DataFrame:
     """(qid, radii): distances to the first k neighbours in rising order, null if there are fewer than k."""
     got = neighbours.filter(F.col("rank") <= k).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "dist"))), lambda x: x["dist"]).alias("radii"))
     return got.select("qid", F.when(F.size("radii") == k, F.col("radii")).alias("radii"))
+
+
+def fixed_radii(points: DataFrame | Index, centres: DataFrame, grid: Grid, k: int, id_col: str, radius: Column) -> DataFrame:
+    """(qid, radii): distances to the first k neighbours of every centre within a fixed radius, null if fewer than k lie in it."""
+    found = knn_radii(_nearest(radius_rows(points, centres, grid, radius, [id_col]), k, id_col), k)
+    return centres.select("qid").join(found, "qid", "left").select("qid", "radii")

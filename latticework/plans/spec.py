@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -10,6 +10,10 @@ import numpy as np
 COORDINATE, IDENTIFIER = "double", "long"
 
 
+#: Rows that a segment has at least before there are more segments than a spec asks for, and the most segments there are.
+SEGMENT_ROWS, MOST_SEGMENTS = 50_000, 1_000_000
+
+
 @dataclass(frozen=True)
 class IndexSpec:
     """``parts`` equi-depth parts for each dimension but the last; ``low`` and ``high`` bound the domain of each."""
@@ -30,6 +34,10 @@ class IndexSpec:
         if any(h < l for l, h in zip(self.low, self.high)) or self.parts < 1 or not 0 <= self.eta < 1:
             raise ValueError("the domain, parts or eta is out of range")
 
+    def sized(self, rows: int) -> IndexSpec:
+        """The same with segments that follow the rows, so that one of them fits a task at any size."""
+        return replace(self, segments=max(self.segments, min(MOST_SEGMENTS, rows // SEGMENT_ROWS)))
+
     @property
     def dims(self) -> int:
         return len(self.coords)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry, text
-from .operators import checks, grid, lattice, layout, mutate, search
-from .operators.ranks import ranked, saved
+from .operators import checks, grid, index, lattice, layout, mutate, search
+from .operators.index import Index
+from .operators.ranks import ranked, saved, shared_folder
 from .plans.spec import IndexSpec
 from .sources import files, generate
 
@@ -58,6 +63,55 @@ def spec_2d(points: DataFrame, **sizes) -> IndexSpec:
     return grid.spec_for(points, ("x", "y"), **({"parts": 16} | sizes))
 
 
+#: Indexes that this process has built or opened, by path.
+_OPEN: dict[str, Index] = {}
+
+
+def stored_path(spark: SparkSession, d: str, name: str) -> str:
+    """A folder of this application for what is built from the tables at ``d``."""
+    return f"{shared_folder(spark)}/{name}-{hashlib.md5(d.encode()).hexdigest()[:12]}-{spark.sparkContext.applicationId}"
+
+
+def stored(spark: SparkSession, d: str, name: str, points, coords: tuple[str, ...], **sizes) -> Index:
+    """The index of a point set, built once and then queried."""
+    path = stored_path(spark, d, f"index-{name}")
+    if path not in _OPEN:
+        _OPEN[path] = files.build_index(points(spark, d), coords, "id", path, **sizes)
+    return _OPEN[path]
+
+
+def orders_index(spark: SparkSession, d: str) -> Index:
+    return stored(spark, d, "orders", orders, ("x", "y"), parts=16)
+
+
+def events_index(spark: SparkSession, d: str) -> Index:
+    return stored(spark, d, "events", events, ("x", "y"), parts=16)
+
+
+def lines_index(spark: SparkSession, d: str) -> Index:
+    return stored(spark, d, "lines", lambda *a: lines(*a).withColumn("id", F.monotonically_increasing_id()), ("x", "y", "z"), parts=8)
+
+
+def vectors_index(spark: SparkSession, d: str) -> Index:
+    return stored(spark, d, "vectors", scaled_vectors, tuple(f"v{i}" for i in range(4)), parts=4)
+
+
+def events_lattice(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The events' trained lattice with the tables that it was trained on, stored once."""
+    path = stored_path(spark, d, "lattice-events")
+    found = files.load_lattice(spark, path)
+    if found is None:
+        ix = events_index(spark, d)
+        tables = lattice.prepared(ix, ix.grid, "id")
+        files.save_lattice(tables | {"model": lattice.train(ix, ix.grid, "id", tables=tables)}, path)
+        found = files.load_lattice(spark, path)
+    return found
+
+
+#: What queries build before they ask, in this order.
+BUILDS = {"build_orders_2d": orders_index, "build_events_2d": events_index, "build_lines_3d": lines_index, "build_vectors_4d": vectors_index, "build_lattice": events_lattice}
+
+
 # Query sets are made from row numbers by the same arithmetic in both languages.
 def boxes_2d(spark: SparkSession, n: int = 200) -> DataFrame:
     q = F.col("id")
@@ -66,6 +120,7 @@ def boxes_2d(spark: SparkSession, n: int = 200) -> DataFrame:
 
 
 BOXES_2D = "(SELECT CAST(q AS INTEGER) AS qid, CAST(q * 7919 % 450000 AS DOUBLE) AS lx, CAST(q * 104729 % 1400 AS DOUBLE) AS ly, CAST(q * 7919 % 450000 AS DOUBLE) + 20000 + q * 31 % 30000 AS hx, CAST(q * 104729 % 1400 AS DOUBLE) + 50 + q * 17 % 400 AS hy FROM range(200) t(q))"
+BOXES_1000 = BOXES_2D.replace("range(200)", "range(1000)")
 
 
 def boxes_3d(spark: SparkSession) -> DataFrame:
@@ -88,94 +143,103 @@ DIST = "sqrt((x - c0) * (x - c0) + (y - c1) * (y - c1))"
 
 
 def range_count_2d(spark, d):
+    ix = orders_index(spark, d)
+    return search.range_count(ix, boxes_2d(spark), ix.grid)
+
+
+def range_count_1000(spark, d):
+    """Counts for 1,000 boxes, as in the reference's experiments."""
+    ix = orders_index(spark, d)
+    return search.range_count(ix, boxes_2d(spark, 1000), ix.grid)
+
+
+def range_count_cells(spark, d):
+    """The same by cells of the grid, from the table instead of the index."""
     p = orders(spark, d)
-    return search.range_count(p, boxes_2d(spark), grid.build_grid(p, spec_2d(p)))
+    return search.range_count(p, boxes_2d(spark), orders_index(spark, d).grid)
 
 
 def range_rows_2d(spark, d):
-    p = orders(spark, d)
-    return search.range_rows(p, boxes_2d(spark), grid.build_grid(p, spec_2d(p)), ["id", "x", "y"])
+    ix = orders_index(spark, d)
+    return search.range_rows(ix, boxes_2d(spark), ix.grid, ["id", "x", "y"])
+
+
+def index_range_query(spark, d):
+    """Hits of each box; pages with hits that the look-up did not read; and whether it read just the pages whose ranges of m meet the box."""
+    ix, boxes = orders_index(spark, d), boxes_2d(spark)
+    got = index.range_query(ix, boxes)
+    read = index.pages_of(ix, boxes).select("qid", "page")
+    held = search.range_rows(ix.points, boxes, ix.grid, ["page"]).distinct()
+    missed = held.join(read, ["qid", "page"], "left_anti").groupBy("qid").agg(F.count("*").alias("missed"))
+    wanted = layout.pages_per_query(ix.pages, boxes, ix.grid).withColumnRenamed("n_pages", "wanted")
+    return got.join(missed, "qid", "left").join(wanted, "qid").select("qid", "n", F.coalesce("missed", F.lit(0)).alias("missed"), (F.col("n_pages") == F.col("wanted")).alias("agrees"))
+
+
+def pages_and_hits(spark, d):
+    """Pages by exact ranks that a box reads, and its hits, in one result."""
+    ix = orders_index(spark, d)
+    return pages_per_query(spark, d).join(search.range_count(ix, boxes_2d(spark), ix.grid), "qid")
 
 
 def range_count_3d(spark, d):
-    p = lines(spark, d)
-    return search.range_count(p, boxes_3d(spark), grid.build_grid(p, grid.spec_for(p, ("x", "y", "z"), parts=8)))
+    ix = lines_index(spark, d)
+    return search.range_count(ix, boxes_3d(spark), ix.grid)
 
 
 def scaled_vectors(spark, d):
+    """The first four components of each vector, the point set of four dimensions, each scaled to 0.01 .. 10000."""
     return checks.scaled(vectors(spark, d), [f"v{i}" for i in range(4)], 0.01, 10000.0)
 
 
 def range_count_4d(spark, d):
-    p = saved(scaled_vectors(spark, d), "vectors")
+    ix = vectors_index(spark, d)
     numbers = spark.createDataFrame([(i, line) for i, line in enumerate(BOXES_4D.split("\n"))], "qid int, value string")
     # widened by 3000 on all sides, or few of the small tables' points would be inside
     parsed = numbers.select("qid", F.transform(F.split("value", " "), lambda x: x.cast("double")).alias("v"))
     wide = parsed.select("qid", F.transform(F.slice("v", 1, 4), lambda x: x - 3000).alias("lo"), F.transform(F.slice("v", 5, 4), lambda x: x + 3000).alias("hi"))
-    spec = IndexSpec(tuple(f"v{i}" for i in range(4)), (0.01,) * 4, (10000.0,) * 4, parts=4)
-    return search.range_count(p, wide, grid.build_grid(p, spec))
+    return search.range_count(ix, wide, ix.grid)
 
 
 def range_empty(spark, d):
-    p = orders(spark, d)
+    ix = orders_index(spark, d)
     odd = spark.createDataFrame([(0, [500.0, 10.0], [400.0, 20.0]), (1, [1e9, 0.0], [2e9, 10.0]), (2, [-5.0, -5.0], [-1.0, -1.0])], "qid int, lo array<double>, hi array<double>")
-    return search.range_count(p, odd, grid.build_grid(p, spec_2d(p)))
+    return search.range_count(ix, odd, ix.grid)
 
 
 def range_boundary(spark, d):
     """Boxes of no extent on each of the points of smallest and largest coordinates, and on the whole domain."""
-    p = orders(spark, d)
-    spec = spec_2d(p)
+    ix = orders_index(spark, d)
+    spec = ix.grid.spec
     rows = [(0, list(spec.low), list(spec.high)), (1, [spec.low[0], spec.low[1]], [spec.low[0], spec.high[1]]), (2, [spec.high[0], spec.low[1]], [spec.high[0], spec.high[1]]), (3, [spec.low[0], spec.high[1]], [spec.high[0], spec.high[1]])]
-    return search.range_count(p, spark.createDataFrame(rows, "qid int, lo array<double>, hi array<double>"), grid.build_grid(p, spec))
+    return search.range_count(ix, spark.createDataFrame(rows, "qid int, lo array<double>, hi array<double>"), ix.grid)
 
 
 def radius_rows(spark, d):
-    p = events(spark, d)
-    got = search.radius_rows(p, centres_2d(spark), grid.build_grid(p, spec_2d(p)), F.lit(60000.0), ["id"])
-    return got.select("qid", "id", F.round("dist", 4).alias("dist"))
+    ix = events_index(spark, d)
+    return search.radius_rows(ix, centres_2d(spark), ix.grid, F.lit(60000.0), ["id"]).select("qid", "id", F.round("dist", 4).alias("dist"))
 
 
 def radius_count(spark, d):
-    p = events(spark, d)
-    return search.radius_count(p, centres_2d(spark), grid.build_grid(p, spec_2d(p)), F.lit(60000.0))
+    ix = events_index(spark, d)
+    return search.radius_count(ix, centres_2d(spark), ix.grid, F.lit(60000.0))
 
 
 def _neighbours(spark, d, first=None):
-    p = events(spark, d)
-    g = grid.build_grid(p, spec_2d(p))
-    c = centres_2d(spark)
+    ix, c = events_index(spark, d), centres_2d(spark)
     if first is not None:
-        c = first(p, c, g)
-    start = F.col("first") if first is not None else F.lit(search.density_radius(g, p.count(), 5))
-    return search.knn(p, c, g, 5, "id", start)
+        c = first(c, ix.grid)
+    rows = ix.pages.agg(F.sum("n")).first()[0] or 0
+    start = F.col("first") if first is not None else F.lit(search.density_radius(ix.grid, rows, 5))
+    return search.knn(ix, c, ix.grid, 5, "id", start)
 
 
 def knn_exact(spark, d):
     return _neighbours(spark, d).select("qid", "rank", "id", F.round("dist", 4).alias("dist"))
 
 
-def lattice_sample(spark, spec):
-    """(qid, c0, c1): 40 points a lattice node, spread evenly over the domain."""
-    seeds = generate.uniform_points(spark, 40 * (spec.lattice_intervals + 1) ** spec.dims, spec.dims, 0.0, 1.0, seed=5)
-    return seeds.select(F.col("id").alias("qid"), *[(F.col(f"x{i}") * (spec.high[i] - spec.low[i]) + spec.low[i]).alias(f"c{i}") for i in range(spec.dims)])
-
-
-def lattice_model(spark, p, g, k: int = 10):
-    """Trains on the distances of sampled points to their first k neighbours, fewer if there are fewer points; returns (node_id, radii)."""
-    spec, rows = g.spec, p.count()
-    k = max(1, min(k, rows))
-    train = saved(lattice_sample(spark, spec), "lattice-points")
-    near = search.knn(p, train, g, k, "id", F.lit(search.density_radius(g, rows, k)))
-    radii = search.knn_radii(near, k).filter("radii IS NOT NULL")
-    weights = lattice.corner_weights(train.select("qid", F.col("c0").alias("x"), F.col("c1").alias("y")), spec, "qid")
-    return lattice.solve(spark, spec, saved(weights, "lattice-weights"), saved(radii, "lattice-radii"), "qid")
-
-
 def knn_lattice(spark, d):
-    def first(p, c, g):
-        model = lattice_model(spark, p, g)
-        told = lattice.estimated_radii(c.select("qid", F.col("c0").alias("x"), F.col("c1").alias("y")), g.spec, model, "qid")
+    def first(c, g):
+        told = lattice.estimated_radii(lattice.as_points(c, g.spec), g.spec, events_lattice(spark, d)["model"], "qid")
         return c.join(told, "qid", "left").withColumn("first", F.coalesce(lattice.first_radius(F.col("radii"), 5, g.spec), F.lit(1.0))).drop("radii")
 
     return _neighbours(spark, d, first).select("qid", "rank", "id", F.round("dist", 4).alias("dist"))
@@ -186,85 +250,166 @@ def knn_radii(spark, d):
     return search.knn_radii(_neighbours(spark, d), 5).select("qid", F.round(F.element_at("radii", 5), 4).alias("radius"))
 
 
+def knn_fixed(spark, d):
+    """Distance to the third neighbour within a fixed radius, null where it holds fewer."""
+    ix = events_index(spark, d)
+    got = search.fixed_radii(ix, centres_2d(spark), ix.grid, 3, "id", F.lit(60000.0))
+    return got.select("qid", F.round(F.element_at("radii", 3), 4).alias("radius"))
+
+
 def knn_sphere(spark, d):
     """All points within the first of the radii 20000, 40000, 80000, ... that holds five points."""
-    p = events(spark, d)
-    got = search.nearest_in_spheres(p, centres_2d(spark), grid.build_grid(p, spec_2d(p)), 5, "id", F.lit(20000.0))
+    ix = events_index(spark, d)
+    got = search.nearest_in_spheres(ix, centres_2d(spark), ix.grid, 5, "id", F.lit(20000.0))
     return got.groupBy("qid").agg(F.count("*").alias("n"), F.max("r").alias("r"))
 
 
 def grid_bounds(spark, d):
-    p = orders(spark, d)
-    g = grid.build_grid(p, spec_2d(p))
+    g = orders_index(spark, d).grid
     return spark.createDataFrame([(i, float(b)) for i, b in enumerate(g.bounds[0][0])], "part int, bound double")
 
 
 def cell_hist(spark, d):
-    p = orders(spark, d)
-    return grid.with_cell(p, grid.build_grid(p, spec_2d(p))).groupBy("cell").agg(F.count("*").alias("n"))
+    return grid.with_cell(orders(spark, d), orders_index(spark, d).grid).groupBy("cell").agg(F.count("*").alias("n"))
 
 
 def mapping_values(spark, d):
-    p = orders(spark, d)
-    return grid.with_mapping(p, grid.build_grid(p, spec_2d(p))).select("id", "cell", F.round("m", 6).alias("m"))
+    return grid.with_mapping(orders(spark, d), orders_index(spark, d).grid).select("id", "cell", F.round("m", 6).alias("m"))
 
 
 def cell_borders(spark, d):
-    p = orders(spark, d)
-    b = grid.cell_borders(spark, grid.build_grid(p, spec_2d(p)))
+    b = grid.cell_borders(spark, orders_index(spark, d).grid)
     return b.select("cell", F.element_at("lo", 1).alias("lo"), F.element_at("hi", 1).alias("hi"), "volume")
 
 
 def cell_intervals(spark, d):
-    p = orders(spark, d)
-    got = grid.cell_intervals(boxes_2d(spark), grid.build_grid(p, spec_2d(p)))
+    got = grid.cell_intervals(boxes_2d(spark), orders_index(spark, d).grid)
     return got.select("qid", "cell", F.round("low_m", 6).alias("low_m"), F.round("high_m", 6).alias("high_m"))
 
 
+def _segmented(spark, d):
+    """Orders with cell, m and segment."""
+    ix = orders_index(spark, d)
+    return ix.points.select("id", "x", "y", "cell", "m", "segment")
+
+
 def segment_sizes(spark, d):
-    p = orders(spark, d)
-    g = grid.build_grid(p, spec_2d(p))
-    m = saved(grid.with_mapping(p, g), "mapped")
-    return layout.segment_sizes(layout.with_segment(m, layout.segment_bounds(m, g.spec, "id"))).select("segment", "n", "first")
+    return layout.segment_sizes(_segmented(spark, d)).select("segment", "n", "first")
+
+
+def _paged(spark, d):
+    """Orders with cell, m and the page that exact ranks give."""
+    ix = orders_index(spark, d)
+    return layout.rank_pages(ix.points.select("id", "x", "y", "cell", "m"), ix.grid.spec, "id")
 
 
 def page_occupancy(spark, d):
-    p = orders(spark, d)
-    g = grid.build_grid(p, spec_2d(p))
-    return layout.rank_pages(grid.with_mapping(p, g), g.spec, "id").groupBy("page").agg(F.count("*").alias("n"))
+    return _paged(spark, d).groupBy("page").agg(F.count("*").alias("n"))
 
 
 def pages_per_query(spark, d):
-    p = orders(spark, d)
-    g = grid.build_grid(p, spec_2d(p))
-    paged = layout.rank_pages(grid.with_mapping(p, g), g.spec, "id")
-    return layout.pages_per_query(layout.page_table(paged), boxes_2d(spark), g)
+    return layout.pages_per_query(layout.page_table(_paged(spark, d)), boxes_2d(spark), orders_index(spark, d).grid)
 
 
-def _index(spark, d):
-    p = orders(spark, d)
-    g = grid.build_grid(p, spec_2d(p))
-    indexed, models = layout.build_index(p, g, "id")
-    return saved(indexed, "indexed"), saved(models, "models"), g
+def split_mappings(spark, d):
+    """First mapping of the page behind each page, in shards of eight pages."""
+    pages = layout.page_table(_paged(spark, d))
+    got = layout.split_mappings(pages, pages.select("page", F.floor(F.col("page") / 8).alias("shard")))
+    return got.select("shard", "page", F.round("low_m", 6).alias("low_m"), F.round("next_low", 6).alias("next_low"))
+
+
+def within_shard(spark, d):
+    """The page of its shard that a point's mapping leads to, from the shard's split mappings."""
+    paged = _paged(spark, d).withColumn("shard", F.floor(F.col("page") / 8))
+    pages = paged.groupBy("shard", "page").agg(F.min("m").alias("low_m")).filter("page % 8 > 0")
+    splits = pages.groupBy("shard").agg(F.sort_array(F.collect_list("low_m")).alias("splits"))
+    first = F.coalesce("splits", F.array().cast("array<double>"))
+    return paged.join(splits, "shard", "left").select("id", index.within_shard(first, F.col("m")).cast("long").alias("place"))
+
+
+def _raw_shards(spark, d):
+    p = orders(spark, d).select(F.pmod(F.col("y"), F.lit(5)).cast("long").alias("segment"), F.floor(F.col("x") / 20000).alias("raw"))
+    return layout.merged_tails(p.groupBy("segment", "raw").agg(F.count("*").alias("c")), 113)
+
+
+def shards_layout(spark, d):
+    """Shards of given predictions: five segments by customer, price by 20,000 as the raw shard."""
+    named = _raw_shards(spark, d)
+    return named.select("segment", "raw", "own").join(layout.numbered_shards(named, 113), ["segment", "own"]).select("segment", "raw", "own", "count", "shard", "first_page")
+
+
+def shards_per_segment(spark, d):
+    return layout.shards_per_segment(layout.numbered_shards(_raw_shards(spark, d), 113))
 
 
 def learned_pages(spark, d):
     """Pages of the learned layout: (shard, page, n, low_m, high_m)."""
-    indexed, _, _ = _index(spark, d)
-    return indexed.groupBy("shard", "page").agg(F.count("*").alias("n"), F.min("m").alias("low_m"), F.max("m").alias("high_m"))
+    return orders_index(spark, d).pages.select("shard", "page", "n", "low_m", "high_m")
 
 
 def learned_pages_per_query(spark, d):
-    indexed, _, g = _index(spark, d)
-    return layout.pages_per_query(layout.page_table(indexed), boxes_2d(spark), g)
+    ix = orders_index(spark, d)
+    return index.range_query(ix, boxes_2d(spark)).select("qid", "n_pages")
 
 
 def piecewise_model(spark, d):
-    return _index(spark, d)[1].select("segment", "n", F.size("alphas").alias("knots"), "loss")
+    return orders_index(spark, d).models.select("segment", "n", F.size("alphas").alias("knots"), "loss")
+
+
+def model_checks(spark, d):
+    """Rows of each segment, whether its model rises, and whether it beats the best constant."""
+    models = orders_index(spark, d).models
+    return models.select("segment", "n", layout.model_rises("alphas", "betas").alias("rises"), (F.col("loss") <= F.col("n") * (F.col("n") * F.col("n") - 1) / 12).alias("fits"))
+
+
+def predicted_shard_hits(spark, d):
+    """Points, and those whose shard by the models and the directory is the one that they are stored in."""
+    ix = orders_index(spark, d)
+    told = index.predicted_shards(ix, ix.points.select("id", "m", F.col("shard").alias("stored")), "m")
+    return told.agg(F.count("*").alias("n"), F.sum(F.when(F.col("shard") == F.col("stored"), 1).otherwise(0)).alias("hits"))
 
 
 def index_stats(spark, d):
-    return layout.index_stats(*_index(spark, d))
+    ix = orders_index(spark, d)
+    return layout.index_stats(ix.points, ix.models, ix.grid)
+
+
+def index_totals(spark, d):
+    """Points and segments, points by the directory, whether no page is too large, and points off their page's range."""
+    ix = orders_index(spark, d)
+    held = ix.points.agg(F.count("*").alias("points"), F.countDistinct("segment").alias("segments"))
+    listed = ix.pages.agg(F.sum("n").alias("listed"), (F.max("n") <= ix.grid.spec.page_size).alias("fits"))
+    off = mutate.misplaced(ix.points, ix.pages.select("page", "low_m", "high_m")).agg(F.count("*").alias("off"))
+    return held.join(F.broadcast(listed)).join(F.broadcast(off))  # one row each
+
+
+def index_round_trip(spark, d):
+    """The points of the stored index, opened anew."""
+    orders_index(spark, d)
+    again = files.open_index(spark, stored_path(spark, d, "index-orders"))
+    return again.points.select("id", "cell", F.round("m", 6).alias("m"))
+
+
+def layout_order(spark, d):
+    """The place of each point in the layout: by shard, page and m."""
+    keys = ["shard", "page", "m", "id"]
+    return ranked(orders_index(spark, d).points.select(*keys), keys, "place").select("place", "id")
+
+
+def insert_pages(spark, d):
+    """Pages after orders of odd ids were inserted into the layout of those of even ids."""
+    spec = orders_index(spark, d).grid.spec
+    points = _segmented(spark, d).select("segment", "m", "id")
+    first = layout.segment_pages(points.filter("id % 2 = 0"), spec, "id")
+    got = mutate.inserted(first, points.filter("id % 2 = 1"), spec, "id")
+    return got.groupBy("segment", "page", "piece").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+def delete_pages(spark, d):
+    """Pages after the orders of every third id were deleted and neighbours that fit one page were merged."""
+    spec = orders_index(spark, d).grid.spec
+    paged = layout.segment_pages(_segmented(spark, d).select("segment", "m", "id"), spec, "id")
+    return mutate.merged(paged.filter("id % 3 <> 0"), spec).groupBy("segment", F.col("merged").alias("page")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 def insert_bag(spark, d):
@@ -316,8 +461,45 @@ def lattice_laplacian(spark, d):
 
 
 def lattice_coeffs(spark, d):
-    p = events(spark, d)
-    return lattice_model(spark, p, grid.build_grid(p, spec_2d(p)))
+    ix = events_index(spark, d)
+    return lattice.train(ix, ix.grid, "id")
+
+
+def lattice_tables(spark, d):
+    """Rows of the stored tables that a lattice is trained and tested on."""
+    found = events_lattice(spark, d)
+    return _stacked([found[n].agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in files.LATTICE])
+
+
+def _stacked(frames):
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def lattice_residual(spark, d):
+    """Whether the stored coefficients solve the normal equations, for each node and neighbour."""
+    spec, found = events_index(spark, d).grid.spec, events_lattice(spark, d)
+    w = saved(lattice.corner_weights(lattice.as_points(found["training_points"], spec), spec, "qid"), "weights")
+    m = F.lit(float(found["training_radii"].count()))
+    b = found["model"].select("node_id", F.posexplode("radii").alias("k", "b"))
+    y = found["training_radii"].select("qid", F.posexplode("radii").alias("k", "y"))
+    told = w.join(b, "node_id").groupBy("qid", "k").agg(F.sum(F.col("w") * F.col("b")).alias("told"))
+    fit = w.join(told.join(y, ["qid", "k"]), "qid").groupBy("node_id", "k").agg((F.sum(F.col("w") * (F.col("told") - F.col("y"))) / m).alias("part"))
+    smooth = lattice.laplacian(spark, spec).join(b.withColumnRenamed("node_id", "col"), "col").groupBy(F.col("row").alias("node_id"), "k").agg((F.sum(F.col("val") * F.col("b")) * lattice.ALPHA).alias("part"))
+    scale = F.greatest(F.lit(1.0), F.max(F.abs("part")))
+    total = fit.unionByName(smooth).groupBy("node_id", "k").agg((F.abs(F.sum("part")) <= scale * 1e-6).alias("solved"))
+    return total.select("node_id", F.col("k").cast("long").alias("k"), "solved")
+
+
+def lattice_constant(spark, d):
+    """Estimates of a lattice whose training points all had the same radii: these, everywhere."""
+    ix, found = events_index(spark, d), events_lattice(spark, d)
+    same = found["training_radii"].select("qid", F.array(F.lit(2.0), F.lit(7.0)).alias("radii"))
+    model = lattice.train(ix, ix.grid, "id", tables={"training_points": found["training_points"], "training_radii": same})
+    told = lattice.estimated_radii(events(spark, d), ix.grid.spec, model, "id")
+    return told.select("id", F.round(F.element_at("radii", 1), 6).alias("a"), F.round(F.element_at("radii", 2), 6).alias("b"))
 
 
 def order_inversions(spark, d):
@@ -430,18 +612,118 @@ def product_rows(spark, d):
 
 
 def shards_per_query(spark, d):
-    indexed, _, g = _index(spark, d)
-    found = layout.shards_for(grid.cell_intervals(boxes_2d(spark), g), layout.shard_directory(indexed), g.spec.parts)
+    ix = orders_index(spark, d)
+    found = layout.shards_for(grid.cell_intervals(boxes_2d(spark), ix.grid), layout.shard_directory(ix.points), ix.grid.spec.parts)
     return found.groupBy("qid").agg(F.count("*").alias("shards"))
 
 
 def learned_order(spark, d):
     """Whether the learned layout keeps the order of m: points whose shard is below an earlier one's."""
-    indexed, _, _ = _index(spark, d)
-    numbered = ranked(indexed.select("m", "id", "shard"), ["m", "id"], "pos").select("pos", "shard")
+    numbered = ranked(orders_index(spark, d).points.select("m", "id", "shard"), ["m", "id"], "pos").select("pos", "shard")
     return checks.inversions(numbered, "pos", "shard")
 
 
+def rising_vectors(spark, d):
+    """Whether all components of a vector rise."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
+    return rows.select("vec_id", checks.rising("a").alias("rises"))
+
+
+def point_scan(spark, d):
+    return files.read_points(spark, f"{d}/orders.parquet", ["o_totalprice", "o_custkey"], "o_orderkey")
+
+
+def npy_scan(spark, d):
+    """Rows of a .npy matrix that holds a row's number times 1.5, and its square."""
+    data = io.BytesIO()
+    np.save(data, np.array([[q * 1.5, q * q] for q in range(25)]))
+    return files.npy_rows(spark.createDataFrame([(bytearray(data.getvalue()),)], "content binary"), 2)
+
+
+def text_lines(spark, d):
+    return files.text_rows(orders(spark, d), ["x", "y"])
+
+
+def list_lines(spark, d):
+    """How often each line of the documents stands there, without white space at its ends."""
+    lines_ = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(F.split("text", "\n")).alias("value"))
+    return files.list_of(lines_).groupBy("value").agg(F.count("*").alias("n"))
+
+
+def map_lines(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    return files.map_lines(n.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value")))
+
+
+def list_folders(spark, d):
+    """Folders that hold files of a suffix below a folder that was just written."""
+    path = stored_path(spark, d, "listed")
+    spark.read.parquet(f"{d}/nation.parquet").select("n_name", "n_regionkey").write.mode("overwrite").partitionBy("n_regionkey").text(path)
+    found = files.list_files(spark, path, ".txt")
+    return found.select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()
+
+
+def folders(spark, d):
+    """Whether a full folder is refused, then removed, and an empty one is removed, and a missing one is not."""
+    path = stored_path(spark, d, "folders")
+    files.make_folder(spark, f"{path}/inner")
+    done = [files.remove_folder(spark, path, only_empty=True), files.remove_folder(spark, path), files.make_folder(spark, path) or files.remove_folder(spark, path, only_empty=True), files.remove_folder(spark, path)]
+    return spark.createDataFrame([tuple(done)], "refused boolean, removed boolean, emptied boolean, missing boolean")
+
+
+def relu_values(spark, d):
+    return vectors(spark, d).select("id", *[geometry.relu(F.col(f"v{i}")).alias(f"v{i}") for i in range(4)])
+
+
+def at_most(spark, d):
+    """Prices of a customer's orders that are at most the median order's, by search in the sorted list."""
+    lists = orders(spark, d).groupBy("y").agg(F.sort_array(F.collect_list("x")).alias("a"))
+    return lists.select("y", geometry.upper_bound(F.col("a"), F.lit(250000.0)).cast("long").alias("n"))
+
+
+def generated_points(spark, d):
+    """Counts of generated points, of different ones, and whether all lie in their bounds."""
+    u = generate.uniform_points(spark, 2000, 2, 0.5, 9999.5, seed=3)
+    z = generate.distinct_zipf(spark, 700, 2, 1.5, 10000.0)
+    made = []
+    for name, df, low, high in (("uniform", u, 0.5, 9999.5), ("zipf", z, 1.0, 10000.0)):
+        inside = F.col("x0").between(low, high) & F.col("x1").between(low, high)
+        made.append(df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.countDistinct("x0", "x1").alias("different"), F.every(inside).alias("inside")))
+    return _stacked(made)
+
+
+def generated_boxes(spark, d):
+    """Generated boxes, and whether each is in its bounds."""
+    b = generate.boxes(spark, 300, 3, (0.0, 5000.0), (100.0, 2000.0), 6000.0, seed=4)
+    ok = F.forall(F.zip_with("lo", "hi", lambda a, z: (a >= 0) & (a <= 5000) & (z <= 6000) & (z - a <= 2000) & ((z - a >= 100) | (z == 6000))), lambda x: x)
+    return b.agg(F.count("*").alias("n"), F.every(ok).alias("inside"))
+
+
+def point_splits(spark, d):
+    """Rows of both halves together and rows in both."""
+    first, second, gone = generate.splits(orders(spark, d), "id")
+    rows = first.unionByName(second).agg(F.count("*").alias("n"))
+    both = first.join(second, "id", "left_semi").agg(F.count("*").alias("both"))
+    strangers = gone.join(orders(spark, d), "id", "left_anti").agg(F.count("*").alias("strangers"))
+    return rows.join(F.broadcast(both)).join(F.broadcast(strangers))  # one row each
+
+
+def _images(spark):
+    """Three images of 450 x 600 pixels made by arithmetic."""
+    value = lambda h, w, c: F.pmod(F.col("id") * 31 + h * 7 + w * 3 + c * 11, F.lit(256)).cast("int")
+    channels = lambda h, w: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda c: value(h, w, c))
+    row = lambda h: F.transform(F.sequence(F.lit(0), F.lit(599)), lambda w: channels(h, w))
+    return saved(spark.range(3).select("id", F.transform(F.sequence(F.lit(0), F.lit(449)), row).alias("image")), "images").select("id", generate.image_feature(F.col("image")).alias("feature"))
+
+
+def image_features(spark, d):
+    return _images(spark).select("id", F.posexplode("feature").alias("place", "v"))
+
+
+def pixel_pairs(spark, d):
+    return generate.mirrored_pixels(_images(spark))
+
+
 _BOUNDS = f"""b AS (
   SELECT part, coalesce((SELECT x FROM r WHERE rk = (CASE WHEN part < n % 16 THEN (part + 1) * (n // 16 + 1) ELSE (part + 1) * (n // 16) + n % 16 END)), mx) AS bound
   FROM range(16) t(part), (SELECT count(*) AS n, max(x) AS mx FROM p)),
@@ -528,6 +810,60 @@ SQL |= {
     "product_rows": "SELECT a.r_name, b.r_name AS other FROM region a, region b",
     "learned_order": "SELECT CAST(0 AS BIGINT) AS n",
 }
+_SEGMENTS = f"""{_CELLS}, o AS (SELECT id, m, row_number() OVER (ORDER BY m, id) - 1 AS rk, count(*) OVER () AS n FROM m),
+z AS (SELECT least(greatest(8, max(n) // 50000), greatest(1, max(n) // 113)) AS k, max(n) AS n FROM o),
+t AS (SELECT DISTINCT a.m FROM z, range(1, 100) g(i), o a, o l WHERE i < k AND a.rk = i * z.n // k AND l.rk = a.rk - 1 AND a.m > l.m),
+w AS (SELECT id, m, (SELECT count(*) FROM t WHERE t.m <= o.m) AS segment FROM o)"""
+_RAW = f"""p AS (SELECT CAST(y AS BIGINT) % 5 AS segment, CAST(floor(x / 20000) AS BIGINT) AS raw, count(*) AS c FROM {ORDERS} GROUP BY 1, 2),
+a AS (SELECT *, sum(c) OVER (PARTITION BY segment ORDER BY raw DESC) AS tail FROM p),
+l AS (SELECT segment, coalesce(max(raw) FILTER (WHERE tail > 113), min(raw)) AS last FROM a GROUP BY segment),
+n AS (SELECT segment, raw, least(raw, last) AS own, c FROM a JOIN l USING (segment)),
+s AS (SELECT segment, own, CAST(sum(c) AS BIGINT) AS count FROM n GROUP BY 1, 2)"""
+_IMAGE = "f AS (SELECT i AS id, (h * 12 + w) * 3 + c AS place, (i * 31 + (25 + 50 * h) * 7 + (25 + 50 * w) * 3 + c * 11) % 256 AS v FROM range(3) a(i), range(9) b(h), range(12) e(w), range(3) g(c))"
+SQL |= {
+    "range_count_1000": _COUNT_2D.replace(BOXES_2D, BOXES_1000),
+    "range_count_cells": _COUNT_2D,
+    "index_range_query": f"SELECT *, CAST(0 AS BIGINT) AS missed, TRUE AS agrees FROM ({_COUNT_2D})",
+    "pages_and_hits": f"WITH {_CELLS}, {_PAGES}, {_INTERVALS}, d AS (SELECT page, min(m) AS a, max(m) AS z FROM k GROUP BY page), g AS (SELECT b.qid, count(DISTINCT d.page) AS n_pages FROM {BOXES_2D} b LEFT JOIN i ON i.qid = b.qid LEFT JOIN d ON d.a <= i.high_m AND d.z >= i.low_m GROUP BY b.qid) SELECT qid, n_pages, n FROM g JOIN ({_COUNT_2D}) USING (qid)",
+    "knn_fixed": f"{_NEAR} SELECT b.qid, round(dist, 4) AS radius FROM {CENTRES} b LEFT JOIN n ON n.qid = b.qid AND rank = 3 AND dist <= 60000",
+    "split_mappings": f"WITH {_CELLS}, {_PAGES}, d AS (SELECT page // 8 AS shard, page, min(m) AS a FROM k GROUP BY page) SELECT shard, page, round(a, 6) AS low_m, round(lead(a) OVER (PARTITION BY shard ORDER BY page), 6) AS next_low FROM d",
+    "within_shard": f"WITH {_CELLS}, {_PAGES}, d AS (SELECT page, min(m) AS a FROM k GROUP BY page) SELECT id, (SELECT count(*) FROM d WHERE d.page // 8 = k.page // 8 AND d.page % 8 > 0 AND d.a <= k.m) AS place FROM k",
+    "shards_layout": f"WITH {_RAW}, q AS (SELECT *, row_number() OVER (ORDER BY segment, own) - 1 AS shard, CAST(coalesce(sum((count + 112) // 113) OVER (ORDER BY segment, own ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_page FROM s) SELECT segment, raw, own, count, shard, first_page FROM n JOIN q USING (segment, own)",
+    "shards_per_segment": f"WITH {_RAW} SELECT segment, count(*) AS shards FROM s GROUP BY segment",
+    "model_checks": f"WITH {_SEGMENTS} SELECT segment, count(*) AS n, TRUE AS rises, TRUE AS fits FROM w GROUP BY segment",
+    "predicted_shard_hits": "SELECT count(*) AS n, count(*) AS hits FROM orders",
+    "index_totals": f"WITH {_SEGMENTS} SELECT count(*) AS points, count(DISTINCT segment) AS segments, count(*) AS listed, TRUE AS fits, CAST(0 AS BIGINT) AS off FROM w",
+    "index_round_trip": f"WITH {_CELLS} SELECT id, cell, round(m, 6) AS m FROM m",
+    "layout_order": f"WITH {_CELLS} SELECT row_number() OVER (ORDER BY m, id) - 1 AS place, id FROM m",
+    "insert_pages": f"""WITH {_SEGMENTS}, p0 AS (SELECT segment, m, id, (row_number() OVER (PARTITION BY segment ORDER BY m, id) - 1) // 113 AS page FROM w WHERE id % 2 = 0),
+        d AS (SELECT segment, page, min(m) AS low FROM p0 GROUP BY 1, 2),
+        n1 AS (SELECT segment, m, id, coalesce((SELECT max(page) FROM d WHERE d.segment = w.segment AND d.low <= w.m), (SELECT min(page) FROM d WHERE d.segment = w.segment), 0) AS page FROM w WHERE id % 2 = 1),
+        a AS (SELECT * FROM p0 UNION ALL SELECT * FROM n1),
+        b2 AS (SELECT *, count(*) OVER (PARTITION BY segment, page) AS n, row_number() OVER (PARTITION BY segment, page ORDER BY m, id) - 1 AS nth FROM a)
+        SELECT segment, page, CAST(nth * ((n + 112) // 113) // n AS INTEGER) AS piece, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM b2 GROUP BY 1, 2, 3""",
+    "delete_pages": f"""WITH {_SEGMENTS}, p0 AS (SELECT segment, m, id, (row_number() OVER (PARTITION BY segment ORDER BY m, id) - 1) // 113 AS page FROM w),
+        r2 AS (SELECT * FROM p0 WHERE id % 3 <> 0), c2 AS (SELECT segment, page, count(*) AS n, (row_number() OVER (PARTITION BY segment ORDER BY page) - 1) // 2 AS pair FROM r2 GROUP BY 1, 2),
+        g AS (SELECT segment, page, CASE WHEN sum(n) OVER p <= 113 THEN min(page) OVER p ELSE page END AS merged FROM c2 WINDOW p AS (PARTITION BY segment, pair))
+        SELECT segment, merged AS page, count(*) AS n, min(id) AS first_id FROM r2 JOIN g USING (segment, page) GROUP BY 1, 2""",
+    "lattice_tables": "SELECT * FROM (VALUES ('nodes', 81::BIGINT), ('node_radii', 81), ('training_points', 3240), ('training_radii', 3240), ('testing_points', 810), ('testing_radii', 810), ('model', 81)) v(name, n)",
+    "lattice_residual": "SELECT a.i AS node_id, b.i AS k, TRUE AS solved FROM range(81) a(i), range(10) b(i)",
+    "lattice_constant": "SELECT event_id AS id, 2.0::DOUBLE AS a, 7.0::DOUBLE AS b FROM events",
+    "rising_vectors": "SELECT vec_id, len(list_filter(range(1, len(embedding)), lambda i: NOT embedding[i] < embedding[i + 1])) = 0 AS rises FROM embeddings",
+    "point_scan": "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice, CAST(o_custkey AS DOUBLE) AS o_custkey FROM orders",
+    "npy_scan": 'SELECT q AS "row", q * 1.5::DOUBLE AS x0, CAST(q * q AS DOUBLE) AS x1 FROM range(25) t(q)',
+    "text_lines": f"SELECT printf('%.10f %.10f', x, y) AS value FROM {ORDERS}",
+    "list_lines": r"WITH l AS (SELECT unnest(string_split(text, chr(10))) AS v FROM documents) SELECT regexp_replace(v, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') AS value, count(*) AS n FROM l GROUP BY 1",
+    "map_lines": "SELECT n_nationkey || chr(9) || n_name AS value FROM nation",
+    "list_folders": "SELECT DISTINCT 'n_regionkey=' || n_regionkey AS folder FROM nation",
+    "folders": "SELECT FALSE AS refused, TRUE AS removed, TRUE AS emptied, FALSE AS missing",
+    "relu_values": "SELECT id, " + ", ".join(f"greatest(v{i}, 0) AS v{i}" for i in range(4)) + f" FROM {VECTORS}",
+    "at_most": f"SELECT y, count(*) FILTER (WHERE x <= 250000) AS n FROM {ORDERS} GROUP BY y",
+    "generated_points": "SELECT 'uniform' AS name, 2000::BIGINT AS n, 2000::BIGINT AS different, TRUE AS inside UNION ALL SELECT 'zipf', 700, 700, TRUE",
+    "generated_boxes": "SELECT 300::BIGINT AS n, TRUE AS inside",
+    "point_splits": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS both, CAST(0 AS BIGINT) AS strangers FROM orders",
+    "image_features": f"WITH {_IMAGE} SELECT id, CAST(place AS INTEGER) AS place, CAST(v AS INTEGER) AS v FROM f",
+    "pixel_pairs": f"WITH {_IMAGE}, j AS (SELECT j, id FROM range(54) t(j), range(3) u(id)) SELECT DISTINCT " + ", ".join(f"CAST((SELECT v FROM f WHERE f.id = j.id AND place = j * 3 + {i}) AS INTEGER) AS x{i}" for i in range(3)) + ", " + ", ".join(f"CAST((SELECT v FROM f WHERE f.id = j.id AND place = 324 - (j + 1) * 3 + {i}) AS INTEGER) AS x{i + 3}" for i in range(3)) + " FROM j",
+}
 #: Not expressible in SQL: trained models and what depends on them.
 TRAINED = ("learned_pages", "shards_per_query", "learned_pages_per_query", "piecewise_model", "index_stats", "lattice_coeffs")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import converted
+from ..operators import grid as grids
+from ..operators import index as indexes
+from ..operators import layout
+from ..operators.index import Index
 from ..plans.spec import Grid, IndexSpec
 
 
@@ -20,8 +24,8 @@ def read_points(spark: SparkSession, path: str, coords: list[str], id_col: str |
     return df.select(*([F.col(id_col).cast("long").alias(id_col)] if id_col else []), *[F.col(c).cast("double").alias(c) for c in coords])
 
 
-def read_npy(spark: SparkSession, path: str, dims: int) -> DataFrame:
-    """(row, x0 .. x{dims-1}) of .npy matrices, by way of Spark's file reader; a file is one task's."""
+def npy_rows(contents: DataFrame, dims: int) -> DataFrame:
+    """(row, x0 .. x{dims-1}) of .npy matrices from (content); a matrix is one task's, its rows leave it in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -32,17 +36,31 @@ def read_npy(spark: SparkSession, path: str, dims: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), *(pa.array(part[:, i].copy()) for i in range(dims))], ["row", *(f"x{i}" for i in range(dims))])
 
     kind = "row long, " + ", ".join(f"x{i} double" for i in range(dims))
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, kind)
+    return contents.select("content").mapInArrow(run, kind)
+
+
+def read_npy(spark: SparkSession, path: str, dims: int) -> DataFrame:
+    """(row, x0 .. x{dims-1}) of .npy matrices, by way of Spark's file reader; a file is one task's, of 2 GB at most: larger matrices come as several files."""
+    return npy_rows(spark.read.format("binaryFile").load(path), dims)
+
+
+def text_rows(points: DataFrame, coords: list[str]) -> DataFrame:
+    """(value): a row's numbers with ten decimals, separated by spaces; nulls are left out."""
+    return points.select(F.concat_ws(" ", *[F.format_string("%.10f", F.col(c).cast("double")) for c in coords]).alias("value"))
 
 
 def write_text_rows(points: DataFrame, path: str, coords: list[str]) -> None:
     """Rows of numbers with ten decimals, separated by spaces."""
-    points.select(F.concat_ws(" ", *[F.format_string("%.10f", F.col(c).cast("double")) for c in coords]).alias("value")).write.mode("overwrite").text(path)
+    text_rows(points, coords).write.mode("overwrite").text(path)
 
 
-def read_list(spark: SparkSession, path: str) -> DataFrame:
+def list_of(lines: DataFrame) -> DataFrame:
     """(value): lines without white space at their ends."""
-    return spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"))
+    return lines.select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"))
+
+
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    return list_of(spark.read.text(path))
 
 
 def boxes_of(lines: DataFrame, dims: int) -> DataFrame:
@@ -71,8 +89,13 @@ def read_map(spark: SparkSession, path: str, key: str = "str", value: str = "str
     return map_of(lines, key, value, separator, reverse)
 
 
+def map_lines(pairs: DataFrame, separator: str = "\t") -> DataFrame:
+    """(value): key, separator and value of each pair; nulls are left out with their separator."""
+    return pairs.select(F.concat_ws(separator, F.col("key").cast("string"), F.col("value").cast("string")).alias("value"))
+
+
 def write_map(pairs: DataFrame, path: str, separator: str = "\t") -> None:
-    pairs.select(F.concat_ws(separator, F.col("key").cast("string"), F.col("value").cast("string")).alias("value")).write.mode("overwrite").text(path)
+    map_lines(pairs, separator).write.mode("overwrite").text(path)
 
 
 def list_files(spark: SparkSession, path: str, suffix: str, deep: bool = True) -> DataFrame:
@@ -99,25 +122,52 @@ def remove_folder(spark: SparkSession, path: str, only_empty: bool = False) -> b
     return fs.delete(where, not only_empty)
 
 
-def save_lattice(model: DataFrame, path: str) -> None:
-    """(node_id, radii) of a trained lattice."""
-    model.write.mode("overwrite").parquet(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path`` and its job ended."""
+    fs, where = _folder(spark, f"{path}/_SUCCESS")
+    return fs.exists(where)
 
 
-def load_lattice(spark: SparkSession, path: str) -> DataFrame | None:
-    """The saved lattice, or None if it has to be trained first."""
-    fs, where = _folder(spark, f"{path}/_SUCCESS")
-    return spark.read.parquet(path) if fs.exists(where) else None
+def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``, written first by ``make`` if it is not there: a stage that was done is not done again."""
+    if not exists(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
-TABLES = ("points", "models", "grid")
+LATTICE = ("nodes", "node_radii", "training_points", "training_radii", "testing_points", "testing_radii", "model")
 
 
-def save_index(indexed: DataFrame, models: DataFrame, grid: Grid, path: str) -> None:
-    """Points by segment in files sorted by m, so that filters on m skip row groups; models; and the grid with its spec."""
-    spark, spec = indexed.sparkSession, grid.spec
-    indexed.repartition("segment").sortWithinPartitions("segment", "m").write.mode("overwrite").partitionBy("segment").parquet(f"{path}/points")
-    models.write.mode("overwrite").parquet(f"{path}/models")
+def save_lattice(tables: dict[str, DataFrame], path: str) -> None:
+    """The tables of a trained lattice, see ``lattice.prepared``, and ``model`` (node_id, radii)."""
+    for name in LATTICE:
+        tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_lattice(spark: SparkSession, path: str, names: tuple[str, ...] = LATTICE) -> dict[str, DataFrame] | None:
+    """The saved tables, or None if one of ``names`` is missing and the lattice has to be trained first; ``("model",)`` is enough to estimate."""
+    if not all(exists(spark, f"{path}/{n}") for n in names):
+        return None
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+
+
+def save_index(indexed: DataFrame, models: DataFrame, grid: Grid, path: str, have_models: bool = False) -> None:
+    """Points by block of segments in files sorted by m, so that filters on block and m skip files and row groups; models, unless
+    they are there; the page directory; and the grid with its spec."""
+    spark = indexed.sparkSession
+    save_grid(spark, grid, path)
+    if not have_models:
+        indexes.with_first(models).write.mode("overwrite").parquet(f"{path}/models")
+    models = spark.read.parquet(f"{path}/models")
+    segments = max(1, models.count())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocked = indexed.withColumn("block", indexes.block_of(segments))
+    blocked.repartition(parts, "segment").sortWithinPartitions("block", "m").write.mode("overwrite").partitionBy("block").parquet(f"{path}/points")
+    indexes.directory(spark.read.parquet(f"{path}/points"), models).write.mode("overwrite").parquet(f"{path}/pages")
+
+
+def save_grid(spark: SparkSession, grid: Grid, path: str) -> None:
+    spec = grid.spec
     rows = [(i, p, [float(x) for x in b]) for i, level in enumerate(grid.bounds) for p, b in enumerate(level)]
     meta = [(list(spec.coords), list(spec.low), list(spec.high), spec.parts, spec.eta, spec.page_size, spec.segments, spec.knots, spec.lattice_intervals)]
     kind = "coords array<string>, low array<double>, high array<double>, parts int, eta double, page_size int, segments int, knots int, lattice_intervals int"
@@ -125,15 +175,56 @@ def save_index(indexed: DataFrame, models: DataFrame, grid: Grid, path: str) ->
     spark.createDataFrame(rows, "dim int, parent int, bounds array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/grid")
 
 
-def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Grid] | None:
-    """(points, models, grid), or None if a table is missing."""
-    fs, _ = _folder(spark, path)
-    if not all(fs.exists(_folder(spark, f"{path}/{t}/_SUCCESS")[1]) for t in (*TABLES, "spec")):
+def load_grid(spark: SparkSession, path: str) -> Grid | None:
+    """The saved grid, or None if it is not there."""
+    if not all(exists(spark, f"{path}/{t}") for t in ("spec", "grid")):
         return None
     s = spark.read.parquet(f"{path}/spec").first()
     spec = IndexSpec(tuple(s["coords"]), tuple(s["low"]), tuple(s["high"]), s["parts"], s["eta"], s["page_size"], s["segments"], s["knots"], s["lattice_intervals"])
     levels: dict[int, dict[int, list[float]]] = {}
     for r in spark.read.parquet(f"{path}/grid").collect():
         levels.setdefault(r["dim"], {})[r["parent"]] = r["bounds"]
-    bounds = tuple(np.array([levels[i][p] for p in range(len(levels[i]))]) for i in sorted(levels))
-    return spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/models"), Grid(spec, bounds)
+    return Grid(spec, tuple(np.array([levels[i][p] for p in range(len(levels[i]))]) for i in sorted(levels)))
+
+
+TABLES = ("models", "points", "pages")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Grid] | None:
+    """(points, models, grid), or None if a table or a segment's model is missing."""
+    found = open_index(spark, path)
+    return found and (found.points, found.models, found.grid)
+
+
+def open_index(spark: SparkSession, path: str) -> Index | None:
+    """The saved index, ready for queries, or None if a table or a segment's model is missing."""
+    grid = load_grid(spark, path)
+    if grid is None or not all(exists(spark, f"{path}/{t}") for t in TABLES):
+        return None
+    models, pages = spark.read.parquet(f"{path}/models"), spark.read.parquet(f"{path}/pages")
+    if pages.select("segment").join(models, "segment", "left_anti").limit(1).count():
+        return None
+    # one number a segment
+    starts = [r["min_m"] for r in models.select("segment", "min_m").orderBy("segment").collect()][1:]
+    return Index(spark.read.parquet(f"{path}/points"), models, pages, grid, starts)
+
+
+def build_index(points: DataFrame, coords: tuple[str, ...], id_col: str, path: str, grid: Grid | None = None, **sizes) -> Index:
+    """Bulk load: grid, mapping, models, points by shard and page, directory. Each stage is kept under ``path`` and done once.
+
+    Segments follow the number of rows. Rows with a null or non-finite coordinate are kept in outermost cells; rows without a
+    mapping (a null last coordinate) belong to no segment and are left out, since no box holds them.
+    """
+    spark = points.sparkSession
+    if load_grid(spark, path) is None:
+        if grid is None:
+            spec = grids.spec_for(points, coords, **sizes).sized(points.count())
+            grid = grids.build_grid(points, spec)
+        save_grid(spark, grid, path)
+    grid = load_grid(spark, path)
+    mapped = stage(spark, f"{path}/mapped", lambda: grids.with_mapping(points, grid).filter("m IS NOT NULL"))
+    if not all(exists(spark, f"{path}/{t}") for t in TABLES):
+        segmented = stage(spark, f"{path}/segmented", lambda: layout.with_segment(mapped, layout.segment_bounds(mapped, grid.spec, id_col)))
+        models = stage(spark, f"{path}/models", lambda: indexes.with_first(layout.train_models(segmented, grid.spec)))
+        save_index(layout.with_shard(segmented, models, grid.spec, id_col), models, grid, path, True)
+    return open_index(spark, path)

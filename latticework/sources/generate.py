@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,7 +18,39 @@ def zipf_points(spark: SparkSession, n: int, dims: int, a: float, most: float, s
     return spark.range(n).select("id", *draw)
 
 
+def distinct_zipf(spark: SparkSession, n: int, dims: int, a: float, most: float, seed: int = 1) -> DataFrame:
+    """(x0 ..): n different points of the law of ``zipf_points``, or as many as it has: draws until there are enough, then takes those of least hash."""
+    names, drawn, before = [f"x{i}" for i in range(dims)], n, -1
+    while True:
+        found = zipf_points(spark, drawn, dims, a, most, seed).select(*names).distinct()
+        have = found.count()
+        if have >= n or have == before or drawn > 1024 * n:
+            return found.orderBy(F.xxhash64(*names), *names).limit(n)
+        drawn, before = 2 * drawn, have
+
+
+def image_feature(image: Column) -> Column:
+    """The 324 values of a 450 x 600 image, array<array<array>> of rows, columns and channels: three channels of every 50th row and column from the 25th."""
+    at = [(h, w, c) for h in range(25, 450, 50) for w in range(25, 600, 50) for c in range(3)]
+    return F.array(*[image[h][w][c] for h, w, c in at])
+
+
+def mirrored_pixels(features: DataFrame, column: str = "feature") -> DataFrame:
+    """(x0 .. x5), distinct: each pixel of a feature's first half with the pixel as far from its end, three channels each."""
+    half = F.explode(F.sequence(F.lit(0), F.expr(f"CAST(size({column}) / 6 AS INT) - 1"))).alias("j")
+    pairs = features.select(F.col(column).alias("f"), half)
+    near = [F.get("f", F.col("j") * 3 + i).alias(f"x{i}") for i in range(3)]
+    far = [F.get("f", F.size("f") - (F.col("j") + 1) * 3 + i).alias(f"x{i + 3}") for i in range(3)]
+    return pairs.select(*near, *far).distinct()
+
+
+def spread_pixels(pixels: DataFrame, seed: int = 1) -> DataFrame:
+    """Six coordinates of ``mirrored_pixels`` with noise from 0 to 1, scaled from 0 .. 257 to 0 .. 1000 and moved off 0."""
+    return pixels.select(*[((F.col(f"x{i}") + F.rand(seed + i)) / 257.0 * 1000.0 + 0.001).alias(f"x{i}") for i in range(6)])
+
+
 def distinct_points(points: DataFrame, coords: list[str]) -> DataFrame:
+    """One row for each combination of coordinates."""
     return points.dropDuplicates(coords)
 
 
