@@ -1,11 +1,15 @@
 """Token ids in binary files of patched frame-of-reference blocks.
 
-File: ``LWT1``, then little-endian counts (documents D, ids N, blocks B, exceptions E) as unsigned 64-bit integers; the doc_ids as D
+File: ``LWT2``, then little-endian counts (documents D, ids N, blocks B, exceptions E), the number of the file's range of doc_ids and the
+ids of that range in files before this one, as unsigned 64-bit integers; the doc_ids as D
 signed 64-bit integers with D bytes that say which are null; the document lengths as D unsigned 32-bit integers; the block index, the
 byte offset in the payload of each of the B blocks, as unsigned 64-bit integers; a minimum (unsigned 32 bits), a width and an
 exception count (a byte each) for each block; the exceptions as E bytes of places in their blocks and E unsigned 32-bit values;
 the payload. A block holds 128 ids. Its minimum is subtracted; ``width`` is the number of bits that the percentile's value
-needs, packed 128 to a block in 64-bit words; values that need more are packed as 0 and listed as exceptions.
+needs, packed 128 to a block in 64-bit words; values that need more are packed as 0 and listed as exceptions. A line end closes the file.
+
+Files are written by Spark's own writer, a record a file, so they go to whatever store Spark writes to, and its commit protocol lets
+each be there once, however often a task runs.
 """
 
 from __future__ import annotations
@@ -21,12 +25,12 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-MAGIC = b"LWT1"
+MAGIC, HEAD = b"LWT2", "<4s6Q"
 BLOCK = 128
 PERCENTILE = 95
 END_ID = 2
-#: Bytes of text that a file gets, at least and at most; in between, the texts make about ``FILES`` files.
-FILE_BYTES, MOST_FILE_BYTES, FILES = 8_000_000, 96_000_000, 4096
+#: Bytes of text that a range of doc_ids gets, at least, and the most ranges; a range's ids are cut into files of at most so many ids.
+RANGE_BYTES, MOST_RANGES, FILE_IDS = 8_000_000, 8192, 8_000_000
 
 
 #: Widths of machine types, and blocks packed at once for other widths.
@@ -72,8 +76,8 @@ def bits_of(values: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.uint8)
 
 
-def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """One file's bytes. The last block is filled up with its last id."""
+def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, number: int = 0, before: int = 0) -> bytes:
+    """One file's bytes without the line end. The last block is filled up with its last id."""
     n, blocks = len(ids), -(-len(ids) // BLOCK)
     padded = np.concatenate([ids, np.full(blocks * BLOCK - n, ids[-1] if n else 0, np.uint32)]).reshape(blocks, BLOCK)
     low = padded.min(axis=1) if blocks else np.empty(0, np.uint32)
@@ -90,7 +94,7 @@ def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray)
         mine = np.flatnonzero(widths == w)
         places = (index[mine] // np.uint64(8)).astype(np.int64)[:, None] + np.arange(2 * w)
         payload[places] = pack_words(rest[mine], w)
-    head = struct.pack("<4s4Q", MAGIC, len(doc_ids), n, blocks, len(values))
+    head = struct.pack(HEAD, MAGIC, len(doc_ids), n, blocks, len(values), number, before)
     null = np.array([d is None for d in doc_ids], np.uint8)
     own = np.array([d or 0 for d in doc_ids], "<i8")
     return b"".join([head, own.tobytes(), null.tobytes(), lengths.astype("<u4").tobytes(), index.astype("<u8").tobytes(), low.astype("<u4").tobytes(), widths.tobytes(), over.sum(axis=1).astype(np.uint8).tobytes(), where[1].astype(np.uint8).tobytes(), values.tobytes(), payload.astype("<u8").tobytes()])
@@ -98,10 +102,10 @@ def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray)
 
 def decode_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """doc_ids, lengths and ids of a file."""
-    magic, docs, n, blocks, odd = struct.unpack_from("<4s4Q", data)
+    magic, docs, n, blocks, odd, _, _ = struct.unpack_from(HEAD, data)
     if magic != MAGIC:
         raise ValueError("not a token file")
-    at = 36
+    at = struct.calcsize(HEAD)
 
     def take(kind: str, count: int) -> np.ndarray:
         nonlocal at
@@ -112,7 +116,7 @@ def decode_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     own, null, lengths, index = take("<i8", docs), take("u1", docs), take("<u4", docs), take("<u8", blocks)
     low, widths, counts = take("<u4", blocks), take("u1", blocks), take("u1", blocks)
     places, values = take("u1", odd), take("<u4", odd)
-    payload = np.frombuffer(data[at:], "<u8")
+    payload = take("<u8", int(widths.sum(dtype=np.int64)) * BLOCK // 64)
     out = np.zeros((blocks, BLOCK), np.uint32)
     for w in np.unique(widths[widths > 0]).tolist():
         mine = np.flatnonzero(widths == w)
@@ -123,25 +127,41 @@ def decode_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(d) for d, z in zip(own, null)], lengths, out.reshape(-1)[:n]
 
 
-def edges(docs: DataFrame, file_bytes: int) -> list[int]:
-    """doc_ids that cut the ascending ids into files of about ``file_bytes`` of text, or more if there is much."""
-    found = docs.agg(F.sum(common.utf8_size("text")).alias("bytes")).first()
-    total = found["bytes"] or 0
-    files = max(1, -(-total // max(file_bytes, min(MOST_FILE_BYTES, total // FILES))))
-    if files == 1:
+def place_of(data: bytes) -> tuple[int, int]:
+    """The number of a file's range, and the ids of that range in files before it."""
+    return struct.unpack_from(HEAD, data)[5:]
+
+
+def range_cuts(docs: DataFrame, range_bytes: int) -> list[int]:
+    """Ascending doc_ids that cut the rows into ranges of about ``range_bytes`` of text, at most ``MOST_RANGES``; null counts as the least.
+
+    A doc_id of more rows than a range has stands there as often as ranges lie in it.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    total = docs.agg(F.sum(common.utf8_size("text")).alias("bytes")).first()["bytes"] or 0
+    ranges = max(1, min(MOST_RANGES, -(-total // range_bytes)))
+    if ranges == 1:
         return []
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 100 * files).alias("cuts")).first()["cuts"]
-    return sorted(set(cuts or []))
+    return sorted(docs.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("cuts")).first()["cuts"] or [])
 
 
-def write_files(docs: DataFrame, folder: str, path: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes ``docs`` (doc_id, text) to ``folder``, a file for each range of doc_ids; returns (file, docs, ids).
+def range_of(cuts: np.ndarray, ids: np.ndarray, data: list[bytes]) -> np.ndarray:
+    """Each row's range. Rows of an id that stands in ``cuts`` several times are dealt over as many ranges by their content."""
+    low, high = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
+    for i in np.flatnonzero(high - low > 1).tolist():
+        high[i] = low[i] + 1 + zlib.crc32(data[i]) % (high[i] - low[i])
+    return high
 
-    Texts are encoded where they lie and only compressed ids move: to the task of their file, sorted by doc_id, then
-    length and content. A file is written under a name of its task attempt and then renamed, so a task that runs again or
-    twice leaves the same file. Documents of a null doc_id come first. Null texts hold the end id alone. Repeated rows are each written.
+
+def write_files(docs: DataFrame, folder: str, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Writes ``docs`` (doc_id, text) to ``folder``, files for each range of doc_ids; returns (number, before, docs, ids) of the files.
+
+    Texts are encoded where they lie and only compressed ids move: to the task of their range, sorted by doc_id, then
+    length and content (rows of a very frequent doc_id by a hash of the content first). A task holds one file at a time, whatever
+    its range holds. Documents of a null doc_id come first. Null texts hold the end id alone. Repeated rows are each written.
+    An empty table gives no file.
     """
-    cuts = np.array(edges(docs, file_bytes), np.int64)
+    cuts = np.array(range_cuts(docs, range_bytes), np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -150,81 +170,84 @@ def write_files(docs: DataFrame, folder: str, path: str, file_bytes: int = FILE_
         for batch in common.text_batches(batches):
             ids = batch.column("doc_id").cast(pa.int64())
             data = [enc.encode(t) + end for t in batch.column("text").to_pylist()]
-            file = np.searchsorted(cuts, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right")
+            number = range_of(cuts, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), data)
             small = [x if (x := np.frombuffer(d, "<u4")).max() > 65535 else x.astype("<u2") for d in data]
-            yield pa.RecordBatch.from_arrays([pa.array(file, pa.int32()), ids, pa.array([len(d) // 4 for d in data], pa.int64()), pa.array([z.compress(x) for x in small], pa.binary())], ["file", "doc_id", "n", "data"])
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), ids, pa.array([len(d) // 4 for d in data], pa.int64()), pa.array([z.compress(x) for x in small], pa.binary())], ["number", "doc_id", "n", "data"])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-        from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
         z = zstandard.ZstdDecompressor()
-        now, own, parts = None, [], []
-
-        def put() -> pa.RecordBatch:
-            lengths = np.array([len(p) for p in parts], np.uint32)
-            data = encode_file(own, lengths, np.concatenate(parts))
-            name = f"{base}/{now:08d}.tok"
-            draft = f"{base}/_{now:08d}.{TaskContext.get().taskAttemptId()}"
-            with store.open_output_stream(draft) as out:
-                out.write(data)
-            if store.get_file_info(name).type == fs.FileType.NotFound:
-                store.move(draft, name)
-            else:  # an earlier attempt's file, which is whole and the same; some stores don't move onto a file
-                store.delete_file(draft)
-            return pa.RecordBatch.from_pydict({"file": pa.array([now], pa.int32()), "docs": pa.array([len(own)], pa.int64()), "ids": pa.array([int(lengths.sum())], pa.int64())})
+        now, before, held, own, parts = None, 0, 0, [], []
+
+        def file() -> pa.RecordBatch:
+            data = encode_file(own, np.array([len(p) for p in parts], np.uint32), np.concatenate(parts), now, before)
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
 
         for batch in batches:
             for r in batch.to_pylist():
-                if r["file"] != now and own:
-                    yield put()
-                    own, parts = [], []
-                now = r["file"]
+                if own and (r["number"] != now or held + r["n"] > FILE_IDS):
+                    yield file()
+                    before, held, own, parts = before + held, 0, [], []
+                if r["number"] != now:
+                    now, before = r["number"], 0
                 own.append(r["doc_id"])
                 raw = z.decompress(r["data"])
                 parts.append(np.frombuffer(raw, "<u2" if len(raw) == 2 * r["n"] else "<u4").astype(np.uint32))
+                held += r["n"]
         if own:
-            yield put()
+            yield file()
 
-    spark = docs.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    encoded = docs.select("doc_id", "text").mapInArrow(encode, "file int, doc_id long, n long, data binary")
-    dealt = encoded.repartition(max(1, min(len(cuts) + 1, 50_000)), "file").sortWithinPartitions("file", "doc_id", "n", "data")
-    return common.written(dealt.mapInArrow(write, "file int, docs long, ids long"), "token-manifest")
+    encoded = docs.select("doc_id", "text").mapInArrow(encode, "number int, doc_id long, n long, data binary")
+    dealt = encoded.repartition(len(cuts) + 1, "number").sortWithinPartitions("number", "doc_id", "n", "data")
+    packed = dealt.mapInArrow(pack, "data binary")
+    # the writer puts a text's bytes down as they are
+    packed.select(F.col("data").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [struct.unpack_from(HEAD, x.as_buffer()) for x in batch.column("content")]
+            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in found], pa.int64()) for i in (5, 6, 1, 2)], ["number", "before", "docs", "ids"])
+
+    return token_bytes(docs.sparkSession, folder).mapInArrow(heads, "number long, before long, docs long, ids long")
 
 
-def read_files(spark, folder: str, manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files. The manifest has one row a file and gives the files' starts."""
+def token_bytes(spark, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).filter("length > 0").select("content")
+
+
+def read_files(spark, folder: str, manifest: DataFrame | None = None) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files, which are read once.
+
+    A file tells its own place in its range; the ranges' totals, at most ``MOST_RANGES`` rows, give the ranges' starts.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                own, lengths, ids = decode_file(data.as_buffer())
+            for data in batch.column("content"):
+                raw = data.as_buffer()
+                number, before = place_of(raw)
+                own, lengths, ids = decode_file(raw)
                 ends = np.cumsum(lengths, dtype=np.int64)
-                raw = memoryview(ids.astype("<u4")).cast("B")
+                view = memoryview(ids.astype("<u4")).cast("B")
                 starts = ends - lengths
-                crc = [zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(starts.tolist(), ends.tolist())]
-                file = int(name.rpartition("/")[2].partition(".")[0])
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(own), pa.int32()), pa.array(own, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["file", "doc_id", "local", "n_tokens", "ids_crc32"])
+                crc = [zlib.crc32(view[4 * a : 4 * e]) for a, e in zip(starts.tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(own), pa.int32()), pa.array(own, pa.int64()), pa.array(before + starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["number", "doc_id", "local", "n_tokens", "ids_crc32"])
 
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder).select("path", "content")
-    found = files.mapInArrow(read, "file int, doc_id long, local long, n_tokens long, ids_crc32 long")
-    return found.join(F.broadcast(starts), "file").select("doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    found = common.written(token_bytes(spark, folder).mapInArrow(read, "number int, doc_id long, local long, n_tokens long, ids_crc32 long"), "token-rows")
+    totals = found.groupBy("number").agg(F.sum("n_tokens").alias("ids"))
+    before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("number", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first"))
+    return found.join(F.broadcast(starts), "number").select("doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, folder: str | None = None) -> DataFrame:
-    """Writes ``docs`` to token files and returns what the files hold; see ``write_files`` for nulls and ties. Empty tables give no file."""
+    """Writes ``docs`` to token files and returns what the files hold; see ``write_files`` for nulls, ties, repeats and empty tables."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
     folder = folder or common.new_path(spark, "token-files")
-    manifest = write_files(docs, folder, path or tokens.path_of("word_bpe_49k.json"))
-    return read_files(spark, folder, manifest)
+    write_files(docs, folder, path or tokens.path_of("word_bpe_49k.json"))
+    return read_files(spark, folder)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -485,6 +485,23 @@ def test_token_files(spark, odd, none, kind):
     assert ids == sorted(ids)
 
 
+def test_token_files_of_one_frequent_id(spark, tmp_path, monkeypatch):
+    """Rows of one doc_id, and of none, are dealt over several ranges and files; folders may have a scheme."""
+    monkeypatch.setattr(token_files, "FILE_IDS", 400)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"some text {i % 97} here") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = tokens.path_of("word_bpe_49k.json")
+    enc = tokens.Encoder(path)
+    for folder in (f"file:{tmp_path}/a", f"{tmp_path}/b"):
+        heads = token_files.write_files(docs, folder, path, 2_000).collect()
+        assert len({h["number"] for h in heads}) > 20 and max(h["ids"] for h in heads) <= 400 and sum(h["docs"] for h in heads) == 3000
+        got = sorted(token_files.read_files(spark, folder).collect(), key=lambda r: r["start"])
+        want = Counter((i, zlib.crc32(enc.encode(t) + (2).to_bytes(4, "little"))) for i, t in rows)
+        assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == want
+        ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+        assert ids == sorted(ids) and [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got])[:-1].tolist()
+
+
 @pytest.mark.parametrize("kind", ["table", "odd", "none"])
 def test_packing(spark, odd, none, kind):
     docs = {"table": table(spark, "documents"), "odd": odd.withColumn("length", F.lit(1)), "none": none}[kind]
