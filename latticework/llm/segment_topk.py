@@ -2,8 +2,8 @@
 
 A vector is cut into 1, 2, 4, ... segments; each keeps its mean m and deviation s. For a segment of length l the
 distance of two vectors is at least sqrt(l * ((m1 - m2)^2 + (s1 - s2)^2)), and so their inner product is at most
-l * (m1 * m2 + s1 * s2). Bounds from coarse to fine discard candidates below the k-th best exact score of
-their block; survivors are scored exactly.
+l * (m1 * m2 + s1 * s2). Bounds from coarse to fine discard candidates below the k-th best exact score that the query is
+known to have, first among the longest vectors, then in the blocks it has met; survivors are scored exactly.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 BLOCK = 4096
 QUERY_BLOCK = 512
+#: Components of the candidates, and of the queries, that a task holds: 32 MB and 8 MB.
+CANDIDATE_LANE, QUERY_LANE = 1 << 22, 1 << 20
 LEVELS = (1, 2, 4, 8, 16)
 BLOCK_SCHEMA = "block long, n int, ids binary, vectors binary"
 #: Below this, products summed over any usual dimension are exact in double precision.
@@ -87,8 +89,12 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q, x).astype(np.int64)
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of a block for each query: (query row, vec_id, score), own id left out, ties to smaller ids."""
+def search_block(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of a block for each query: (query row, vec_id, score), own id left out, ties to smaller ids.
+
+    ``floors``: scores that k candidates of each query reach anyway; nothing below them is returned. They rise to what the
+    block shows.
+    """
     levels = [s for s in LEVELS if s <= x.shape[1]] or [1]
     stats = [(statistics(q, s), statistics(x, s)) for s in levels]
     slack = 1e-9 * np.linalg.norm(q, axis=1) * (np.linalg.norm(x, axis=1).max(initial=0) + 1) + 1e-6
@@ -104,11 +110,15 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndar
         own = x_ids[first] != q_ids[i]
         scores = np.sort(exact(np.broadcast_to(q[i], (own.sum(), q.shape[1])), x[first[own]]))
         floor = scores[-k] if len(scores) >= k else -np.inf
+        if floors is not None:
+            floor = floors[i] = max(floor, floors[i])
         left = np.flatnonzero(bound + slack[i] >= floor)
         for own_q, own_x in stats[1:]:
             left = left[own_x[left] @ own_q[i] + slack[i] >= floor]
         left = left[x_ids[left] != q_ids[i]]
         scores = exact(np.broadcast_to(q[i], (len(left), q.shape[1])), x[left])
+        if floors is not None:
+            left, scores = left[scores >= floor], scores[scores >= floor]
         best = np.lexsort((x_ids[left], -scores))[:k]
         out_q.append(np.full(len(best), i))
         out_id.append(x_ids[left[best]])
@@ -116,73 +126,79 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndar
     return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_score)
 
 
-def searcher(k: int, dim: int):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, x_ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, x = np.frombuffer(r["q_vectors"]).reshape(-1, dim), np.frombuffer(r["vectors"]).reshape(-1, dim)
-                row, ids, scores = search_block(q_ids, q, x_ids, x, k)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[row], pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.int64())})
+def floors_of(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best exact score of each query among these candidates; minus infinity if there are fewer."""
+    out = np.full(len(q), -np.inf)
+    if len(x):
+        row, _, scores = search_block(q_ids, q, x_ids, x, k)
+        n = np.bincount(row, minlength=len(q))
+        out[n >= k] = scores[(np.cumsum(n) - 1)[n >= k]]
+    return out
 
-    return search
+
+def unpacked(table: pa.Table, dim: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of packed blocks."""
+    return [(np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(v.as_buffer()).reshape(-1, dim)) for i, v in zip(table.column("ids"), table.column("vectors"))]
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest integer inner product for every row whose vec_id divides by ``every``.
 
-    Rows are packed into blocks where they lie, without a shuffle. A pair of a query block and a candidate block is a task's
-    unit, so its memory is bounded by the block sizes; only packed blocks are replicated. A block pair returns k rows a
-    query, and the last step ranks these.
+    Rows are packed into blocks where they lie. Candidates are dealt into rows and queries into columns of a grid of lanes; a
+    lane is a task's unit, and its memory is bounded by the lane's sizes, which set the numbers of rows and columns. Only packed
+    blocks move. Floors from the ``block`` longest vectors, which every task has, spare most exact scores; a lane returns at most
+    k rows a query and block, those that reach the floors, and the last step ranks these.
 
     Vectors that are null or hold null or non-finite components take no part, nor do null ids. Shorter vectors count as
     padded with zeros. Repeated rows are candidates one by one, but rows of the query's own id are left out. Equal scores
     go to the smaller vec_id. An empty table gives an empty result. Scores beyond 64 bits saturate.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    dim = max(1, rows.agg(F.max(F.size("embedding")).alias("d")).first()["d"] or 1)
-    candidates = rows.mapInArrow(packer(scale, block, dim, 1), BLOCK_SCHEMA)
-    queries = rows.filter(F.col("vec_id") % every == 0).mapInArrow(packer(scale, query_block, dim, every), BLOCK_SCHEMA)
-    # small blocks of many partitions are joined to full ones first
+    x = F.col("embedding")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & x.isNotNull())
+    wanted = F.col("vec_id") % every == 0
+    seen = rows.agg(F.max(F.size(x)).alias("dim"), F.count("*").alias("n"), F.count_if(wanted).alias("q")).first()
+    dim = max(1, seen["dim"] or 1)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    merged = queries.repartition(1 + parts // 32, "block").mapInArrow(merger(query_block, dim), BLOCK_SCHEMA)
-    # block numbers against block numbers: a stated query set against all rows, in blocks
-    lanes = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("lane")
-    left = candidates.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
-    right = merged.select(lanes, F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    pairs = left.join(right.hint("shuffle_hash"), "lane").select("q_block", "block", "q_ids", "q_vectors", "ids", "vectors")
-    found = pairs.mapInArrow(searcher(k, dim), "query_id long, vec_id long, score long")
+    columns = max(1, -(-seen["q"] * dim // QUERY_LANE))
+    lanes = max(-(-seen["n"] * dim // CANDIDATE_LANE), min(-(-seen["n"] // block), -(-parts // columns)), 1)
+    # the longest vectors, a block of them: a sample that makes floors high, not a bound on what is searched
+    finite = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    norm = F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
+    longest = rows.filter(finite).orderBy(norm.desc(), "vec_id").limit(block)
+    packed = longest.coalesce(1).mapInArrow(packer(scale, block, dim, 1), BLOCK_SCHEMA).toArrow()
+    shared = spark.sparkContext.broadcast(([b.tobytes() for b in unpacked(packed, dim)[0]] if packed.num_rows else [b"", b""]))
+
+    def lane_of(seed: int, n: int):
+        return F.pmod(F.xxhash64("block", F.lit(seed)), F.lit(n)).cast("int")
+
+    across, down = F.sequence(F.lit(0), F.lit(columns - 1)), F.sequence(F.lit(0), F.lit(lanes - 1))
+    candidates = rows.mapInArrow(packer(scale, block, dim, 1), BLOCK_SCHEMA).select(lane_of(1, lanes).alias("lane"), F.explode(across).alias("column"), "ids", "vectors")
+    queries = rows.filter(wanted).mapInArrow(packer(scale, query_block, dim, every), BLOCK_SCHEMA).select(F.explode(down).alias("lane"), lane_of(2, columns).alias("column"), "ids", "vectors")
+
+    def search(asked: pa.Table, held: pa.Table) -> pa.Table:
+        top_ids, top = np.frombuffer(shared.value[0], np.int64), np.frombuffer(shared.value[1]).reshape(-1, dim)
+        out = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+        blocks = unpacked(held, dim)
+        for q_ids, q in merged(unpacked(asked, dim), query_block, dim) if blocks else ():
+            floors = floors_of(q_ids, q, top_ids, top, k)
+            for ids, own in blocks:
+                row, found, scores = search_block(q_ids, q, ids, own, k, floors)
+                for o, v in zip(out, (q_ids[row], found, scores)):
+                    o.append(v)
+        return pa.table([pa.array(np.concatenate(o), pa.int64()) for o in out], names=["query_id", "vec_id", "score"])
+
+    found = queries.groupBy("lane", "column").cogroup(candidates.groupBy("lane", "column")).applyInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def merger(size: int, dim: int):
-    """Joins packed blocks to blocks of at most ``size`` rows."""
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, made = TaskContext.get().partitionId(), 0
-        ids, x = np.empty(0, np.int64), np.empty((0, dim))
-
-        def out(n: int) -> pa.RecordBatch:
-            nonlocal made, ids, x
-            made += 1
-            done = pa.RecordBatch.from_pydict({"block": pa.array([(task << 24) + made], pa.int64()), "n": pa.array([n], pa.int32()), "ids": pa.array([ids[:n].tobytes()], pa.binary()), "vectors": pa.array([x[:n].tobytes()], pa.binary())})
-            ids, x = ids[n:], x[n:]
-            return done
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids = np.concatenate([ids, np.frombuffer(r["ids"], np.int64)])
-                x = np.concatenate([x, np.frombuffer(r["vectors"]).reshape(-1, dim)])
-                while len(ids) >= size:
-                    yield out(size)
-        if len(ids):
-            yield out(len(ids))
-
-    return merge
+def merged(blocks: list[tuple[np.ndarray, np.ndarray]], size: int, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of small blocks in blocks of ``size``."""
+    if blocks:
+        ids, x = np.concatenate([i for i, _ in blocks]), np.concatenate([v for _, v in blocks])
+        for at in range(0, len(ids), size):
+            yield ids[at : at + size], x[at : at + size]
 
 
 def query(spark, sf_dir: str) -> DataFrame:

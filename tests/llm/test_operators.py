@@ -161,6 +161,31 @@ def test_topk_is_exact(spark):
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
 
 
+def test_topk_in_many_lanes(spark, monkeypatch):
+    """Lanes bound what a task holds; floors from the longest vectors lose nothing, ties and repeated rows included."""
+    monkeypatch.setattr(segment_topk, "CANDIDATE_LANE", 16 * 300)
+    monkeypatch.setattr(segment_topk, "QUERY_LANE", 16 * 5)
+    rows = vectors(900)
+    rows = rows[:900] + rows[3:9] * 3 + [(i, [9 * v for v in rows[i][1]]) for i in range(100, 140)]
+    df = spark.createDataFrame(rows, VECTORS).repartition(5)
+    got = segment_topk.top_k(df, block=64, query_block=4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    quantised = lambda v: [int(np.floor(256 * c)) for c in v]
+    good = [(i, quantised(v)) for i, v in rows]
+    want = []
+    for q, a in good:
+        if q % 50 == 0:
+            scored = sorted((-sum(u * v for u, v in zip(a, b)), i) for i, b in good if i != q)
+            want += [(q, -s, i) for s, i in scored[:5]]
+    # a query id of two rows ranks both rows' scores together
+    by = defaultdict(list)
+    for q, s, i in want:
+        by[q].append((-s, i))
+    want = {(q, r + 1, i, -s) for q, found in by.items() for r, (s, i) in enumerate(sorted(found)[:5])}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()} == want
+
+
 def test_topk_small_tables(spark):
     assert segment_topk.top_k(spark.createDataFrame([], VECTORS)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0]), (2, [])], VECTORS).withColumn("rank", F.lit(9))
