@@ -33,9 +33,21 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
+    return written_at(df, label)[0]
+
+
+def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As ``written``, with the path, for tables that ``discard`` removes once nothing reads them."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str | None) -> None:
+    """Removes an intermediate table."""
+    if path:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bucket_bits(rows: int, rows_per_bucket: int = 4096) -> int:

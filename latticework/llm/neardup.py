@@ -165,7 +165,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round moves every link's larger end towards the smallest neighbour; stars stay linear in the links.
     """
-    edges = common.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+    edges, old = common.written_at(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -175,7 +175,9 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         # small star: smaller neighbours and the node itself are linked to the smallest one
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("low").alias("v")).filter("u <> v").distinct()
-        edges = common.written(small, "links")
+        edges, path = common.written_at(small, "links")
+        common.discard(links.sparkSession, old)  # the round before is in no plan any more
+        old = path
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before or not now["n"]:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
@@ -204,10 +206,12 @@ def sketched(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc_id long, key string, buckets array<long>")
 
 
-#: Rounds in which each text of a bucket is compared with one leader, before all pairs that are left.
+#: Rounds in which each text of a bucket is compared with one leader, before all pairs across classes that are left.
 STAR_ROUNDS = 2
-#: Buckets of at most so many texts make rows of their pairs; larger ones are compared block by block inside tasks.
+#: Buckets of at most so many texts make rows of their pairs; larger ones are compared block by block inside tasks. Classes are the same.
 FEW = 16
+#: Tasks that the texts of a large bucket are dealt over while their blocks are numbered.
+SPREAD = 32
 #: Texts, and bytes of text, of a block.
 BLOCK_TEXTS = 1024
 BLOCK_BYTES = 8_000_000
@@ -232,7 +236,7 @@ def shared_counts(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     column, owner = new[column[keep]], row[item[keep]]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, n))
     last = int(column[-1]) + 1 if len(column) else 0
     for at in range(0, last, SLICE):
         a, b = np.searchsorted(column, (at, at + SLICE))
@@ -247,7 +251,8 @@ def spanning(ids: np.ndarray, roots: np.ndarray, texts: pa.Array, words: int, si
     shared, sizes = shared_counts(texts, words)
     _, at = np.unique(roots, return_inverse=True)
     union = np.maximum(sizes[:, None] + sizes[None, :] - shared, 1)
-    near = (shared / union >= similarity - 1e-6) & (at[:, None] < at[None, :])
+    # slices are exact in single precision, sums in double: the same test as that of single pairs
+    near = (shared / union >= similarity - 1e-12) & (sizes[:, None] + sizes[None, :] > 0) & (at[:, None] < at[None, :])
     lead = list(range(int(at.max(initial=-1)) + 1))
 
     def top(x: int) -> int:
@@ -266,12 +271,33 @@ def spanning(ids: np.ndarray, roots: np.ndarray, texts: pa.Array, words: int, si
     return out
 
 
+def dealt_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(bucket, id, root, lo, hi): a row for each pair of blocks of its bucket that a text belongs to, from (bucket, id, root).
+
+    The texts of a bucket's largest class, its main ones, have no need of each other. So the others are cut into blocks that all meet,
+    and the main ones into blocks that meet those of the others: a bucket of N texts of which few are others sends O(N) rows.
+    """
+    counts = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mains = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"))
+    # a bucket may hold a third of all texts: its rows are dealt by a hash beside the bucket
+    salt = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SPREAD)).cast("int")
+    salted = members.withColumn("salt", salt)
+    spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    sided = salted.join(spread(mains), ["bucket", "salt"]).withColumn("odd", F.col("root") != F.col("main"))
+    sized = sided.select("bucket", "id", "odd").join(texts.select("id", common.utf8_size("text").alias("bytes")), "id")
+    blocks = lambda own: F.ceil(F.greatest(F.count_if(own) / BLOCK_TEXTS, F.sum(F.when(own, F.col("bytes")).otherwise(0)) / BLOCK_BYTES)).cast("int")
+    plan = sized.groupBy("bucket").agg(F.greatest(blocks(F.col("odd")), F.lit(1)).alias("odds"), F.greatest(blocks(~F.col("odd")), F.lit(1)).alias("rest"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("odd"), F.col("odds")).otherwise(F.col("rest"))).cast("int")
+    numbered = sided.join(spread(plan), ["bucket", "salt"]).withColumn("mine", F.when(F.col("odd"), own).otherwise(F.col("odds") + own))
+    # blocks of others are numbered first; each meets all blocks, a main one only those
+    meets = F.sequence(F.lit(0), F.when(F.col("odd"), F.col("odds") + F.col("rest")).otherwise(F.col("odds")) - 1)
+    paired = numbered.withColumn("other", F.explode(meets))
+    return paired.select("bucket", "id", "root", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+
+
 def block_links(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) in large buckets, from (bucket, id, root): a task compares two blocks of a bucket, whose sizes are bounded."""
-    sized = members.join(texts.select("id", common.utf8_size("text").alias("bytes")), "id")
-    plan = sized.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = members.join(plan, "bucket").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = dealt.select("bucket", "id", "root", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).join(texts, "id")
+    """Links (a, b) across classes in large buckets, from (bucket, id, root): a task compares two blocks of a bucket, whose sizes are bounded."""
+    rows = dealt_blocks(members, texts).join(texts, "id")
 
     def run(table: pa.Table) -> pa.Table:
         found = spanning(table.column("id").to_numpy(), table.column("root").to_numpy(), table.column("text").combine_chunks(), words, similarity)
@@ -280,8 +306,8 @@ def block_links(members: DataFrame, texts: DataFrame, words: int, similarity: fl
     return rows.groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
 
-def linked(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between texts that share a bucket, and (id, root) of the texts that have links.
+def linked(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(id, root): the class of each text that is linked, by way of similar texts, to another one that shares a bucket with it.
 
     ``members``: (bucket, id). In a bucket each text is compared with a leader, another one each round, as long as the two are in
     different classes. What then shares a bucket and is still in different classes is compared in full, but for pairs that were:
@@ -311,7 +337,7 @@ def linked(members: DataFrame, texts: DataFrame, words: int, similarity: float)
         links = links.unionByName(checked.filter("similar").select("a", "b"))
         links = links.unionByName(found) if found is not None else links
         roots = components(links)
-    return links, roots
+    return roots
 
 
 def written_pairs(pairs: DataFrame) -> DataFrame:
@@ -319,7 +345,7 @@ def written_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, words: int, similarity: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, key, row) and, for each key, (key, text_id, class_id, n_links, class_row)."""
+    """The rows (doc_id, key, row) and, for each key, (key, text_id, class_id, n_texts, class_row)."""
     common.bounded_batches(docs.sparkSession)
     rows_in = common.written(sketched(docs, words, bands, rows).withColumn("row", F.monotonically_increasing_id()), "sketches")
     heads = common.written(
@@ -334,20 +360,19 @@ def classes(docs: DataFrame, words: int, similarity: float, bands: int, rows: in
     wanted = members.select("id").distinct().join(heads, "id").select("id", "key", F.coalesce("first.doc_id", F.lit(-(2**63))).alias("own"))
     # the doc_id in the join deals out the rows of one text that has many copies
     texts = common.written(keyed(docs).select("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("own"), "text").join(wanted, ["key", "own"]).select("id", "text").dropDuplicates(["id"]), "near-texts")
-    links, roots = linked(members, texts, words, similarity)
-    counts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    every = heads.select("id", "key", "first").join(roots, "id", "left").join(counts, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = every.groupBy("root").agg(F.min("first").alias("head"))
-    return rows_in, every.join(least, "root").select("key", F.col("first.doc_id").alias("text_id"), F.col("head.doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("head.row").alias("class_row"))
+    roots = linked(members, texts, words, similarity)
+    every = heads.select("id", "key", "first").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = every.groupBy("root").agg(F.min("first").alias("head"), F.count("*").alias("n_texts"))
+    return rows_in, every.join(least, "root").select("key", F.col("first.doc_id").alias("text_id"), F.col("head.doc_id").alias("class_id"), "n_texts", F.col("head.row").alias("class_row"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row a row of ``docs`` (doc_id, text): doc_id, class_id, text_id, n_links, kept.
+    """One row a row of ``docs`` (doc_id, text): doc_id, class_id, text_id, n_texts, kept.
 
     ``text_id`` is the smallest doc_id of the rows with exactly this text, ``class_id`` the smallest doc_id of the class: texts
     that links connect, where a link is a pair in some common bucket whose multisets of word shingles have a weighted Jaccard
-    similarity of at least ``similarity``. ``n_links`` counts the text's links that were verified to connect the class. ``kept``
-    marks one row a class.
+    similarity of at least ``similarity``. ``n_texts`` counts the different texts of the class. ``kept`` marks one row a class.
+    A bucket's size decides how its pairs are compared, not which.
 
     Exact copies are grouped first, so a group of copies counts as one text. Null texts are copies of each other. Texts without words
     have no shingle and only exact copies; texts of fewer than five words have one shingle. Null doc_ids stand behind others;
@@ -356,16 +381,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     """
     rows_in, found = classes(docs, words, similarity, bands, rows)
     # a row a text; AQE splits the partition of a text with many copies
-    return rows_in.select("doc_id", "key", "row").join(found, "key").select("doc_id", "class_id", "text_id", "n_links", (F.col("row") == F.col("class_row")).alias("kept"))
+    return rows_in.select("doc_id", "key", "row").join(found, "key").select("doc_id", "class_id", "text_id", "n_texts", (F.col("row") == F.col("class_row")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs`` with one row a class, all columns kept; see ``near_duplicates``."""
     rows_in, found = classes(docs, words, similarity, bands, rows)
-    kept = rows_in.join(found.select("class_row"), F.col("row") == F.col("class_row"), "left_semi").select(F.col("key").alias("__key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("__own"))
-    marked = docs.withColumn("__key", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null"))).withColumn("__own", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    none = F.lit(-(2**63))
+    kept = rows_in.join(found.select("class_row"), F.col("row") == F.col("class_row"), "left_semi").select("key", F.coalesce("doc_id", none).alias("own"))
+    # the row as one column, so that no name of its own can clash
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null")).alias("key"), F.coalesce(F.col("doc_id").cast("long"), none).alias("own"))
     # repeated rows of a kept document are one
-    return marked.join(kept, ["__key", "__own"], "left_semi").dropDuplicates(["__key", "__own"]).select(*docs.columns)
+    return own.join(kept, ["key", "own"], "left_semi").dropDuplicates(["key", "own"]).select("all.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

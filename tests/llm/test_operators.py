@@ -439,6 +439,37 @@ def test_near_duplicates_blocks(spark, monkeypatch):
     test_near_duplicates_match_all_pairs(spark)
 
 
+def test_near_duplicates_do_not_depend_on_bucket_size(spark, monkeypatch):
+    rng = random.Random(15)
+    base = [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(6)]
+    rows = []
+    for i in range(200):
+        w = list(base[i % 6])
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(60)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = []
+    for few in (2, 1000):
+        monkeypatch.setattr(neardup, "FEW", few)
+        found.append(sorted(tuple(r) for r in neardup.near_duplicates(docs).collect()))
+    assert found[0] == found[1]
+
+
+def test_a_stranger_in_a_large_bucket_moves_few_rows(spark, monkeypatch):
+    """A bucket of one class and a few others sends each text about once, not to all blocks."""
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 10)
+    n = 2000
+    members = spark.range(n).select(F.lit(5).cast("long").alias("bucket"), "id", F.when(F.col("id") < n - 3, 0).otherwise(F.col("id")).alias("root"))
+    rows = neardup.dealt_blocks(members, spark.range(n).select("id", F.lit("a text").alias("text"))).collect()
+    assert len(rows) <= n + 3 * (n / 10 + 2)
+    met = defaultdict(set)
+    for r in rows:
+        met[r["lo"], r["hi"]].add(r["id"])
+    together = {frozenset((a, b)) for ids in met.values() for a in ids if a >= n - 3 for b in ids if a != b}
+    assert together == {frozenset((a, b)) for a in range(n - 3, n) for b in range(n) if a != b}
+
+
 def test_bag_signatures_are_unbiased():
     rng = np.random.default_rng(1)
     a, b = [5, 3, 100, 0, 7] * 5, [5, 9, 60, 2, 7] * 5
@@ -460,6 +491,8 @@ def test_near_duplicates_odd_rows(spark, odd, none):
     assert neardup.near_duplicates(none).count() == 0
     kept = neardup.deduplicated(odd.withColumn("row", F.lit(1)))
     assert kept.count() == 7 and kept.columns == [*odd.columns, "row"]
+    named = neardup.deduplicated(odd.withColumn("__key", F.lit("x")).withColumn("own", F.lit("y")).withColumn("key", F.lit("z")))
+    assert {(r["__key"], r["own"], r["key"]) for r in named.collect()} == {("x", "y", "z")}
     assert neardup.deduplicated(none).count() == 0
 
 
