@@ -2,14 +2,14 @@
 
 The rules' regular expressions are parsed, compiled to one nondeterministic automaton over bytes, made deterministic by
 subset construction and minimised. The automaton reads the reversed rules, so one backward pass over a text's bytes
-finds every place where a match of any rule may start. At those places only, the rule's own automaton, compiled in the
-same way, extends the match to its longest end. Counts such as {16,} of several rules would multiply the states of the
+finds every place where a match of any rule may start. From those places only, the rule's own automaton, compiled in the
+same way, reads on to the match's longest end. States that led to no match are remembered by place, so a place
+is not read again in the same state, and the work is linear in the text. Counts such as {16,} of several rules would multiply the states of the
 combined automaton, so it reads them as + unless a rule is marked ``counted``; the rule's own automaton counts.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -18,6 +18,7 @@ from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -196,6 +197,9 @@ class Dfa:
     table: list[int]
     accepts: list[int]
     start: int
+    #: Made when first needed: the table with accepting states last, see ``accepting_last``, and the state that nothing leaves.
+    ordered: tuple[list[int], int, list[int]] | None = None
+    dead: int | None = None
 
 
 def determinise(nfa: Nfa, first: list[int], ends: dict[int, int], floating: bool) -> Dfa:
@@ -277,7 +281,7 @@ def starts_in(data: bytes, dfa: Dfa) -> list[tuple[int, int]]:
 
     The table is renumbered so that accepting states come last; the inner loop then tests one comparison a byte.
     """
-    table, limit, masks = accepting_last(id(dfa), dfa)
+    table, limit, masks = accepting_last(dfa)
     state, found, at = table[-1], [], len(data)
     for b in reversed(data):
         at -= 1
@@ -287,11 +291,8 @@ def starts_in(data: bytes, dfa: Dfa) -> list[tuple[int, int]]:
     return found
 
 
-_ordered: dict[int, tuple[list[int], int, list[int]]] = {}
-
-
-def accepting_last(key: int, dfa: Dfa) -> tuple[list[int], int, list[int]]:
-    if key not in _ordered:
+def accepting_last(dfa: Dfa) -> tuple[list[int], int, list[int]]:
+    if dfa.ordered is None:
         n = len(dfa.accepts)
         order = sorted(range(n), key=lambda s: dfa.accepts[s] != 0)
         to = {s: i for i, s in enumerate(order)}
@@ -299,29 +300,40 @@ def accepting_last(key: int, dfa: Dfa) -> tuple[list[int], int, list[int]]:
         for s in range(n):
             table[to[s] * 256 : to[s] * 256 + 256] = [to[t >> 8] * 256 for t in dfa.table[s * 256 : s * 256 + 256]]
         limit = 256 * sum(a == 0 for a in dfa.accepts)
-        _ordered[key] = (table + [to[dfa.start >> 8] * 256], limit, [dfa.accepts[s] for s in order])
-    return _ordered[key]
+        dfa.ordered = (table + [to[dfa.start >> 8] * 256], limit, [dfa.accepts[s] for s in order])
+    return dfa.ordered
+
 
+def longest(data: bytes, at: int, dfa: Dfa, barren: dict[int, int] | None = None) -> int:
+    """End of the longest match from ``at``; -1 if there is none.
 
-def longest(data: bytes, at: int, dfa: Dfa) -> int:
-    """End of the longest match from ``at``."""
+    ``barren``: by place, a state from which an earlier call read on and met no further end; this call's are added.
+    """
     state, end, table, accepts = dfa.start, -1, dfa.table, dfa.accepts
     dead = dead_state(dfa)
+    seen: list[int] = []
+    known = barren.get if barren else None
     for i in range(at, len(data)):
         state = table[state + data[i]]
         if accepts[state >> 8]:
             end = i + 1
-        elif state == dead:
+            seen.clear()
+        elif state == dead or known and known(i) == state:
             break
+        else:
+            seen.append(state)
+    if barren is not None and seen:
+        first = at if end < 0 else end
+        barren.update(zip(range(first, first + len(seen)), seen))
     return end
 
 
 def dead_state(dfa: Dfa) -> int:
     """The state that nothing leaves and that does not accept; -1 if there is none."""
-    for s, a in enumerate(dfa.accepts):
-        if not a and all(t == s * 256 for t in dfa.table[s * 256 : s * 256 + 256]):
-            return s * 256
-    return -1
+    if dfa.dead is None:
+        closed = (s * 256 for s, a in enumerate(dfa.accepts) if not a and all(t == s * 256 for t in dfa.table[s * 256 : s * 256 + 256]))
+        dfa.dead = next(closed, -1)
+    return dfa.dead
 
 
 def find(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int]]:
@@ -334,11 +346,12 @@ def find(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, i
     data = text.encode("utf-8", "surrogatepass")
     scan, own = compiled(rules)
     behind = [0] * len(rules)
+    barren: list[dict[int, int]] = [{} for _ in rules]
     spans: list[tuple[int, int, int]] = []
     for at, mask in reversed(starts_in(data, scan)):
         for i in range(len(rules)):
             if mask >> i & 1 and at >= behind[i]:
-                end = longest(data, at, own[i])
+                end = longest(data, at, own[i], barren[i])
                 if end < 0:
                     continue
                 behind[i] = end
@@ -349,12 +362,12 @@ def find(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, i
     return [(rules[i].kind, a, e) for a, i, e in sorted(spans)]
 
 
-def listed(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{e}" for k, a, e in spans)
-
-
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id and ``found``, an array of (kind, start, end), for every row; null texts count as empty, rows are kept as they come."""
+    """doc_id and ``found``, an array of (kind, start, end), for every row, in order of start and then of kind as listed.
+
+    Null and empty texts have none. Whole texts are read. Repeated rows give equal results, an empty table an empty one; null
+    doc_ids are kept, other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -368,19 +381,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """The columns that the query returns, from spans that the operator found."""
-    names = tuple(r.kind for r in BASE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [[(s["kind"], s["start"], s["end"]) for s in r] for r in batch.column("found").to_pylist()]
-            base = [[s for s in r if s[0] in names] for r in rows]
-            counts = [pa.array([sum(s[0] == k for s in r) for r in base], pa.int64()) for k in names]
-            sha = pa.array([hashlib.sha256(listed(r).encode()).hexdigest() for r in base], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, sha, pa.array([listed(r) for r in rows], pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    """The columns that the query returns, from spans that the operator found; nothing here leaves the JVM."""
+    names = [r.kind for r in BASE]
+    base = F.filter("found", lambda s: s["kind"].isin(names))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of_kind = lambda k: F.filter("found", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in names]
+    return found.select("doc_id", *counts, F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("found")).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
