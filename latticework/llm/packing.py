@@ -2,7 +2,8 @@
 
 Only the lengths matter, and there are at most ``capacity`` of them, so the search runs over the counts by length, whose
 size does not grow with the data. For a bin, the longest length left is fixed, a subset-sum dynamic program over bitsets
-finds the fullest combination with the lengths available, and the combination is removed as often as the counts allow.
+finds the fullest combination with the lengths available, and the combination is removed: while all its lengths are in large
+supply for a part of what the counts allow at once, then bin by bin. A little more slack than the least may be allowed for.
 Rows then find their place by their rank among the rows of their length.
 """
 
@@ -24,10 +25,18 @@ KEPT_PARTS = 400_000
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
-def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
-    """A multiset of available lengths whose sum is the largest one within ``room``; longer ones are preferred.
+#: A combination is taken at once for this part of the bins that its scarcest length allows, so that the lengths left stay mixed.
+SHARE = 2
+#: Tokens beyond the least slack that a bin may lose in favour of longer documents, which are harder to place later: each is tried.
+SLACKS = (0, 8, 16)
 
-    ``reach`` after each length, from the shortest up, is the set of sums as bits of one integer.
+
+def fullest(counts: dict[int, int], room: int, slack: int = 0) -> dict[int, int]:
+    """A multiset of available lengths whose sum is the largest one within ``room``, or up to ``slack`` less than that; of these, the
+    one of the longest lengths.
+
+    ``reach`` after each length, from the shortest up, is the set of sums as bits of one integer. Going back, all sums that
+    are still good enough are kept, as bits too.
     """
     lengths = sorted(x for x, n in counts.items() if n and x <= room)
     reach, steps, mask = 1, [], (1 << (room + 1)) - 1
@@ -38,26 +47,28 @@ def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
             took = min(copies, left)
             reach |= (reach << (x * took)) & mask
             left, copies = left - took, copies * 2
-    best, out = reach.bit_length() - 1, {}
+    least = max(0, reach.bit_length() - 1 - slack)
+    good, out = reach >> least << least, {}
     for x, before in zip(reversed(lengths), reversed(steps)):
-        for n in range(min(counts[x], best // x), -1, -1):
-            if before >> (best - n * x) & 1:
-                break
+        n = min(counts[x], (good.bit_length() - 1) // x)
+        while not (good >> (n * x)) & before:
+            n -= 1
+        good = (good >> (n * x)) & before
         if n:
-            out[x], best = n, best - n * x
+            out[x] = n
     return out
 
 
-def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
-    """(how many bins, their lengths) until nothing is left; each pattern uses up some length or nearly so."""
+def patterns(counts: dict[int, int], capacity: int = CAPACITY, slack: int = 0) -> list[tuple[int, dict[int, int]]]:
+    """(how many bins, their lengths) until nothing is left. The search's steps grow with the logarithm of the counts."""
     left, out = {x: n for x, n in counts.items() if n > 0}, []
     while left:
         seed = max(left)
         left[seed] -= 1
-        found = fullest(left, capacity - seed)
+        found = fullest(left, capacity - seed, slack)
         left[seed] += 1
         found[seed] = found.get(seed, 0) + 1
-        times = min(left[x] // n for x, n in found.items())
+        times = max(1, min(left[x] // n for x, n in found.items()) // SHARE)
         out.append((times, found))
         for x, n in found.items():
             left[x] -= n * times
@@ -66,10 +77,25 @@ def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
     return out
 
 
+def fewest(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
+    """The patterns of fewest bins over ``SLACKS``; ends early where no packing could need fewer."""
+    bound = -(-sum(x * n for x, n in counts.items()) // capacity)
+    best: list[tuple[int, dict[int, int]]] = []
+    bins = -1
+    for slack in SLACKS:
+        found = patterns(counts, capacity, slack)
+        now = sum(times for times, _ in found)
+        if bins < 0 or now < bins:
+            best, bins = found, now
+        if bins == bound:
+            break
+    return best
+
+
 def placement(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, end rank, first bin, copies in a bin, offset of the first copy) for runs of ranks of a length."""
     bins, used, out = 0, dict.fromkeys(counts, 0), []
-    for times, found in patterns(counts, capacity):
+    for times, found in fewest(counts, capacity):
         at = 0
         for x, n in sorted(found.items(), reverse=True):
             out.append((x, used[x], used[x] + n * times, bins, n, at))
@@ -80,7 +106,11 @@ def placement(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: each row's ids with the end id, longer ones cut so that only the first piece is short."""
+    """doc_id, piece, start, length, ids_crc32: each row's ids with the end id, longer ones cut so that only the first piece is short.
+
+    Null and empty texts are one piece of the end id. Repeated rows each give their pieces; null doc_ids are kept; an empty table gives
+    an empty result; other columns are ignored.
+    """
     common.bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -354,6 +354,32 @@ def test_secrets_match_plain_regexes(spark):
         assert [s for s in secrets.find(t) if s[0] in base] == plain_secrets(t)
 
 
+def test_secrets_are_found_in_linear_steps(monkeypatch):
+    """Starts that lead nowhere are not each read to the end of their run; what is found stays the same as without memory."""
+    class Counted(bytes):
+        read = 0
+
+        def __getitem__(self, i):
+            Counted.read += 1
+            return super().__getitem__(i)
+
+    _, own = secrets.compiled(secrets.RULES)
+    jwt = own[[r.kind for r in secrets.RULES].index("jwt")]
+    steps = []
+    for n in (500, 1000):
+        data, barren, Counted.read = Counted(b"eyJ" * n + b".a.a"), {}, 0
+        assert all(secrets.longest(data, at, jwt, barren) == -1 for at in range(0, 3 * n, 3))
+        steps.append(Counted.read)
+    assert steps[1] < 2.5 * steps[0] and steps[1] < 20 * 3 * 1000
+    rng = random.Random(12)
+    bits = ["eyJ", "abcdefgh", "A-_", ".", "..", "ghp_", "aZ" * 18, "xoxb-", "1234567890", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "\n", "QUJD" * 5, "=", "AKIA" + "A" * 16, "token=abcdef"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    remembered = [secrets.find(t) for t in texts]
+    plain = secrets.longest
+    monkeypatch.setattr(secrets, "longest", lambda data, at, dfa, barren=None: plain(data, at, dfa))
+    assert [secrets.find(t) for t in texts] == remembered
+
+
 def test_secrets_added_kinds():
     kinds = lambda t: [s[0] for s in secrets.find(t)]
     assert kinds("-----BEGIN RSA PRIVATE KEY-----") == ["private_key"]
@@ -598,6 +624,34 @@ def test_fullest_is_the_best_sum():
         assert sum(x * n for x, n in found.items()) == max(sums) and all(n <= counts[x] for x, n in found.items())
 
 
+def best_fit_decreasing(counts, capacity=1024):
+    have, bins = [0] * (capacity + 1), 0
+    for x in sorted(counts, reverse=True):
+        for _ in range(counts[x]):
+            room = next((r for r in range(x, capacity + 1) if have[r]), None)
+            bins += room is None
+            if room is not None:
+                have[room] -= 1
+            have[(capacity if room is None else room) - x] += 1
+    return bins
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_packing_needs_no_more_bins_than_best_fit(spark, sf):
+    path = tokens.path_of("byte_bpe_50k.json")
+    cut = packing.pieces(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), path)
+    counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
+    found = packing.fewest(counts)
+    used = Counter()
+    for times, lengths in found:
+        assert sum(x * n for x, n in lengths.items()) <= 1024
+        for x, n in lengths.items():
+            used[x] += n * times
+    assert used == Counter(counts)
+    bins, bound = sum(times for times, _ in found), -(-sum(x * n for x, n in counts.items()) // 1024)
+    assert bound <= bins <= best_fit_decreasing(counts)
+
+
 # pages
 
 
