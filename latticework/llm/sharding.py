@@ -1,7 +1,8 @@
 """Sharding along a Hilbert curve.
 
 Metadata dimensions are quantised to a grid of 2^BITS steps each, cells are numbered along the Hilbert curve, rows are sorted by
-that number, and the sorted sequence is cut into runs of equal length. A shard then covers a compact box in every
+that number, and the sorted sequence is cut into runs of equal length. Equal texts share the first number that one of them has,
+so they stay together but where a run ends. A shard then covers a compact box in every
 dimension, so minimum and maximum statistics prune files for filters on any of them.
 """
 
@@ -79,32 +80,45 @@ def string_steps(df: DataFrame, column: str, out: str, bits: int = BITS) -> Data
     """
     values = df.groupBy(F.col(column).alias("__value")).agg(F.count("*").alias("__rows"))
     ranked = common.global_rank(values.drop("__rows"), ["__value"], "__rank", "shard-values")
-    count = ranked.agg(F.count("*").alias("__values"))
-    steps = ranked.join(F.broadcast(count)).select(F.coalesce(F.concat(F.lit("s"), "__value"), F.lit("n")).alias("__text"), F.floor(F.col("__rank") * (1 << bits) / F.col("__values")).alias(out))
+    n = max(1, ranked.count())
+    steps = ranked.select(F.coalesce(F.concat(F.lit("s"), "__value"), F.lit("n")).alias("__text"), F.floor(F.col("__rank") * (1 << bits) / n).alias(out))
     return df.withColumn("__text", F.coalesce(F.concat(F.lit("s"), column), F.lit("n"))).join(steps, "__text").drop("__text")
 
 
+def curved(rows: DataFrame, bits: int = BITS) -> DataFrame:
+    """``rows`` (lang, source, size, ...) with ``hilbert``, each row's own place on the curve over language, source and size."""
+    grid = string_steps(string_steps(rows, "lang", "__lang_step", bits), "source", "__source_step", bits).withColumn("__size_step", size_step(F.col("size"), bits))
+    return with_hilbert(grid, ["__lang_step", "__source_step", "__size_step"], bits).drop("__lang_step", "__source_step", "__size_step")
+
+
+def together(curve: DataFrame) -> DataFrame:
+    """``curve`` (text_key, hilbert, ...) with the least hilbert of the rows of equal text_key for all of them.
+
+    Only texts that have several places on the curve are joined, and a group's size does not matter to the sum before.
+    """
+    ends = curve.groupBy("text_key").agg(F.min("hilbert").alias("__low"), F.max("hilbert").alias("__high")).filter("__low < __high")
+    return curve.join(ends.select("text_key", "__low"), "text_key", "left").withColumn("hilbert", F.coalesce("__low", "hilbert")).drop("__low")
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and hilbert for every row of ``docs`` (doc_id, text, lang, source).
 
-    Dimensions: language, source and size. Rows are ordered by curve index, then checksum of the text (equal texts stand side
-    by side), then doc_id; row r of n goes to shard floor(r * shards / n), so counts differ by one at most: the law is ``rows``.
+    Dimensions: language, source and size. Rows of equal text take the first curve index that one of them has. Rows are ordered by curve index, then the text's
+    hash (equal texts stand side by side), then doc_id; row r of n goes to shard floor(r * shards / n), so counts differ by one
+    at most: the law is ``rows``. So equal texts lie in one shard, unless a run ends among them.
 
-    Null text: size 16, checksum of the empty text. Null language or source: ranked first. Repeated rows each get a slot. An empty
+    Null text: size 16, checksum of the empty text, and equal to it. Null language or source: ranked first. Repeated rows each get a slot. An empty
     table gives an empty result. Other columns are ignored.
     """
-    slim = docs.select(
-        "doc_id", "lang", "source", (common.utf8_size("text") + 16).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
-    )
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    slim = docs.select("doc_id", "lang", "source", (common.utf8_size("text") + 16).alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.md5(raw)).alias("text_key"))
     kept = common.written(slim, "shard-rows")
-    grid = string_steps(string_steps(kept, "lang", "__lang_step", bits), "source", "__source_step", bits).withColumn("__size_step", size_step(F.col("size"), bits))
-    curve = with_hilbert(grid, ["__lang_step", "__source_step", "__size_step"], bits).select("doc_id", "size", "text_crc32", "hilbert")
-    ranked = common.global_rank(curve, ["hilbert", "text_crc32", "doc_id"], "__r", "shard-order")
-    n = kept.agg(F.count("*").alias("__n"))
+    n = max(1, kept.count())
+    curve = together(curved(kept, bits)).select("doc_id", "size", "text_crc32", "text_key", "hilbert")
+    ranked = common.global_rank(curve, ["hilbert", "text_key", "doc_id"], "__r", "shard-order")
     return (
-        ranked.join(F.broadcast(n))
-        .withColumn("shard", F.expr(f"CAST((__r * {shards}) div __n AS INT)"))
-        .withColumn("slot", F.col("__r") - F.expr(f"(shard * __n + {shards - 1}) div {shards}"))
+        ranked.withColumn("shard", F.expr(f"CAST((__r * {shards}) div {n} AS INT)"))
+        .withColumn("slot", F.col("__r") - F.expr(f"(shard * {n}L + {shards - 1}) div {shards}"))
         .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
     )
 
