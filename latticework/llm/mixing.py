@@ -1,7 +1,8 @@
 """Mixing sources to target weights along a time-varying curriculum.
 
 Each source has a weight schedule over training time t in [0, 1]: its rate of words is ``target * (1 + slope * (2t - 1))``,
-so the integral up to t is ``target * (t + slope * (t^2 - t))`` and reaches the source's target at t = 1. A document's place
+so the integral up to t is ``target * (t + slope * (t^2 - t))`` and reaches the source's target at t = 1. Time is each source's own
+share of its schedule, not a share of the mix's tokens. A document's place
 in its source's word sequence is a cumulative demand; inverting the integral gives its training position. The documents
 are then range-sorted by position.
 """
@@ -69,37 +70,47 @@ def takes(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, s
     source's taken words are its target rounded. Order and result depend only on ids and texts, so reruns agree.
 
     Null text: size 0, nothing taken. Null source: a source of its own, the last. Repeated rows each count. Rows of equal
-    doc_id are ordered by size. An empty table gives an empty result. The result is range-sorted by first position;
-    documents of which nothing is taken come first, with an empty list of positions.
+    doc_id are ordered by size. An empty table gives an empty result. All columns are kept, but for those of the result's own
+    names, which are replaced. The result is in no order; ``by_position`` sorts it.
     """
+    made = ("size", "source_size", "target", "taken", "positions")
+    kept = [c for c in docs.columns if c.lower() not in made]
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    clash = {c.lower() for c in docs.columns} & {"size", "source_size", "target", "taken", "positions", "__key", "__b", "__src", "rank", "weight"}
-    base = docs.drop(*[c for c in docs.columns if c.lower() in clash])
-    sized = base.withColumn("size", words() if size is None else size).withColumn("__key", key)
-    bits = 12
-    dealt = sized.withColumn("__b", F.conv(F.substring("__key", 1, bits // 4), 16, 10).cast("int")).withColumn("__src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    buckets = dealt.groupBy("__src", "source", "__b").agg(F.sum("size").alias("total"))
+    src = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    digits = hex_digits(docs)
+    # all columns of a row in one, so that none of their names can clash with what follows
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("doc_id").alias("id"), "source", src.alias("src"), (words() if size is None else size).alias("size"), key.alias("key"))
+    dealt = sized.withColumn("bucket", F.conv(F.substring("key", 1, digits), 16, 10).cast("int"))
+    buckets = dealt.groupBy("src", "source", "bucket").agg(F.sum("size").alias("total"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("total").alias("source_size")), weights, cap)
-    plan = targets.withColumn("__src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("slope", slope(F.col("rank"))).drop("source", "weight", "rank")
-    summed = common.running_total(dealt, "__src", "__b", ["__key", "doc_id", "size"], "size", "__before", buckets.select("__src", "__b", "total"))
+    plan = targets.withColumn("src", src).withColumn("slope", slope(F.col("rank"))).drop("source", "weight", "rank")
+    summed = common.running_total(dealt, "src", "bucket", ["key", "id", "size"], "size", "before", buckets.select("src", "bucket", "total"))
     budget = F.floor(F.col("target") + 0.5).cast("long")
     rounds = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__budget") - F.col("__rounds") * F.col("source_size") - F.col("__before"))).cast("long")
-    copies = F.when(F.col("taken") > 0, F.sequence(F.lit(0), (F.col("__rounds") - F.when(F.col("__rest") > 0, 0).otherwise(1)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    middle = lambda i: i * F.col("source_size") + F.col("__before") + F.when(i < F.col("__rounds"), F.col("size")).otherwise(F.col("__rest")) / 2
+    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("rounds") * F.col("source_size") - F.col("before"))).cast("long")
+    copies = F.when(F.col("taken") > 0, F.sequence(F.lit(0), (F.col("rounds") - F.when(F.col("rest") > 0, 0).otherwise(1)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    middle = lambda i: i * F.col("source_size") + F.col("before") + F.when(i < F.col("rounds"), F.col("size")).otherwise(F.col("rest")) / 2
     placed = (
-        summed.join(plan, "__src")
-        .withColumn("__budget", budget)
-        .withColumn("__rounds", rounds)
-        .withColumn("__rest", rest)
-        .withColumn("taken", F.col("__rounds") * F.col("size") + F.col("__rest"))
+        summed.join(plan, "src")
+        .withColumn("budget", budget)
+        .withColumn("rounds", rounds)
+        .withColumn("rest", rest)
+        .withColumn("taken", F.col("rounds") * F.col("size") + F.col("rest"))
         .withColumn("positions", F.transform(copies, lambda i: F.least(F.lit(1.0), position_of(middle(i), F.greatest(F.col("target"), F.lit(1e-9)), F.col("slope")))))
     )
-    return placed.select(*base.columns, "size", "source_size", "target", "taken", "positions")
+    return placed.select("row.*", *made)
+
+
+def hex_digits(docs: DataFrame) -> int:
+    """Hexadecimal digits of a hash that deal the rows of a source into buckets of a bounded size: 3 for 16 million rows, one more for each 16 times."""
+    rows, digits = docs.count(), 3
+    while digits < 6 and rows > 4096 << (4 * digits):
+        digits += 1
+    return digits
 
 
 def by_position(taken: DataFrame) -> DataFrame:
-    """Range-sorts documents by training position."""
+    """Range-sorts documents by training position, with ``position``, that of their first copy; those of which nothing is taken come first."""
     first = F.try_element_at("positions", F.lit(1))
     out = taken.withColumn("position", first)
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

@@ -104,9 +104,47 @@ def test_mixing_odd_rows(spark, odd, none):
     assert mixing.takes(odd.filter("doc_id < 3")).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark, odd):
+    names = ("weight", "rank", "row", "key", "src", "bucket", "before", "__b", "Weight2", "budget", "total")
+    docs = odd
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(i))
+    rows = mixing.takes(docs).collect()
+    assert len(rows) == len(ODD) and all(r[n] == i for r in rows for i, n in enumerate(names))
+    plain = {(r["doc_id"], r["text"]): r["taken"] for r in mixing.takes(odd).collect()}
+    assert {(r["doc_id"], r["text"]): r["taken"] for r in rows} == plain
+
+
 # sharding
 
 
+def test_shards_hold_equal_texts_and_prune(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r["doc_id"]: (r["text"], r["lang"], r["source"]) for r in docs.collect()}
+    rows = sharding.shard(docs).collect()
+    groups, boxes = defaultdict(set), defaultdict(list)
+    for r in rows:
+        groups[text[r["doc_id"]][0]].add(r["shard"])
+        boxes[r["shard"]].append((r["size"], text[r["doc_id"]][1], text[r["doc_id"]][2]))
+    # a run's end may part a group, so at most a group for each of the 39 cuts is in two shards
+    parted = [s for s in groups.values() if len(s) > 1]
+    assert all(max(s) - min(s) == 1 for s in parted) and len(parted) <= len([1 for g in groups.values()]) * 0.02 + 2
+
+    def read(shards):
+        """Mean share of shards that a filter on a language and a range of sizes has to read, by their statistics."""
+        n = total = 0
+        for lang in {b[1] for box in shards for b in box}:
+            for low in (16, 200, 1000, 5000):
+                total += 1
+                n += sum(min(b[1] for b in box) <= lang <= max(b[1] for b in box) and min(b[0] for b in box) <= 2 * low and max(b[0] for b in box) >= low for box in shards) / len(shards)
+        return n / total
+
+    mixed = [b for box in boxes.values() for b in box]
+    random.Random(1).shuffle(mixed)
+    at_random = [mixed[i::40] for i in range(40)]
+    assert read(list(boxes.values())) < 0.4 * read(at_random)
+
+
 def test_hilbert_steps_are_neighbours(spark):
     bits, names = 3, ["a", "b", "c"]
     cells = spark.range(8**3).select((F.col("id") % 8).alias("a"), (F.floor(F.col("id") / 8) % 8).alias("b"), F.floor(F.col("id") / 64).alias("c"))
