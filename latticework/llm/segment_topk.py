@@ -136,7 +136,19 @@ def floors_of(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray
     return out
 
 
-def unpacked(table: pa.Table, dim: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def floored(shared, dim: int, k: int):
+    """Packed query blocks with ``floors``, from the candidates that every task has: once for a query, before blocks are copied."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top_ids, top = np.frombuffer(shared.value[0], np.int64), np.frombuffer(shared.value[1]).reshape(-1, dim)
+        for batch in batches:
+            made = [floors_of(ids, q, top_ids, top, k).tobytes() for ids, q in unpacked(batch, dim)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "ids", "vectors")), pa.array(made, pa.binary())], ["block", "ids", "vectors", "floors"])
+
+    return run
+
+
+def unpacked(table: pa.Table | pa.RecordBatch, dim: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(ids, vectors) of packed blocks."""
     return [(np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(v.as_buffer()).reshape(-1, dim)) for i, v in zip(table.column("ids"), table.column("vectors"))]
 
@@ -174,14 +186,14 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, blo
 
     across, down = F.sequence(F.lit(0), F.lit(columns - 1)), F.sequence(F.lit(0), F.lit(lanes - 1))
     candidates = rows.mapInArrow(packer(scale, block, dim, 1), BLOCK_SCHEMA).select(lane_of(1, lanes).alias("lane"), F.explode(across).alias("column"), "ids", "vectors")
-    queries = rows.filter(wanted).mapInArrow(packer(scale, query_block, dim, every), BLOCK_SCHEMA).select(F.explode(down).alias("lane"), lane_of(2, columns).alias("column"), "ids", "vectors")
+    asking = rows.filter(wanted).mapInArrow(packer(scale, query_block, dim, every), BLOCK_SCHEMA).mapInArrow(floored(shared, dim, k), "block long, ids binary, vectors binary, floors binary")
+    queries = asking.select(F.explode(down).alias("lane"), lane_of(2, columns).alias("column"), "ids", "vectors", "floors")
 
     def search(asked: pa.Table, held: pa.Table) -> pa.Table:
-        top_ids, top = np.frombuffer(shared.value[0], np.int64), np.frombuffer(shared.value[1]).reshape(-1, dim)
         out = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
         blocks = unpacked(held, dim)
-        for q_ids, q in merged(unpacked(asked, dim), query_block, dim) if blocks else ():
-            floors = floors_of(q_ids, q, top_ids, top, k)
+        known = [np.frombuffer(f.as_buffer()) for f in asked.column("floors")]
+        for q_ids, q, floors in merged(unpacked(asked, dim), known, query_block) if blocks else ():
             for ids, own in blocks:
                 row, found, scores = search_block(q_ids, q, ids, own, k, floors)
                 for o, v in zip(out, (q_ids[row], found, scores)):
@@ -193,12 +205,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, blo
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def merged(blocks: list[tuple[np.ndarray, np.ndarray]], size: int, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The rows of small blocks in blocks of ``size``."""
+def merged(blocks: list[tuple[np.ndarray, np.ndarray]], floors: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The rows of small blocks, with their floors, in blocks of ``size``."""
     if blocks:
-        ids, x = np.concatenate([i for i, _ in blocks]), np.concatenate([v for _, v in blocks])
+        ids, x, known = np.concatenate([i for i, _ in blocks]), np.concatenate([v for _, v in blocks]), np.concatenate(floors)
         for at in range(0, len(ids), size):
-            yield ids[at : at + size], x[at : at + size]
+            yield ids[at : at + size], x[at : at + size], known[at : at + size]
 
 
 def query(spark, sf_dir: str) -> DataFrame:
