@@ -5,7 +5,8 @@ With M the largest norm of a band, its row x becomes (x, sqrt(M^2 - |x|^2)) and
 one has the largest inner product. A table's hash is a row of functions floor((a . x + b) / w) with a drawn from the normal
 distribution, which is 2-stable: where a . q = u, a row at the angle t from q has a . x = u cos(t) + M sin(t) N(0, 1). So the
 probability that a neighbour is in a cell is known for each function. Of the buckets that hold rows, the likeliest are visited
-until they have the part ``success`` of the probability of all, however far from the query they lie. Bands whose norms are too
+until they have the part ``success`` of the probability of all, however far from the query they lie, and hold enough rows for k
+neighbours. Bands whose norms are too
 small for any of the k largest products are left out. The tables' candidates are scored exactly, merged and ranked.
 """
 
@@ -26,7 +27,7 @@ SUCCESS = 0.72
 #: Rows that distances and projections are measured on, at most; every row is indexed.
 SAMPLE = 2048
 #: Rows of a bucket that one task scores; larger buckets are split, and their queries go to each part.
-PART = 8192
+PART = 2048
 #: Bands of fewer rows are one bucket.
 WHOLE = 1600
 #: The cosine of the angle to a neighbour counts as this at most.
@@ -37,7 +38,8 @@ SEED = 11
 class Band:
     """Hash functions of the rows of a band: ``a`` (tables, functions, dim + 1), ``b`` and ``w``; none if the band is one bucket.
 
-    ``cells`` lists each table's buckets that hold rows, by ``keys``, their hashes in ascending order; ``parts`` what each is cut into.
+    ``cells`` lists each table's buckets that hold rows, by ``keys``, their hashes in ascending order; ``parts`` what each is cut into,
+    ``rows`` how many rows it holds.
     """
 
     def __init__(self, n: int, norm: float, sample: np.ndarray, tables: int, width: float, seed: list[int]):
@@ -49,7 +51,7 @@ class Band:
         wide = float((self.lifted(sample) @ self.a.reshape(-1, dim + 1).T).std(axis=0).mean()) if hashed and len(sample) > 30 else norm
         self.w = width * max(1e-12 * norm, wide)
         self.b = rng.uniform(0, self.w, size=self.a.shape[:2]) if hashed else np.zeros((1, 0))
-        self.keys, self.cells, self.parts = [], [], []
+        self.keys, self.cells, self.parts, self.rows = [], [], [], []
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(0.0, self.norm**2 - (x**2).sum(axis=1)))[:, None]])
@@ -60,15 +62,16 @@ class Band:
         return np.floor((self.lifted(x) @ self.a[table].T + self.b[table]) / self.w).astype(np.int64)
 
     def fill(self, found: list) -> None:
-        """Takes the buckets that hold rows, (table, cells, parts)."""
+        """Takes the buckets that hold rows, (table, cells, parts, rows)."""
         for t in range(len(self.a)):
-            own = sorted((tuple(c), p) for table, c, p in found if table == t)
-            cells = np.array([c for c, _ in own], np.int64).reshape(len(own), self.a.shape[1])
+            own = sorted((tuple(c), p, n) for table, c, p, n in found if table == t)
+            cells = np.array([c for c, _, _ in own], np.int64).reshape(len(own), self.a.shape[1])
             keys = bucket_of(cells)
             order = np.argsort(keys, kind="stable")
             self.keys.append(keys[order])
             self.cells.append(cells[order])
-            self.parts.append(np.array([p for _, p in own], np.int64)[order])
+            self.parts.append(np.array([p for _, p, _ in own], np.int64)[order])
+            self.rows.append(np.array([n for _, _, n in own], np.int64)[order])
 
     def buckets(self, x: np.ndarray, table: int) -> np.ndarray:
         """Each row's place in ``cells``; a row whose cells round differently from when they were listed goes to the nearest."""
@@ -79,8 +82,11 @@ class Band:
             at[i] = np.abs(self.cells[table] - own[i]).sum(axis=1).argmin()
         return at
 
-    def probes(self, units: np.ndarray, cosines: np.ndarray, table: int, success: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, bucket) of the probes of queries of norm 1 whose neighbours lie at angles of these cosines."""
+    def probes(self, units: np.ndarray, cosines: np.ndarray, table: int, success: float, need: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(query, bucket) of the probes of queries of norm 1 whose neighbours lie at angles of these cosines.
+
+        Buckets are visited until both the probability and ``need`` rows are reached, or there are no more.
+        """
         cells = self.cells[table]
         if not cells.shape[1]:
             return np.arange(len(units)), np.zeros(len(units), np.int64)
@@ -97,7 +103,8 @@ class Band:
                 p *= np.maximum(erf(high) - erf(low), 1e-12)[:, which]
             order = np.argsort(-p, axis=1, kind="stable")
             mass = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
-            q, rank = np.nonzero(np.hstack([np.zeros((len(p), 1)), mass[:, :-1]]) < success * mass[:, -1:])
+            before = np.cumsum(self.rows[table][order], axis=1) - self.rows[table][order]
+            q, rank = np.nonzero((np.hstack([np.zeros((len(p), 1)), mass[:, :-1]]) < success * mass[:, -1:]) | (before < need))
             queries.append(q + at)
             buckets.append(order[q, rank])
         return np.concatenate(queries), np.concatenate(buckets)
@@ -110,8 +117,9 @@ def erf(x: np.ndarray) -> np.ndarray:
 class Index:
     """The bands, and a sample of the table (``ids``, ``x``) that tells how near a query's neighbours are."""
 
-    def __init__(self, dim: int, sample: list, k: int, bands: list, tables: int, width: float, success: float, seed: int):
-        self.dim, self.k, self.success = dim, k, success
+    def __init__(self, dim: int, sample: list, k: int, bands: list, tables: int, width: float, success: float, seed: int, often: int = 1):
+        #: ``need`` rows of a band hold k ids beside the query's own, as no id has more than ``often`` rows
+        self.dim, self.k, self.success, self.need = dim, k, success, (k + 1) * often
         own = {i: (v, band) for i, v, band in reversed(sample)}
         self.ids, self.x = np.array(list(own), np.int64), self.padded([v for v, _ in own.values()])
         at = np.array([band for _, band in own.values()], np.int64)
@@ -205,7 +213,7 @@ def keyed(index: Index, queries: bool):
             for number, band in index.bands.items():
                 some = np.flatnonzero(band.norm * (1 + 1e-9) >= sure)
                 for t in range(len(band.a)) if len(some) else ():
-                    q, bucket = band.probes(u[some], np.clip(near[some] / max(band.norm, 1e-300), -NEAREST, NEAREST), t, index.success)
+                    q, bucket = band.probes(u[some], np.clip(near[some] / max(band.norm, 1e-300), -NEAREST, NEAREST), t, index.success, index.need)
                     parts = band.parts[t][bucket]
                     part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
                     yield from record(number, t, np.repeat(bucket, parts), part, ids, raw, np.repeat(some[q], parts))
@@ -251,7 +259,8 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = T
     All rows are indexed and are candidates, but for rows of the query's own id. The functions are fitted to the ``sample`` distinct
     rows of least hash. Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids.
     Shorter vectors count as padded with zeros. Ties go to the smaller vec_id; repeated rows of an id count once. An empty
-    table gives an empty result, and a query with fewer candidates found gets fewer rows.
+    table gives an empty result. A query gets k rows, or all candidates if there are fewer: bands that are left out cannot
+    hold the k best, and in each other band a table visits enough rows for k ids.
     """
     x = F.col("embedding")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -265,11 +274,12 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = T
     good = good.withColumn("band", F.coalesce(F.floor(F.log2(norm)), F.lit(-1100)).cast("int"))
     seen = good.groupBy("band").agg(F.count("*").alias("n"), F.max(F.size(x)).alias("dim"), F.max(norm).alias("norm")).orderBy("band").collect()
     picked = [(r["vec_id"], r["embedding"], r["band"]) for r in good.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(sample).collect()]
-    index = Index(max((r["dim"] for r in seen), default=1), picked, k, [(r["band"], r["n"], r["norm"]) for r in seen], tables, width, success, seed)
+    often = good.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    index = Index(max((r["dim"] for r in seen), default=1), picked, k, [(r["band"], r["n"], r["norm"]) for r in seen], tables, width, success, seed, often)
     # buckets that hold rows, with the parts they are cut into
-    found = good.mapInArrow(held(index), "band int, table int, cells array<long>, n long").groupBy("band", "table", "cells").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts")).collect()
+    found = good.mapInArrow(held(index), "band int, table int, cells array<long>, n long").groupBy("band", "table", "cells").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts"), F.sum("n").alias("rows")).collect()
     for number, band in index.bands.items():
-        band.fill([(r["table"], r["cells"], r["parts"]) for r in found if r["band"] == number])
+        band.fill([(r["table"], r["cells"], r["parts"], r["rows"]) for r in found if r["band"] == number])
     rows = good.mapInArrow(keyed(index, False), KEYED)
     probes = good.filter(F.col("vec_id") % every == 0).mapInArrow(keyed(index, True), KEYED)
 

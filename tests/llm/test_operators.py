@@ -255,7 +255,7 @@ def test_neighbours_recall_and_scores(spark):
 def test_neighbours_small_tables(spark):
     assert ann.neighbours(spark.createDataFrame([], VECTORS)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0]), (2, []), (3, [0.0, 0.0]), (4, None)], VECTORS).withColumn("bucket", F.lit(1))
-    assert [(r["vec_id"], r["score"]) for r in ann.neighbours(few).collect()] in ([(1, 1.0)], [])
+    assert [(r["vec_id"], r["score"]) for r in ann.neighbours(few).collect()] == [(1, 1.0)]
 
 
 def recall(spark, x, queries, **options):
@@ -300,6 +300,33 @@ def test_neighbours_beside_near_copies(spark, share):
     assert recall(spark, x, lambda qs: [q for q in qs if q in group]) >= 0.88
 
 
+@pytest.mark.parametrize("kind", ["lognormal", "outlier", "clustered", "lone", "few"])
+def test_neighbours_are_k_for_every_query(spark, kind):
+    """Every query gets 20 rows, or all others if there are fewer, whatever the vectors are like; recall where it is defined by many."""
+    rng = np.random.default_rng(9)
+    x = unit_rows(15 if kind == "few" else 4000, 32, seed=10)
+    if kind == "lognormal":
+        x *= rng.lognormal(0, 1.5, (len(x), 1))
+    if kind == "outlier":
+        x[33] *= 100
+    if kind in ("clustered", "lone"):
+        x = unit_rows(40, 32, seed=11)[rng.integers(0, 40, len(x))] + 0.05 * rng.normal(size=x.shape)
+    if kind == "lone":
+        x[::800] = 30 * unit_rows(5, 32, seed=12)
+    got = ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS).repartition(3), every=1 + len(x) // 100)
+    found = defaultdict(set)
+    for r in got.collect():
+        found[r["query_id"]].add(r["vec_id"])
+    queries = range(0, len(x), 1 + len(x) // 100)
+    assert all(len(found[q]) == min(20, len(x) - 1) for q in queries)
+    hits = []
+    for q in queries:
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits.append(len(found[q] & set(np.argsort(-scores)[:20].tolist())) / min(20, len(x) - 1))
+    assert np.mean(hits) >= 0.9
+
+
 def test_neighbours_count_an_id_once(spark):
     x = np.random.default_rng(6).normal(size=(1000, 8))
     first = [float(v) for v in x[0]]
