@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Labelled pages that the field is trained on, rounds over them and the generator's seed.
-TRAIN_PAGES = 300
+TRAIN_PAGES = 600
 ROUNDS = 12
 SEED = 7
 
@@ -38,7 +38,7 @@ SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr
 SCOPE = frozenset("ul ol dl table article section div aside nav main header footer body html".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?a-zA-Z][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>|<[/!?a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 NAMES = re.compile(r"""\b(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -62,7 +62,8 @@ def blocks(page: str | None) -> list[tuple[tuple, str, int, str | None]]:
     """(path, text, characters inside links, label) of each leaf block that has text.
 
     ``path``: (tag, words) of the open elements. Character references are decoded, white space becomes one space, ends are trimmed.
-    Unknown and unclosed tags are tolerated: an end tag closes up to its element if that is open, a block ends a paragraph.
+    Unknown and unclosed tags are tolerated: an end tag closes up to its element if that is open, a block ends a paragraph. A tag
+    with a quote that is never closed ends at its first >, without attributes.
     """
     if not page:
         return []
@@ -104,7 +105,7 @@ def blocks(page: str | None) -> list[tuple[tuple, str, int, str | None]]:
             if links:
                 linked += len(piece)
         at = m.end()
-        tag = m["tag"]
+        tag, attrs = m["tag"] or m["tag2"], m["attrs"] or ""
         if not tag:
             continue
         tag = tag.lower()
@@ -112,7 +113,7 @@ def blocks(page: str | None) -> list[tuple[tuple, str, int, str | None]]:
             flush()
         elif tag == "br":
             parts.append(" ")
-        if m["end"]:
+        if m["end"] or m["end2"]:
             if tag in BLOCK or any(s[0] == tag for s in stack):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
@@ -129,9 +130,9 @@ def blocks(page: str | None) -> list[tuple[tuple, str, int, str | None]]:
                 close(SELF_CLOSING[tag], SCOPE)
             if tag == "body":
                 close({"head"}, frozenset())
-        if m["attrs"].endswith("/") and tag not in BLOCK:
+        if attrs.endswith("/") and tag not in BLOCK:
             continue
-        words, label = attributes(m["attrs"])
+        words, label = attributes(attrs)
         stack.append((tag, words, label))
         hidden += tag in HIDDEN
         links += tag == "a"
@@ -157,6 +158,7 @@ def text_features(text: str, linked: int, place: int, count: int) -> list[str]:
     share = linked / len(text)
     return [
         f"size:{len(text).bit_length()}",
+        f"prose:{min(4, len(text.split()).bit_length())}:{min(2, text.count('. '))}:{share < 0.3}",
         f"links:{0 if not share else 1 if share < 0.3 else 2 if share < 0.8 else 3}",
         f"end:{text[-1] if text[-1] in '.!?:,;' else 'w'}",
         f"place:{0 if not place else 2 if place == count - 1 else 1}",
@@ -164,6 +166,12 @@ def text_features(text: str, linked: int, place: int, count: int) -> list[str]:
     ]
 
 
+def features_of(found: list[tuple[tuple, str, int, str | None]]) -> list[list[str]]:
+    """The features of a page's blocks but for those of their paths."""
+    n = len(found)
+    return [text_features(t, k, i, n) for i, (_, t, k, _) in enumerate(found)]
+
+
 class Field:
     """Weights of the label ``text`` against ``rest`` by feature, and of transitions [from][to], start included as row 2."""
 
@@ -252,12 +260,17 @@ class Field:
                         self.moves[x][y] += rate * steps[x][y] / math.sqrt(past_moves[x][y])
 
 
-def labelled_page(rng: random.Random) -> str:
-    """A made-up page whose leaf elements carry data-label="text" or "rest"."""
-    syllables = "an the er on re in ti es or te at is la de que ment ung lich cion ado".split()
+#: Layouts of made-up pages: elements and names that say what they are, no names, made-up names, and tables.
+FAMILIES = ("named", "nameless", "odd", "table")
+SYLLABLES = "an the er on re in ti es or te at is la de que ment ung lich cion ado".split()
+
+
+def labelled_page(rng: random.Random, family: str | None = None) -> str:
+    """A made-up page of a family, or of any, whose leaf elements carry data-label="text" or "rest"."""
+    family = family or rng.choice(("named",) * 3 + FAMILIES[1:])
 
     def sentence(low: int = 1, high: int = 30) -> str:
-        words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(low, high))]
+        words = ["".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(low, high))]
         return (" ".join(words)).capitalize() + rng.choice([".", ".", ".", ",", "", " |", "!"])
 
     def prose(high: int = 6) -> str:
@@ -290,16 +303,36 @@ def labelled_page(rng: random.Random) -> str:
             ]
         )()
 
+    def plain_rest() -> str:
+        """What is no text even without a name: links, forms, elements that say so, a line or two."""
+        link = lambda: f'<a data-label="rest" href="/z">{sentence(1, 3)}</a>'
+        return rng.choice(
+            [
+                menu,
+                lambda: f"<nav>{' '.join(link() for _ in range(5))}</nav>",
+                lambda: f"<div>{' | '.join(link() for _ in range(rng.randint(2, 6)))}</div>",
+                lambda: f"<header>{leaf('div', sentence(1, 5), 'rest')}</header>",
+                lambda: f"<aside>{leaf('h3', sentence(1, 3), 'rest')}{leaf('p', sentence(), 'rest')}</aside>",
+                lambda: f"<form>{leaf('label', sentence(1, 3), 'rest')}<input name=q><button>{sentence(1, 2)}</button></form>",
+                lambda: f"<div>{leaf('div', sentence(1, 4), 'rest')}</div>",
+                lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 6))) + "</ul>",
+            ]
+        )()
+
     def comments() -> str:
         one = lambda: named("comment reply", leaf("b", sentence(1, 2), "rest") + leaf("p", prose(3), "rest"), "div li article")
-        return named("comments discussion responses", leaf("h3", sentence(1, 3), "rest") + "".join(one() for _ in range(rng.randint(1, 4))), "div section")
+        inner = leaf("h3", sentence(1, 3), "rest") + "".join(rng.choice([one(), leaf("p", prose(2), "rest"), leaf("div", prose(2), "rest")]) for _ in range(rng.randint(1, 4)))
+        attribute = rng.choice(["class", "id"])
+        name = rng.choice("comments comments discussion responses respond disqus_thread comment-list replies reply-title comment-form".split())
+        return f'<{(t := rng.choice(["div", "section", "ol"]))} {attribute}="{name}">{inner}</{t}>'
 
     def story() -> str:
         body = [leaf(rng.choice(["h1", "h1", "h2"]), sentence(2, 12), "text")] if rng.random() < 0.9 else []
-        for _ in range(rng.randint(1, 9)):
+        part = "div" if family != "named" and rng.random() < 0.4 else "p"
+        for _ in range(rng.randint(1, 9) if family == "named" else rng.randint(2, 9)):
             kind = rng.random()
             if kind < 0.78:
-                body.append(leaf("p", prose() if rng.random() < 0.75 else sentence(1, 2), "text"))
+                body.append(leaf(part, prose() if rng.random() < 0.75 or family != "named" else sentence(1, 2), "text"))
             elif kind < 0.84:
                 body.append(leaf("h2", sentence(1, 6), "text"))
             elif kind < 0.9:
@@ -310,36 +343,53 @@ def labelled_page(rng: random.Random) -> str:
                 body.append(f'<p data-label="text"><b>{prose(3)}<br></b> <a href="/y">{sentence(1, 2)}</a></p>')
             else:
                 body.append(named("ad advert promo", leaf("span", prose(2), "rest"), "div"))
+        if family == "named" and rng.random() < 0.12:  # a line or two are an article too
+            body = [leaf("p", sentence(1, 2), "text") for _ in range(rng.randint(1, 2))]
         inner = "".join(body)
+        if family == "table":
+            side = f"<td>{menu()}</td>" if rng.random() < 0.5 else ""
+            return f"<table><tr>{side}<td>{inner}</td></tr></table>"
+        if family == "nameless":
+            depth = rng.randint(1, 3)
+            return "<div>" * depth + inner + "</div>" * depth
+        if family == "odd":
+            names = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(1, 3))]
+            return "".join(f'<div class="{n}">' for n in names) + inner + "</div>" * len(names)
         return rng.choice(
             [f"<article>{inner}</article>"] * 4
             + [f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", f'<div class="content">{inner}</div>', f'<div id="content"><div class="post">{inner}</div></div>', f'<div class="article body">{inner}</div>', f'<div class="entry content">{inner}</div>', f'<section class="story">{inner}</section>', f'<article class="post">{inner}</article>']
         )
 
     foot = rng.choice(["<footer>{}</footer>", '<div class="footer">{}</div>', '<div id="footer">{}</div>']).format(leaf("span", "&copy; " + prose(2), "rest"))
-    parts = [rest() for _ in range(rng.randint(0, 4))] + [story()] + ([comments()] if rng.random() < 0.4 else []) + [rest() for _ in range(rng.randint(0, 2))] + [foot]
+    around = rest if family == "named" else plain_rest
+    parts = [around() for _ in range(rng.randint(0, 4))] + [story()] + ([comments()] if rng.random() < 0.4 else []) + [around() for _ in range(rng.randint(0, 2))] + [foot]
     return f"<html><head><title>{sentence(1, 6)}</title></head><body>{''.join(parts)}</body></html>"
 
 
 @cache
-def field(pages: int = TRAIN_PAGES, rounds: int = ROUNDS, seed: int = SEED) -> Field:
-    """The trained field; the same arguments give the same weights everywhere."""
+def field(pages: int = TRAIN_PAGES, rounds: int = ROUNDS, seed: int = SEED, without: str = "") -> Field:
+    """The trained field; the same arguments give the same weights everywhere. ``without``: a family that it does not see."""
     rng = random.Random(seed)
     made = []
-    for _ in range(pages):
-        found = blocks(labelled_page(rng))
-        n = len(found)
-        made.append(([path_features(p) + text_features(t, k, i, n) for i, (p, t, k, _) in enumerate(found)], [int(label == "text") for *_, label in found]))
+    while len(made) < pages:
+        family = rng.choice(("named",) * 3 + FAMILIES[1:])
+        if family == without:
+            continue
+        found = blocks(labelled_page(rng, family))
+        made.append(([path_features(p) + f for (p, *_), f in zip(found, features_of(found))], [int(label == "text") for *_, label in found]))
     out = Field()
     out.train([m for m in made if m[1]], rounds)
     return out
 
 
+def scores_of(found: list[tuple[tuple, str, int, str | None]], own: Field) -> list[float]:
+    return [own.path_score(p) + own.score(f) for (p, *_), f in zip(found, features_of(found))]
+
+
 def main_text(page: str | None, own: Field) -> str:
     found = blocks(page)
-    n = len(found)
-    scores = [own.path_score(p) + own.score(text_features(t, k, i, n)) for i, (p, t, k, _) in enumerate(found)]
-    return "\n".join(b[1] for b, label in zip(found, own.decode(scores) if n else []) if label)
+    scores = scores_of(found, own)
+    return "\n".join(b[1] for b, label in zip(found, own.decode(scores) if found else []) if label)
 
 
 def extract(pages: DataFrame, own: Field | None = None) -> DataFrame:

@@ -731,6 +731,37 @@ def test_main_text_of_labelled_pages():
     assert wrong / total < 0.02
 
 
+@pytest.mark.parametrize("family", html_text.FAMILIES[1:])
+def test_main_text_of_an_unseen_family(family):
+    """A field that never saw a layout labels nearly all of its blocks right."""
+    own, rng = html_text.field(without=family), random.Random(5)
+    wrong = total = 0
+    for _ in range(100):
+        found = html_text.blocks(html_text.labelled_page(rng, family))
+        wrong += sum(got != (label == "text") for got, (*_, label) in zip(own.decode(html_text.scores_of(found, own)), found))
+        total += len(found)
+    assert wrong / total <= 0.05
+
+
+STORY = "The council met on Tuesday evening to decide the fate of the old bridge, which has been closed since the flood. "
+
+
+def test_main_text_of_pages_by_other_hands():
+    own = html_text.field()
+    nested = f'<html><body><div class="wrap"><div class="txt"><div><p>{STORY * 3}</p><p>{STORY * 2}</p><p>{STORY * 4}</p></div></div></div></body></html>'
+    assert html_text.main_text(nested, own).count("\n") == 2
+    table = f'<html><body><table><tr><td><a href="/">Home</a> <a href="/n">News</a></td></tr><tr><td><p>{STORY * 3}</p><p>{STORY * 2}</p></td></tr></table></body></html>'
+    assert html_text.main_text(table, own) == (STORY * 3).strip() + "\n" + (STORY * 2).strip()
+    for notes in ('<section id="disqus_thread"><p>I do not agree with this at all.</p><p>Me neither.</p></section>', '<div id="respond"><h3>Leave a reply</h3><p>Your address will not be shown.</p></div>'):
+        page = f"<html><body><article><h1>Old bridge</h1><p>{STORY * 3}</p><p>{STORY * 2}</p></article>{notes}</body></html>"
+        assert html_text.main_text(page, own) == "Old bridge\n" + (STORY * 3).strip() + "\n" + (STORY * 2).strip()
+
+
+def test_a_quote_that_is_never_closed():
+    found = html_text.blocks('<article><p>one</p><p title="abc>two</p><p>three</p></article>')
+    assert [b[1] for b in found] == ["one", "two", "three"] and all(b[0][-1][0] == "p" for b in found)
+
+
 def test_viterbi_and_gradient():
     f = html_text.Field()
     f.moves = [[0.5, -0.3], [-0.2, 0.4], [0.1, 0.0]]
