@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ SMOOTHING = 0.5
 #: What a further language in the set costs, in units of log(number of words); a word counts with the part EVIDENCE of its n-grams' likelihood.
 PENALTY = 2.0
 EVIDENCE = 0.5
+#: Of at most so many languages with a part in a document, all sets are tried.
+FEW = 5
 UNDETERMINED = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -194,10 +197,11 @@ def em(scores: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
 
 
 def select_set(scores: np.ndarray) -> tuple[list[tuple[int, float]], float]:
-    """[(language, proportion)] of the set of highest penalised likelihood, largest first; ties go to the earlier language.
+    """[(language, proportion)] of the set of highest penalised likelihood, largest first; ties go to the smaller set and the earlier language.
 
-    Sets are nested by the full mixture's proportions. No subset is likelier than the best word by word, which ends the
-    search early for documents of one language.
+    No subset is likelier than the best word by word, which settles documents of one language without estimation (their
+    proportion is 1). Else sets are made of the languages that have a part in the full mixture: all of them if these are few, and
+    nested ones by proportion if they are many.
     """
     price = PENALTY * np.log(len(scores) + 1.0)
     totals = scores.sum(axis=0)
@@ -207,17 +211,19 @@ def select_set(scores: np.ndarray) -> tuple[list[tuple[int, float]], float]:
     share, full = em(scores)
     if full - totals[best] <= price:
         return [(best, 1.0)], float(totals[best])
-    order = np.argsort(-share, kind="stable")
+    order = [int(i) for i in np.argsort(-share, kind="stable") if share[i] >= 1e-3]
+    if len(order) <= FEW:
+        sets = [c for k in range(2, len(order) + 1) for c in combinations(sorted(order), k)]
+    else:
+        sets = [tuple(order[:k]) for k in range(2, len(order) + 1)]
     found, value = ([(best, 1.0)], float(totals[best])), float(totals[best])
-    for k in range(2, len(order) + 1):
-        if share[order[k - 1]] < 1e-3:
-            break
-        part, likelihood = em(scores[:, order[:k]]) if k < len(order) else (share[order], full)
-        if likelihood - price * (k - 1) <= value:
-            break
-        value = likelihood - price * (k - 1)
-        ranked = sorted(((int(order[i]), float(part[i])) for i in range(k)), key=lambda x: (-x[1], x[0]))
-        found = (ranked, likelihood)
+    for chosen in sets:
+        if full - price * (len(chosen) - 1) <= value:
+            continue
+        part, likelihood = em(scores[:, list(chosen)])
+        if likelihood - price * (len(chosen) - 1) > value:
+            value = likelihood - price * (len(chosen) - 1)
+            found = (sorted(((i, float(p)) for i, p in zip(chosen, part)), key=lambda x: (-x[1], x[0])), likelihood)
     return found
 
 
@@ -227,7 +233,11 @@ def fold(column: str = "doc_id"):
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of every language that documents (doc_id, text, lang) outside of fold 0 have."""
+    """A model of every language that documents (doc_id, text, lang) outside of fold 0 have.
+
+    Rows of a null text, lang or doc_id teach nothing; repeated rows each count; other columns are ignored. Without any labelled
+    row the model has no language and everything is ``und``.
+    """
     common.bounded_batches(docs.sparkSession)
     known = docs.filter((fold() != 0) & F.col("lang").isNotNull())
     rows = known.filter(F.col("text").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()

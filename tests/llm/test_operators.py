@@ -390,6 +390,28 @@ def test_language_mixture(spark):
     assert language.em(scores, 100)[0][0] == pytest.approx(0.8125, abs=0.01)
 
 
+def test_language_sets_match_all_subsets():
+    """The chosen set is the best of all sets of four languages, each with its proportions by long estimation."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        words = int(rng.integers(1, 80))
+        truth = rng.choice(4, size=words, p=rng.dirichlet([0.4] * 4))
+        scores = rng.normal(-6, 1.5, (words, 4))
+        scores[np.arange(words), truth] += rng.uniform(0, 5)
+        price = language.PENALTY * np.log(words + 1.0)
+        values = {}
+        for k in range(1, 5):
+            for c in combinations(range(4), k):
+                likelihood = scores[:, c[0]].sum() if k == 1 else language.em(scores[:, list(c)], 2000)[1]
+                values[c] = likelihood - price * (k - 1)
+        chosen, _ = language.select_set(scores)
+        got = values[tuple(sorted(i for i, _ in chosen))]
+        assert got >= max(values.values()) - 0.02 * price
+        assert sum(p for _, p in chosen) == pytest.approx(1)
+
+
 def test_language_odd_rows(spark, odd, none):
     got = language.predict(odd.withColumn("score", F.lit("x")), language.fit(odd)).collect()
     assert len(got) == len(ODD)

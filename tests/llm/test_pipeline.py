@@ -43,3 +43,17 @@ def test_whole_run_and_odd_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in got} <= {3, 4} and got
+
+
+def test_stages_on_an_empty_table_and_clashing_names(spark):
+    """Each stage keeps the columns that it gets, whatever they are called, and an empty table gives an empty one."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    for i, name in enumerate(("__row", "__key", "__own", "__position", "__times", "row", "key", "taken", "positions", "lang_pred", "found")):
+        docs = docs.withColumn(name, F.lit(i))
+    docs = docs.cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, DATA)
+        assert got.columns == docs.columns and all(r["__row"] == 0 and r["__own"] == 2 and r["taken"] == 7 for r in got.collect()), name
+        assert stage(spark, docs.limit(0), DATA).collect() == [], name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), DATA).collect() == []
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() >= 60
