@@ -15,6 +15,8 @@ from . import common
 
 BITS = 6
 SHARDS = 40
+#: A text that makes up one in so many rows is frequent.
+FREQUENT = 1000
 
 
 def hilbert_sql(names: list[str], bits: int, xor=lambda a, b: f"({a} ^ {b})", shift=lambda a, n: f"shiftright({a}, {n})") -> list[tuple[str, str]]:
@@ -91,13 +93,19 @@ def curved(rows: DataFrame, bits: int = BITS) -> DataFrame:
     return with_hilbert(grid, ["__lang_step", "__source_step", "__size_step"], bits).drop("__lang_step", "__source_step", "__size_step")
 
 
-def together(curve: DataFrame) -> DataFrame:
-    """``curve`` (text_key, hilbert, ...) with the least hilbert of the rows of equal text_key for all of them.
+def together(curve: DataFrame, rows: int) -> DataFrame:
+    """``curve`` (text_key, hilbert, doc_id, ...), of that many rows, with the least hilbert of the rows of equal text_key for all of them.
 
-    Only texts that have several places on the curve are joined, and a group's size does not matter to the sum before.
+    Only texts that have several places on the curve are joined. Texts of at least a ``FREQUENT``-th of all rows, of which there cannot be
+    more than ``FREQUENT``, are broadcast, and their rows are dealt by their doc_id in the other texts' join.
     """
-    ends = curve.groupBy("text_key").agg(F.min("hilbert").alias("__low"), F.max("hilbert").alias("__high")).filter("__low < __high")
-    return curve.join(ends.select("text_key", "__low"), "text_key", "left").withColumn("hilbert", F.coalesce("__low", "hilbert")).drop("__low")
+    ends = curve.groupBy("text_key").agg(F.min("hilbert").alias("low"), F.max("hilbert").alias("high"), F.count("*").alias("n")).filter("low < high")
+    often = F.col("n") >= max(2.0, rows / FREQUENT)
+    hot = ends.filter(often).select("text_key", F.col("low").alias("__hot"))
+    cold = ends.filter(~often).select(F.col("text_key").alias("__key"), F.col("low").alias("__low"))
+    own = F.when(F.col("__hot").isNotNull(), F.unhex(F.md5(F.concat("text_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))).otherwise(F.col("text_key"))
+    marked = curve.join(F.broadcast(hot), "text_key", "left").withColumn("__key", own)
+    return marked.join(cold, "__key", "left").withColumn("hilbert", F.coalesce("__hot", "__low", "hilbert")).drop("__key", "__hot", "__low")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
@@ -114,7 +122,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     slim = docs.select("doc_id", "lang", "source", (common.utf8_size("text") + 16).alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.md5(raw)).alias("text_key"))
     kept = common.written(slim, "shard-rows")
     n = max(1, kept.count())
-    curve = together(curved(kept, bits)).select("doc_id", "size", "text_crc32", "text_key", "hilbert")
+    curve = together(curved(kept, bits), n).select("doc_id", "size", "text_crc32", "text_key", "hilbert")
     ranked = common.global_rank(curve, ["hilbert", "text_key", "doc_id"], "__r", "shard-order")
     return (
         ranked.withColumn("shard", F.expr(f"CAST((__r * {shards}) div {n} AS INT)"))
