@@ -25,7 +25,7 @@ def larger(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["delete_pages"])
+@pytest.mark.parametrize("name", ["delete_pages", "index_totals"])
 def test_query_equals_sql_on_many_segments(spark, larger, name):
     got = entry.queries()[name](spark, larger)
     duck = duckdb.connect()
