@@ -1,6 +1,7 @@
 """Queries on segments against their SQL where an index has more segments than the SQL looks at: 132 on 15,000 orders instead of 180 on 9,000,000."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -8,6 +9,7 @@ from test_oracles import plain
 
 import __spark_entry__ as entry
 from latticework import queries
+from latticework.operators import mutate
 from latticework.plans import spec
 
 ORDERS = "/root/testdata/sf0.01/orders.parquet"
@@ -25,7 +27,7 @@ def larger(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["delete_pages", "index_totals"])
+@pytest.mark.parametrize("name", ["delete_pages", "index_totals", "insert_pages"])
 def test_query_equals_sql_on_many_segments(spark, larger, name):
     got = entry.queries()[name](spark, larger)
     duck = duckdb.connect()
@@ -35,3 +37,15 @@ def test_query_equals_sql_on_many_segments(spark, larger, name):
     assert sorted(want.columns) == columns
     at = [want.columns.index(c) for c in columns]
     assert sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
+
+
+def test_new_points_are_placed_over_runs(spark, monkeypatch):
+    """One large segment with frequent mappings, one without new points, one without pages; runs of four rows."""
+    monkeypatch.setattr(mutate, "RUN_BITS", 2)
+    rng = random.Random(5)
+    lows = {0: sorted(float(rng.randint(10, 90)) for _ in range(60)), 1: [3.0, 4.0]}
+    rows = [(i, 0, float(rng.choice([50, rng.randint(0, 99)]))) for i in range(400)] + [(400 + i, 2, float(i)) for i in range(9)]
+    pages = spark.createDataFrame([(s, p, m) for s, ms in lows.items() for p, m in enumerate(ms, 7)], "segment long, page long, low_m double")
+    got = mutate.placed(pages, spark.createDataFrame(rows, "id long, segment long, m double")).collect()
+    below = lambda s, m: max([p for p, x in enumerate(lows.get(s, []), 7) if x <= m], default=7 if s in lows else 0)
+    assert sorted((r["id"], r["segment"], r["m"], r["page"]) for r in got) == [(i, s, m, below(s, m)) for i, s, m in rows]
