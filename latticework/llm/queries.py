@@ -16,6 +16,9 @@ MODULES = {
     "op8_main_text": "html_text",
     "op9_token_files": "token_files",
     "op10_sharding": "sharding",
+    "op11_simhash": "simhash",
+    "op12_vector_codes": "vector_codes",
+    "op13_whitening": "whitening",
 }
 
 
