@@ -12,12 +12,14 @@ from ..functions.geometry import in_box
 from ..plans.spec import Grid
 from . import grid as grids
 from . import layout
-from .ranks import saved
+from .ranks import in_order, saved
 
 #: Folders that the points of an index are dealt into, by segment; a query reads those that it may find something in.
 BLOCKS = 128
 #: Pages whose predicted ranks fall into one bucket of the directory.
 BUCKET_PAGES = 16
+#: Rows that follow each other in a sequence and are looked at in one group: two to this power at most.
+RUN_BITS = 16
 #: What a mapping may be off by rounding.
 SLACK = 1e-9
 
@@ -25,13 +27,16 @@ SLACK = 1e-9
 @dataclass(frozen=True)
 class Index:
     """``points`` with cell, m, segment, shard, page and block; ``models`` by segment; ``pages``: the directory, with the
-    predicted ranks of each page's first and last mapping; ``starts``: first mappings of segments 1 .. in order."""
+    predicted ranks of each page's first and last mapping; ``starts``: first mappings of segments 1 .. in order; ``token``: what it was
+    built from; ``version``: how often it was changed since."""
 
     points: DataFrame
     models: DataFrame
     pages: DataFrame
     grid: Grid
     starts: list[float]
+    token: str = ""
+    version: int = 0
 
     @cached_property
     def columns(self) -> list[str]:
@@ -68,17 +73,36 @@ def ranked_ends(intervals: DataFrame, index: Index) -> DataFrame:
     return df
 
 
+def last_before(marks: DataFrame, rows: DataFrame, group: str, order: list[str], value: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: the ``value`` of the last mark that does not come after the row in the sequence of its group, or of the
+    group's first mark; null in a group without marks.
+
+    ``marks`` and ``rows`` have ``group`` and the columns of ``order``; a mark stands before a row of equal order, marks of equal order stand by
+    ``value``. Both form one sequence, which is cut into runs of bounded length, and each run of a group starts with the last mark of the
+    runs before it. So a group may have any number of rows and marks; the windows over runs have one row for each.
+    """
+    own = marks.select(group, *order, F.col(value).alias("__value"))
+    both = rows.unionByName(own, allowMissingColumns=True).withColumn("__tie", F.monotonically_increasing_id())
+    kept = in_order(both, [group, *order, F.col("__value").isNull(), "__value", "__tie"]).withColumn("__run", F.shiftright("__at", RUN_BITS))
+    marked = F.when(F.col("__value").isNotNull(), F.col("__at"))
+    runs = kept.groupBy(group, "__run").agg(F.max_by("__value", marked).alias("__high"), F.min_by("__value", marked).alias("__low"))
+    within = Window.partitionBy(group).orderBy("__run")
+    first = F.first("__low", True).over(within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = runs.select(group, "__run", F.coalesce(F.last("__high", True).over(within.rowsBetween(Window.unboundedPreceding, -1)), first).alias("__start"))
+    so_far = Window.partitionBy(group, "__run").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = kept.withColumn("__own", F.last("__value", True).over(so_far)).filter(F.col("__value").isNull()).join(before, [group, "__run"])
+    return at.select(*rows.columns, F.coalesce("__own", "__start").alias(out))
+
+
 def predicted_shards(index: Index, at: DataFrame, m: str) -> DataFrame:
     """``at`` with shard: that of the last page whose predicted first rank does not exceed that of ``m``, found in the directory.
 
-    Both sides are dealt by segment, where pages and mappings form one sequence.
+    Any number of look-ups may fall into one segment.
     """
-    placed = with_rank(layout.with_segment(at, index.starts, m), index.models, m, "__rank")
-    order = Window.partitionBy("segment").orderBy("__rank", F.col("__m"), F.col("__page").isNull())
-    pages = index.pages.select("segment", F.col("low_rank").alias("__rank"), F.col("low_m").alias("__m"), F.col("page").alias("__page"), F.col("shard").alias("__shard"))
-    both = placed.withColumn("__m", F.col(m)).unionByName(pages, allowMissingColumns=True)
-    found = both.withColumn("shard", F.coalesce(F.last("__shard", True).over(order), F.min("__shard").over(Window.partitionBy("segment"))))
-    return found.filter(F.col("__page").isNull()).select(*at.columns, "shard")
+    placed = with_rank(layout.with_segment(at, index.starts, m), index.models, m, "__rank").withColumn("__m", F.col(m))
+    pages = index.pages.select("segment", F.col("low_rank").alias("__rank"), F.col("low_m").alias("__m"), F.struct("page", "shard").alias("__page"))
+    found = last_before(pages, placed, "segment", ["__rank", "__m"], "__page", "__found")
+    return found.select(*at.columns, F.col("__found.shard").alias("shard"))
 
 
 def pages_of(index: Index, boxes: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import search_right
 from ..plans.spec import Grid, IndexSpec
 from .grid import TREE_BOUNDS, cell_intervals, with_mapping
-from .model import train_segment
+from .model import train_runs
 from .ranks import ranked, ranked_within
 
 MODEL = "segment long, min_m double, n long, alphas array<double>, betas array<double>, loss double"
@@ -56,15 +56,20 @@ def segment_sizes(segmented: DataFrame) -> DataFrame:
 
 
 def train_models(segmented: DataFrame, spec: IndexSpec) -> DataFrame:
-    """A position model for each segment; a segment is one group in a task, of a size that ``IndexSpec.sized`` bounds."""
+    """A position model for each segment, from one row for each of its different mappings.
+
+    Equal mappings are counted before they move, so a segment's group holds about twice the rows between two cuts at most
+    (``IndexSpec.sized`` bounds these), even where a run of equal mappings, which no cut divides, holds most of the table.
+    """
     knots = spec.knots
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.sort(pdf["m"].to_numpy(np.float64))
-        alphas, betas, loss = train_segment(m, knots)
-        return pd.DataFrame({"segment": [key[0]], "min_m": [m[0]], "n": [len(m)], "alphas": [alphas.tolist()], "betas": [betas.tolist()], "loss": [loss]})
+        runs = pdf.sort_values("m")
+        m, often = runs["m"].to_numpy(np.float64), runs["often"].to_numpy(np.int64)
+        alphas, betas, loss = train_runs(m, often, knots)
+        return pd.DataFrame({"segment": [key[0]], "min_m": [m[0]], "n": [int(often.sum())], "alphas": [alphas.tolist()], "betas": [betas.tolist()], "loss": [loss]})
 
-    return segmented.select("segment", "m").groupBy("segment").applyInPandas(fit, MODEL)
+    return segmented.groupBy("segment", "m").agg(F.count("*").alias("often")).groupBy("segment").applyInPandas(fit, MODEL)
 
 
 def predicted_position(m: Column, prefix: str = "") -> Column:
@@ -87,18 +92,19 @@ def merged_tails(counts: DataFrame, size: int) -> DataFrame:
 
 
 def numbered_shards(named: DataFrame, size: int) -> DataFrame:
-    """(segment, own, count, shard, first_page): shards and pages numbered over all segments.
+    """(segment, own, count, shard, first_page, first_row): shards, pages and rows numbered over all segments.
 
     They are numbered within a segment first; only the segments' totals, one row each, go through a window over everything.
     """
     shards = named.groupBy("segment", "own").agg(F.sum("c").alias("count")).withColumn("__pages", F.ceil(F.col("count") / size))
     inside = Window.partitionBy("segment").orderBy("own")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    local = shards.withColumn("__shard", F.row_number().over(inside) - 1).withColumn("__page", F.coalesce(F.sum("__pages").over(before), F.lit(0)))
+    local = shards.withColumn("__shard", F.row_number().over(inside) - 1).withColumns({f"__{out}": F.coalesce(F.sum(c).over(before), F.lit(0)) for out, c in (("page", "__pages"), ("row", "count"))})
     earlier = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    totals = shards.groupBy("segment").agg(F.count("*").alias("__s"), F.sum("__pages").alias("__p"))
-    starts = totals.select("segment", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__s"), F.coalesce(F.sum("__p").over(earlier), F.lit(0)).alias("__p"))
-    return local.join(starts, "segment").select("segment", "own", "count", (F.col("__s") + F.col("__shard")).alias("shard"), (F.col("__p") + F.col("__page")).alias("first_page"))
+    totals = shards.groupBy("segment").agg(F.count("*").alias("__s"), F.sum("__pages").alias("__p"), F.sum("count").alias("__r"))
+    starts = totals.select("segment", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("__s", "__p", "__r")])
+    numbers = [(F.col(a) + F.col(b)).alias(out) for a, b, out in (("__s", "__shard", "shard"), ("__p", "__page", "first_page"), ("__r", "__row", "first_row"))]
+    return local.join(starts, "segment").select("segment", "own", "count", *numbers)
 
 
 def model_rises(alphas: str, betas: str) -> Column:
@@ -114,16 +120,16 @@ def with_shard(segmented: DataFrame, models: DataFrame, spec: IndexSpec, id_col:
     """Adds shard (dense over all segments) and page (dense), and drops nothing.
 
     A raw shard is the predicted rank by the page size; see ``merged_tails``. Pages cut a shard's sequence by (m, id) every
-    ``page_size`` points. The window that does so sees a segment, whose rows the spec bounds (``IndexSpec.sized``), so a run of
-    equal m is as long as a segment at most.
+    ``page_size`` points. A run of equal m falls into one shard, however long it is, so places in a shard come from ranks over
+    everything, in range partitions that ids divide, less the rows of earlier shards.
     """
     size = spec.page_size
     raw = segmented.join(models.select("segment", "min_m", "n", "alphas", "betas"), "segment").withColumn("raw", F.floor(predicted_position(F.col("m")) / size)).drop("min_m", "n", "alphas", "betas")
     named = merged_tails(raw.groupBy("segment", "raw").agg(F.count("*").alias("c")), size)
     table = named.select("segment", "raw", "own").join(numbered_shards(named, size), ["segment", "own"])
-    placed = raw.join(table, ["segment", "raw"])
-    inside = Window.partitionBy("segment", "shard").orderBy("m", id_col)
-    return placed.withColumn("page", F.col("first_page") + F.floor((F.row_number().over(inside) - 1) / size)).drop("raw", "own", "count", "first_page")
+    placed = ranked(raw.join(table, ["segment", "raw"]), ["shard", "m", id_col], "__rank")
+    page = F.col("first_page") + F.floor((F.col("__rank") - F.col("first_row")) / size)
+    return placed.withColumn("page", page).drop("raw", "own", "count", "first_page", "first_row", "__rank")
 
 
 def build_index(points: DataFrame, grid: Grid, id_col: str) -> tuple[DataFrame, DataFrame]:
@@ -183,11 +189,6 @@ def shards_for(intervals: DataFrame, directory: DataFrame, parts: int) -> DataFr
     return intervals.join(spread, "cell").filter((F.col("from_m") <= F.col("high_m")) & (F.col("to_m") >= F.col("low_m"))).select("qid", "shard").distinct()
 
 
-def in_layout_order(indexed: DataFrame, id_col: str) -> DataFrame:
-    """Points range-sorted by shard, page, m and id."""
-    return indexed.repartitionByRange("shard", "page", "m", id_col).sortWithinPartitions("shard", "page", "m", id_col)
-
-
 def index_stats(indexed: DataFrame, models: DataFrame, grid: Grid) -> DataFrame:
     """One row: points, pages, shards, segments, cells and numbers that the models and the grid hold."""
     held = indexed.agg(F.count("*").alias("points"), F.countDistinct("page").alias("pages"), F.countDistinct("shard").alias("shards"), F.countDistinct("segment").alias("segments"))

@@ -22,8 +22,14 @@ def predict(alphas: np.ndarray, betas: np.ndarray, m: np.ndarray, n: float) -> n
     return np.clip(np.where(m > betas[0], starts[piece] + slopes[piece] * (m - betas[piece]), 0.0), 0.0, n)
 
 
-def loss(alphas: np.ndarray, betas: np.ndarray, m: np.ndarray) -> float:
-    return float(((predict(alphas, betas, m, len(m)) - np.arange(len(m))) ** 2).sum())
+def loss(alphas: np.ndarray, betas: np.ndarray, m: np.ndarray, often: np.ndarray | None = None) -> float:
+    """Squared errors over the rows of sorted mappings, of which each may stand for ``often`` equal ones.
+
+    A run of equal mappings has one prediction; its rows' ranks vary about their mean.
+    """
+    often = np.ones(len(m)) if often is None else often
+    middle = np.cumsum(often) - (often + 1) / 2
+    return float((often * (predict(alphas, betas, m, often.sum()) - middle) ** 2 + often * (often * often - 1) / 12).sum())
 
 
 def valid(alphas: np.ndarray, betas: np.ndarray) -> bool:
@@ -32,25 +38,35 @@ def valid(alphas: np.ndarray, betas: np.ndarray) -> bool:
     return bool((np.diff(betas) > 0).all() and (slopes >= -1e-12 * np.abs(alphas).max(initial=0.0)).all())
 
 
-def interpolation(m: np.ndarray, betas: np.ndarray) -> np.ndarray:
+def ranks_below(m: np.ndarray, often: np.ndarray | None, betas: np.ndarray) -> np.ndarray:
+    """Rows below each knot, and the last row's rank."""
+    before = np.arange(len(m) + 1) if often is None else np.append(0, np.cumsum(often))
+    return np.append(before[np.searchsorted(m, betas, side="left")], before[-1] - 1).astype(float)
+
+
+def interpolation(m: np.ndarray, betas: np.ndarray, often: np.ndarray | None = None) -> np.ndarray:
     """Alphas of the line through the ranks at the knots and the last rank; always rising."""
     at = np.append(betas, max(m[-1], betas[-1] + 1e-12))
-    ranks = np.append(np.searchsorted(m, betas, side="left"), len(m) - 1).astype(float)
+    ranks = ranks_below(m, often, betas)
     slopes = np.diff(np.maximum.accumulate(ranks)) / np.maximum(np.diff(at), 1e-300)
     return np.diff(np.append(0.0, slopes))
 
 
 class Sums:
-    """Running sums over sorted mappings, which start at 0: all that fitting needs, whatever the number of rows.
+    """Running sums over different sorted mappings, which start at 0 and stand for ``often`` rows each: all that fitting needs.
 
     A model is described by its values at the knots and at the last mapping. Squared errors are then a quadratic form in the
     values whose matrix is tridiagonal and comes from six sums a piece.
     """
 
-    def __init__(self, m: np.ndarray):
-        self.m, r = m, np.arange(len(m), dtype=float)
+    def __init__(self, m: np.ndarray, often: np.ndarray):
+        self.m, self.often = m, often
+        first = np.cumsum(often) - often
+        # the sums of the ranks first .. first + often - 1 and of their squares
+        r = often * (first + (often - 1) / 2)
+        rr = often * first * first + first * often * (often - 1) + (often - 1) * often * (2 * often - 1) / 6
         self.run = np.zeros((6, len(m) + 1))
-        np.cumsum([np.ones(len(m)), m, m * m, r, r * m, r * r], axis=1, out=self.run[:, 1:])
+        np.cumsum([often, often * m, often * m * m, r, r * m, rr], axis=1, out=self.run[:, 1:])
 
     def pieces(self, betas: np.ndarray) -> tuple[np.ndarray, ...]:
         """Counts, sums of t and of t^2, of the rank and of rank times t, by piece; t runs from 0 to 1 along a piece."""
@@ -75,20 +91,25 @@ class Sums:
         return a, b
 
     def solve(self, betas: np.ndarray) -> tuple[float, np.ndarray]:
-        """(squared error, values at the nodes) of the best rising model with these knots: least squares, then values in order."""
+        """(squared error, values at the nodes) of a rising model with these knots: least squares, and where values fall, pooled by the rows about them.
+
+        Pooled values are the nearest rising ones to the solution; ordered ones are tried too, as errors at neighbouring nodes are not independent.
+        """
         a, b = self.system(self.pieces(betas))
         ridge = 1e-9 * np.trace(a) / len(a)
         values = np.zeros(len(b))
         values[1:] = np.linalg.solve(a[1:, 1:] + ridge * np.eye(len(b) - 1), b[1:])
-        values = np.sort(np.clip(values, 0.0, None))
-        values[0] = 0.0
-        return self.error(a, b, values), values
+        made = []
+        for repaired in (pooled(values[1:], np.diag(a)[1:] + ridge), np.sort(values[1:])):
+            rising = np.append(0.0, np.maximum(repaired, 0.0))
+            made.append((self.error(a, b, rising), rising))
+        return min(made, key=lambda x: x[0])
 
     def error(self, a: np.ndarray, b: np.ndarray, values: np.ndarray) -> float:
         return float(values @ a @ values - 2 * values @ b + self.run[5, -1])
 
     def interpolated(self, betas: np.ndarray) -> tuple[float, np.ndarray]:
-        values = np.append(np.searchsorted(self.m, betas, side="left"), len(self.m) - 1).astype(float)
+        values = ranks_below(self.m, self.often, betas)
         return self.error(*self.system(self.pieces(betas)), values), values
 
     def slopes_at(self, betas: np.ndarray, values: np.ndarray, alphas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,18 +126,41 @@ def alphas_of(betas: np.ndarray, values: np.ndarray, last: float) -> np.ndarray:
     return np.diff(np.append(0.0, slopes))
 
 
+def pooled(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The rising sequence nearest to ``values`` in weighted squares: neighbours that fall are pooled into their mean until none does."""
+    level, mass, size = [], [], []
+    for v, w in zip(values.tolist(), weights.tolist()):
+        level.append(v)
+        mass.append(w)
+        size.append(1)
+        while len(level) > 1 and level[-2] > level[-1]:
+            v2, w2, s2 = level.pop(), mass.pop(), size.pop()
+            both = mass[-1] + w2
+            level[-1] = (level[-1] * mass[-1] + v2 * w2) / both if both > 0 else (level[-1] + v2) / 2
+            mass[-1], size[-1] = both, size[-1] + s2
+    return np.repeat(level, size)
+
+
 def train_segment(sorted_m: np.ndarray, knots: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """(alphas, betas, loss) for sorted mappings, which are shifted to start at 0. The best rising model seen is kept.
+    """As ``train_runs``, from one mapping a row."""
+    m, often = np.unique(np.asarray(sorted_m, float), return_counts=True)
+    return train_runs(m, often, knots)
+
+
+def train_runs(m: np.ndarray, often: np.ndarray, knots: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(alphas, betas, loss) for different sorted mappings of ``often`` rows each, shifted to start at 0. The best rising model seen is kept.
 
     Knots start at equal counts and move by Gauss-Newton steps on the squared error, or downhill if that gains nothing,
     as long as a tried step length lowers the loss. Segments of equal or few mappings get one flat or straight piece.
-    Rows are passed over once, for running sums; a step costs what its knots cost.
+    Mappings are passed over once, for running sums; a step costs what its knots cost.
     """
-    m = np.asarray(sorted_m, float) - sorted_m[0]
-    betas = np.unique(m[np.linspace(0, len(m) - 1, min(knots, len(m)), endpoint=False).astype(int)])
+    m, often = np.asarray(m, float) - m[0], np.asarray(often, float)
     if m[-1] <= 0:
-        return np.zeros(1), np.zeros(1), loss(np.zeros(1), np.zeros(1), m)
-    sums, last = Sums(m), m[-1]
+        return np.zeros(1), np.zeros(1), loss(np.zeros(1), np.zeros(1), m, often)
+    n = int(often.sum())
+    ranks = np.linspace(0, n - 1, min(knots, n), endpoint=False).astype(int)
+    betas = np.unique(m[np.searchsorted(np.cumsum(often), ranks, side="right")])
+    sums, last = Sums(m, often), m[-1]
     gap = last * 1e-9
     betas = betas[np.append(True, np.diff(betas) > gap)]
     betas = betas[(betas < last - gap) | (betas == 0)]
@@ -140,6 +184,6 @@ def train_segment(sorted_m: np.ndarray, knots: int) -> tuple[np.ndarray, np.ndar
                     break
         else:
             break
-    made = [(loss(a, b, m), a, b) for b, a in ((betas, alphas_of(betas, values, last)), first, (betas, interpolation(m, betas))) if valid(a, b)]
+    made = [(loss(a, b, m, often), a, b) for b, a in ((betas, alphas_of(betas, values, last)), first, (betas, interpolation(m, betas, often))) if valid(a, b)]
     value, alphas, betas = min(made, key=lambda x: x[0])
     return alphas, betas, value

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.spec import IndexSpec
-from .ranks import in_order, ranked_within
-
-#: Rows that follow each other in a sequence and are looked at in one group: two to this power at most.
-RUN_BITS = 16
+from .index import last_before
+from .ranks import ranked_within, saved
 
 
 def insert_bag(points: DataFrame, new: DataFrame) -> DataFrame:
@@ -22,37 +24,39 @@ def delete_bag(points: DataFrame, gone: DataFrame, coords: list[str]) -> DataFra
     return points.select(*coords).exceptAll(gone.select(*coords))
 
 
-def delete_rows(points: DataFrame, gone: DataFrame, coords: list[str], id_col: str) -> DataFrame:
-    """Whole rows less one for each row of ``gone`` of equal coordinates, the smallest ids first.
+def doomed(points: DataFrame, gone: DataFrame, coords: list[str], id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``points`` that stay, rows that go): one of equal coordinates for each row of ``gone``, the smallest ids first.
 
-    Copies are numbered on the points' side only and compared with the count of deletions, so a hot coordinate makes no pairs. Only rows
-    of coordinates that are to go are numbered.
+    Only rows of coordinates that are to go are numbered, by ranks that a hot coordinate does not gather in one task. Nulls equal nulls.
     """
-    number = Window.partitionBy(*coords).orderBy(id_col)
     wanted = gone.groupBy(*coords).agg(F.count("*").alias("__gone"))
-    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"g.{c}")) for c in coords]
-    numbered = points.withColumn("__nth", F.row_number().over(number)).alias("p")
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    return numbered.join(wanted.alias("g"), cond, "left").filter(F.col("__gone").isNull() | (F.col("__nth") > F.col("__gone"))).select(*[F.col(f"p.{c}") for c in points.columns])
+    same = reduce(lambda a, b: a & b, [F.col(f"p.{c}").eqNullSafe(F.col(f"g.{c}")) for c in coords])
+    met = saved(points.alias("p").join(wanted.alias("g"), same, "left").select(*[F.col(f"p.`{c}`") for c in points.columns], "__gone"), "met")
+    # null coordinates form groups too
+    key = F.struct(*coords)
+    numbered = saved(ranked_within(met.filter(F.col("__gone").isNotNull()).withColumn("__key", key), "__key", [id_col], "__nth").drop("__key"), "numbered")
+    stay = met.filter(F.col("__gone").isNull()).select(*points.columns).unionByName(numbered.filter(F.col("__nth") >= F.col("__gone")).select(*points.columns))
+    return stay, numbered.filter(F.col("__nth") < F.col("__gone")).select(*points.columns)
+
+
+def delete_rows(points: DataFrame, gone: DataFrame, coords: list[str], id_col: str) -> DataFrame:
+    """Whole rows less one for each row of ``gone`` of equal coordinates, the smallest ids first; see ``doomed``."""
+    return doomed(points, gone, coords, id_col)[0]
 
 
 def repage(points: DataFrame, shards: DataFrame, spec: IndexSpec, id_col: str) -> DataFrame:
     """New pages (shard, page_in_shard) for the points of the touched ``shards`` only; other shards keep theirs.
 
-    Deleted points leave neither holes nor tombstones, and small neighbours merge, since a touched shard is cut anew.
+    Deleted points leave neither holes nor tombstones, and small neighbours merge, since a touched shard is cut anew. A shard may be of any size.
     """
-    order = Window.partitionBy("shard").orderBy("m", id_col)
     touched = points.join(shards.select("shard").distinct(), "shard", "left_semi")
-    return touched.withColumn("page_in_shard", F.floor((F.row_number().over(order) - 1) / spec.page_size))
+    return ranked_within(touched, "shard", ["m", id_col], "__nth").withColumn("page_in_shard", F.floor(F.col("__nth") / spec.page_size)).select(*touched.columns, "page_in_shard")
 
 
 def split_page(page: DataFrame, id_col: str) -> DataFrame:
-    """Adds half (0 or 1) to the points of overfull pages: by m, the first half gets the odd point."""
-    order = Window.partitionBy("page").orderBy("m", id_col)
-    n = F.count("*").over(Window.partitionBy("page"))
-    return page.withColumn("half", F.when(F.row_number().over(order) <= F.ceil(n / 2), 0).otherwise(1))
+    """Adds half (0 or 1) to the points of overfull pages: by m, the first half gets the odd point. A page may be of any size."""
+    cut = ranked_within(page, "page", ["m", id_col], "__nth", "__n")
+    return cut.withColumn("half", F.when(F.col("__nth") < F.ceil(F.col("__n") / 2), 0).otherwise(1)).select(*page.columns, "half")
 
 
 def misplaced(points: DataFrame, pages: DataFrame) -> DataFrame:
@@ -63,43 +67,85 @@ def misplaced(points: DataFrame, pages: DataFrame) -> DataFrame:
 def placed(pages: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` (segment, m, ...) with page: the last page of its segment whose first mapping does not exceed m, or the segment's first.
 
-    ``pages``: (segment, page, low_m). Pages and new points form one sequence; a point of a segment without pages gets page 0. The
-    sequence is cut into runs of bounded length, and each run of a segment starts with the last page of the runs before it, so a
-    segment may be of any size; the window over the runs has one row for each.
+    ``pages``: (segment, page, low_m). A point of a segment without pages gets page 0. A segment may be of any size; see ``last_before``.
     """
-    marks = pages.select("segment", F.col("low_m").alias("m"), F.col("page").alias("__page"))
-    both = new.unionByName(marks, allowMissingColumns=True).withColumn("__tie", F.monotonically_increasing_id())
-    kept = in_order(both, ["segment", "m", F.col("__page").isNull(), "__page", "__tie"]).withColumn("__run", F.shiftright("__at", RUN_BITS))
-    earlier = Window.partitionBy("segment").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = kept.groupBy("segment", "__run").agg(F.min("__page").alias("__low"), F.max("__page").alias("__high"))
-    before = runs.select("segment", "__run", F.coalesce(F.max("__high").over(earlier), F.min("__low").over(Window.partitionBy("segment")), F.lit(0)).alias("__start"))
-    so_far = Window.partitionBy("segment", "__run").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = kept.withColumn("__own", F.max("__page").over(so_far)).filter(F.col("__page").isNull()).join(F.broadcast(before), ["segment", "__run"])
-    return at.withColumn("page", F.coalesce("__own", "__start")).select(*new.columns, "page")
+    found = last_before(pages.select("segment", F.col("low_m").alias("m"), "page"), new, "segment", ["m"], "page", "__page")
+    return found.select(*new.columns, F.coalesce("__page", F.lit(0)).alias("page"))
+
+
+def in_pieces(rows: DataFrame, keys: list[str], size: int, id_col: str) -> DataFrame:
+    """Adds piece: a page (``keys``) of n points above ``size`` is cut by (m, id) into ceil(n / size) even pieces, others are piece 0."""
+    cut = ranked_within(rows, keys, ["m", id_col], "__nth", "__n")
+    return cut.withColumn("piece", F.expr(f"CAST((__nth * ceil(__n / {size})) div __n AS INT)")).select(*rows.columns, "piece")
 
 
 def inserted(paged: DataFrame, new: DataFrame, spec: IndexSpec, id_col: str) -> DataFrame:
     """Points of ``paged`` (segment, page, m, ...) and ``new`` (segment, m, ...), with piece.
 
     New points go to the page that their mapping belongs to. A page of n points above the page size splits by (m, id) into
-    ceil(n / page_size) even pieces, in one step for any number of new points; others are piece 0. Equal rows stay apart.
+    ceil(n / page_size) even pieces, in one step for any number of new points, all of one page too. Equal rows stay apart.
     """
-    keys = ["segment", "page"]
-    low = paged.groupBy(keys).agg(F.min("m").alias("low_m"))
-    both = paged.unionByName(placed(low, new))
-    n = F.count("*").over(Window.partitionBy(keys))
-    nth = F.row_number().over(Window.partitionBy(keys).orderBy("m", id_col)) - 1
-    cut = both.withColumn("__n", n).withColumn("__nth", nth)
-    return cut.withColumn("piece", F.expr(f"CAST((__nth * ceil(__n / {spec.page_size})) div __n AS INT)")).drop("__n", "__nth")
+    low = paged.groupBy("segment", "page").agg(F.min("m").alias("low_m"))
+    return in_pieces(paged.unionByName(placed(low, new)), ["segment", "page"], spec.page_size, id_col)
 
 
 def merged(paged: DataFrame, spec: IndexSpec) -> DataFrame:
     """``paged`` (segment, page, ...) after deletions, with merged: the page that it is part of now.
 
     The pages left in a segment are paired in order; a pair whose points fit one page becomes the left one. Emptied pages are gone.
-    A segment may have any number of pages.
+    A segment may have any number of pages. See ``chained`` for merges of more than two.
     """
     counts = paged.groupBy("segment", "page").agg(F.count("*").alias("n"))
     both = Window.partitionBy("segment", "pair")
     joined = ranked_within(counts, "segment", ["page"], "__nth").withColumn("pair", F.floor(F.col("__nth") / 2)).withColumn("merged", F.when(F.sum("n").over(both) <= spec.page_size, F.min("page").over(both)).otherwise(F.col("page")))
     return paged.join(joined.select("segment", "page", "merged"), ["segment", "page"])
+
+
+#: Pages of a run that one task walks through.
+WALK = 1 << 12
+
+
+def walked(n: np.ndarray, start: int, size: int) -> np.ndarray:
+    """Whether each page opens a new one, where the open page before the first holds ``start`` points (0: none)."""
+    opens, held = np.zeros(len(n), bool), start
+    for i, own in enumerate(n.tolist()):
+        opens[i] = held == 0 or held + own > size
+        held = own if opens[i] else held + own
+    return opens
+
+
+def chained(counts: DataFrame, group: str, order: str, size: int) -> DataFrame:
+    """``counts`` (group, order, n > 0, ...) with chain: pages of equal chain in a group become one page.
+
+    From left to right, a page joins the open one as long as both fit ``size``, and opens a new one otherwise; so chains of any length
+    merge, and of no two neighbours that are left do all points fit one page. A run of pages is a function from the points of
+    the open page before it (0 to ``size``) to those after it. Tasks tell each run's function, a list of ``size`` + 1 numbers; a group's
+    functions are applied one after the other, a list a run; and tasks walk through the runs once more, each with its start.
+    """
+    runs = saved(ranked_within(counts, group, [order], "__nth").withColumn("__run", F.floor(F.col("__nth") / WALK)), "runs")
+    kind = runs.select(group).schema[0].dataType.simpleString()
+
+    def ends(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        held = np.arange(size + 1)
+        for own in pdf.sort_values("__nth")["n"].tolist():
+            held = np.where((held > 0) & (held + own <= size), held + own, own)
+        return pd.DataFrame({group: [key[0]], "__run": [key[1]], "__ends": [held.tolist()]})
+
+    def starts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        held, found = 0, []
+        for after in pdf.sort_values("__run")["__ends"]:
+            found.append(held)
+            held = int(after[min(held, size)])
+        return pd.DataFrame({group: key[0], "__run": sorted(pdf["__run"]), "__start": found})
+
+    told = runs.select(group, "__run", "__nth", "n").groupBy(group, "__run").applyInPandas(ends, f"`{group}` {kind}, __run long, __ends array<long>")
+    begun = told.groupBy(group).applyInPandas(starts, f"`{group}` {kind}, __run long, __start long")
+
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("__nth")
+        return pd.DataFrame({group: key[0], "__nth": rows["__nth"].to_numpy(), "__opens": walked(rows["n"].to_numpy(), int(rows["__start"].iloc[0]), size)})
+
+    opened = runs.select(group, "__run", "__nth", "n").join(begun, [group, "__run"]).groupBy(group, "__run").applyInPandas(walk, f"`{group}` {kind}, __nth long, __opens boolean")
+    # the chain is named by the place of the page that opened it
+    heads = opened.filter("__opens").select(group, F.col("__nth").alias("m"), F.col("__nth").alias("chain"))
+    return last_before(heads.withColumnRenamed("m", "__nth"), runs.drop("__run"), group, ["__nth"], "chain", "chain").drop("__nth")

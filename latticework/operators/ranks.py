@@ -47,11 +47,13 @@ def ranked(df: DataFrame, order: list, out: str = "rank") -> DataFrame:
     return kept.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(out, F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__at", "__start")
 
 
-def ranked_within(df: DataFrame, group: str, order: list, out: str) -> DataFrame:
-    """Adds the position from 0 among the rows of equal ``group``, by ``order``: the rank over everything less the group's first, so a group of any size is spread.
+def ranked_within(df: DataFrame, group: str | list[str], order: list, out: str, count: str | None = None) -> DataFrame:
+    """Adds the position from 0 among the rows of equal ``group``, by ``order``, and with ``count`` their number.
 
-    The groups, one row each, are broadcast; rows of a null group are not returned.
+    It is the rank over everything less the group's first, so a group of any size is spread, and there may be any number of groups:
+    each has one row, which joins back. Rows of a null group are not returned.
     """
-    everywhere = ranked(df, [group, *order], "__rank")
-    firsts = everywhere.groupBy(group).agg(F.min("__rank").alias("__first"))
-    return everywhere.join(F.broadcast(firsts), group).withColumn(out, F.col("__rank") - F.col("__first")).drop("__rank", "__first")
+    keys = [group] if isinstance(group, str) else group
+    everywhere = ranked(df, [*keys, *order], "__rank")
+    firsts = everywhere.groupBy(*keys).agg(F.min("__rank").alias("__first"), *([F.count("*").alias(count)] if count else []))
+    return everywhere.join(firsts, keys).withColumn(out, F.col("__rank") - F.col("__first")).drop("__rank", "__first")

@@ -9,7 +9,7 @@ from test_oracles import plain
 
 import __spark_entry__ as entry
 from latticework import queries
-from latticework.operators import mutate
+from latticework.operators import index, mutate
 from latticework.plans import spec
 
 ORDERS = "/root/testdata/sf0.01/orders.parquet"
@@ -41,7 +41,7 @@ def test_query_equals_sql_on_many_segments(spark, larger, name):
 
 def test_new_points_are_placed_over_runs(spark, monkeypatch):
     """One large segment with frequent mappings, one without new points, one without pages; runs of four rows."""
-    monkeypatch.setattr(mutate, "RUN_BITS", 2)
+    monkeypatch.setattr(index, "RUN_BITS", 2)
     rng = random.Random(5)
     lows = {0: sorted(float(rng.randint(10, 90)) for _ in range(60)), 1: [3.0, 4.0]}
     rows = [(i, 0, float(rng.choice([50, rng.randint(0, 99)]))) for i in range(400)] + [(400 + i, 2, float(i)) for i in range(9)]
