@@ -105,8 +105,8 @@ def predicted_shards(index: Index, at: DataFrame, m: str) -> DataFrame:
     return found.select(*at.columns, F.col("__found.shard").alias("shard"))
 
 
-def pages_of(index: Index, boxes: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(qid, cell, page, block, from_m, to_m, lo, hi, extra...): the pages that may hold points of each box in each cell, once each.
+def met_pages(index: Index, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (low_m, high_m, ...) with page, block, from_m and to_m for each page whose range of m its own meets.
 
     The models turn an interval of m into an interval of predicted ranks. As predictions rise with m, a page that meets the one
     meets the other; pages and intervals join on buckets of ranks, in the first bucket that they share, and the pages' true
@@ -115,10 +115,16 @@ def pages_of(index: Index, boxes: DataFrame, extra: tuple[str, ...] = ()) -> Dat
     width = BUCKET_PAGES * index.grid.spec.page_size
     # rounding may move a rank across a bucket's edge
     first, last = (lambda c: F.floor((F.col(c) - 1) / width)), (lambda c: F.floor((F.col(c) + 1) / width))
-    wanted = ranked_ends(grids.cell_intervals(boxes, index.grid, extra), index).withColumn("__a", first("low_rank")).withColumn("bucket", F.explode(F.sequence("__a", last("high_rank"))))
+    spread = ranked_ends(wanted, index).withColumn("__a", first("low_rank")).withColumn("bucket", F.explode(F.sequence("__a", last("high_rank"))))
     pages = index.pages.select("page", "block", F.col("low_m").alias("from_m"), F.col("high_m").alias("to_m"), first("low_rank").alias("__b"), last("high_rank").alias("__z"))
-    spread = pages.withColumn("bucket", F.explode(F.sequence("__b", "__z")))
-    met = wanted.join(spread, "bucket").filter((F.col("from_m") <= F.col("high_m") + SLACK) & (F.col("to_m") >= F.col("low_m") - SLACK) & (F.col("bucket") == F.greatest("__a", "__b")))
+    met = spread.join(pages.withColumn("bucket", F.explode(F.sequence("__b", "__z"))), "bucket")
+    met = met.filter((F.col("from_m") <= F.col("high_m") + SLACK) & (F.col("to_m") >= F.col("low_m") - SLACK) & (F.col("bucket") == F.greatest("__a", "__b")))
+    return met.select(*wanted.columns, "page", "block", "from_m", "to_m")
+
+
+def pages_of(index: Index, boxes: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(qid, cell, page, block, from_m, to_m, lo, hi, extra...): the pages that may hold points of each box in each cell, once each."""
+    met = met_pages(index, grids.cell_intervals(boxes, index.grid, extra))
     return met.select("qid", "cell", "page", "block", F.greatest("from_m", "low_m").alias("from_m"), F.least("to_m", "high_m").alias("to_m"), "lo", "hi", *extra)
 
 

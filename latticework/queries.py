@@ -15,7 +15,7 @@ from .operators import checks, grid, index, lattice, layout, mutate, search
 from .operators.index import Index
 from .operators.ranks import ranked, saved, shared_folder
 from .plans.spec import IndexSpec
-from .sources import files, generate
+from .sources import files, generate, store, versions
 
 # Ten boxes of four lows and four highs: fixed values of the query file that ships with the format.
 BOXES_4D = """6370.2059181896 3248.8291580511 7845.8387280803 1759.0211977382 7755.0581403380 4960.9875153527 9491.4106881736 3671.4264961232
@@ -64,8 +64,8 @@ def spec_2d(points: DataFrame, **sizes) -> IndexSpec:
     return grid.spec_for(points, ("x", "y"), **({"parts": 16} | sizes))
 
 
-#: Indexes that this process has built or opened, by path.
-_OPEN: dict[str, Index] = {}
+#: Indexes that this process has built or opened: by path, what they were built from and the index.
+_OPEN: dict[str, tuple[str, Index]] = {}
 
 
 def stored_path(spark: SparkSession, d: str, name: str) -> str:
@@ -73,36 +73,36 @@ def stored_path(spark: SparkSession, d: str, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{hashlib.md5(d.encode()).hexdigest()[:12]}-{spark.sparkContext.applicationId}"
 
 
-def stored(spark: SparkSession, d: str, name: str, points, coords: tuple[str, ...], **sizes) -> Index:
-    """The index of a point set, built once and then queried."""
-    path = stored_path(spark, d, f"index-{name}")
-    if path not in _OPEN:
-        _OPEN[path] = files.build_index(points(spark, d), coords, "id", path, **sizes)
-    return _OPEN[path]
+def stored(spark: SparkSession, d: str, name: str, table: str, points, coords: tuple[str, ...], **sizes) -> Index:
+    """The index of a point set, built once and then queried; built anew when the files of its table have changed."""
+    path, source = stored_path(spark, d, f"index-{name}"), store.files_token(spark, [f"{d}/{table}.parquet"])
+    if _OPEN.get(path, ("",))[0] != source:
+        _OPEN[path] = source, store.build_index(points(spark, d), coords, "id", path, source=source, **sizes)
+    return _OPEN[path][1]
 
 
 def orders_index(spark: SparkSession, d: str) -> Index:
-    return stored(spark, d, "orders", orders, ("x", "y"), parts=16)
+    return stored(spark, d, "orders", "orders", orders, ("x", "y"), parts=16)
 
 
 def events_index(spark: SparkSession, d: str) -> Index:
-    return stored(spark, d, "events", events, ("x", "y"), parts=16)
+    return stored(spark, d, "events", "events", events, ("x", "y"), parts=16)
 
 
 def lines_index(spark: SparkSession, d: str) -> Index:
-    return stored(spark, d, "lines", lambda *a: lines(*a).withColumn("id", F.monotonically_increasing_id()), ("x", "y", "z"), parts=8)
+    return stored(spark, d, "lines", "lineitem", lambda *a: lines(*a).withColumn("id", F.monotonically_increasing_id()), ("x", "y", "z"), parts=8)
 
 
 def vectors_index(spark: SparkSession, d: str) -> Index:
-    return stored(spark, d, "vectors", scaled_vectors, tuple(f"v{i}" for i in range(4)), parts=4)
+    return stored(spark, d, "vectors", "embeddings", scaled_vectors, tuple(f"v{i}" for i in range(4)), parts=4)
 
 
 def events_lattice(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The events' trained lattice with the tables that it was trained on, stored once."""
-    path = stored_path(spark, d, "lattice-events")
+    """The events' trained lattice with the tables that it was trained on, stored once for each state of the index."""
+    ix = events_index(spark, d)
+    path = f"{stored_path(spark, d, 'lattice-events')}/{ix.token}"
     found = files.load_lattice(spark, path)
     if found is None:
-        ix = events_index(spark, d)
         tables = lattice.prepared(ix, ix.grid, "id")
         files.save_lattice(tables | {"model": lattice.train(ix, ix.grid, "id", tables=tables)}, path)
         found = files.load_lattice(spark, path)
@@ -167,7 +167,10 @@ def range_rows_2d(spark, d):
 
 def index_range_query(spark, d):
     """Hits of each box; pages with hits that the look-up did not read; and whether it read just the pages whose ranges of m meet the box."""
-    ix, boxes = orders_index(spark, d), boxes_2d(spark)
+    return _looked_up(orders_index(spark, d), boxes_2d(spark))
+
+
+def _looked_up(ix, boxes):
     got = index.range_query(ix, boxes)
     read = index.pages_of(ix, boxes).select("qid", "page")
     held = search.range_rows(ix.points, boxes, ix.grid, ["page"]).distinct()
@@ -380,6 +383,12 @@ def model_checks(spark, d):
     return held.groupBy("segment").agg(F.sum("n").alias("n"), F.every("rises").alias("rises"), F.every("fits").alias("fits"))
 
 
+def index_segments(spark, d):
+    """All segments of the index by themselves, as many as it has: rows, rows before, whether the model rises, and whether it beats the best constant."""
+    held = orders_index(spark, d).models
+    return held.select("segment", "n", "first", layout.model_rises("alphas", "betas").alias("rises"), (F.col("loss") <= F.col("n") * (F.col("n") * F.col("n") - 1) / 12).alias("fits"))
+
+
 def predicted_shard_hits(spark, d):
     """Points, and those whose shard by the models and the directory is the one that they are stored in."""
     ix = orders_index(spark, d)
@@ -395,7 +404,12 @@ def index_stats(spark, d):
 def index_totals(spark, d):
     """Points and segments (the SQL's, see ``_by_cuts``), points by the directory, whether no page is too large, and points off their page's range."""
     ix = orders_index(spark, d)
-    held = ix.points.agg(F.count("*").alias("points"), F.countDistinct(_by_cuts(ix)).alias("segments"))
+    segments = ix.points.agg(F.countDistinct(_by_cuts(ix)).alias("segments"))
+    return _totals(ix).join(F.broadcast(segments))  # one row each
+
+
+def _totals(ix):
+    held = ix.points.agg(F.count("*").alias("points"))
     listed = ix.pages.agg(F.sum("n").alias("listed"), (F.max("n") <= ix.grid.spec.page_size).alias("fits"))
     off = mutate.misplaced(ix.points, ix.pages.select("page", "low_m", "high_m")).agg(F.count("*").alias("off"))
     return held.join(F.broadcast(listed)).join(F.broadcast(off))  # one row each
@@ -404,7 +418,7 @@ def index_totals(spark, d):
 def index_round_trip(spark, d):
     """The points of the stored index, opened anew."""
     orders_index(spark, d)
-    again = files.open_index(spark, stored_path(spark, d, "index-orders"))
+    again = store.open_index(spark, stored_path(spark, d, "index-orders"))
     return again.points.select("id", "cell", F.round("m", 6).alias("m"))
 
 
@@ -432,6 +446,53 @@ def delete_pages(spark, d):
     return mutate.merged(paged.filter("id % 3 <> 0"), spec).groupBy("segment", F.col("merged").alias("page")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
+def changed_orders(spark: SparkSession, d: str, version: int) -> Index:
+    """Orders of even ids as they were built (0), after those of odd ids were inserted (1), and after every third id's were deleted (2).
+
+    A change is made once for each state of the table, to the stored index.
+    """
+    even = lambda *a: orders(*a).filter("id % 2 = 0")
+    built, path = stored(spark, d, "orders-even", "orders", even, ("x", "y"), parts=16), stored_path(spark, d, "index-orders-even")
+    done = store.newest(spark, path, built.token)
+    if version > 0 and done < 1:
+        versions.insert(spark, path, orders(spark, d).filter("id % 2 = 1"))
+    if version > 1 and done < 2:
+        versions.delete(spark, path, orders(spark, d).filter("id % 3 = 0"))
+    return store.open_index(spark, path, version)
+
+
+def _after(spark, d, version):
+    """Hits of each box in a changed index; pages with hits that the look-up did not read; and whether it read just the pages whose ranges of m meet the box."""
+    return _looked_up(changed_orders(spark, d, version), boxes_2d(spark))
+
+
+def index_after_insert(spark, d):
+    return _after(spark, d, 1)
+
+
+def index_after_delete(spark, d):
+    return _after(spark, d, 2)
+
+
+def changed_totals(spark, d):
+    """Of the built index and its versions after the insert and the delete: points, points by the directory, whether no page is too large, and points off their page's range."""
+    return _stacked([_totals(changed_orders(spark, d, v)).select(F.lit(v).alias("version"), "*") for v in (0, 1, 2)])
+
+
+def changed_rows(spark, d):
+    """The three orders nearest to each box's lower corner, in the index after the delete."""
+    ix = changed_orders(spark, d, 2)
+    centres = boxes_2d(spark).select("qid", F.element_at("lo", 1).alias("c0"), F.element_at("lo", 2).alias("c1"))
+    return search.knn(ix, centres, ix.grid, 3, "id", F.lit(500.0)).select("qid", "rank", "id", F.round("dist", 4).alias("dist"))
+
+
+def chained_pages(spark, d):
+    """Pages of each customer group's price bands after neighbours merged from left to right, as long as they fit 40 orders."""
+    bands = orders(spark, d).select(F.pmod(F.col("y"), F.lit(7)).cast("long").alias("shard"), F.floor(F.col("x") / 4000).alias("page")).groupBy("shard", "page").agg(F.count("*").alias("n"))
+    got = mutate.chained(bands, "shard", "page", 40)
+    return got.groupBy("shard", "chain").agg(F.min("page").alias("first"), F.max("page").alias("last"), F.count("*").alias("pages"), F.sum("n").alias("n")).drop("chain")
+
+
 def insert_bag(spark, d):
     p = orders(spark, d).withColumn("x", F.floor(F.col("x") / 1000))
     return mutate.insert_bag(p, p).groupBy("x").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
@@ -884,6 +945,24 @@ SQL |= {
     "image_features": f"WITH {_IMAGE} SELECT id, CAST(place AS INTEGER) AS place, CAST(v AS INTEGER) AS v FROM f",
     "pixel_pairs": f"WITH {_IMAGE}, j AS (SELECT j, id FROM range(54) t(j), range(3) u(id)) SELECT DISTINCT " + ", ".join(f"CAST((SELECT v FROM f WHERE f.id = j.id AND place = j * 3 + {i}) AS INTEGER) AS x{i}" for i in range(3)) + ", " + ", ".join(f"CAST((SELECT v FROM f WHERE f.id = j.id AND place = 324 - (j + 1) * 3 + {i}) AS INTEGER) AS x{i + 3}" for i in range(3)) + " FROM j",
 }
+_ALL_SEGMENTS = f"""{_CELLS}, o AS (SELECT id, m, row_number() OVER (ORDER BY m, id) - 1 AS rk, count(*) OVER () AS n, lag(m) OVER (ORDER BY m, id) AS before FROM m),
+z AS (SELECT least(greatest(8, max(n) // 50000), greatest(1, max(n) // 113)) AS k FROM o),
+c AS (SELECT id, m, CASE WHEN i > 0 AND i < k AND i * n // k = rk AND m > before THEN 1 ELSE 0 END AS cut FROM (SELECT o.*, k, (rk * k + n - 1) // n AS i FROM o, z)),
+w AS (SELECT id, m, sum(cut) OVER (ORDER BY m) AS segment FROM c)"""
+_LEFT = f"(SELECT * FROM {ORDERS} WHERE id % 3 <> 0)"
+SQL |= {
+    "index_after_insert": f"SELECT *, CAST(0 AS BIGINT) AS missed, TRUE AS agrees FROM ({_COUNT_2D})",
+    "index_after_delete": f"SELECT *, CAST(0 AS BIGINT) AS missed, TRUE AS agrees FROM ({_COUNT_2D.replace(ORDERS, _LEFT)})",
+    "changed_totals": f"SELECT CAST(v AS INTEGER) AS version, count(*) AS points, count(*) AS listed, TRUE AS fits, CAST(0 AS BIGINT) AS off FROM {ORDERS}, range(3) t(v) WHERE v = 1 OR v = 0 AND id % 2 = 0 OR v = 2 AND id % 3 <> 0 GROUP BY v",
+    "changed_rows": f"WITH n AS (SELECT qid, id, sqrt((x - lx) * (x - lx) + (y - ly) * (y - ly)) AS dist FROM {BOXES_2D}, {_LEFT}), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM n) SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(dist, 4) AS dist FROM r WHERE rank <= 3",
+    "index_segments": f"""WITH {_ALL_SEGMENTS}, h AS (SELECT CAST(segment AS BIGINT) AS segment, count(*) AS n FROM w GROUP BY 1)
+        SELECT segment, n, CAST(coalesce(sum(n) OVER (ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "first", TRUE AS rises, TRUE AS fits FROM h""",
+    "chained_pages": f"""WITH RECURSIVE b AS (SELECT CAST(y AS BIGINT) % 7 AS shard, CAST(floor(x / 4000) AS BIGINT) AS page, count(*) AS n FROM {ORDERS} GROUP BY 1, 2),
+        o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY page) AS k FROM b),
+        w AS (SELECT shard, page, n, k, n AS held, CAST(0 AS BIGINT) AS chain FROM o WHERE k = 1
+              UNION ALL SELECT o.shard, o.page, o.n, o.k, CASE WHEN held + o.n <= 40 THEN held + o.n ELSE o.n END, chain + CASE WHEN held + o.n <= 40 THEN 0 ELSE 1 END FROM w JOIN o ON o.shard = w.shard AND o.k = w.k + 1)
+        SELECT shard, min(page) AS "first", max(page) AS "last", count(*) AS pages, CAST(sum(n) AS BIGINT) AS n FROM w GROUP BY shard, chain""",
+}
 #: Not expressible in SQL: trained models and what depends on them.
 TRAINED = ("learned_pages", "shards_per_query", "learned_pages_per_query", "piecewise_model", "index_stats", "lattice_coeffs")
 

@@ -1,4 +1,4 @@
-"""Readers and writers: points, boxes, lists, key-value maps, arrays, and saved indexes. All paths are Spark's."""
+"""Readers and writers: points, boxes, lists, key-value maps, arrays, grids and lattices. All paths are Spark's."""
 
 from __future__ import annotations
 
@@ -11,10 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import converted
-from ..operators import grid as grids
-from ..operators import index as indexes
-from ..operators import layout
-from ..operators.index import Index
 from ..plans.spec import Grid, IndexSpec
 
 
@@ -129,12 +125,42 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path``, written first by ``make`` if it is not there: a stage that was done is not done again."""
+    """The table at ``path``, written first by ``make`` if it is not there: a stage that was done is not done again.
+
+    ``path`` has to name all that the table is made from, see ``store.digest``.
+    """
     if not exists(spark, path):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def put_text(spark: SparkSession, path: str, text: str, only_new: bool = False) -> None:
+    """Writes a small text; an error with ``only_new`` if the file is there."""
+    fs, where = _folder(spark, path)
+    out = fs.create(where, not only_new)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    fs, where = _folder(spark, path)
+    if not fs.exists(where):
+        return None
+    opened = fs.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8")
+    finally:
+        opened.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    fs, where = _folder(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+
+
 LATTICE = ("nodes", "node_radii", "training_points", "training_radii", "testing_points", "testing_radii", "model")
 
 
@@ -151,21 +177,6 @@ def load_lattice(spark: SparkSession, path: str, names: tuple[str, ...] = LATTIC
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
-def save_index(indexed: DataFrame, models: DataFrame, grid: Grid, path: str, have_models: bool = False) -> None:
-    """Points by block of segments in files sorted by m, so that filters on block and m skip files and row groups; models, unless
-    they are there; the page directory; and the grid with its spec."""
-    spark = indexed.sparkSession
-    save_grid(spark, grid, path)
-    if not have_models:
-        indexes.with_first(models).write.mode("overwrite").parquet(f"{path}/models")
-    models = spark.read.parquet(f"{path}/models")
-    segments = max(1, models.count())
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocked = indexed.withColumn("block", indexes.block_of(segments))
-    blocked.repartition(parts, "segment").sortWithinPartitions("block", "m").write.mode("overwrite").partitionBy("block").parquet(f"{path}/points")
-    indexes.directory(spark.read.parquet(f"{path}/points"), models).write.mode("overwrite").parquet(f"{path}/pages")
-
-
 def save_grid(spark: SparkSession, grid: Grid, path: str) -> None:
     spec = grid.spec
     rows = [(i, p, [float(x) for x in b]) for i, level in enumerate(grid.bounds) for p, b in enumerate(level)]
@@ -185,46 +196,3 @@ def load_grid(spark: SparkSession, path: str) -> Grid | None:
     for r in spark.read.parquet(f"{path}/grid").collect():
         levels.setdefault(r["dim"], {})[r["parent"]] = r["bounds"]
     return Grid(spec, tuple(np.array([levels[i][p] for p in range(len(levels[i]))]) for i in sorted(levels)))
-
-
-TABLES = ("models", "points", "pages")
-
-
-def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Grid] | None:
-    """(points, models, grid), or None if a table or a segment's model is missing."""
-    found = open_index(spark, path)
-    return found and (found.points, found.models, found.grid)
-
-
-def open_index(spark: SparkSession, path: str) -> Index | None:
-    """The saved index, ready for queries, or None if a table or a segment's model is missing."""
-    grid = load_grid(spark, path)
-    if grid is None or not all(exists(spark, f"{path}/{t}") for t in TABLES):
-        return None
-    models, pages = spark.read.parquet(f"{path}/models"), spark.read.parquet(f"{path}/pages")
-    if pages.select("segment").join(models, "segment", "left_anti").limit(1).count():
-        return None
-    # one number a segment
-    starts = [r["min_m"] for r in models.select("segment", "min_m").orderBy("segment").collect()][1:]
-    return Index(spark.read.parquet(f"{path}/points"), models, pages, grid, starts)
-
-
-def build_index(points: DataFrame, coords: tuple[str, ...], id_col: str, path: str, grid: Grid | None = None, **sizes) -> Index:
-    """Bulk load: grid, mapping, models, points by shard and page, directory. Each stage is kept under ``path`` and done once.
-
-    Segments follow the number of rows. Rows with a null or non-finite coordinate are kept in outermost cells; rows without a
-    mapping (a null last coordinate) belong to no segment and are left out, since no box holds them.
-    """
-    spark = points.sparkSession
-    if load_grid(spark, path) is None:
-        if grid is None:
-            spec = grids.spec_for(points, coords, **sizes).sized(points.count())
-            grid = grids.build_grid(points, spec)
-        save_grid(spark, grid, path)
-    grid = load_grid(spark, path)
-    mapped = stage(spark, f"{path}/mapped", lambda: grids.with_mapping(points, grid).filter("m IS NOT NULL"))
-    if not all(exists(spark, f"{path}/{t}") for t in TABLES):
-        segmented = stage(spark, f"{path}/segmented", lambda: layout.with_segment(mapped, layout.segment_bounds(mapped, grid.spec, id_col)))
-        models = stage(spark, f"{path}/models", lambda: indexes.with_first(layout.train_models(segmented, grid.spec)))
-        save_index(layout.with_shard(segmented, models, grid.spec, id_col), models, grid, path, True)
-    return open_index(spark, path)

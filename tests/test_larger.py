@@ -27,7 +27,7 @@ def larger(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["delete_pages", "index_totals", "insert_pages", "model_checks", "segment_sizes"])
+@pytest.mark.parametrize("name", ["delete_pages", "index_segments", "index_totals", "insert_pages", "model_checks", "segment_sizes"])
 def test_query_equals_sql_on_many_segments(spark, larger, name):
     got = entry.queries()[name](spark, larger)
     duck = duckdb.connect()

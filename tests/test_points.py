@@ -14,7 +14,7 @@ from latticework.functions import text
 from latticework.operators import checks, grid, lattice, layout, model, mutate, search
 from latticework.operators.ranks import saved
 from latticework.plans.spec import IndexSpec
-from latticework.sources import files, generate
+from latticework.sources import files, generate, store
 from latticework.streaming import updates
 
 
@@ -105,10 +105,10 @@ def test_layout_invariants(spark, tmp_path):
     assert all(s["next_low"] is None or s["next_low"] >= s["low_m"] for s in splits)
     again = mutate.repage(indexed, indexed.filter("shard < 2"), g.spec, "id")
     assert {r["shard"] for r in again.collect()} == {0, 1} and mutate.misplaced(indexed, layout.page_table(indexed)).count() == 0
-    files.save_index(indexed, models, g, f"{tmp_path}/index")
-    back, _, g2 = files.load_index(spark, f"{tmp_path}/index")
+    store.save_index(indexed, models, g, f"{tmp_path}/index")
+    back, _, g2 = store.load_index(spark, f"{tmp_path}/index")
     assert back.count() == 1600 and g2.spec == g.spec and (g2.bounds[0] == g.bounds[0]).all()
-    assert files.load_index(spark, f"{tmp_path}/other") is None
+    assert store.load_index(spark, f"{tmp_path}/other") is None
 
 
 @settings(max_examples=25, deadline=None)
