@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import finite
-from .ranks import ranked
+from .index import RUN_BITS
+from .ranks import in_order, ranked, saved
 
 
 def scaled(points: DataFrame, coords: list[str], low: float, high: float) -> DataFrame:
@@ -42,45 +45,78 @@ def inversions(df: DataFrame, order: str, value: str, strict: bool = False) -> D
     return pairs.agg(F.coalesce(F.sum(F.when(bad, 1).otherwise(0)), F.lit(0)).cast("long").alias("n"))
 
 
+#: Points of a label block that one task compares by itself, a power of two.
+LABEL_BLOCK = 4096
+
+
+def dominated_later(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether an earlier point has both a larger x and a larger y, by merging halves: sorts and running maxima of all halves of a size at once."""
+    n = len(x)
+    size = 1 << max(1, (n - 1).bit_length())
+    # what fills up to a power of two is below all in x and above all in y
+    x, y = np.append(x, np.full(size - n, -np.inf)), np.append(y, np.full(size - n, np.inf))
+    bad = np.zeros(size, bool)
+    half = 1
+    while half < size:
+        shape = (size // (2 * half), 2 * half)
+        # later points stand first, so that they come before earlier ones of equal x in the sort
+        swapped = np.roll(np.arange(size).reshape(shape), -half, axis=1)
+        order = np.take_along_axis(swapped, np.argsort(-x[swapped], axis=1, kind="stable"), axis=1)
+        earlier = order % (2 * half) < half
+        highest = np.maximum.accumulate(np.where(earlier, y[order], -np.inf), axis=1)
+        bad[order] |= ~earlier & (highest > y[order])
+        half *= 2
+    return bad[:n]
+
+
+def staircase(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the points that no other one equals or exceeds in both coordinates; of equal ones, the first."""
+    order = np.lexsort((-y, -x))
+    before = np.maximum.accumulate(np.append(-np.inf, y[order][:-1]))
+    return order[y[order] > before]
+
+
+def merge_rows(blocks: DataFrame) -> DataFrame:
+    """(level, group, side, nth, x, y): what each level of a merge tree over label blocks compares, from (block, nth, x, y, step).
+
+    On each level, neighbouring groups of blocks meet, the earlier with its steps only (side 0), the later with all its points (side 1). So a point
+    is in one row a level at most, and there are as many levels as the number of blocks has bits.
+    """
+    levels = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.col("blocks"))).cast("int") - 1, F.lit(0)))
+    wide = blocks.join(F.broadcast(blocks.agg((F.coalesce(F.max("block"), F.lit(0)) + 1).alias("blocks"))))  # one row
+    each = wide.filter("blocks > 1").withColumn("level", F.explode(levels))
+    placed = each.withColumn("group", F.expr("shiftright(block, level + 1)")).withColumn("side", F.expr("shiftright(block, level) & 1"))
+    return placed.filter("side = 1 OR step").select("level", "group", "side", "nth", "x", "y")
+
+
 def dominance_violations(df: DataFrame, label: str, x: str, y: str) -> DataFrame:
-    """One row (n): points for which some earlier label has both a larger x and a larger y.
+    """One row (n): points for which some earlier label has both a larger x and a larger y. Labels are unique; rows with a null or NaN coordinate do not count.
 
-    Such a point exists for a pair if and only if the largest y among earlier points of larger x exceeds its own. Points are compared
-    by label blocks and merge-sorted maxima in NumPy, without making pairs.
+    Blocks of labels are compared in tasks, and then the blocks by a merge tree. On a level, points that follow each other by falling x see
+    the highest y of the earlier side so far; they are cut into runs of bounded length, and each run starts with the highest one of the
+    runs before it. So about n log n rows move, and no task sees more than a block or a run, whatever the order of the points.
     """
-    import numpy as np
-    import pandas as pd
-
-    at = ranked(df.select(label, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull()), [label])
-    size = 4096
-    blocks = at.withColumn("block", F.floor(F.col("rank") / size))
-    # the staircase of a block: for falling x, the running maximum of y
-    def stairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = pdf.sort_values([x, y], ascending=[False, False])
-        top = s[y].cummax()
-        keep = top.diff().fillna(1) > 0
-        return pd.DataFrame({"block": [int(s["block"].iloc[0])], "xs": [s[x][keep].astype(float).tolist()], "ys": [top[keep].astype(float).tolist()]})
-
-    steps = blocks.groupBy("block").applyInPandas(stairs, "block long, xs array<double>, ys array<double>")
-    last = blocks.agg(F.max("block").alias("last"))
-    sent = steps.join(F.broadcast(last)).withColumn("to", F.explode(F.sequence("block", "last")))
-
-    def count(key: tuple, points: pd.DataFrame, earlier: pd.DataFrame) -> pd.DataFrame:
-        p = points.sort_values("rank")
-        px, py = p[x].to_numpy(float), p[y].to_numpy(float)
-        bad = np.zeros(len(p), bool)
-        for b, xs, ys in zip(earlier["block"], earlier["xs"], earlier["ys"]):
-            if b == key[0]:
-                for i in range(1, len(p)):
-                    bad[i] |= bool(((px[:i] > px[i]) & (py[:i] > py[i])).any())
-            else:
-                up, tops = np.asarray(xs)[::-1], np.asarray(ys)[::-1]
-                i = np.searchsorted(up, px, side="right")
-                bad |= (i < len(up)) & (np.append(tops, -np.inf)[i] > py)
-        return pd.DataFrame({"n": [int(bad.sum())]})
-
-    found = blocks.groupBy("block").cogroup(sent.select("to", "block", "xs", "ys").groupBy("to")).applyInPandas(count, "n long")
-    return found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    number = lambda c: F.col(c).cast("double")
+    slim = df.select(F.col(label).alias("label"), number(x).alias("x"), number(y).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    at = ranked(slim, ["label"], "nth").withColumn("block", F.floor(F.col("nth") / LABEL_BLOCK)).select("block", "nth", "x", "y")
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values("nth")
+        a, b = own["x"].to_numpy(), own["y"].to_numpy()
+        step = np.zeros(len(own), bool)
+        step[staircase(a, b)] = True
+        return own.assign(step=step, bad=dominated_later(a, b))
+
+    blocks = saved(at.groupBy("block").applyInPandas(within, "block long, nth long, x double, y double, step boolean, bad boolean"), "blocks")
+    group = ["level", "group"]
+    kept = in_order(merge_rows(blocks), [*group, F.col("x").desc(), F.col("side").desc(), "nth"]).withColumn("run", F.shiftright("__at", RUN_BITS))
+    held = F.when(F.col("side") == 0, F.col("y"))
+    before = Window.partitionBy(*group).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = kept.groupBy(*group, "run").agg(F.max(held).alias("high")).withColumn("high", F.max("high").over(before))
+    so_far = Window.partitionBy(*group, "run").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = kept.withColumn("own", F.max(held).over(so_far)).filter("side = 1").join(starts, [*group, "run"])
+    worse = seen.filter(F.greatest("own", "high") > F.col("y")).select("nth")
+    return blocks.filter("bad").select("nth").unionByName(worse).distinct().agg(F.count("*").alias("n"))
 
 
 def rising(column: str):

@@ -8,7 +8,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import in_box
+from ..functions.geometry import finite, in_box
 from ..plans.spec import Grid
 from . import grid as grids
 from . import layout
@@ -59,12 +59,24 @@ def with_first(models: DataFrame) -> DataFrame:
     return models.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-def directory(indexed: DataFrame, models: DataFrame) -> DataFrame:
-    """(page, shard, segment, block, n, low_m, high_m, low_rank, high_rank): one row a page. ``models`` as from ``with_first``."""
-    pages = indexed.groupBy("segment", "shard", "page", "block").agg(F.count("*").alias("n"), F.min("m").alias("low_m"), F.max("m").alias("high_m"))
+def directory(indexed: DataFrame, models: DataFrame, coords: tuple[str, ...]) -> DataFrame:
+    """(page, shard, segment, block, n, low_m, high_m, low, high, low_rank, high_rank): one row a page. ``models`` as from ``with_first``.
+
+    ``low`` and ``high`` are the corners of the box of the page's points whose coordinates are all finite; null where it has none.
+    """
+    placed = reduce(lambda a, b: a & b, [finite(c).isNotNull() for c in coords])
+    ends = [F.array(*[f(F.when(placed, F.col(c).cast("double"))) for c in coords]).alias(n) for n, f in (("low", F.min), ("high", F.max))]
+    pages = indexed.groupBy("segment", "shard", "page", "block").agg(F.count("*").alias("n"), F.min("m").alias("low_m"), F.max("m").alias("high_m"), *ends)
     return with_rank(with_rank(pages, models, "low_m", "low_rank"), models, "high_m", "high_rank")
 
 
+def least_distance(low: str, high: str, centre: list[Column]) -> Column:
+    """The distance of a centre to the box between two corners; null for a box of null corners."""
+    sides = [F.greatest(F.element_at(low, i + 1) - c, c - F.element_at(high, i + 1), F.lit(0.0)) for i, c in enumerate(centre)]
+    apart = F.sqrt(reduce(lambda a, b: a + b, [x * x for x in sides]))
+    return F.when(F.element_at(low, 1).isNotNull(), apart)
+
+
 def ranked_ends(intervals: DataFrame, index: Index) -> DataFrame:
     """``intervals`` with low_rank and high_rank, the predicted ranks of both ends; the ends may lie in different segments."""
     df = intervals
@@ -141,7 +153,8 @@ def in_reach(index: Index, hits: DataFrame) -> DataFrame:
     return index.points.filter(F.col("block").isin([r["block"] for r in ranges]) & near)
 
 
-def _rows(index: Index, hits: DataFrame, keep: list[str], extra: tuple[str, ...]) -> DataFrame:
+def rows_in(index: Index, hits: DataFrame, keep: list[str], extra: tuple[str, ...]) -> DataFrame:
+    """(qid, keep..., extra...) for the points in the boxes of ``hits`` (as from ``pages_of``, stored) on their pages."""
     coords = index.grid.spec.coords
     slim = in_reach(index, hits).select(*dict.fromkeys([*keep, *coords, "page", "cell"]))
     n = range(len(coords))
@@ -155,14 +168,14 @@ def range_rows(index: Index, boxes: DataFrame, keep: list[str], extra: tuple[str
 
     The pages to read are written first: Spark then knows their size, and broadcasts them to the points only if they are few.
     """
-    return _rows(index, saved(pages_of(index, boxes, extra), "hits"), keep, extra)
+    return rows_in(index, saved(pages_of(index, boxes, extra), "hits"), keep, extra)
 
 
 def range_query(index: Index, boxes: DataFrame) -> DataFrame:
     """(qid, n_pages, n): pages read for each box and points found, 0 for boxes without any."""
     hits = saved(pages_of(index, boxes), "hits")
     pages = hits.groupBy("qid").agg(F.countDistinct("page").alias("n_pages"))
-    found = _rows(index, hits, [index.grid.spec.coords[0]], ()).groupBy("qid").agg(F.count("*").alias("n"))
+    found = rows_in(index, hits, [index.grid.spec.coords[0]], ()).groupBy("qid").agg(F.count("*").alias("n"))
     return boxes.select("qid").join(pages, "qid", "left").join(found, "qid", "left").select("qid", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -130,7 +130,10 @@ def sampled(spark, spec: IndexSpec, per_node: int, seed: int) -> DataFrame:
 def labelled(points, centres: DataFrame, grid: Grid, k: int, id_col: str, rows: int) -> DataFrame:
     """(qid, radii): exact distances of centres to their first k points, fewer if there are fewer points."""
     k = max(1, min(k, rows))
-    near = search.knn(points, centres, grid, k, id_col, F.lit(search.density_radius(grid, rows, k)))
+    if isinstance(points, search.Index):
+        near = search.knn_pages(points, centres, k, id_col)
+    else:
+        near = search.knn(points, centres, grid, k, id_col, F.lit(search.density_radius(grid, rows, k)))
     return search.knn_radii(near, k).filter("radii IS NOT NULL")
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.geometry import distance, in_box
 from ..plans.spec import Grid
 from . import index as indexes
-from .grid import cell_intervals, with_cell
+from .grid import cell_intervals, with_cell, with_mapping
 from .index import Index
+from .layout import with_segment
 from .ranks import saved
 
 
@@ -112,6 +113,48 @@ def knn(points: DataFrame | Index, centres: DataFrame, grid: Grid, k: int, id_co
     return found.select("qid", F.explode("near").alias("__p")).select("qid", "__p.rank", f"__p.{id_col}", "__p.dist")
 
 
+def knn_pages(ix: Index, centres: DataFrame, k: int, id_col: str) -> DataFrame:
+    """(qid, rank, id, dist) as from ``knn``, through an index in two passes over points; see ``knn_with_reads``."""
+    return knn_with_reads(ix, centres, k, id_col)[0]
+
+
+def knn_with_reads(ix: Index, centres: DataFrame, k: int, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(qid, rank, id, dist), and (qid, page): the pages that were read for each centre.
+
+    The first pass reads the page that a centre's own mapping leads to. The distance of its k-th point there bounds the k-th distance of all,
+    so the second pass reads the pages whose boxes come that near, by the directory. Centres whose own page holds fewer than k points
+    take spheres that widen, see ``knn``. Equal distances go to the smaller id. Centres with a null or non-finite coordinate have no neighbour.
+    """
+    grid, dims = ix.grid, range(ix.grid.spec.dims)
+    coords, c = list(grid.spec.coords), [f"c{i}" for i in dims]
+    asked = centres.select("qid", *[F.col(x).cast("double").alias(x) for x in c])
+    asked = asked.filter(" AND ".join(f"{x} IS NOT NULL AND NOT isnan({x}) AND abs({x}) < double('infinity')" for x in c))
+    at = with_mapping(asked.select("qid", *[F.col(a).alias(b) for a, b in zip(c, coords)]), grid).select("qid", "m", *[F.col(b).alias(a) for a, b in zip(c, coords)])
+    marks = ix.pages.select("segment", F.col("low_m").alias("m"), F.struct("page", "block", "low_m", "high_m").alias("at"))
+    home = indexes.last_before(marks, with_segment(at, ix.starts), "segment", ["m"], "at", "__at")
+    home = saved(home.select("qid", *c, "__at.page", "__at.block", F.col("__at.low_m").alias("from_m"), F.col("__at.high_m").alias("to_m")), "home")
+    apart = distance(coords, [F.col(x) for x in c])
+    near = indexes.in_reach(ix, home.filter("page IS NOT NULL")).select(id_col, "page", *coords).join(home.select("qid", "page", *c), "page").withColumn("dist", apart).filter(F.col("dist") < float("inf"))
+    bound = _nearest(near.select("qid", id_col, "dist"), k, id_col).filter(F.col("rank") == k).select("qid", (F.col("dist") * (1 + 1e-9)).alias("__r"))
+    open_ = saved(home.select("qid", *c).join(bound, "qid", "left"), "bounds")
+    spheres = boxes_around(open_.filter("__r IS NOT NULL"), grid, F.col("__r"))
+    corners = ix.pages.select("page", "low", "high")
+    hits = indexes.pages_of(ix, spheres, ("centre", "r")).join(corners, "page")
+    hits = saved(hits.filter(indexes.least_distance("low", "high", [F.element_at("centre", i + 1) for i in dims]) <= F.col("r")).drop("low", "high"), "hits")
+    rows = indexes.rows_in(ix, hits, list(dict.fromkeys([id_col, *coords])), ("centre", "r")).withColumn("dist", distance(coords, [F.element_at("centre", i + 1) for i in dims]))
+    found = _nearest(rows.filter(F.col("dist") <= F.col("r")).select("qid", id_col, "dist"), k, id_col).select("qid", "rank", id_col, "dist")
+    reads = home.filter("page IS NOT NULL").select("qid", "page").unionByName(hits.select("qid", "page"))
+    rest = open_.filter("__r IS NULL").drop("__r")
+    if not rest.isEmpty():
+        n = ix.pages.agg(F.sum("n")).first()[0] or 0
+        # the last sphere of a centre has read all the pages that its box meets
+        wide = saved(_widened(ix, rest, grid, k, id_col, F.lit(density_radius(grid, n, k)), 4), "spheres")
+        found = found.unionByName(wide.select("qid", F.explode("near").alias("__p")).select("qid", "__p.rank", f"__p.{id_col}", "__p.dist"))
+        last = boxes_around(rest.join(wide.select("qid", F.col("r").alias("__r")), "qid"), grid, F.col("__r"))
+        reads = reads.unionByName(indexes.pages_of(ix, last).select("qid", "page"))
+    return found, reads.distinct()
+
+
 def density_radius(grid: Grid, rows: int, k: int) -> float:
     """The radius whose box holds 2k points if points were spread evenly: a first guess."""
     spec = grid.spec

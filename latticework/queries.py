@@ -228,13 +228,9 @@ def radius_count(spark, d):
     return search.radius_count(ix, centres_2d(spark), ix.grid, F.lit(60000.0))
 
 
-def _neighbours(spark, d, first=None):
-    ix, c = events_index(spark, d), centres_2d(spark)
-    if first is not None:
-        c = first(c, ix.grid)
-    rows = ix.pages.agg(F.sum("n")).first()[0] or 0
-    start = F.col("first") if first is not None else F.lit(search.density_radius(ix.grid, rows, 5))
-    return search.knn(ix, c, ix.grid, 5, "id", start)
+def _neighbours(spark, d):
+    ix = events_index(spark, d)
+    return search.knn_pages(ix, centres_2d(spark), 5, "id")
 
 
 def knn_exact(spark, d):
@@ -242,11 +238,21 @@ def knn_exact(spark, d):
 
 
 def knn_lattice(spark, d):
-    def first(c, g):
-        told = lattice.estimated_radii(lattice.as_points(c, g.spec), g.spec, events_lattice(spark, d)["model"], "qid")
-        return c.join(told, "qid", "left").withColumn("first", F.coalesce(lattice.first_radius(F.col("radii"), 5, g.spec), F.lit(1.0))).drop("radii")
+    """Neighbours in spheres that start with the radius that the lattice estimates."""
+    ix, c = events_index(spark, d), centres_2d(spark)
+    told = lattice.estimated_radii(lattice.as_points(c, ix.grid.spec), ix.grid.spec, events_lattice(spark, d)["model"], "qid")
+    c = c.join(told, "qid", "left").withColumn("first", F.coalesce(lattice.first_radius(F.col("radii"), 5, ix.grid.spec), F.lit(1.0))).drop("radii")
+    return search.knn(ix, c, ix.grid, 5, "id", F.col("first")).select("qid", "rank", "id", F.round("dist", 4).alias("dist"))
 
-    return _neighbours(spark, d, first).select("qid", "rank", "id", F.round("dist", 4).alias("dist"))
+
+def knn_page_reads(spark, d):
+    """Neighbours found for each centre, and whether the pages that were read hold all of them and are fewer than a quarter of all."""
+    ix = events_index(spark, d)
+    rows, reads = search.knn_with_reads(ix, centres_2d(spark), 5, "id")
+    held = rows.join(ix.points.select("id", "page"), "id").join(reads.withColumn("read", F.lit(1)), ["qid", "page"], "left")
+    found = held.groupBy("qid").agg(F.count("*").alias("n"), (F.count("read") == F.count("*")).alias("covered"))
+    pages = reads.groupBy("qid").agg((F.countDistinct("page") * 4 < F.greatest(F.lit(ix.pages.count()), F.lit(100))).alias("few"))
+    return found.join(pages, "qid")
 
 
 def knn_radii(spark, d):
@@ -483,7 +489,7 @@ def changed_rows(spark, d):
     """The three orders nearest to each box's lower corner, in the index after the delete."""
     ix = changed_orders(spark, d, 2)
     centres = boxes_2d(spark).select("qid", F.element_at("lo", 1).alias("c0"), F.element_at("lo", 2).alias("c1"))
-    return search.knn(ix, centres, ix.grid, 3, "id", F.lit(500.0)).select("qid", "rank", "id", F.round("dist", 4).alias("dist"))
+    return search.knn_pages(ix, centres, 3, "id").select("qid", "rank", "id", F.round("dist", 4).alias("dist"))
 
 
 def chained_pages(spark, d):
@@ -843,6 +849,7 @@ SQL = {
     "radius_count": f"SELECT c.qid, count(p.id) AS n FROM {CENTRES} c LEFT JOIN {EVENTS} p ON {DIST} <= 60000 GROUP BY c.qid",
     "knn_exact": _KNN,
     "knn_lattice": _KNN,
+    "knn_page_reads": f"SELECT qid, least(5, (SELECT count(*) FROM events)) AS n, TRUE AS covered, TRUE AS few FROM {CENTRES}",
     "knn_radii": f"{_NEAR} SELECT qid, round(dist, 4) AS radius FROM n WHERE rank = 5",
     "knn_sphere": f"{_NEAR}, r AS (SELECT qid, 20000.0::DOUBLE * pow(2, greatest(0, ceil(log2(dist / 20000.0)))) AS r FROM n WHERE rank = 5) SELECT n.qid, count(*) AS n, max(r) AS r FROM n JOIN r USING (qid) WHERE dist <= r GROUP BY n.qid",
     "grid_bounds": f"WITH {_GRID} SELECT CAST(part AS INTEGER) AS part, bound FROM b",
@@ -947,8 +954,8 @@ SQL |= {
 }
 _ALL_SEGMENTS = f"""{_CELLS}, o AS (SELECT id, m, row_number() OVER (ORDER BY m, id) - 1 AS rk, count(*) OVER () AS n, lag(m) OVER (ORDER BY m, id) AS before FROM m),
 z AS (SELECT least(greatest(8, max(n) // 50000), greatest(1, max(n) // 113)) AS k FROM o),
-c AS (SELECT id, m, CASE WHEN i > 0 AND i < k AND i * n // k = rk AND m > before THEN 1 ELSE 0 END AS cut FROM (SELECT o.*, k, (rk * k + n - 1) // n AS i FROM o, z)),
-w AS (SELECT id, m, sum(cut) OVER (ORDER BY m) AS segment FROM c)"""
+u AS (SELECT id, m, CASE WHEN i > 0 AND i < k AND i * n // k = rk AND m > before THEN 1 ELSE 0 END AS cut FROM (SELECT o.*, k, (rk * k + n - 1) // n AS i FROM o, z)),
+w AS (SELECT id, m, sum(cut) OVER (ORDER BY m) AS segment FROM u)"""
 _LEFT = f"(SELECT * FROM {ORDERS} WHERE id % 3 <> 0)"
 SQL |= {
     "index_after_insert": f"SELECT *, CAST(0 AS BIGINT) AS missed, TRUE AS agrees FROM ({_COUNT_2D})",

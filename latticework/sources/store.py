@@ -106,7 +106,7 @@ def _finish(indexed: DataFrame, models: DataFrame, grid: Grid, path: str, id_col
     if not files.exists(spark, f"{path}/{points}"):
         write_points(blocked, f"{path}/{points}", id_col)
     kept = spark.read.schema(blocked.schema).parquet(f"{path}/{points}")
-    listed = indexes.directory(kept, models)
+    listed = indexes.directory(kept, models, grid.spec.coords)
     files.stage(spark, f"{path}/{pages}", lambda: listed)
     last = spark.read.schema(listed.schema).parquet(f"{path}/{pages}").agg(F.max("page"), F.max("shard")).first()
     put_manifest(

@@ -54,7 +54,7 @@ def _add(spark: SparkSession, path: str, ix: Index, held: dict, rows: DataFrame,
     name = f"{held['version'] + 1:06d}-{uuid.uuid4().hex[:8]}"
     store.write_points(rows.select(*ix.columns), f"{path}/points-{name}", held["id"])
     new = spark.read.schema(ix.points.schema).parquet(f"{path}/points-{name}")
-    indexes.directory(new, ix.models).select(*ix.pages.columns).write.parquet(f"{path}/pages-{name}")
+    indexes.directory(new, ix.models, ix.grid.spec.coords).select(*ix.pages.columns).write.parquet(f"{path}/pages-{name}")
     retired.select(F.col("page").cast("long").alias("page")).write.parquet(f"{path}/retired-{name}")
     changed = held | {
         "version": held["version"] + 1,

@@ -55,7 +55,7 @@ def test_look_ups_in_one_segment_are_spread(spark, crowded, monkeypatch, bits):
     monkeypatch.setattr(index, "RUN_BITS", bits)
     g, _, models, indexed = crowded
     models = saved(index.with_first(models), "first")
-    pages = saved(index.directory(indexed.withColumn("block", F.lit(0)), models), "pages")
+    pages = saved(index.directory(indexed.withColumn("block", F.lit(0)), models, g.spec.coords), "pages")
     starts = [r["min_m"] for r in models.orderBy("segment").collect()][1:]
     told = index.predicted_shards(index.Index(indexed, models, pages, g, starts), indexed.select("id", "m", F.col("shard").alias("stored")), "m")
     assert told.filter("shard = stored").count() == 6000 and told.columns == ["id", "m", "stored", "shard"]
