@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import geometry, text
 from .operators import checks, grid, index, lattice, layout, mutate, search
 from .operators.index import Index
-from .operators.ranks import ranked, saved, shared_folder
+from .operators.ranks import ranked, ranked_within, saved, shared_folder
 from .plans.spec import IndexSpec
 from .sources import files, generate, store, versions
 
@@ -532,8 +532,9 @@ def round_points(spark, d):
 
 
 def lattice_nodes(spark, d):
-    spec = IndexSpec(("x", "y"), (0.0, 0.0), (80.0, 160.0), lattice_intervals=8)
-    return lattice.nodes(spark, spec).select("node_id", F.element_at("coords", 1).alias("a"), F.element_at("coords", 2).alias("b"))
+    """A lattice over the domain of the orders."""
+    spec = spec_2d(orders(spark, d), lattice_intervals=8)
+    return lattice.nodes(spark, spec).select("node_id", F.round(F.element_at("coords", 1), 6).alias("a"), F.round(F.element_at("coords", 2), 6).alias("b"))
 
 
 def lattice_weights(spark, d):
@@ -542,9 +543,13 @@ def lattice_weights(spark, d):
     return lattice.corner_weights(p, spec, "id").groupBy("id").agg(F.round(F.sum("w"), 6).alias("total"), F.count("*").alias("corners"))
 
 
+def _regional(spark, d):
+    """A lattice with a node for each two regions."""
+    return IndexSpec(("x", "y"), (0.0, 0.0), (1.0, 1.0), lattice_intervals=max(1, spark.read.parquet(f"{d}/region.parquet").count() - 1))
+
+
 def lattice_laplacian(spark, d):
-    spec = IndexSpec(("x", "y"), (0.0, 0.0), (1.0, 1.0), lattice_intervals=4)
-    return lattice.laplacian(spark, spec).select(F.col("row").alias("a"), F.col("col").alias("b"), F.round("val", 9).alias("val"))
+    return lattice.laplacian(spark, _regional(spark, d)).select(F.col("row").alias("a"), F.col("col").alias("b"), F.round("val", 9).alias("val"))
 
 
 def lattice_coeffs(spark, d):
@@ -632,9 +637,10 @@ def convert_types(spark, d):
 
 
 def parse_boxes(spark, d):
-    """Lows and highs of the given box file's lines."""
-    lines_4d = spark.createDataFrame([(line,) for line in BOXES_4D.split("\n")], "value string")
-    return files.boxes_of(lines_4d, 4).select(*[F.element_at(side, i + 1).alias(f"{side}{i}") for side in ("lo", "hi") for i in range(4)])
+    """Lows and highs of the given box file's lines, and of a line for each order."""
+    given = spark.createDataFrame([(line,) for line in BOXES_4D.split("\n")], "value string")
+    own = orders(spark, d).select(F.format_string("%.6f %.6f %.6f %.6f  %.6f %.6f %.6f %.6f ", "x", "y", "x", "y", F.col("x") + 20000, F.col("y") + 50, F.col("x") * 2, F.col("y") * 3).alias("value"))
+    return files.boxes_of(given.unionByName(own), 4).select(*[F.element_at(side, i + 1).alias(f"{side}{i}") for side in ("lo", "hi") for i in range(4)])
 
 
 def search_bounds(spark, d):
@@ -646,11 +652,13 @@ def search_bounds(spark, d):
 
 
 def sphere_boxes(spark, d):
-    spec = IndexSpec(("x", "y"), (0.0, 0.0), (2592000.0, 2450000.0))
+    """Boxes around all events."""
     from .plans.spec import Grid
 
-    b = search.boxes_around(centres_2d(spark), Grid(spec, ()), F.lit(60000.0))
-    return b.select("qid", *[F.element_at(side, i + 1).alias(f"{side}{i}") for side in ("lo", "hi") for i in range(2)])
+    p = events(spark, d)
+    centres = p.select(F.col("id").alias("qid"), F.col("x").alias("c0"), F.col("y").alias("c1"))
+    b = search.boxes_around(centres, Grid(spec_2d(p), ()), F.lit(60000.0))
+    return b.select("qid", *[F.round(F.element_at(side, i + 1), 6).alias(f"{side}{i}") for side in ("lo", "hi") for i in range(2)])
 
 
 def radius_ranked(spark, d):
@@ -679,7 +687,7 @@ def rising_rows(spark, d):
 
 
 def lattice_edges(spark, d):
-    return lattice.edges(spark, IndexSpec(("x", "y"), (0.0, 0.0), (1.0, 1.0), lattice_intervals=4))
+    return lattice.edges(spark, _regional(spark, d))
 
 
 def regex_start(spark, d):
@@ -721,10 +729,17 @@ def point_scan(spark, d):
 
 
 def npy_scan(spark, d):
-    """Rows of a .npy matrix that holds a row's number times 1.5, and its square."""
-    data = io.BytesIO()
-    np.save(data, np.array([[q * 1.5, q * q] for q in range(25)]))
-    return files.npy_rows(spark.createDataFrame([(bytearray(data.getvalue()),)], "content binary"), 2)
+    """Rows of eight .npy matrices that hold the orders, by id."""
+
+    def saved_matrix(pdf):
+        import pandas as pd
+
+        data = io.BytesIO()
+        np.save(data, pdf.sort_values("id")[["x", "y"]].to_numpy(float))
+        return pd.DataFrame({"content": [data.getvalue()]})
+
+    dealt = orders(spark, d).withColumn("file", F.pmod("id", F.lit(8)))
+    return files.npy_rows(dealt.groupBy("file").applyInPandas(saved_matrix, "content binary"), 2)
 
 
 def text_lines(spark, d):
@@ -751,11 +766,14 @@ def list_folders(spark, d):
 
 
 def folders(spark, d):
-    """Whether a full folder is refused, then removed, and an empty one is removed, and a missing one is not."""
-    path = stored_path(spark, d, "folders")
-    files.make_folder(spark, f"{path}/inner")
-    done = [files.remove_folder(spark, path, only_empty=True), files.remove_folder(spark, path), files.make_folder(spark, path) or files.remove_folder(spark, path, only_empty=True), files.remove_folder(spark, path)]
-    return spark.createDataFrame([tuple(done)], "refused boolean, removed boolean, emptied boolean, missing boolean")
+    """For a folder of each region: whether a full one is refused, then removed, and an empty one is removed, and a missing one is not."""
+    path, rows = stored_path(spark, d, "folders"), []
+    for r in spark.read.parquet(f"{d}/region.parquet").select("r_regionkey").collect():
+        own = f"{path}/{r[0]}"
+        files.make_folder(spark, f"{own}/inner")
+        done = [files.remove_folder(spark, own, only_empty=True), files.remove_folder(spark, own), files.make_folder(spark, own) or files.remove_folder(spark, own, only_empty=True), files.remove_folder(spark, own)]
+        rows.append((int(r[0]), *done))
+    return spark.createDataFrame(rows, "region long, refused boolean, removed boolean, emptied boolean, missing boolean")
 
 
 def relu_values(spark, d):
@@ -769,20 +787,23 @@ def at_most(spark, d):
 
 
 def generated_points(spark, d):
-    """Counts of generated points, of different ones, and whether all lie in their bounds."""
-    u = generate.uniform_points(spark, 2000, 2, 0.5, 9999.5, seed=3)
-    z = generate.distinct_zipf(spark, 700, 2, 1.5, 10000.0)
+    """Points that are made in the domain of the orders, as many as there are: counts, counts of different ones, and whether all lie in their bounds."""
+    seen = orders(spark, d).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).first()
+    u = generate.distinct_uniform(spark, seen["n"], 2, seen["low"], seen["high"], seed=3)
+    z = generate.distinct_zipf(spark, seen["n"] // 10, 2, 1.5, 10000.0)
     made = []
-    for name, df, low, high in (("uniform", u, 0.5, 9999.5), ("zipf", z, 1.0, 10000.0)):
+    for name, df, low, high in (("uniform", u, seen["low"], seen["high"]), ("zipf", z, 1.0, 10000.0)):
         inside = F.col("x0").between(low, high) & F.col("x1").between(low, high)
         made.append(df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.countDistinct("x0", "x1").alias("different"), F.every(inside).alias("inside")))
     return _stacked(made)
 
 
 def generated_boxes(spark, d):
-    """Generated boxes, and whether each is in its bounds."""
-    b = generate.boxes(spark, 300, 3, (0.0, 5000.0), (100.0, 2000.0), 6000.0, seed=4)
-    ok = F.forall(F.zip_with("lo", "hi", lambda a, z: (a >= 0) & (a <= 5000) & (z <= 6000) & (z - a <= 2000) & ((z - a >= 100) | (z == 6000))), lambda x: x)
+    """Boxes that start in the orders' range of prices, as many as there are orders, and whether each is in its bounds."""
+    seen = orders(spark, d).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).first()
+    low, high, most = seen["low"], seen["high"], seen["high"] + 1000
+    b = generate.boxes(spark, seen["n"], 3, (low, high), (100.0, 2000.0), most, seed=4)
+    ok = F.forall(F.zip_with("lo", "hi", lambda a, z: (a >= low) & (a <= high) & (z <= most) & (z - a <= 2000.000001) & ((z - a >= 99.999999) | (z == most))), lambda x: x)
     return b.agg(F.count("*").alias("n"), F.every(ok).alias("inside"))
 
 
@@ -795,20 +816,63 @@ def point_splits(spark, d):
     return rows.join(F.broadcast(both)).join(F.broadcast(strangers))  # one row each
 
 
-def _images(spark):
-    """Three images of 450 x 600 pixels made by arithmetic."""
+def spread_pixels(spark, d):
+    """How many pairs of pixels there are, and whether noise and scale leave each where it belongs."""
+    pairs = generate.mirrored_pixels(_images(spark, d))
+    spread = generate.spread_pixels(pairs)
+    inside = F.forall(F.array(*spread.columns), lambda v: (v > 0) & (v <= 256 / 257 * 1000 + 0.001))
+    return spread.agg(F.count("*").alias("n"), F.every(inside).alias("inside"))
+
+
+def split_sizes(spark, d):
+    """Sizes of the halves of the orders, of the half to delete, and of what the two halves share."""
+    first, second, gone = generate.splits(orders(spark, d), "id")
+    both = first.join(second, "id", "left_semi")
+    return _stacked([df.agg(F.lit(name).alias("part"), F.count("*").alias("n")) for name, df in (("initial", first), ("insert", second), ("delete", gone), ("both", both))])
+
+
+def sampled_points(spark, d):
+    """Points that are sampled in the domain of the events, and whether all lie in it."""
+    spec = spec_2d(events(spark, d))
+    got = lattice.sampled(spark, spec, 7, 5)
+    inside = F.col("c0").between(spec.low[0], spec.high[0]) & F.col("c1").between(spec.low[1], spec.high[1])
+    return got.agg(F.count("*").alias("n"), F.countDistinct("qid").alias("different"), F.every(inside).alias("inside"))
+
+
+def model_losses(spark, d):
+    """Rows of each segment, and whether the stored loss is the sum of squared differences between exact and predicted ranks of its points."""
+    ix = orders_index(spark, d)
+    at = ranked_within(ix.points.select("segment", "m", "id"), "segment", ["m", "id"], "nth").join(ix.models, "segment")
+    error = layout.predicted_position(F.col("m")) - F.col("nth")
+    found = at.groupBy("segment").agg(F.count("*").alias("n"), F.sum(error * error).alias("sum"), F.first("loss").alias("loss"))
+    return found.select("segment", "n", (F.abs(F.col("sum") - F.col("loss")) <= 1e-6 * F.greatest(F.col("loss"), F.lit(1.0))).alias("told"))
+
+
+def learned_layout(spark, d):
+    """Of the learned pages: points, whether all pages fit, whether they follow each other by m, and whether no two shards share a page."""
+    ix = orders_index(spark, d)
+    pages = ix.pages.select("page", "shard", "n", "low_m", "high_m")
+    before = ranked(pages, ["low_m", "page"], "pos").select((F.col("pos") + 1).alias("pos"), F.col("high_m").alias("last"), F.col("page").alias("own"))
+    order = ranked(pages, ["low_m", "page"], "pos").join(before, "pos").agg(F.every((F.col("last") <= F.col("low_m")) & (F.col("own") < F.col("page"))).alias("ordered"))
+    held = pages.agg(F.sum("n").alias("n"), (F.max("n") <= ix.grid.spec.page_size).alias("fits"), (F.countDistinct("page") == F.count("*")).alias("apart"))
+    return held.join(F.broadcast(order))  # one row each
+
+
+def _images(spark, d):
+    """An image of 450 x 600 pixels for each region, made from its key by arithmetic."""
     value = lambda h, w, c: F.pmod(F.col("id") * 31 + h * 7 + w * 3 + c * 11, F.lit(256)).cast("int")
     channels = lambda h, w: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda c: value(h, w, c))
     row = lambda h: F.transform(F.sequence(F.lit(0), F.lit(599)), lambda w: channels(h, w))
-    return saved(spark.range(3).select("id", F.transform(F.sequence(F.lit(0), F.lit(449)), row).alias("image")), "images").select("id", generate.image_feature(F.col("image")).alias("feature"))
+    keys = spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").cast("long").alias("id"))
+    return saved(keys.select("id", F.transform(F.sequence(F.lit(0), F.lit(449)), row).alias("image")), "images").select("id", generate.image_feature(F.col("image")).alias("feature"))
 
 
 def image_features(spark, d):
-    return _images(spark).select("id", F.posexplode("feature").alias("place", "v"))
+    return _images(spark, d).select("id", F.posexplode("feature").alias("place", "v"))
 
 
 def pixel_pairs(spark, d):
-    return generate.mirrored_pixels(_images(spark))
+    return generate.mirrored_pixels(_images(spark, d))
 
 
 _BOUNDS = f"""b AS (
@@ -871,9 +935,9 @@ SQL = {
     "normalize_minmax": f"WITH v AS {VECTORS} SELECT id, " + ", ".join(f"round(v{i}, 6) AS v{i}" for i in range(4)) + f" FROM {_SCALED}",
     "dedupe_points": "SELECT DISTINCT CAST(l_quantity AS DOUBLE) AS q, CAST(l_extendedprice AS DOUBLE) AS p FROM lineitem",
     "round_points": "SELECT id, " + ", ".join(f"round_even(v{i}, 3) AS v{i}" for i in range(4)) + f" FROM {VECTORS}",
-    "lattice_nodes": "SELECT q AS node_id, (q // 9) * 10.0::DOUBLE AS a, (q % 9) * 20.0::DOUBLE AS b FROM range(81) t(q)",
+    "lattice_nodes": f"WITH p AS {ORDERS}, e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p) SELECT q AS node_id, round(x0 + (q // 9) * ((x1 - x0) / 8), 6) AS a, round(y0 + (q % 9) * ((y1 - y0) / 8), 6) AS b FROM range(81) t(q), e",
     "lattice_weights": "SELECT event_id AS id, 1.0::DOUBLE AS total, CAST(4 AS BIGINT) AS corners FROM events",
-    "lattice_laplacian": "WITH n AS (SELECT q AS id, q // 5 AS r, q % 5 AS c FROM range(25) t(q)), e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON abs(a.r - b.r) + abs(a.c - b.c) = 1), t AS (SELECT count(*) AS k FROM e) SELECT a, b, round(-2.0::DOUBLE / k, 9) AS val FROM e, t UNION ALL SELECT a, a, round(count(*) * 2.0::DOUBLE / max(k), 9) FROM e, t GROUP BY a",
+    "lattice_laplacian": "WITH s AS (SELECT count(*) AS k FROM region), n AS (SELECT q AS id, q // k AS r, q % k AS c FROM s, unnest(range(k * k)) t(q)), e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON abs(a.r - b.r) + abs(a.c - b.c) = 1), t AS (SELECT count(*) AS k FROM e) SELECT a, b, round(-2.0::DOUBLE / k, 9) AS val FROM e, t UNION ALL SELECT a, a, round(count(*) * 2.0::DOUBLE / max(k), 9) FROM e, t GROUP BY a",
     "order_inversions": f"SELECT CAST(count(*) FILTER (WHERE b > x) AS BIGINT) AS n FROM (SELECT x, lag(x) OVER (ORDER BY id) AS b FROM {ORDERS})",
     "dominance_violations": f"WITH p AS (SELECT * FROM {ORDERS}) SELECT count(*) AS n FROM p WHERE EXISTS (SELECT 1 FROM p o WHERE o.id < p.id AND o.x > p.x AND o.y > p.y)",
     "punct_tokens": r"WITH w AS (SELECT unnest(string_split(text, ' ')) AS w FROM documents) SELECT w, count(*) AS n FROM w WHERE regexp_full_match(w, '[!-/:-@\[-`{-~…]+') GROUP BY w",
@@ -885,14 +949,14 @@ SQL = {
 SQL |= {
     "reverse_map": "SELECT n_name AS key, CAST(n_regionkey AS INTEGER) AS value FROM nation",
     "convert_types": "WITH s AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE '' END AS s FROM orders) SELECT o_orderkey, TRY_CAST(s AS BIGINT) AS l, TRY_CAST(s AS DOUBLE) AS f, s FROM s",
-    "parse_boxes": "SELECT " + ", ".join(f"CAST({a}{i} AS DOUBLE) AS {n}{i}" for a, n in (("a", "lo"), ("b", "hi")) for i in range(4)) + f" FROM {_BOXES_4D}",
+    "parse_boxes": "SELECT " + ", ".join(f"CAST({a}{i} AS DOUBLE) AS {n}{i}" for a, n in (("a", "lo"), ("b", "hi")) for i in range(4)) + f" FROM {_BOXES_4D}" + f" UNION ALL SELECT " + ", ".join(f"CAST(printf('%.6f', {v}) AS DOUBLE)" for v in ("x", "y", "x", "y", "x + 20000", "y + 50", "x * 2", "y * 3")) + f" FROM {ORDERS}",
     "search_bounds": "WITH c AS (SELECT unnest([1.0, 5.0, 5.0, 17.0, 33.0, 50.0]) AS c), q AS (SELECT CAST(l_quantity AS DOUBLE) AS q, count(*) AS n FROM lineitem GROUP BY 1) SELECT q, count(*) FILTER (WHERE c < q) AS l, count(*) FILTER (WHERE c <= q) AS r, max(n) AS n FROM q, c GROUP BY q",
-    "sphere_boxes": f"SELECT qid, greatest(c0 - 60000, 0) AS lo0, greatest(c1 - 60000, 0) AS lo1, least(c0 + 60000, 2592000) AS hi0, least(c1 + 60000, 2450000) AS hi1 FROM {CENTRES}",
+    "sphere_boxes": f"WITH p AS {EVENTS}, e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p) SELECT id AS qid, round(greatest(x - 60000, x0), 6) AS lo0, round(greatest(y - 60000, y0), 6) AS lo1, round(least(x + 60000, x1), 6) AS hi0, round(least(y + 60000, y1), 6) AS hi1 FROM p, e",
     "radius_ranked": f"SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY {DIST}, id) AS INTEGER) AS place, id FROM {CENTRES} c, {EVENTS} p WHERE {DIST} <= 60000",
     "merged_intervals": f"WITH i AS (SELECT y AS qid, x AS low_m, x + 20000 AS high_m FROM {ORDERS}), r AS (SELECT *, max(high_m) OVER (PARTITION BY qid ORDER BY low_m, high_m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR low_m - reach >= 1e-5 THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY low_m, high_m) AS k FROM r) SELECT qid, min(low_m) AS low_m, max(high_m) AS high_m FROM g GROUP BY qid, k",
     "inversions_strict": "SELECT CAST(count(*) FILTER (WHERE b >= k) AS BIGINT) AS n FROM (SELECT floor(o_totalprice / 1000) AS k, lag(floor(o_totalprice / 1000)) OVER (ORDER BY o_orderkey) AS b FROM orders)",
     "rising_rows": "SELECT vec_id, embedding[1] < embedding[2] AND embedding[2] < embedding[3] AS rises FROM embeddings",
-    "lattice_edges": "WITH n AS (SELECT q AS id, q // 5 AS r, q % 5 AS c FROM range(25) t(q)) SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id < b.id AND abs(a.r - b.r) + abs(a.c - b.c) = 1",
+    "lattice_edges": "WITH s AS (SELECT count(*) AS k FROM region), n AS (SELECT q AS id, q // k AS r, q % k AS c FROM s, unnest(range(k * k)) t(q)) SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id < b.id AND abs(a.r - b.r) + abs(a.c - b.c) = 1",
     "regex_start": "SELECT p_partkey, regexp_matches(p_name, '^(?:[a-m]+)') AS yes FROM part",
     "split_pages": f"WITH p AS (SELECT id, x AS m, id // 200 AS page FROM {ORDERS}), o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY m, id) AS k, count(*) OVER (PARTITION BY page) AS c FROM p) SELECT page, CAST(CASE WHEN k <= (c + 1) // 2 THEN 0 ELSE 1 END AS INTEGER) AS half, count(*) AS n, max(m) AS last FROM o GROUP BY 1, 2",
     "product_rows": "SELECT a.r_name, b.r_name AS other FROM region a, region b",
@@ -907,7 +971,7 @@ a AS (SELECT *, sum(c) OVER (PARTITION BY segment ORDER BY raw DESC) AS tail FRO
 l AS (SELECT segment, coalesce(max(raw) FILTER (WHERE tail > 113), min(raw)) AS last FROM a GROUP BY segment),
 n AS (SELECT segment, raw, least(raw, last) AS own, c FROM a JOIN l USING (segment)),
 s AS (SELECT segment, own, CAST(sum(c) AS BIGINT) AS count FROM n GROUP BY 1, 2)"""
-_IMAGE = "f AS (SELECT i AS id, (h * 12 + w) * 3 + c AS place, (i * 31 + (25 + 50 * h) * 7 + (25 + 50 * w) * 3 + c * 11) % 256 AS v FROM range(3) a(i), range(9) b(h), range(12) e(w), range(3) g(c))"
+_IMAGE = "f AS (SELECT i AS id, (h * 12 + w) * 3 + c AS place, (i * 31 + (25 + 50 * h) * 7 + (25 + 50 * w) * 3 + c * 11) % 256 AS v FROM (SELECT CAST(r_regionkey AS BIGINT) FROM region) a(i), range(9) b(h), range(12) e(w), range(3) g(c))"
 SQL |= {
     "range_count_1000": _COUNT_2D.replace(BOXES_2D, BOXES_1000),
     "range_count_cells": _COUNT_2D,
@@ -938,19 +1002,19 @@ SQL |= {
     "lattice_constant": "SELECT event_id AS id, 2.0::DOUBLE AS a, 7.0::DOUBLE AS b FROM events",
     "rising_vectors": "SELECT vec_id, len(list_filter(range(1, len(embedding)), lambda i: NOT embedding[i] < embedding[i + 1])) = 0 AS rises FROM embeddings",
     "point_scan": "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice, CAST(o_custkey AS DOUBLE) AS o_custkey FROM orders",
-    "npy_scan": 'SELECT q AS "row", q * 1.5::DOUBLE AS x0, CAST(q * q AS DOUBLE) AS x1 FROM range(25) t(q)',
+    "npy_scan": f'SELECT row_number() OVER (PARTITION BY id % 8 ORDER BY id) - 1 AS "row", x AS x0, y AS x1 FROM {ORDERS}',
     "text_lines": f"SELECT printf('%.10f %.10f', x, y) AS value FROM {ORDERS}",
     "list_lines": r"WITH l AS (SELECT unnest(string_split(text, chr(10))) AS v FROM documents) SELECT regexp_replace(v, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') AS value, count(*) AS n FROM l GROUP BY 1",
     "map_lines": "SELECT n_nationkey || chr(9) || n_name AS value FROM nation",
     "list_folders": "SELECT DISTINCT 'n_regionkey=' || n_regionkey AS folder FROM nation",
-    "folders": "SELECT FALSE AS refused, TRUE AS removed, TRUE AS emptied, FALSE AS missing",
+    "folders": "SELECT CAST(r_regionkey AS BIGINT) AS region, FALSE AS refused, TRUE AS removed, TRUE AS emptied, FALSE AS missing FROM region",
     "relu_values": "SELECT id, " + ", ".join(f"greatest(v{i}, 0) AS v{i}" for i in range(4)) + f" FROM {VECTORS}",
     "at_most": f"SELECT y, count(*) FILTER (WHERE x <= 250000) AS n FROM {ORDERS} GROUP BY y",
-    "generated_points": "SELECT 'uniform' AS name, 2000::BIGINT AS n, 2000::BIGINT AS different, TRUE AS inside UNION ALL SELECT 'zipf', 700, 700, TRUE",
-    "generated_boxes": "SELECT 300::BIGINT AS n, TRUE AS inside",
+    "generated_points": "SELECT 'uniform' AS name, count(*) AS n, count(*) AS different, TRUE AS inside FROM orders UNION ALL SELECT 'zipf', count(*) // 10, count(*) // 10, TRUE FROM orders",
+    "generated_boxes": "SELECT count(*) AS n, TRUE AS inside FROM orders",
     "point_splits": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS both, CAST(0 AS BIGINT) AS strangers FROM orders",
     "image_features": f"WITH {_IMAGE} SELECT id, CAST(place AS INTEGER) AS place, CAST(v AS INTEGER) AS v FROM f",
-    "pixel_pairs": f"WITH {_IMAGE}, j AS (SELECT j, id FROM range(54) t(j), range(3) u(id)) SELECT DISTINCT " + ", ".join(f"CAST((SELECT v FROM f WHERE f.id = j.id AND place = j * 3 + {i}) AS INTEGER) AS x{i}" for i in range(3)) + ", " + ", ".join(f"CAST((SELECT v FROM f WHERE f.id = j.id AND place = 324 - (j + 1) * 3 + {i}) AS INTEGER) AS x{i + 3}" for i in range(3)) + " FROM j",
+    "pixel_pairs": f"WITH {_IMAGE}, j AS (SELECT j, id FROM range(54) t(j), (SELECT CAST(r_regionkey AS BIGINT) FROM region) u(id)) SELECT DISTINCT " + ", ".join(f"CAST((SELECT v FROM f WHERE f.id = j.id AND place = j * 3 + {i}) AS INTEGER) AS x{i}" for i in range(3)) + ", " + ", ".join(f"CAST((SELECT v FROM f WHERE f.id = j.id AND place = 324 - (j + 1) * 3 + {i}) AS INTEGER) AS x{i + 3}" for i in range(3)) + " FROM j",
 }
 _ALL_SEGMENTS = f"""{_CELLS}, o AS (SELECT id, m, row_number() OVER (ORDER BY m, id) - 1 AS rk, count(*) OVER () AS n, lag(m) OVER (ORDER BY m, id) AS before FROM m),
 z AS (SELECT least(greatest(8, max(n) // 50000), greatest(1, max(n) // 113)) AS k FROM o),
@@ -962,6 +1026,11 @@ SQL |= {
     "index_after_delete": f"SELECT *, CAST(0 AS BIGINT) AS missed, TRUE AS agrees FROM ({_COUNT_2D.replace(ORDERS, _LEFT)})",
     "changed_totals": f"SELECT CAST(v AS INTEGER) AS version, count(*) AS points, count(*) AS listed, TRUE AS fits, CAST(0 AS BIGINT) AS off FROM {ORDERS}, range(3) t(v) WHERE v = 1 OR v = 0 AND id % 2 = 0 OR v = 2 AND id % 3 <> 0 GROUP BY v",
     "changed_rows": f"WITH n AS (SELECT qid, id, sqrt((x - lx) * (x - lx) + (y - ly) * (y - ly)) AS dist FROM {BOXES_2D}, {_LEFT}), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM n) SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(dist, 4) AS dist FROM r WHERE rank <= 3",
+    "split_sizes": "WITH c AS (SELECT count(*) AS n FROM orders) SELECT 'initial' AS part, n // 2 AS n FROM c UNION ALL SELECT 'insert', n - n // 2 FROM c UNION ALL SELECT 'delete', n // 2 FROM c UNION ALL SELECT 'both', 0 FROM c",
+    "sampled_points": "SELECT CAST(567 AS BIGINT) AS n, CAST(567 AS BIGINT) AS different, TRUE AS inside FROM events HAVING count(*) > 0",
+    "spread_pixels": "SELECT count(*) AS n, TRUE AS inside FROM (" + SQL["pixel_pairs"] + ")",
+    "model_losses": f"WITH {_ALL_SEGMENTS} SELECT CAST(segment AS BIGINT) AS segment, count(*) AS n, TRUE AS told FROM w GROUP BY 1",
+    "learned_layout": "SELECT count(*) AS n, TRUE AS fits, TRUE AS apart, TRUE AS ordered FROM orders",
     "index_segments": f"""WITH {_ALL_SEGMENTS}, h AS (SELECT CAST(segment AS BIGINT) AS segment, count(*) AS n FROM w GROUP BY 1)
         SELECT segment, n, CAST(coalesce(sum(n) OVER (ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "first", TRUE AS rises, TRUE AS fits FROM h""",
     "chained_pages": f"""WITH RECURSIVE b AS (SELECT CAST(y AS BIGINT) % 7 AS shard, CAST(floor(x / 4000) AS BIGINT) AS page, count(*) AS n FROM {ORDERS} GROUP BY 1, 2),

@@ -205,7 +205,7 @@ def test_generators(spark):
     b = generate.boxes(spark, 50, 3, (0.0, 5.0), (1.0, 2.0), 6.0)
     assert b.filter("exists(zip_with(lo, hi, (a, z) -> z < a OR z > 6), x -> x)").count() == 0
     first, second, gone = generate.splits(u, "id")
-    assert first.count() + second.count() == 500 and 150 < gone.count() < 350
+    assert (first.count(), second.count(), gone.count()) == (250, 250, 250) and first.join(second, "id").count() == 0 and 0 < first.join(gone, "id").count() < 250
     assert generate.product([spark.range(2).toDF("a"), spark.range(3).toDF("b")]).count() == 6
 
 
@@ -239,3 +239,20 @@ def test_streams(spark, tmp_path):
     counts = updates.cell_counts(spark.readStream.schema(timed.schema).parquet(f"{tmp_path}/timed"), g, "t", "10 seconds", "1 second")
     counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
     assert sum(r["n"] for r in spark.table("counts").collect()) == 20
+
+
+def test_cuts_are_exact(spark):
+    p = spark.range(1000).select("id", (F.col("id") % 7).alias("k"))
+    for n in (0, 1, 2, 499, 999, 1000, 2000):
+        taken, rest = generate.cut(p, n, ["id"], 3)
+        assert taken.count() == min(n, 1000) and taken.unionByName(rest).distinct().count() == 1000
+    assert sorted(r["id"] for r in generate.cut(p, 300, ["id"])[0].collect()) == sorted(r["id"] for r in generate.cut(p.repartition(5), 300, ["id"])[0].collect())
+    # seven different keys, 1,000 rows
+    taken, rest = generate.cut(p, 600, ["k"])
+    assert taken.count() == 600 and taken.join(rest, "id").count() == 0
+    u = generate.distinct_uniform(spark, 900, 1, 0.0, 1.0, digits=3)
+    assert u.count() == u.distinct().count() == 900
+    with pytest.raises(ValueError):
+        generate.distinct_uniform(spark, 900, 1, 0.0, 1.0, digits=1)
+    with pytest.raises(ValueError):
+        generate.distinct_zipf(spark, 50, 1, 2.0, 10.0)
