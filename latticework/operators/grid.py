@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import finite, literals, search_right
 from ..plans.spec import Grid, IndexSpec
-from .ranks import ranked
+from .ranks import selected
 
 #: More literal bounds than this make generated methods that the JVM does not compile; a vectorised search takes over.
 TREE_BOUNDS = 64
@@ -34,25 +34,19 @@ def part_bounds(points: DataFrame, spec: IndexSpec, dim: int, parent: Column) ->
 
     Null, NaN and infinite coordinates have no rank. Parents without rows get the domain's maximum for all bounds. Only the bounds reach the driver.
     """
-    spark, x = points.sparkSession, spec.coords[dim]
+    x = spec.coords[dim]
     slim = points.select(parent.cast("long").alias("parent"), finite(x).alias("x")).filter(F.col("x").isNotNull())
     out = np.full((spec.parts**dim, spec.parts), spec.high[dim])
     counts = {r["parent"]: r["n"] for r in slim.groupBy("parent").agg(F.count("*").alias("n")).collect()}
-    wanted, start = [], 0
-    for p in sorted(counts):
-        wanted += [(int(p), i, start + k) for i, k in enumerate(cut_ranks(counts[p], spec.parts)) if k < counts[p]]
-        start += counts[p]
-    if wanted:
-        cuts = spark.createDataFrame(wanted, "parent long, part int, rank long")
-        # a frequent value may hold a third of the rows: the row's number parts its ties, whose order does not matter
-        numbered = slim.withColumn("tie", F.monotonically_increasing_id())
-        for r in ranked(numbered, ["parent", "x", "tie"]).join(F.broadcast(cuts.select("part", "rank", F.col("parent").alias("own"))), "rank").select("own", "part", "x").collect():
-            out[r["own"], r["part"]] = r["x"]
+    cuts = {p: [k for k in cut_ranks(n, spec.parts) if k < n] for p, n in counts.items()}
+    found = selected(slim, "parent", "x", cuts)
+    for p, ranks in cuts.items():
+        out[p, : len(ranks)] = [found[p, k] for k in ranks]
     return np.maximum.accumulate(out, axis=1)
 
 
 def build_grid(points: DataFrame, spec: IndexSpec) -> Grid:
-    """Splits dimensions 0 .. dims - 2 one after the other; one range shuffle of a slim table for each."""
+    """Splits dimensions 0 .. dims - 2 one after the other; a few passes of counts over one column for each, see ``ranks.selected``."""
     grid = Grid(spec, ())
     for dim in range(spec.dims - 1):
         placed = with_cell(points, grid) if dim else points.withColumn("cell", F.lit(0))
@@ -140,15 +134,16 @@ def cell_borders(spark, grid: Grid) -> DataFrame:
     return spark.createDataFrame(rows, "cell long, lo array<double>, hi array<double>, volume double")
 
 
-def cell_intervals(boxes: DataFrame, grid: Grid, extra: tuple[str, ...] = ()) -> DataFrame:
+def cell_intervals(boxes: DataFrame, grid: Grid, extra: tuple[str, ...] = (), domain: tuple | None = None) -> DataFrame:
     """(qid, cell, low_m, high_m, lo, hi, extra...) for each cell that a box (qid, lo, hi) meets: its points' m lie in [low_m, high_m].
 
     The lower fraction counts in the first part along a dimension only (0 in later ones), the upper one in the last (1 in
-    earlier ones). Boxes with hi < lo or outside of the domain give no cell.
+    earlier ones). Boxes with hi < lo or outside of the domain, by default the grid's, give no cell; points beyond the grid belong to its outermost cells.
     """
     spec = grid.spec
     lo, hi = (lambda i: F.element_at("lo", i + 1)), (lambda i: F.element_at("hi", i + 1))
-    fits = reduce(lambda a, b: a & b, [(lo(i) <= hi(i)) & (hi(i) >= spec.low[i]) & (lo(i) <= spec.high[i]) for i in range(spec.dims)])
+    low, high = domain or (spec.low, spec.high)
+    fits = reduce(lambda a, b: a & b, [(lo(i) <= hi(i)) & (hi(i) >= low[i]) & (lo(i) <= high[i]) for i in range(spec.dims)])
     df = boxes.select("qid", "lo", "hi", *extra).filter(fits).withColumn("cell", F.lit(0).cast("long"))
     df = df.withColumns({f"__{n}{i}": f(i).cast("double") for n, f in (("lo", lo), ("hi", hi)) for i in range(spec.dims - 1)})
     for i in range(spec.dims - 1):

@@ -38,6 +38,17 @@ class Index:
     token: str = ""
     version: int = 0
 
+    @cached_property
+    def domain(self) -> tuple[tuple[float, ...], tuple[float, ...]]:
+        """Bounds of all points: the grid's, and those of the pages once points may have been inserted beyond it."""
+        spec = self.grid.spec
+        if not self.version:
+            return spec.low, spec.high
+        n = range(spec.dims)
+        ends = self.pages.agg(*[F.min(F.element_at("low", i + 1)) for i in n], *[F.max(F.element_at("high", i + 1)) for i in n]).first()
+        wider = lambda f, own, found: tuple(f(a, b) if b is not None else a for a, b in zip(own, found))
+        return wider(min, spec.low, ends[: spec.dims]), wider(max, spec.high, ends[spec.dims :])
+
     @cached_property
     def columns(self) -> list[str]:
         return self.points.columns
@@ -136,7 +147,7 @@ def met_pages(index: Index, wanted: DataFrame) -> DataFrame:
 
 def pages_of(index: Index, boxes: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """(qid, cell, page, block, from_m, to_m, lo, hi, extra...): the pages that may hold points of each box in each cell, once each."""
-    met = met_pages(index, grids.cell_intervals(boxes, index.grid, extra))
+    met = met_pages(index, grids.cell_intervals(boxes, index.grid, extra, index.domain))
     return met.select("qid", "cell", "page", "block", F.greatest("from_m", "low_m").alias("from_m"), F.least("to_m", "high_m").alias("to_m"), "lo", "hi", *extra)
 
 

@@ -11,8 +11,10 @@ from ..functions.geometry import search_right
 from ..plans.spec import Grid, IndexSpec
 from .grid import TREE_BOUNDS, cell_intervals, with_mapping
 from .model import train_runs
-from .ranks import ranked, ranked_within
+from .ranks import ranked, ranked_within, selected
 
+#: Cuts whose values are found by counting; more of them take a range shuffle. The values are the same.
+COUNTED_CUTS = 1 << 14
 MODEL = "segment long, min_m double, n long, alphas array<double>, betas array<double>, loss double"
 
 
@@ -21,18 +23,25 @@ def segment_count(n: int, spec: IndexSpec) -> int:
     return max(1, min(spec.segments, n // max(1, spec.page_size)))
 
 
-def segment_bounds(mapped: DataFrame, spec: IndexSpec, id_col: str) -> list[float]:
+def segment_bounds(mapped: DataFrame, spec: IndexSpec) -> list[float]:
     """Lower bounds of segments 1 .. of about equal count: the first m above the middle between the m's on both sides of a cut.
 
-    At most ``segments`` - 1 numbers reach the driver. Cuts inside a run of equal m fall together, so there may be fewer.
+    The values at the cuts are found by counts, see ``ranks.selected``; so many cuts that their counts would burden the driver, by
+    ranks over everything. Cuts inside a run of equal m fall together, so there may be fewer.
     """
     n = mapped.count()
     k = segment_count(n, spec)
     if n == 0 or k == 1:
         return []
     cuts = [i * n // k for i in range(1, k)]
-    wanted = mapped.sparkSession.createDataFrame([(c,) for c in sorted({c - 1 for c in cuts} | set(cuts))], "rank long")
-    at = {r["rank"]: r["m"] for r in ranked(mapped.select("m", id_col), ["m", id_col]).join(F.broadcast(wanted), "rank").select("rank", "m").collect()}
+    wanted = sorted({c - 1 for c in cuts} | set(cuts))
+    if len(wanted) <= COUNTED_CUTS:
+        at = {r: v for (_, r), v in selected(mapped.select(F.lit(0).cast("long").alias("all"), "m"), "all", "m", {0: wanted}).items()}
+    else:
+        places = mapped.sparkSession.createDataFrame([(c,) for c in wanted], "rank long")
+        # a row's number parts ties, whose order does not matter
+        every = ranked(mapped.select("m", F.monotonically_increasing_id().alias("tie")), ["m", "tie"])
+        at = {r["rank"]: r["m"] for r in every.join(places, "rank").select("rank", "m").collect()}
     return sorted({at[c] for c in cuts if at[c] > at[c - 1]})
 
 
@@ -135,7 +144,7 @@ def with_shard(segmented: DataFrame, models: DataFrame, spec: IndexSpec, id_col:
 def build_index(points: DataFrame, grid: Grid, id_col: str) -> tuple[DataFrame, DataFrame]:
     """(points with cell, m, segment, shard and page; models): the whole load as one plan."""
     mapped = with_mapping(points, grid)
-    segmented = with_segment(mapped, segment_bounds(mapped, grid.spec, id_col))
+    segmented = with_segment(mapped, segment_bounds(mapped, grid.spec))
     models = train_models(segmented, grid.spec)
     return with_shard(segmented, models, grid.spec, id_col), models
 
@@ -164,11 +173,11 @@ def split_mappings(pages: DataFrame, shards: DataFrame) -> DataFrame:
     return pages.join(shards, "page").withColumn("next_low", F.lead("low_m").over(order)).select("shard", "page", "low_m", "next_low")
 
 
-def pages_per_query(pages: DataFrame, boxes: DataFrame, grid: Grid) -> DataFrame:
+def pages_per_query(pages: DataFrame, boxes: DataFrame, grid: Grid, domain: tuple | None = None) -> DataFrame:
     """(qid, n_pages): pages whose range of m meets an interval of the box. Pages and intervals join on the cells they span."""
     parts = grid.spec.parts
     spread = pages.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low_m") / parts), F.floor(F.col("high_m") / parts)))).select("page", "cell", F.col("low_m").alias("from_m"), F.col("high_m").alias("to_m"))
-    hits = cell_intervals(boxes, grid).join(spread, "cell").filter((F.col("from_m") <= F.col("high_m")) & (F.col("to_m") >= F.col("low_m"))).select("qid", "page").distinct()
+    hits = cell_intervals(boxes, grid, domain=domain).join(spread, "cell").filter((F.col("from_m") <= F.col("high_m")) & (F.col("to_m") >= F.col("low_m"))).select("qid", "page").distinct()
     counted = hits.groupBy("qid").agg(F.count("*").alias("n_pages"))
     return boxes.select("qid").join(counted, "qid", "left").select("qid", F.coalesce("n_pages", F.lit(0)).alias("n_pages"))
 

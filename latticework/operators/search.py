@@ -38,22 +38,24 @@ def range_count(points: DataFrame | Index, boxes: DataFrame, grid: Grid) -> Data
     return boxes.select("qid").join(hits, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def boxes_around(centres: DataFrame, grid: Grid, radius: Column) -> DataFrame:
-    """(qid, lo, hi, centre, r) from (qid, c0 .. c{d-1}): the spheres' boxes, clipped to the domain.
+def boxes_around(centres: DataFrame, grid: Grid, radius: Column, domain: tuple | None = None) -> DataFrame:
+    """(qid, lo, hi, centre, r) from (qid, c0 .. c{d-1}): the spheres' boxes, clipped to the domain, by default the grid's.
 
     A box that the domain does not meet stays as it is and finds nothing.
     """
     spec = grid.spec
+    low, high = domain or (spec.low, spec.high)
     c = [F.col(f"c{i}").cast("double") for i in range(spec.dims)]
-    lo = F.array(*[F.greatest(x - radius, F.lit(spec.low[i])) for i, x in enumerate(c)])
-    hi = F.array(*[F.least(x + radius, F.lit(spec.high[i])) for i, x in enumerate(c)])
+    lo = F.array(*[F.greatest(x - radius, F.lit(low[i])) for i, x in enumerate(c)])
+    hi = F.array(*[F.least(x + radius, F.lit(high[i])) for i, x in enumerate(c)])
     return centres.select("qid", lo.alias("lo"), hi.alias("hi"), F.array(*c).alias("centre"), radius.cast("double").alias("r"))
 
 
 def radius_rows(points: DataFrame | Index, centres: DataFrame, grid: Grid, radius: Column, keep: list[str]) -> DataFrame:
     """(qid, keep..., dist) of the points at most ``radius`` away, by closed L2 distance; none for centres with a null coordinate."""
     spec = grid.spec
-    found = range_rows(points, boxes_around(centres, grid, radius), grid, list(dict.fromkeys([*keep, *spec.coords])), ("centre", "r"))
+    around = boxes_around(centres, grid, radius, points.domain if isinstance(points, Index) else None)
+    found = range_rows(points, around, grid, list(dict.fromkeys([*keep, *spec.coords])), ("centre", "r"))
     near = found.withColumn("dist", distance(spec.coords, [F.element_at("centre", i + 1) for i in range(spec.dims)]))
     return near.filter(F.col("dist") <= F.col("r")).select("qid", *keep, "dist")
 
@@ -79,7 +81,8 @@ def _widened(points: DataFrame | Index, centres: DataFrame, grid: Grid, k: int,
     slim = points
     if not isinstance(points, Index):
         slim = points if "cell" in points.columns else saved(with_cell(points.select(id_col, *spec.coords), grid), "celled")
-    far = F.sqrt(sum(((F.greatest(F.abs(F.col(c) - spec.low[i]), F.abs(F.col(c) - spec.high[i]))) ** 2 for i, c in enumerate(coords)), F.lit(0.0)))
+    low, high = points.domain if isinstance(points, Index) else (spec.low, spec.high)
+    far = F.sqrt(sum(((F.greatest(F.abs(F.col(c) - low[i]), F.abs(F.col(c) - high[i]))) ** 2 for i, c in enumerate(coords)), F.lit(0.0)))
     open_ = centres.select("qid", *coords, F.greatest(first.cast("double"), F.lit(1e-9)).alias("__r"), (far * 1.000001 + 1e-9).alias("__far"))
     open_, done = saved(open_.filter(F.col("__far").isNotNull()), "centres"), None
     while True:
@@ -137,7 +140,7 @@ def knn_with_reads(ix: Index, centres: DataFrame, k: int, id_col: str) -> tuple[
     near = indexes.in_reach(ix, home.filter("page IS NOT NULL")).select(id_col, "page", *coords).join(home.select("qid", "page", *c), "page").withColumn("dist", apart).filter(F.col("dist") < float("inf"))
     bound = _nearest(near.select("qid", id_col, "dist"), k, id_col).filter(F.col("rank") == k).select("qid", (F.col("dist") * (1 + 1e-9)).alias("__r"))
     open_ = saved(home.select("qid", *c).join(bound, "qid", "left"), "bounds")
-    spheres = boxes_around(open_.filter("__r IS NOT NULL"), grid, F.col("__r"))
+    spheres = boxes_around(open_.filter("__r IS NOT NULL"), grid, F.col("__r"), ix.domain)
     corners = ix.pages.select("page", "low", "high")
     hits = indexes.pages_of(ix, spheres, ("centre", "r")).join(corners, "page")
     hits = saved(hits.filter(indexes.least_distance("low", "high", [F.element_at("centre", i + 1) for i in dims]) <= F.col("r")).drop("low", "high"), "hits")
@@ -150,7 +153,7 @@ def knn_with_reads(ix: Index, centres: DataFrame, k: int, id_col: str) -> tuple[
         # the last sphere of a centre has read all the pages that its box meets
         wide = saved(_widened(ix, rest, grid, k, id_col, F.lit(density_radius(grid, n, k)), 4), "spheres")
         found = found.unionByName(wide.select("qid", F.explode("near").alias("__p")).select("qid", "__p.rank", f"__p.{id_col}", "__p.dist"))
-        last = boxes_around(rest.join(wide.select("qid", F.col("r").alias("__r")), "qid"), grid, F.col("__r"))
+        last = boxes_around(rest.join(wide.select("qid", F.col("r").alias("__r")), "qid"), grid, F.col("__r"), ix.domain)
         reads = reads.unionByName(indexes.pages_of(ix, last).select("qid", "page"))
     return found, reads.distinct()
 

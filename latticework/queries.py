@@ -175,7 +175,7 @@ def _looked_up(ix, boxes):
     read = index.pages_of(ix, boxes).select("qid", "page")
     held = search.range_rows(ix.points, boxes, ix.grid, ["page"]).distinct()
     missed = held.join(read, ["qid", "page"], "left_anti").groupBy("qid").agg(F.count("*").alias("missed"))
-    wanted = layout.pages_per_query(ix.pages, boxes, ix.grid).withColumnRenamed("n_pages", "wanted")
+    wanted = layout.pages_per_query(ix.pages, boxes, ix.grid, ix.domain).withColumnRenamed("n_pages", "wanted")
     return got.join(missed, "qid", "left").join(wanted, "qid").select("qid", "n", F.coalesce("missed", F.lit(0)).alias("missed"), (F.col("n_pages") == F.col("wanted")).alias("agrees"))
 
 
@@ -319,7 +319,7 @@ def segment_sizes(spark, d):
     """Sizes of as many segments as a spec asks for by itself, whatever the number of rows; the index has more of them from 450,000 rows."""
     ix = orders_index(spark, d)
     mapped = ix.points.select("id", "m")
-    bounds = layout.segment_bounds(mapped, replace(ix.grid.spec, segments=IndexSpec.segments), "id")
+    bounds = layout.segment_bounds(mapped, replace(ix.grid.spec, segments=IndexSpec.segments))
     return layout.segment_sizes(layout.with_segment(mapped, bounds)).select("segment", "n", "first")
 
 

@@ -195,7 +195,7 @@ def build_index(points: DataFrame, coords: tuple[str, ...], id_col: str, path: s
     token = digest(fourth, indexes.BLOCKS, grid.spec.lattice_intervals)
     if newest(spark, path, token) < 0:
         mapped = files.stage(spark, f"{path}/mapped-{second}", lambda: grids.with_mapping(points, grid))
-        segmented = files.stage(spark, f"{path}/segmented-{third}", lambda: layout.with_segment(mapped, layout.segment_bounds(mapped, grid.spec, id_col)))
+        segmented = files.stage(spark, f"{path}/segmented-{third}", lambda: layout.with_segment(mapped, layout.segment_bounds(mapped, grid.spec)))
         models = files.stage(spark, f"{path}/models-{fourth}", lambda: indexes.with_first(layout.train_models(segmented, grid.spec)))
         _finish(layout.with_shard(segmented, models, grid.spec, id_col), models, grid, path, id_col, token, {"bounds": f"bounds-{first}", "models": f"models-{fourth}"})
     if files.get_text(spark, f"{path}/current") != token:

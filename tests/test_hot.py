@@ -22,7 +22,7 @@ def crowded(spark):
     p = spark.createDataFrame(rows, "id long, x double, y double")
     g = grid.build_grid(p, IndexSpec(("x", "y"), (0.0, 0.0), (100.0, 100.0), parts=4, page_size=SIZE, segments=40, knots=8))
     mapped = saved(grid.with_mapping(p, g), "mapped")
-    segmented = saved(layout.with_segment(mapped, layout.segment_bounds(mapped, g.spec, "id")), "segmented")
+    segmented = saved(layout.with_segment(mapped, layout.segment_bounds(mapped, g.spec)), "segmented")
     models = saved(layout.train_models(segmented, g.spec), "models")
     return g, segmented, models, saved(layout.with_shard(segmented, models, g.spec, "id"), "indexed")
 
