@@ -70,7 +70,7 @@ def takes(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, s
     source's taken words are its target rounded. Order and result depend only on ids and texts, so reruns agree.
 
     Null text: size 0, nothing taken. Null source: a source of its own, the last. Repeated rows each count. Rows of equal
-    doc_id are ordered by size. An empty table gives an empty result. All columns are kept, but for those of the result's own
+    doc_id are ordered by size; a frequent or null doc_id is dealt over tasks, see ``uncrowded``. An empty table gives an empty result. All columns are kept, but for those of the result's own
     names, which are replaced. The result is in no order; ``by_position`` sorts it.
     """
     made = ("size", "source_size", "target", "taken", "positions")
@@ -81,6 +81,7 @@ def takes(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, s
     # all columns of a row in one, so that none of their names can clash with what follows
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("doc_id").alias("id"), "source", src.alias("src"), (words() if size is None else size).alias("size"), key.alias("key"))
     dealt = sized.withColumn("bucket", F.conv(F.substring("key", 1, digits), 16, 10).cast("int"))
+    dealt = uncrowded(dealt)
     buckets = dealt.groupBy("src", "source", "bucket").agg(F.sum("size").alias("total"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("total").alias("source_size")), weights, cap)
     plan = targets.withColumn("src", src).withColumn("slope", slope(F.col("rank"))).drop("source", "weight", "rank")
@@ -101,6 +102,40 @@ def takes(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, s
     return placed.select("row.*", *made)
 
 
+#: Rows of a bucket that are sorted in one task; buckets of more, which a frequent doc_id makes, are cut.
+CROWD = 1 << 14
+#: Rows of a list that is broadcast to be joined; a longer one is joined as Spark sees fit.
+LISTED = 10_000
+
+
+def listed(df: DataFrame) -> DataFrame | None:
+    """``df`` to be joined: None if it is empty, broadcast if it is short."""
+    rows = df.limit(LISTED + 1).collect()
+    if not rows:
+        return None
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= LISTED else df
+
+
+def uncrowded(dealt: DataFrame) -> DataFrame:
+    """``dealt`` (src, bucket, key, size, ...) with buckets in the same order that hold about ``CROWD`` rows each, whatever ids are null or frequent.
+
+    A crowded bucket is cut by key and size, and rows of a source that share both, whose order does not matter, are dealt over several buckets.
+    """
+    at = ["src", "bucket"]
+    big = listed(dealt.groupBy(*at).agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select(*at))
+    whole = F.struct("bucket", F.lit("").alias("key"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("part"))
+    if big is None:
+        return dealt.withColumn("bucket", whole)
+    crowded = dealt.join(big, at, "left_semi")
+    crowds = listed(crowded.groupBy(*at, "key", "size").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select(*at, "key", "size", F.ceil(F.col("n") / CROWD).alias("parts")))
+    parted = crowded.join(crowds, [*at, "key", "size"], "left") if crowds is not None else crowded.withColumn("parts", F.lit(1))
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1))).cast("int")
+    finer = F.struct("bucket", "key", F.col("size").cast("long").alias("size"), part.alias("part"))
+    # a row's part is drawn once: sums of buckets and rows have to agree
+    kept = common.written(parted.withColumn("bucket", finer).select(*dealt.columns), "crowded")
+    return dealt.join(big, at, "left_anti").withColumn("bucket", whole).select(*dealt.columns).unionByName(kept)
+
+
 def hex_digits(docs: DataFrame) -> int:
     """Hexadecimal digits of a hash that deal the rows of a source into buckets of a bounded size: 3 for 16 million rows, one more for each 16 times."""
     rows, digits = docs.count(), 3

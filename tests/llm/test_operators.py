@@ -819,3 +819,31 @@ def test_main_text_odd_pages(spark):
     assert got[1] == got[2] == got[6] == "" and len(got[5]) == 299999 and got[7] == "t <u>"
     assert html_text.extract(df.limit(0)).count() == 0
     assert pa.__version__
+
+
+@pytest.mark.parametrize("crowd", [50, 1 << 14])
+def test_mixing_deals_frequent_ids_over_buckets(spark, monkeypatch, crowd):
+    """Null and frequent ids, of the same and of different sizes, give what a sort by (md5 of the id, id, size) gives."""
+    import hashlib
+
+    monkeypatch.setattr(mixing, "CROWD", crowd)
+    rng = random.Random(3)
+    rows = [(None, "w " * (i % 3), "en", "a", 0) for i in range(600)] + [(7, "w " * rng.randint(0, 40), "en", "a", 0) for _ in range(500)] + [(100 + i, "w " * rng.randint(1, 9), "en", rng.choice(["a", "b", None]), 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = mixing.takes(docs).collect()
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+    targets = plain_targets(sizes)
+    want = []
+    for s, target in targets.items():
+        own = sorted(((hashlib.md5(str(r[0] if r[0] is not None else "").encode()).hexdigest(), r[0] is not None, r[0] or 0, len(r[1].split())) for r in rows if r[3] == s))
+        budget, before = int(target + 0.5), 0
+        for _, known, i, n in own:
+            rest = max(0, min(n, budget - budget // sizes[s] * sizes[s] - before))
+            want.append((i if known else None, n, budget // sizes[s] * n + rest))
+            before += n
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in got) == Counter(want)
+    dealt = docs.selectExpr("'s' AS src", "md5(cast(coalesce(cast(doc_id AS string), '') AS binary)) AS key", "cast(size(split(trim(text), ' ')) AS long) AS size").withColumn("bucket", F.lit(1))
+    most = mixing.uncrowded(dealt).groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert most <= 2.5 * crowd
