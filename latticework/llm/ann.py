@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing, for the largest inner product.
 
-Rows are dealt into bands by norm, each within a factor of two, so that a few long vectors do not set the scale of the others.
+Rows are dealt into bands by norm, each within a factor of two, so that a few long vectors do not set the scale of the others;
+bands are cut half-way between powers of two, so that vectors of norm 1 are in one, whatever rounding does.
 With M the largest norm of a band, its row x becomes (x, sqrt(M^2 - |x|^2)) and a query (q * M / |q|, 0), so that the nearest
 one has the largest inner product. A table's hash is a row of functions floor((a . x + b) / w) with a drawn from the normal
 distribution, which is 2-stable: where a . q = u, a row at the angle t from q has a . x = u cos(t) + M sin(t) N(0, 1). So the
@@ -28,8 +29,6 @@ SUCCESS = 0.72
 SAMPLE = 2048
 #: Rows of a bucket that one task scores; larger buckets are split, and their queries go to each part.
 PART = 2048
-#: Bands of fewer rows are one bucket.
-WHOLE = 1600
 #: The cosine of the angle to a neighbour counts as this at most.
 NEAREST = 0.9
 SEED = 11
@@ -44,8 +43,9 @@ class Band:
 
     def __init__(self, n: int, norm: float, sample: np.ndarray, tables: int, width: float, seed: list[int]):
         self.norm, dim = norm, sample.shape[1]
-        hashed = n >= WHOLE and 1e-150 < norm < 1e150
-        functions = min(12, max(4, round(math.log2(n / 1600)))) if hashed else 0
+        # norms whose squares are beyond doubles are not hashed: such a band is one bucket
+        hashed = 1e-150 < norm < 1e150
+        functions = min(12, max(4, round(math.log2(max(1, n) / 1600)))) if hashed else 0
         rng = np.random.default_rng(seed)
         self.a = rng.normal(size=(tables if hashed else 1, functions, dim + 1))
         wide = float((self.lifted(sample) @ self.a.reshape(-1, dim + 1).T).std(axis=0).mean()) if hashed and len(sample) > 30 else norm
@@ -271,7 +271,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = T
         .distinct()
     )
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
-    good = good.withColumn("band", F.coalesce(F.floor(F.log2(norm)), F.lit(-1100)).cast("int"))
+    good = good.withColumn("band", F.coalesce(F.floor(F.log2(norm) + 0.5), F.lit(-1100)).cast("int"))
     seen = good.groupBy("band").agg(F.count("*").alias("n"), F.max(F.size(x)).alias("dim"), F.max(norm).alias("norm")).orderBy("band").collect()
     picked = [(r["vec_id"], r["embedding"], r["band"]) for r in good.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(sample).collect()]
     often = good.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
