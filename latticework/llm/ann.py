@@ -45,7 +45,7 @@ class Band:
         self.norm, dim = norm, sample.shape[1]
         # norms whose squares are beyond doubles are not hashed: such a band is one bucket
         hashed = 1e-150 < norm < 1e150
-        functions = min(12, max(4, round(math.log2(max(1, n) / 1600)))) if hashed else 0
+        functions = min(12, max(4, round(math.log2(max(1, n) / 3200)))) if hashed else 0
         rng = np.random.default_rng(seed)
         self.a = rng.normal(size=(tables if hashed else 1, functions, dim + 1))
         wide = float((self.lifted(sample) @ self.a.reshape(-1, dim + 1).T).std(axis=0).mean()) if hashed and len(sample) > 30 else norm
