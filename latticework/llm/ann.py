@@ -28,7 +28,7 @@ SUCCESS = 0.72
 #: Rows that distances and projections are measured on, at most; every row is indexed.
 SAMPLE = 2048
 #: Rows of a bucket that one task scores; larger buckets are split, and their queries go to each part.
-PART = 2048
+PART = 8192
 #: The cosine of the angle to a neighbour counts as this at most.
 NEAREST = 0.9
 SEED = 11
