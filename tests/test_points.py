@@ -163,8 +163,8 @@ def test_lattice(spark):
 
 def test_lattice_is_trained_on_40_points_a_node(spark, monkeypatch):
     seen = []
-    knn = search.knn
-    monkeypatch.setattr(search, "knn", lambda p, c, *a: seen.append((c.count(), a[1])) or knn(p, c, *a))
+    knn = search.knn_pages
+    monkeypatch.setattr(search, "knn_pages", lambda p, c, k, i: seen.append((c.count(), k)) or knn(p, c, k, i))
     nodes = queries.lattice_coeffs(spark, "/root/testdata/sf0.001").collect()
     assert seen == [(40 * 81, 10)]
     assert len(nodes) == 81 and all(len(r["radii"]) == 10 for r in nodes)
