@@ -11,6 +11,7 @@ combined automaton, so it reads them as + unless a rule is marked ``counted``; t
 from __future__ import annotations
 
 import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -276,19 +277,21 @@ def compiled(rules: tuple[Rule, ...]) -> tuple[Dfa, tuple[Dfa, ...]]:
     return determinise(nfa, first, ends, True), tuple(own)
 
 
-def starts_in(data: bytes, dfa: Dfa) -> list[tuple[int, int]]:
-    """(place, mask of rules that match from there), from the last place to the first: one pass over the bytes.
+def starts_in(data: bytes, dfa: Dfa) -> tuple[array, array]:
+    """Places from which rules match and the states there, from the last place to the first: one pass over the bytes.
 
-    The table is renumbered so that accepting states come last; the inner loop then tests one comparison a byte.
+    The states are those of ``accepting_last``, whose table is renumbered so that accepting states come last; the inner loop
+    then tests one comparison a byte. A text may hold a start every few bytes, so both are arrays of machine integers.
     """
-    table, limit, masks = accepting_last(dfa)
-    state, found, at = table[-1], [], len(data)
+    table, limit, _ = accepting_last(dfa)
+    state, places, states, at = table[-1], array("q"), array("H"), len(data)
     for b in reversed(data):
         at -= 1
         state = table[state + b]
         if state >= limit:
-            found.append((at, masks[state >> 8]))
-    return found
+            places.append(at)
+            states.append(state >> 8)
+    return places, states
 
 
 def accepting_last(dfa: Dfa) -> tuple[list[int], int, list[int]]:
@@ -304,27 +307,44 @@ def accepting_last(dfa: Dfa) -> tuple[list[int], int, list[int]]:
     return dfa.ordered
 
 
-def longest(data: bytes, at: int, dfa: Dfa, barren: dict[int, int] | None = None) -> int:
+class Barren:
+    """For each place of a text, a state from which reading on met no further end: two bytes a place, from the first place on that any has."""
+
+    def __init__(self, size: int):
+        self.size, self.first, self.states = size, 0, array("H")
+
+    def put(self, at: int, states: array) -> None:
+        """``states`` at the places from ``at`` on. Calls come with rising starts, so nothing before ``at`` is asked for again."""
+        if not self.states:
+            self.first, self.states = at, array("H", [0]) * (self.size - at)
+        if at >= self.first:
+            self.states[at - self.first : at - self.first + len(states)] = states
+
+    def get(self, at: int) -> int:
+        """The state's number plus one; 0 if there is none."""
+        return self.states[at - self.first] if self.states and at >= self.first else 0
+
+
+def longest(data: bytes, at: int, dfa: Dfa, barren: Barren | None = None) -> int:
     """End of the longest match from ``at``; -1 if there is none.
 
     ``barren``: by place, a state from which an earlier call read on and met no further end; this call's are added.
     """
     state, end, table, accepts = dfa.start, -1, dfa.table, dfa.accepts
     dead = dead_state(dfa)
-    seen: list[int] = []
-    known = barren.get if barren else None
+    seen = array("H")
+    known = barren.get if barren is not None and barren.states else None
     for i in range(at, len(data)):
         state = table[state + data[i]]
         if accepts[state >> 8]:
             end = i + 1
-            seen.clear()
-        elif state == dead or known and known(i) == state:
+            del seen[:]
+        elif state == dead or known and known(i) == (state >> 8) + 1:
             break
         else:
-            seen.append(state)
+            seen.append((state >> 8) + 1)
     if barren is not None and seen:
-        first = at if end < 0 else end
-        barren.update(zip(range(first, first + len(seen)), seen))
+        barren.put(at if end < 0 else end, seen)
     return end
 
 
@@ -346,9 +366,12 @@ def find(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, i
     data = text.encode("utf-8", "surrogatepass")
     scan, own = compiled(rules)
     behind = [0] * len(rules)
-    barren: list[dict[int, int]] = [{} for _ in rules]
+    barren = [Barren(len(data)) for _ in rules]
     spans: list[tuple[int, int, int]] = []
-    for at, mask in reversed(starts_in(data, scan)):
+    places, states = starts_in(data, scan)
+    masks = accepting_last(scan)[2]
+    for at, state in zip(reversed(places), reversed(states)):
+        mask = masks[state]
         for i in range(len(rules)):
             if mask >> i & 1 and at >= behind[i]:
                 end = longest(data, at, own[i], barren[i])

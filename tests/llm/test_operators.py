@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -454,7 +455,7 @@ def test_secrets_are_found_in_linear_steps(monkeypatch):
     jwt = own[[r.kind for r in secrets.RULES].index("jwt")]
     steps = []
     for n in (500, 1000):
-        data, barren, Counted.read = Counted(b"eyJ" * n + b".a.a"), {}, 0
+        data, barren, Counted.read = Counted(b"eyJ" * n + b".a.a"), secrets.Barren(3 * n + 4), 0
         assert all(secrets.longest(data, at, jwt, barren) == -1 for at in range(0, 3 * n, 3))
         steps.append(Counted.read)
     assert steps[1] < 2.5 * steps[0] and steps[1] < 20 * 3 * 1000
@@ -467,6 +468,19 @@ def test_secrets_are_found_in_linear_steps(monkeypatch):
     assert [secrets.find(t) for t in texts] == remembered
 
 
+def test_secrets_of_very_long_texts_take_few_bytes_a_byte():
+    """A text that holds starts everywhere, none of which leads to a match, and one whose starts all do."""
+    secrets.find("x")
+    for unit, many in (("eyJ", 200_000), ("eyJabcdefgh.", 50_000)):
+        text = unit * many
+        tracemalloc.start()
+        found = secrets.find(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (not found) == (unit == "eyJ")
+        assert peak < 16 * len(text) + 300 * len(found)
+
+
 def test_secrets_added_kinds():
     kinds = lambda t: [s[0] for s in secrets.find(t)]
     assert kinds("-----BEGIN RSA PRIVATE KEY-----") == ["private_key"]
