@@ -315,6 +315,7 @@ def linked(members: DataFrame, texts: DataFrame, words: int, similarity: float)
     So the links connect all that similar pairs in common buckets connect, and no group makes rows for all its pairs.
     """
     spark = members.sparkSession
+    often = max(2.0, members.count() / FREQUENT)
     links = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "id long, root long")
     done = spark.createDataFrame([], "a long, b long")
@@ -322,11 +323,11 @@ def linked(members: DataFrame, texts: DataFrame, words: int, similarity: float)
         now = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
         order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
         leads = now.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(order.alias("o"), "id", "root")).alias("lead")).filter("lo <> hi")
-        found = None
+        leads, found = common.written(leads, "leads"), None
         if turn < STAR_ROUNDS:
-            met = now.join(leads, "bucket").filter("root <> lead.root").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
+            met = by_bucket(now, leads, often).filter("root <> lead.root").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
         else:
-            still = common.written(now.join(leads.select("bucket", "n"), "bucket"), "open")
+            still = common.written(by_bucket(now, leads.select("bucket", "n"), often), "open")
             few, many = still.filter(F.col("n") <= FEW), still.filter(F.col("n") > FEW)
             other = few.select("bucket", F.col("id").alias("b"), F.col("root").alias("root_b"))
             met = few.join(other, "bucket").filter("id < b AND root <> root_b").select(F.col("id").alias("a"), "b")
@@ -340,6 +341,25 @@ def linked(members: DataFrame, texts: DataFrame, words: int, similarity: float)
     return roots
 
 
+#: A bucket of at least one in so many (text, bucket) rows is frequent.
+FREQUENT = 1000
+
+
+def by_bucket(rows: DataFrame, found: DataFrame, often: float) -> DataFrame:
+    """``rows`` (bucket, id, ...) joined with ``found`` (bucket, n, ...), which has one row a bucket, n counting the bucket's rows.
+
+    Buckets of at least ``often`` rows are broadcast and their rows are dealt by id in the other buckets' join; with a ``FREQUENT``-th
+    of all rows for ``often`` there are no more than ``FREQUENT`` of them, however many rows they hold.
+    """
+    told = [c for c in found.columns if c != "bucket"]
+    whole = F.struct(*told)
+    hot = found.filter(F.col("n") >= often).select("bucket", whole.alias("__hot"))
+    cold = found.filter(F.col("n") < often).select(F.col("bucket").alias("__key"), whole.alias("__cold"))
+    key = F.when(F.col("__hot").isNull(), F.col("bucket")).otherwise(F.xxhash64("id"))
+    joined = rows.join(F.broadcast(hot), "bucket", "left").withColumn("__key", key).join(cold, "__key", "left").withColumn("__of", F.coalesce("__hot", "__cold"))
+    return joined.filter("__of IS NOT NULL").select(*[F.col(c) for c in rows.columns], *[F.col("__of")[c].alias(c) for c in told])
+
+
 def written_pairs(pairs: DataFrame) -> DataFrame:
     return common.written(pairs, "pairs")
 
@@ -355,8 +375,10 @@ def classes(docs: DataFrame, words: int, similarity: float, bands: int, rows: in
         "texts",
     )
     spread = heads.select("id", F.explode("buckets").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = common.written(spread.join(shared, "bucket"), "members")
+    counts = common.written(spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    # rows of buckets that are shared: at least those that the frequent ones hold
+    shared = counts.agg(F.sum("n")).first()[0] or 0
+    members = common.written(by_bucket(spread, counts, max(2.0, shared / FREQUENT)).select("id", "bucket"), "members")
     wanted = members.select("id").distinct().join(heads, "id").select("id", "key", F.coalesce("first.doc_id", F.lit(-(2**63))).alias("own"))
     # the doc_id in the join deals out the rows of one text that has many copies
     texts = common.written(keyed(docs).select("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("own"), "text").join(wanted, ["key", "own"]).select("id", "text").dropDuplicates(["id"]), "near-texts")

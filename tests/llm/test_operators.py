@@ -583,6 +583,24 @@ def test_near_duplicates_do_not_depend_on_bucket_size(spark, monkeypatch):
     assert found[0] == found[1]
 
 
+def test_frequent_buckets_are_dealt(spark):
+    """Rows and their buckets' values are those of a plain join, and no task of the join holds a bucket of half of all rows."""
+    n = 20_000
+    rows = spark.range(n).select(F.when(F.col("id") % 2 == 0, -7).otherwise(F.col("id") % 900).cast("long").alias("bucket"), "id", (F.col("id") % 3).alias("root"))
+    found = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("id", "root")).alias("lead")).filter("bucket <> 5")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = neardup.by_bucket(rows, found, n / neardup.FREQUENT)
+        most = max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+        want = rows.join(found, "bucket").select(got.columns)
+        assert got.exceptAll(want).count() == 0 and got.count() == want.count() > n / 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert most < 1.3 * n / int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_a_stranger_in_a_large_bucket_moves_few_rows(spark, monkeypatch):
     """A bucket of one class and a few others sends each text about once, not to all blocks."""
     monkeypatch.setattr(neardup, "BLOCK_TEXTS", 10)
