@@ -310,19 +310,16 @@ def accepting_last(dfa: Dfa) -> tuple[list[int], int, list[int]]:
 class Barren:
     """For each place of a text, a state from which reading on met no further end: two bytes a place, from the first place on that any has."""
 
+    __slots__ = ("size", "first", "states")
+
     def __init__(self, size: int):
-        self.size, self.first, self.states = size, 0, array("H")
+        self.size, self.first, self.states = size, 0, None
 
     def put(self, at: int, states: array) -> None:
-        """``states`` at the places from ``at`` on. Calls come with rising starts, so nothing before ``at`` is asked for again."""
-        if not self.states:
+        """``states``, as numbers from 1, at the places from ``at`` on. Calls come with rising starts, so nothing before the first is asked for again."""
+        if self.states is None:
             self.first, self.states = at, array("H", [0]) * (self.size - at)
-        if at >= self.first:
-            self.states[at - self.first : at - self.first + len(states)] = states
-
-    def get(self, at: int) -> int:
-        """The state's number plus one; 0 if there is none."""
-        return self.states[at - self.first] if self.states and at >= self.first else 0
+        self.states[at - self.first : at - self.first + len(states)] = states
 
 
 def longest(data: bytes, at: int, dfa: Dfa, barren: Barren | None = None) -> int:
@@ -333,13 +330,14 @@ def longest(data: bytes, at: int, dfa: Dfa, barren: Barren | None = None) -> int
     state, end, table, accepts = dfa.start, -1, dfa.table, dfa.accepts
     dead = dead_state(dfa)
     seen = array("H")
-    known = barren.get if barren is not None and barren.states else None
+    known, first = (None, 0) if barren is None else (barren.states, barren.first)
     for i in range(at, len(data)):
         state = table[state + data[i]]
         if accepts[state >> 8]:
             end = i + 1
-            del seen[:]
-        elif state == dead or known and known(i) == (state >> 8) + 1:
+            if seen:
+                del seen[:]
+        elif state == dead or known and known[i - first] == (state >> 8) + 1:
             break
         else:
             seen.append((state >> 8) + 1)
@@ -366,9 +364,11 @@ def find(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, i
     data = text.encode("utf-8", "surrogatepass")
     scan, own = compiled(rules)
     behind = [0] * len(rules)
+    places, states = starts_in(data, scan)
+    if not places:
+        return []
     barren = [Barren(len(data)) for _ in rules]
     spans: list[tuple[int, int, int]] = []
-    places, states = starts_in(data, scan)
     masks = accepting_last(scan)[2]
     for at, state in zip(reversed(places), reversed(states)):
         mask = masks[state]
