@@ -114,3 +114,32 @@ def test_chains_of_small_pages_merge(spark, monkeypatch, walk):
     assert len(got) == len(rows)
     groups = lambda d: sorted(map(sorted, {c: [k for k in d if d[k] == c] for c in d.values()}.values()))
     assert groups({(r["shard"], r["page"]): (r["shard"], r["chain"]) for r in got}) == groups(want)
+
+
+@pytest.mark.parametrize("walk", [50, 1 << 12])
+def test_small_groups_share_a_call(spark, monkeypatch, walk):
+    """As many groups as an index has shards, of a page or a few, and a large one over several runs."""
+    monkeypatch.setattr(mutate, "WALK", walk)
+    calls, kind = spark.sparkContext.accumulator(0), type(spark.range(1).groupBy())
+    apply = kind.applyInPandas
+
+    def counted(self, func, schema):
+        def told(key, pdf):
+            calls.add(1)
+            return func(key, pdf)
+
+        return apply(self, told, schema)
+
+    monkeypatch.setattr(kind, "applyInPandas", counted)
+    rng = random.Random(8)
+    rows = [(s, p, rng.randint(1, 10)) for s in range(2000) for p in range(400 if s == 900 else 1 + s % 3)]
+    got = {(r["shard"], r["page"]): r["chain"] for r in mutate.chained(spark.createDataFrame(rows, "shard long, page long, n long"), "shard", "page", 10).collect()}
+    held, last, before = 0, None, None
+    assert len(got) == len(rows)
+    for s, p, n in rows:
+        opens = s != last or held + n > 10
+        assert opens == (s != last or got[s, p] != before)
+        held, last, before = n if opens else held + n, s, got[s, p]
+    assert len(set(got.values())) > 2000
+    # functions, starts and walks: a call or two for each run, and none for each group
+    assert calls.value <= 12 * (len(rows) // walk + 8)
