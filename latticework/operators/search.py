@@ -116,8 +116,35 @@ def knn(points: DataFrame | Index, centres: DataFrame, grid: Grid, k: int, id_co
     return found.select("qid", F.explode("near").alias("__p")).select("qid", "__p.rank", f"__p.{id_col}", "__p.dist")
 
 
+#: Pages that are read for a centre before those farther away are looked at again, and how many times more each next round reads.
+FIRST_PAGES, MORE_PAGES = 32, 8
+
+
+def _by_rounds(ix: Index, hits: DataFrame, k: int, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(qid, rank, id, dist), and (qid, page): the pages that were read, of ``hits`` (as from ``pages_of``, with r, apart and nth by rising apart).
+
+    The nearest pages come first; the k-th distance in them bounds what is read of the others. A round reads ``MORE_PAGES`` times as many
+    pages as the one before, so there are few rounds, and a centre reads a bounded multiple of the pages that its nearest points need.
+    """
+    coords, n = list(ix.grid.spec.coords), range(ix.grid.spec.dims)
+    near, reads, most = None, None, FIRST_PAGES
+    while True:
+        part, later = hits.filter(F.col("nth") <= most), hits.filter(F.col("nth") > most)
+        rows = indexes.rows_in(ix, part, list(dict.fromkeys([id_col, *coords])), ("centre", "r")).withColumn("dist", distance(coords, [F.element_at("centre", i + 1) for i in n]))
+        rows = rows.filter(F.col("dist") <= F.col("r")).select("qid", id_col, "dist")
+        near = _nearest(rows if near is None else rows.unionByName(near.select("qid", id_col, "dist")), k, id_col).select("qid", "rank", id_col, "dist")
+        own = part.select("qid", "page")
+        reads = own if reads is None else reads.unionByName(own)
+        if later.isEmpty():
+            return near, reads
+        near = saved(near, "near")
+        bound = near.filter(F.col("rank") == k).select("qid", (F.col("dist") * (1 + 1e-9)).alias("__r"))
+        closer = later.join(bound, "qid", "left").withColumn("r", F.least("r", "__r")).drop("__r")
+        hits, most = saved(closer.filter(F.col("apart") <= F.col("r")), "hits"), most * MORE_PAGES
+
+
 def knn_pages(ix: Index, centres: DataFrame, k: int, id_col: str) -> DataFrame:
-    """(qid, rank, id, dist) as from ``knn``, through an index in two passes over points; see ``knn_with_reads``."""
+    """(qid, rank, id, dist) as from ``knn``, through an index in a few passes over points; see ``knn_with_reads``."""
     return knn_with_reads(ix, centres, k, id_col)[0]
 
 
@@ -125,8 +152,9 @@ def knn_with_reads(ix: Index, centres: DataFrame, k: int, id_col: str) -> tuple[
     """(qid, rank, id, dist), and (qid, page): the pages that were read for each centre.
 
     The first pass reads the page that a centre's own mapping leads to. The distance of its k-th point there bounds the k-th distance of all,
-    so the second pass reads the pages whose boxes come that near, by the directory. Centres whose own page holds fewer than k points
-    take spheres that widen, see ``knn``. Equal distances go to the smaller id. Centres with a null or non-finite coordinate have no neighbour.
+    so what follows reads pages whose boxes come that near, by the directory: in a second pass if they are few, else the nearest
+    first, see ``_by_rounds``. Many equal points make the first bound wide, as a page then holds few different ones. Centres whose own page
+    holds fewer than k points take spheres that widen, see ``knn``. Equal distances go to the smaller id. Centres with a null or non-finite coordinate have no neighbour.
     """
     grid, dims = ix.grid, range(ix.grid.spec.dims)
     coords, c = list(grid.spec.coords), [f"c{i}" for i in dims]
@@ -143,10 +171,10 @@ def knn_with_reads(ix: Index, centres: DataFrame, k: int, id_col: str) -> tuple[
     spheres = boxes_around(open_.filter("__r IS NOT NULL"), grid, F.col("__r"), ix.domain)
     corners = ix.pages.select("page", "low", "high")
     hits = indexes.pages_of(ix, spheres, ("centre", "r")).join(corners, "page")
-    hits = saved(hits.filter(indexes.least_distance("low", "high", [F.element_at("centre", i + 1) for i in dims]) <= F.col("r")).drop("low", "high"), "hits")
-    rows = indexes.rows_in(ix, hits, list(dict.fromkeys([id_col, *coords])), ("centre", "r")).withColumn("dist", distance(coords, [F.element_at("centre", i + 1) for i in dims]))
-    found = _nearest(rows.filter(F.col("dist") <= F.col("r")).select("qid", id_col, "dist"), k, id_col).select("qid", "rank", id_col, "dist")
-    reads = home.filter("page IS NOT NULL").select("qid", "page").unionByName(hits.select("qid", "page"))
+    hits = hits.withColumn("apart", indexes.least_distance("low", "high", [F.element_at("centre", i + 1) for i in dims])).drop("low", "high").filter(F.col("apart") <= F.col("r"))
+    hits = saved(hits.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy("apart", "page", "cell"))), "hits")
+    found, further = _by_rounds(ix, hits, k, id_col)
+    reads = home.filter("page IS NOT NULL").select("qid", "page").unionByName(further)
     rest = open_.filter("__r IS NULL").drop("__r")
     if not rest.isEmpty():
         n = ix.pages.agg(F.sum("n")).first()[0] or 0

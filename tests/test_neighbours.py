@@ -50,3 +50,24 @@ def test_points_are_read_twice_at_most(spark, tmp_path, monkeypatch):
     found, reads = search.knn_with_reads(ix, centres, 5, "id")
     assert found.count() == 200 and len(passes) == 2
     assert reads.groupBy("qid").count().agg(F.max("count")).first()[0] < 30 < ix.pages.count()
+
+
+def test_copies_do_not_widen_what_is_read(spark, tmp_path, monkeypatch):
+    """Many copies of each point fill the page of a centre, so that it holds one or two different points; pages farther away are bounded by nearer ones."""
+    rng = np.random.default_rng(6)
+    xs = rng.uniform(0, 100, (500, 2))
+    rows = [(c * len(xs) + i, *map(float, x)) for c in range(20) for i, x in enumerate(xs)]
+    p = spark.createDataFrame(rows, "id long, x double, y double").repartition(4)
+    ix = store.build_index(p, ("x", "y"), "id", f"{tmp_path}/ix", parts=4, page_size=20, segments=5)
+    own = [(q, *map(float, x)) for q, x in enumerate(rng.uniform(10, 90, (10, 2)))]
+    centres = spark.createDataFrame(own, "qid int, c0 double, c1 double")
+    monkeypatch.setattr(search, "FIRST_PAGES", 4)
+    found, reads = search.knn_with_reads(ix, centres, 5, "id")
+    got = {}
+    for r in found.orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["id"])
+    assert got == {q: brute(rows, c, 5) for q, *c in own}
+    count = reads.count()
+    monkeypatch.setattr(search, "FIRST_PAGES", 1 << 30)
+    at_once = search.knn_with_reads(ix, centres, 5, "id")[1].count()
+    assert count * 2 < at_once, (count, at_once)
