@@ -256,3 +256,14 @@ def test_cuts_are_exact(spark):
         generate.distinct_uniform(spark, 900, 1, 0.0, 1.0, digits=1)
     with pytest.raises(ValueError):
         generate.distinct_zipf(spark, 50, 1, 2.0, 10.0)
+
+
+def test_predictions_are_made_once(spark, monkeypatch):
+    """What is ranked into shards reads stored predictions, as ranges are sampled first and so everything before them runs twice."""
+    rows = [(i, float(i % 97), float(i % 89)) for i in range(3000)]
+    p = spark.createDataFrame(rows, "id long, x double, y double")
+    g = grid.build_grid(p, grid.spec_for(p, ("x", "y"), parts=4, page_size=20, segments=5))
+    plans, own = [], layout.ranked
+    monkeypatch.setattr(layout, "ranked", lambda df, *a: plans.append(df._jdf.queryExecution().analyzed().toString()) or own(df, *a))
+    points, _ = layout.build_index(p, g, "id")
+    assert points.count() == 3000 and plans and "zip_with" not in plans[-1]
