@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import finite
 from .index import RUN_BITS
-from .ranks import in_order, ranked, saved
+from .ranks import in_order, ranked, saved, tasks_for
 
 
 def scaled(points: DataFrame, coords: list[str], low: float, high: float) -> DataFrame:
@@ -92,13 +92,16 @@ def merge_rows(blocks: DataFrame) -> DataFrame:
 def dominance_violations(df: DataFrame, label: str, x: str, y: str) -> DataFrame:
     """One row (n): points for which some earlier label has both a larger x and a larger y. Labels are unique; rows with a null or NaN coordinate do not count.
 
-    Blocks of labels are compared in tasks, and then the blocks by a merge tree. On a level, points that follow each other by falling x see
-    the highest y of the earlier side so far; they are cut into runs of bounded length, and each run starts with the highest one of the
-    runs before it. So about n log n rows move, and no task sees more than a block or a run, whatever the order of the points.
+    Blocks of labels are compared in tasks, and then the blocks by a merge tree, for the points that their own block does not settle. On a
+    level, points that follow each other by falling x see the highest y of the earlier side so far; they are cut into runs of bounded
+    length, and each run starts with the highest one of the runs before it. So about n log n rows move at most, and no task sees more than a
+    block or a run at once, whatever the order of the points. Shuffles have as many partitions as their rows need, since those that Spark
+    chooses by bytes grow to millions of rows.
     """
     number = lambda c: F.col(c).cast("double")
     slim = df.select(F.col(label).alias("label"), number(x).alias("x"), number(y).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
     at = ranked(slim, ["label"], "nth").withColumn("block", F.floor(F.col("nth") / LABEL_BLOCK)).select("block", "nth", "x", "y")
+    spark = df.sparkSession
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values("nth")
@@ -107,16 +110,22 @@ def dominance_violations(df: DataFrame, label: str, x: str, y: str) -> DataFrame
         step[staircase(a, b)] = True
         return own.assign(step=step, bad=dominated_later(a, b))
 
-    blocks = saved(at.groupBy("block").applyInPandas(within, "block long, nth long, x double, y double, step boolean, bad boolean"), "blocks")
+    by_block = at.repartition(tasks_for(spark, at.count()), "block")
+    blocks = saved(by_block.groupBy("block").applyInPandas(within, "block long, nth long, x double, y double, step boolean, bad boolean"), "blocks")
+    # a point that is settled is below a step of its block, so it settles no other one that the step does not
+    open_ = blocks.filter("NOT bad")
+    told = open_.agg(F.count("*").alias("n"), F.coalesce(F.max("block"), F.lit(0)).alias("last")).first()
+    tasks = tasks_for(spark, told["n"] * told["last"].bit_length())
     group = ["level", "group"]
-    kept = in_order(merge_rows(blocks), [*group, F.col("x").desc(), F.col("side").desc(), "nth"]).withColumn("run", F.shiftright("__at", RUN_BITS))
+    kept = in_order(merge_rows(open_), [*group, F.col("x").desc(), F.col("side").desc(), "nth"], tasks).withColumn("run", F.shiftright("__at", RUN_BITS))
     held = F.when(F.col("side") == 0, F.col("y"))
     before = Window.partitionBy(*group).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = kept.groupBy(*group, "run").agg(F.max(held).alias("high")).withColumn("high", F.max("high").over(before))
     so_far = Window.partitionBy(*group, "run").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = kept.withColumn("own", F.max(held).over(so_far)).filter("side = 1").join(starts, [*group, "run"])
-    worse = seen.filter(F.greatest("own", "high") > F.col("y")).select("nth")
-    return blocks.filter("bad").select("nth").unionByName(worse).distinct().agg(F.count("*").alias("n"))
+    by_run = kept.repartition(tasks, *group, "run").withColumn("own", F.max(held).over(so_far))
+    worse = by_run.filter("side = 1").join(starts, [*group, "run"]).filter(F.greatest("own", "high") > F.col("y")).select("nth")
+    counts = [one.agg(F.count("*").alias("n")) for one in (blocks.filter("bad"), worse.repartition(tasks, "nth").distinct())]
+    return counts[0].unionByName(counts[1]).agg(F.sum("n").alias("n"))
 
 
 def rising(column: str):

@@ -1,6 +1,7 @@
 """Dominance by a merge tree: equal to all pairs, with about n log n rows."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -60,3 +61,32 @@ def test_rows_grow_as_n_log_n(spark):
         return checks.merge_rows(df).count()
 
     assert [rows(b) for b in (2, 4, 8, 64)] == [b * 8 * bits for b, bits in ((2, 1), (4, 2), (8, 3), (64, 6))]
+
+
+def test_only_open_points_meet_other_blocks(spark, monkeypatch):
+    """Of a falling sequence each block settles all points but its first."""
+    met = []
+    inner = checks.merge_rows
+    monkeypatch.setattr(checks, "LABEL_BLOCK", 16)
+    monkeypatch.setattr(checks, "merge_rows", lambda df: met.append(df.count()) or inner(df))
+    rows = [(i, -float(i), -float(i)) for i in range(160)]
+    assert checks.dominance_violations(spark.createDataFrame(rows, "l long, a double, b double"), "l", "a", "b").first()["n"] == 159
+    assert met == [10]
+
+
+def test_tasks_of_the_check_follow_the_rows(spark, monkeypatch):
+    """Of stairs every point stays open; each shuffle deals them to as many tasks as they need."""
+    made = {}
+    in_order, saved = checks.in_order, checks.saved
+    monkeypatch.setattr(checks, "in_order", lambda *a: made.setdefault("order", in_order(*a)))
+    monkeypatch.setattr(checks, "saved", lambda *a: made.setdefault("blocks", saved(*a)))
+    monkeypatch.setattr(checks, "LABEL_BLOCK", 4)
+    monkeypatch.setattr(checks, "RUN_BITS", 2)
+    monkeypatch.setattr("latticework.operators.ranks.TASK_ROWS", 64)
+    rows = [(i, float(i), -float(i)) for i in range(640)]
+    got = checks.dominance_violations(spark.createDataFrame(rows, "l long, a double, b double"), "l", "a", "b")
+    assert got.first()["n"] == 0
+    assert made["blocks"].groupBy(F.input_file_name().alias("f")).count().agg(F.max("count")).first()[0] <= 192
+    assert made["order"].groupBy(F.shiftright("__at", 33)).count().agg(F.max("count")).first()[0] <= 192
+    dealt = re.findall(r"hashpartitioning\(level#\d+, group#\d+L?, run#\d+L?, (\d+)\), REPARTITION_BY_NUM", got._jdf.queryExecution().executedPlan().toString())
+    assert dealt and set(dealt) == {str(640 * 8 // 64)}
