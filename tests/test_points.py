@@ -13,7 +13,7 @@ from latticework import queries
 from latticework.functions import text
 from latticework.operators import checks, grid, lattice, layout, model, mutate, search
 from latticework.operators.ranks import saved
-from latticework.plans.spec import IndexSpec
+from latticework.plans.spec import Grid, IndexSpec
 from latticework.sources import files, generate, store
 from latticework.streaming import updates
 
@@ -267,3 +267,23 @@ def test_predictions_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(layout, "ranked", lambda df, *a: plans.append(df._jdf.queryExecution().analyzed().toString()) or own(df, *a))
     points, _ = layout.build_index(p, g, "id")
     assert points.count() == 3000 and plans and "zip_with" not in plans[-1]
+
+
+def test_small_grids_place_points_without_python(spark, monkeypatch):
+    """Four dimensions of four parts: no worker a dimension in each task, and the parts that numpy finds, on splits and for odd values too."""
+    rng = np.random.default_rng(5)
+    spec = IndexSpec(("a", "b", "c", "d"), (0.0,) * 4, (1.0,) * 4, parts=4)
+    bounds = tuple(np.hstack([np.sort(rng.random((4**i, 3)).round(1), axis=1), np.ones((4**i, 1))]) for i in range(3))
+    g = Grid(spec, bounds)
+    odd = [None, float("nan"), float("inf"), -float("inf"), -0.0, 0.0, 1.0]
+    rows = [(i, *[odd[int(k)] if p < 0.1 else float(v) for k, p, v in zip(rng.integers(0, 7, 4), rng.random(4), rng.random(4).round(1))]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double")
+    placed = grid.with_cell(df, g)
+    assert "Python" not in placed._jdf.queryExecution().executedPlan().toString()
+    got = [r["cell"] for r in placed.orderBy("id").collect()]
+    want = np.zeros(len(rows), np.int64)
+    for dim in range(3):
+        want = want * 4 + g.place(dim, want, np.array([r[dim + 1] for r in rows], float))
+    assert got == want.tolist()
+    monkeypatch.setattr(grid, "TREE_BOUNDS", 0)
+    assert [r["cell"] for r in grid.with_cell(df, g).orderBy("id").collect()] == got
